@@ -1,0 +1,8 @@
+"""Streaming.
+
+The original job is a monthly batch over a complete scenario grid: the best
+rate of a key depends on all of its scenarios, and the trade-off compares
+whole portfolios.  It has no stream sources, watermarks or stateful
+operators, so this package adds none; monthly runs use
+:mod:`rategrid.plans.pipelines` with month-partitioned Parquet output.
+"""
