@@ -23,8 +23,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rategrid.functions.columns import dec_equal
+from rategrid.functions.columns import dec_equal, fill_zero
 from rategrid.schema import COLS
 
 OBJ = "obj_funct_p_1"
@@ -106,9 +107,13 @@ def key_stats(
     return scored.groupBy(key).agg(*aggs)
 
 
-def _pick(value: Column, score_col: str, best: str, total: str, step: str, tie: str, decimal: bool) -> Column:
-    lead_rule = (F.col(total) == F.lit(0)) & (F.col(step) == F.lit(0))
-    is_best = dec_equal(score_col, best) if decimal else (F.col(score_col) == F.col(best))
+def _pick(value: Column, score_col: str | Column, best: str | Column, total: str | Column, step: str | Column,
+          tie: str, decimal: bool) -> Column:
+    def c(x):
+        return F.col(x) if isinstance(x, str) else x
+
+    lead_rule = (c(total) == F.lit(0)) & (c(step) == F.lit(0))
+    is_best = dec_equal(c(score_col), c(best)) if decimal else (c(score_col) == c(best))
     cand = F.when(lead_rule, value).otherwise(F.when(is_best, value))
     if tie == "min":
         return F.min(cand)
@@ -191,39 +196,114 @@ def lead_pivots(
     return g.groupBy(key).agg(*[F.sum(F.when(lead, F.col(c))).alias(n) for n, c in out])
 
 
-def pick_rates(
+def filled(df: DataFrame, col: str) -> Column:
+    """``col`` as ``fillna(0)`` leaves it: null (and NaN for floating types) -> 0."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.nanvl(c, F.lit(None).cast(dt)), F.lit(0).cast(dt))
+    if isinstance(dt, T.NumericType):
+        return F.coalesce(c, F.lit(0).cast(dt))
+    return c
+
+
+def _filled_sql(df: DataFrame, col: str) -> str:
+    """SQL text of :func:`filled`."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return f"coalesce(nanvl(`{col}`, CAST(NULL AS {dt.simpleString()})), CAST(0 AS {dt.simpleString()}))"
+    if isinstance(dt, T.NumericType):
+        return f"coalesce(`{col}`, CAST(0 AS {dt.simpleString()}))"
+    return f"`{col}`"
+
+
+def _pick_sql(value: str, score: str, best: str, total: str, step: str) -> str:
+    """Candidate value: the lead row when the key's total score is 0, else
+    rows whose score equals the maximum as decimal(32,10) (a cheap double
+    test first; equal decimals differ by less than 1e-9)."""
+    return (f"CASE WHEN {total} = 0D AND {step} = 0 THEN {value} "
+            f"WHEN {score} >= {best} - 1.0E-9D AND try_cast({score} AS DECIMAL(32,10)) = "
+            f"try_cast({best} AS DECIMAL(32,10)) THEN {value} END")
+
+
+@dataclass(frozen=True)
+class SweepPlan:
+    """The two per-key aggregates one sweep needs, built over one narrow join.
+
+    ``picks``: one row per key with the chosen rate ``t_{i}`` of exponent i.
+    ``joined``: the narrow grid rows with their key statistics (partitioned by
+    key), from which per-(key, rate) groups are aggregated without a new
+    shuffle.
+    """
+
+    picks: DataFrame
+    joined: DataFrame
+    exps: tuple[float, ...]
+
+
+def sweep_plan(
     grid: DataFrame,
     target: str,
     exps: Sequence[float],
     tie: str = "min",
+    keep: Sequence[str] = (),
     key: str = COLS.key,
     step: str = COLS.step,
     rate: str = COLS.rate,
     prob: str = COLS.prob,
-) -> DataFrame:
-    """Chosen rate per key for many exponents at once: ``(llave, exp, tasa_of_1)``.
-
-    The exponents are columns of one scored grid ("wide" form), so the grid is
-    read and exchanged once whatever the number of exponents; the result is
-    unpivoted at the end (one row per key and exponent, null rates dropped).
+) -> SweepPlan:
+    """Chosen rate per key for many exponents from one narrow join.
+
+    The grid is reduced to the columns the selection and ``keep`` read (raw
+    values; filled copies are computed inline).  Key statistics (max and sum
+    of every exponent's score) are a partial aggregation; the narrow rows are
+    shuffled once to meet them (adaptive execution splits a hot key on this
+    side), and the scores are recomputed after the join instead of being
+    shuffled, so the exchange carries a handful of columns whatever the number
+    of exponents.
     """
     exps = tuple(float(e) for e in exps)
-    names = tuple(f"obj_{i}" for i in range(len(exps)))
-    t, p = F.col(target), F.col(prob)
-    scored = fill_numeric(
-        grid.select(
-            F.col(key), F.col(step), F.col(rate),
-            *[(t * F.pow(p, F.lit(e))).alias(n) for e, n in zip(exps, names)],
-        )
+    if tie not in ("min", "sum"):
+        raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
+    cols = list(dict.fromkeys([key, step, rate, target, prob, *keep]))
+    narrow = grid.select(*cols)
+    # The per-exponent expressions are written as SQL text: one JVM call
+    # each instead of one per operator, which keeps planning time flat as the
+    # number of exponents grows.
+    st, rt = _filled_sql(narrow, step), _filled_sql(narrow, rate)
+    objs = [f"coalesce(nanvl(`{target}` * pow(`{prob}`, CAST({e!r} AS DOUBLE)), 0D), 0D)" for e in exps]
+    stats = narrow.groupBy(key).agg(
+        *[F.expr(f"max({o}) AS _m{i}") for i, o in enumerate(objs)],
+        *[F.expr(f"sum({o}) AS _s{i}") for i, o in enumerate(objs)],
     )
-    stats = scored.groupBy(key).agg(
-        *[F.max(n).alias(f"m_{n}") for n in names], *[F.sum(n).alias(f"s_{n}") for n in names]
+    joined = narrow.join(stats, on=key, how="left")
+    picks = joined.groupBy(key).agg(
+        *[F.expr(f"{tie}({_pick_sql(rt, o, f'_m{i}', f'_s{i}', st)}) AS t_{i}") for i, o in enumerate(objs)]
     )
-    wide = scored.join(stats, on=key, how="left").groupBy(key).agg(
-        *[_pick(F.col(rate), n, f"m_{n}", f"s_{n}", step, tie, True).alias(f"t_{n}") for n in names]
-    )
-    pairs = F.array(*[F.struct(F.lit(e).alias("exp"), F.col(f"t_{n}").alias("tasa_of_1")) for e, n in zip(exps, names)])
-    return wide.select(key, F.inline(pairs)).where(F.col("tasa_of_1").isNotNull())
+    return SweepPlan(picks, joined, exps)
+
+
+def pick_rates(
+    grid: DataFrame,
+    target: str,
+    exps: Sequence[float],
+    tie: str = "min",
+    key: str = COLS.key,
+    step: str = COLS.step,
+    rate: str = COLS.rate,
+    prob: str = COLS.prob,
+) -> DataFrame:
+    """Chosen rate per key for many exponents at once: ``(llave, exp, tasa_of_1)``
+    (null picks dropped); see :func:`sweep_plan`."""
+    plan = sweep_plan(grid, target, exps, tie, key=key, step=step, rate=rate, prob=prob)
+    return unpivot_picks(plan.picks, plan.exps, key)
+
+
+def unpivot_picks(picks: DataFrame, exps: Sequence[float], key: str = COLS.key) -> DataFrame:
+    """Wide picks (``t_{i}``) to rows ``(key, exp, tasa_of_1)``, null picks dropped."""
+    pairs = F.array(*[F.struct(F.lit(float(e)).alias("exp"), F.col(f"t_{i}").alias("tasa_of_1"))
+                      for i, e in enumerate(exps)])
+    return picks.select(key, F.inline(pairs)).where(F.col("tasa_of_1").isNotNull())
 
 
 def chosen_rows(
@@ -260,14 +340,21 @@ def rate_groups(
     prob: str = COLS.prob,
     client: str = COLS.client,
     step: str = COLS.step,
+    distinct_on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per (key, rate): ``copies`` and the partial sums a portfolio summary
-    needs.  Pre-aggregates the grid before it meets the picks."""
+    needs.  Pre-aggregates the grid before it meets the picks; on input
+    already partitioned by the key (the sweep's join) it adds no exchange.
+
+    ``copies`` counts the distinct ``distinct_on`` tuples (default
+    ``(client, step)``) at the rate: the number of times the original job's
+    distinct-then-join recovery repeats each row."""
     from rategrid.functions.columns import nan_to_zero
 
+    on = list(distinct_on) if distinct_on is not None else [client, step]
     r, a = F.col(rate), F.col(amount)
     aggs = [
-        F.count_distinct(F.struct(F.col(client), F.col(step))).alias("copies"),
+        F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"),
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(prob).alias("s_prob"),
         F.count(prob).alias("n_prob"),

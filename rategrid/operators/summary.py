@@ -95,14 +95,10 @@ def compare(scenario: DataFrame, baseline: DataFrame, indicators: Sequence[str])
     """Attach the one-row ``baseline`` to every scenario row and add absolute
     (``dif_*``) and relative (``pct_*``, null on a zero baseline) differences.
 
-    The baseline values enter as scalar subqueries (one merged aggregation), so
-    no join is planned.
+    ``baseline`` is a global aggregate, so exactly one row: it is broadcast to
+    the scenario rows (a one-row nested-loop join, no shuffle).
     """
-    base_cols = baseline.columns
-    attached = scenario.select(
-        *[baseline.select(c).scalar().alias(c) for c in base_cols],
-        *[F.col(c) for c in scenario.columns],
-    )
+    attached = F.broadcast(baseline).crossJoin(scenario)
     metrics = _metric_names(indicators)
     dif = {f"dif_{s}": F.col(e) - F.col(b) for b, e, s in metrics}
     pct = {f"pct_{s}": ratio(F.col(e) - F.col(b), F.col(b)) for b, e, s in metrics}
@@ -138,18 +134,19 @@ def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str
     Returns ``bin`` (1..bins), ``lo``, ``hi`` and ``n`` for non-empty bins; the
     maximum falls in the last bin (closed on the right).  When min equals max
     every value is in bin 1.  Null values are ignored.  The range is a
-    two-value global aggregate attached as scalar subqueries.
+    one-row global aggregate broadcast to the rows; the counts are a partial
+    aggregation with at most ``bins`` groups.
     """
-    rng = rows.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
-    mn, mx = rng.select("mn").scalar(), rng.select("mx").scalar()
-    x = F.col(col)
+    rng = rows.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    x, mn, mx = F.col(col), F.col("_mn"), F.col("_mx")
     width = mx - mn
     raw = F.floor(F.lit(float(bins)) * (x - mn) / width).cast("long") + F.lit(1)
     b = F.when(width == F.lit(0.0), F.lit(1).cast("long")).otherwise(F.least(raw, F.lit(bins).cast("long")))
     counted = (
         rows.where(x.isNotNull())
-        .select(b.alias("bin"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
-        .groupBy("bin")
+        .crossJoin(F.broadcast(rng))
+        .select(b.alias("bin"), (F.col(weight) if weight else F.lit(1)).alias("_w"), "_mn", "_mx")
+        .groupBy("bin", "_mn", "_mx")
         .agg(F.sum("_w").cast("long").alias("n"))
     )
     step = (mx - mn) / F.lit(float(bins))

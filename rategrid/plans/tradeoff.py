@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import ratio
-from rategrid.operators.selection import best_rate, chosen_rows, pick_rates, rate_groups
+from rategrid.operators.selection import best_rate, chosen_rows, rate_groups, sweep_plan, unpivot_picks
 from rategrid.operators.summary import compare, portfolio
 from rategrid.rules import SWEEP_EXPONENTS
 from rategrid.schema import COLS
@@ -31,21 +31,22 @@ def sweep_summaries(
 ) -> DataFrame:
     """Per exponent, the summary of the chosen portfolio (``exp`` + ``_e`` columns).
 
-    One scored grid for all exponents (``pick_rates``), one pre-aggregation of
-    the grid by (key, rate) (``rate_groups``) and one join between the two
-    aggregated tables; the final ``groupBy(exp)`` has at most ``len(exps)``
-    groups.  Each recovered row counts ``copies`` times.
+    One narrow join of the grid with its key statistics (see
+    :func:`rategrid.operators.selection.sweep_plan`) feeds both the picks
+    (a ``groupBy`` on the key) and the per-(key, rate) partial sums (a
+    ``groupBy`` on key and rate); both inherit the join's key partitioning.
+    The picks, unpivoted to (key, exp, rate), meet the groups in a join that
+    is co-partitioned on the key, and the final ``groupBy(exp)`` has at most
+    ``len(exps)`` groups.  Each recovered row counts ``copies`` times.
     """
     exps = tuple(float(e) for e in exps)
-    picks = pick_rates(grid, target, exps, tie, key=key)
-    groups = rate_groups(grid, indicators, key=key)
-    if distinct_on is not None:
-        # copies over a different column set: recount on the grid
-        groups = groups.drop("copies").join(
-            grid.groupBy(key, COLS.rate).agg(F.count_distinct(F.struct(*distinct_on)).alias("copies")),
-            on=[key, COLS.rate],
-        )
-    hit = picks.join(groups, (picks[key] == groups[key]) & (picks["tasa_of_1"] == groups[COLS.rate]), "inner")
+    keep = [COLS.client, COLS.amount, COLS.expected_amount] + [f"{i}_estimado" for i in indicators]
+    keep += [c for c in (distinct_on or ()) if c not in keep]
+    plan = sweep_plan(grid, target, exps, tie, keep=keep, key=key)
+    picks = unpivot_picks(plan.picks, plan.exps, key)
+    groups = rate_groups(plan.joined, indicators, key=key, distinct_on=distinct_on).withColumnRenamed(
+        COLS.rate, "tasa_of_1")
+    hit = picks.join(groups, on=[key, "tasa_of_1"], how="inner")
     w = F.col("copies")
 
     def wsum(c: str):
@@ -58,11 +59,11 @@ def sweep_summaries(
         wsum("s_mto_estimado").alias("mto_estimado_e"),
         *[wsum(f"s_{i}_estimado").alias(f"{i}_estimado_e") for i in indicators],
     )
-    spark = grid.sparkSession
-    exps_df = spark.createDataFrame([(e,) for e in exps], "exp double")
+    exps_df = grid.sparkSession.createDataFrame([(e,) for e in exps], "exp double")
     cols = ["prob_e", "tasa_cli_e", "tasa_pnd_e", "mto_estimado_e"] + [f"{i}_estimado_e" for i in indicators]
-    # every exponent keeps a row, with null summaries when nothing was chosen
-    return exps_df.join(per_exp, on="exp", how="left").select(*cols, "exp")
+    # every exponent keeps a row, with null summaries when nothing was chosen;
+    # both sides hold at most len(exps) rows
+    return exps_df.join(F.broadcast(per_exp), on="exp", how="left").select(*cols, "exp")
 
 
 def tradeoff(
