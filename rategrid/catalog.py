@@ -29,7 +29,7 @@ from rategrid.operators.limits import (
     scenario,
     score_filter,
 )
-from rategrid.operators.prep import conform, key_sample, nearest_rate, preview, top_offer
+from rategrid.operators.prep import conform, key_sample, nearest_rate, offer_lot, preview, top_offer
 from rategrid.operators.selection import (
     OBJ,
     best_rate,
@@ -41,7 +41,16 @@ from rategrid.operators.selection import (
     objective_pandas_fill,
     score,
 )
-from rategrid.operators.summary import bucket_report, compare, histogram, portfolio, profile, rate_change
+from rategrid.operators.summary import (
+    bucket_report,
+    compare,
+    histogram,
+    lead_summary_pandas,
+    portfolio,
+    profile,
+    rate_change,
+)
+from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single
 from rategrid.plans.tradeoff import final_selection, scenario_summary, tradeoff
 from rategrid.rules import Band
 from rategrid.sources.tables import (
@@ -69,6 +78,9 @@ MULTI_TARGET = "roa_saldo"
 EXP_SINGLE = 2.5
 EXP_MULTI = 2.0
 SAMPLE_KEYS = 1000
+LOT_SALE_TYPE = 1      # offers of sale type 1 (urgent priority)
+LOT_OFFER_TYPE = 1     # and offer type 1 (finished orders)
+PANDAS_EXP = 0.5
 PREVIEW_ROWS = 100
 NATURAL_EXP = 2.5
 
@@ -413,6 +425,43 @@ def q_nearest_rate(spark, sf):
                              F.col("dif_abs").cast("double").alias("dif_abs")))
 
 
+def q_top_offer_lot(spark, sf):
+    offers = offer_lot(offers_table(spark, sf), sale_type=LOT_SALE_TYPE, offer_type=LOT_OFFER_TYPE)
+    return _longs(top_offer(offers, tiebreak="codoferta"))
+
+
+def q_indicator_max(spark, sf):
+    """Global maximum of the expected indicator, per month of the grid."""
+    g = grid_single(spark, sf)
+    return _longs(g.groupBy("codmes").agg(F.max("van_estimado").alias("max_van_estimado")))
+
+
+def q_lead_summary_pandas(spark, sf):
+    """Portfolio of one step of the grid with missing values, null and NaN
+    indicators counted as 0 (the pandas rule)."""
+    rows = scenario(expected(gappy_grid(spark, sf), SINGLE), 6)
+    return _longs(_portfolio_rounding(lead_summary_pandas(rows, SINGLE), SINGLE, ""))
+
+
+def q_pipeline_single(spark, sf):
+    """End-to-end single-indicator pipeline (capped grid staged); its trade-off table."""
+    r = run_single(dense_grid(spark, sf), product_table(spark, sf), bands=TEST_BANDS, stage_grid=True)
+    return _tradeoff_rounding(r.tradeoff, SINGLE)
+
+
+def q_pipeline_multi(spark, sf):
+    """End-to-end multi-indicator pipeline (floored grid staged); its trade-off table."""
+    r = run_multi(dense_grid(spark, sf), floor_table(spark, sf), stage_grid=True)
+    return _tradeoff_rounding(r.tradeoff, MULTI)
+
+
+def q_pipeline_pandas_rules(spark, sf):
+    """Two-valued rules on the grid with missing values: per-key max and sum of
+    the score whose probability term alone is filled."""
+    r = run_pandas_rules(gappy_grid(spark, sf), product_table(spark, sf), exp=PANDAS_EXP, bands=TEST_BANDS)
+    return _round(r.key_stats, SCORE_DIGITS, ["m_obj_funct_p_1", "s_obj_funct_p_1"])
+
+
 def q_key_sample(spark, sf):
     return _longs(key_sample(grid_single(spark, sf), SAMPLE_KEYS).select("llave", "iter", "tasa_propuesta"))
 
@@ -465,6 +514,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_change_histogram": q_rate_change_histogram,
     "top_offer": q_top_offer,
     "nearest_rate": q_nearest_rate,
+    "top_offer_lot": q_top_offer_lot,
+    "indicator_max": q_indicator_max,
+    "lead_summary_pandas": q_lead_summary_pandas,
+    "pipeline_single": q_pipeline_single,
+    "pipeline_multi": q_pipeline_multi,
+    "pipeline_pandas_rules": q_pipeline_pandas_rules,
     "key_sample": q_key_sample,
     "preview": q_preview,
 }

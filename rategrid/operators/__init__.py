@@ -16,6 +16,7 @@ from rategrid.operators.prep import (  # noqa: F401
     key_sample,
     nearest_rate,
     normalise_names,
+    offer_lot,
     preview,
     sort_scenarios,
     top_offer,

@@ -65,6 +65,21 @@ def top_offer(
     return offers.groupBy(key).agg(best.alias("_best")).select(key, *[F.col(f"_best.{c}").alias(c) for c in cols])
 
 
+def offer_lot(
+    offers: DataFrame,
+    lot: int | None = None,
+    sale_type: int | None = None,
+    offer_type: int | None = None,
+) -> DataFrame:
+    """Offers of one lot, sale type and offer type (each filter optional);
+    plain predicates, pushed into the Parquet scan."""
+    cond = F.lit(True)
+    for col, v in (("codloteoferta", lot), ("tipventa", sale_type), ("tipoferta", offer_type)):
+        if v is not None:
+            cond = cond & (F.col(col) == F.lit(v))
+    return offers.where(cond)
+
+
 def _is_numeric(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, T.NumericType)
 

@@ -16,7 +16,10 @@ from rategrid.catalog import (
     MULTI,
     MULTI_TARGET,
     NATURAL_DIGITS,
+    LOT_OFFER_TYPE,
+    LOT_SALE_TYPE,
     NATURAL_EXP,
+    PANDAS_EXP,
     PREVIEW_ROWS,
     RATIO_DIGITS,
     SAMPLE_KEYS,
@@ -523,13 +526,46 @@ FROM ge GROUP BY iter, van IS NULL"""
         "FROM e GROUP BY 1")
     s["rate_change"] = rate_change_sql()
     s["rate_change_histogram"] = histogram_sql()
-    s["top_offer"] = f"""
-WITH o AS (
+    offers = f"""
+offers AS (
   SELECT o_custkey AS codclavecic, o_orderkey AS codoferta,
          {D(0.10)} + (o_orderkey % 40) / {D(100)} AS pcttasaofertada, o_totalprice AS mtofinalofertadosol,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS ord
-  FROM orders)
-SELECT codclavecic, codoferta, pcttasaofertada, mtofinalofertadosol FROM o WHERE ord = 1"""
+         CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS codloteoferta,
+         CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS tipventa,
+         CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 WHEN 'P' THEN 3 END AS INTEGER) AS tipoferta
+  FROM orders)"""
+    top = """
+SELECT codclavecic, codoferta, pcttasaofertada, mtofinalofertadosol, CAST(codloteoferta AS BIGINT) AS codloteoferta,
+       CAST(tipventa AS BIGINT) AS tipventa, CAST(tipoferta AS BIGINT) AS tipoferta
+FROM (SELECT *, row_number() OVER (PARTITION BY codclavecic ORDER BY mtofinalofertadosol DESC NULLS LAST, codoferta)
+             AS ord FROM {src}) t
+WHERE ord = 1"""
+    s["top_offer"] = w(offers) + top.format(src="offers")
+    s["top_offer_lot"] = w(offers) + top.format(
+        src=f"(SELECT * FROM offers WHERE tipventa = {LOT_SALE_TYPE} AND tipoferta = {LOT_OFFER_TYPE})")
+    s["indicator_max"] = w(DENSE, G_SINGLE) + (
+        "\nSELECT CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes, "
+        "max(g.van_estimado) AS max_van_estimado "
+        "FROM g_single g JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR) GROUP BY 1")
+    s["lead_summary_pandas"] = w(DENSE, GAPPY) + f""",
+ge AS (SELECT *, van * prob_adj_ef AS van_estimado, mtofinalofertadosol * prob_adj_ef AS mto_estimado
+       FROM gappy WHERE iter = 6)
+SELECT CAST(count(*) AS BIGINT) AS clientes, {rnd('sum(mtofinalofertadosol)', AMOUNT_DIGITS)} AS oferta,
+       {rnd('avg(prob_adj_ef)', RATIO_DIGITS)} AS prob, {rnd('avg(tasa_propuesta)', RATIO_DIGITS)} AS tasa_cli,
+       {rnd(div('sum(tasa_propuesta * mtofinalofertadosol)', 'sum(mtofinalofertadosol)'), RATIO_DIGITS)} AS tasa_pnd,
+       {rnd('sum(mto_estimado)', AMOUNT_DIGITS)} AS mto_estimado,
+       {rnd(f"coalesce(sum({fill('van_estimado')}), 0)", AMOUNT_DIGITS)} AS van_estimado
+FROM ge"""
+    s["pipeline_single"] = s["tradeoff_single"]
+    s["pipeline_multi"] = s["tradeoff_multi"]
+    pw = f"pow(prob_adj_ef, {D(PANDAS_EXP)})"
+    s["pipeline_pandas_rules"] = w(DENSE, GAPPY, PRODUCT) + f""",
+pc AS (
+  SELECT g.llave, g.iter, g.van * coalesce(CASE WHEN isnan({pw}) THEN NULL ELSE {pw} END, {D(0)}) AS obj
+  FROM (SELECT * FROM gappy WHERE {CAPS}) g LEFT JOIN product p ON g.llave = p.llave)
+SELECT llave, {rnd('max(obj)', SCORE_DIGITS)} AS m_obj_funct_p_1,
+       {rnd('sum(obj ORDER BY iter)', SCORE_DIGITS)} AS s_obj_funct_p_1
+FROM pc GROUP BY llave"""
     s["nearest_rate"] = w(*SINGLE_CAPPED) + f""",
 wd AS (SELECT c.llave, CAST(c.iter AS BIGINT) AS iter, c.tasa_propuesta, p.tasa_objetivo,
               {dec('abs(c.tasa_propuesta - p.tasa_objetivo)')} AS dif_abs

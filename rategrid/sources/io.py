@@ -53,19 +53,33 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared lineage-cut folder named by ``spark.checkpoint.dir``."""
+    """The shared lineage-cut folder named by ``spark.checkpoint.dir``.
+
+    When the setting is missing, a local session (tests, single machine) gets
+    a fresh folder under /tmp; a cluster session must name a shared folder,
+    because a machine-local one does not survive the loss of that machine."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
-    return d
+    if d:
+        return d
+    if spark.sparkContext.master.startswith("local"):
+        import tempfile
+
+        d = tempfile.mkdtemp(prefix="rategrid-ckpt-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", d)
+        spark.sparkContext.setCheckpointDir(d)
+        return d
+    raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
 
 
 def stage(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    and read it back.
 
-    The stage survives executor loss (it lives in shared storage), unlike a
-    local checkpoint."""
+    Every call writes a new folder (the name gets a unique suffix), so a
+    stage is never overwritten while an earlier plan still reads it.  The
+    stage lives in shared storage and survives executor loss, unlike a local
+    checkpoint; later scans of it prune columns and push filters."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name or uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name or 'df'}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -141,11 +141,17 @@ def floor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as offers of their customer (amount = total price)."""
+    """Orders as offers of their customer: amount = total price, lot = order
+    month (yyyymm), sale type = priority digit (1..5), offer type = order
+    status (F=1, O=2, P=3)."""
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_custkey").alias("codclavecic"),
         F.col("o_orderkey").alias("codoferta"),
         (F.lit(0.10) + (F.col("o_orderkey") % 40) / F.lit(100)).alias("pcttasaofertada"),
         F.col("o_totalprice").alias("mtofinalofertadosol"),
+        (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int").alias("codloteoferta"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("tipventa"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
+        .when(F.col("o_orderstatus") == "P", 3).cast("int").alias("tipoferta"),
     )
