@@ -5,9 +5,11 @@
 ``run_pandas_rules``: the single-indicator flow with two-valued band logic
 and pandas-style filling.
 
-Nothing runs until an output is written or collected; ``write_outputs``
-stores them as Parquet (the capped grid is staged first when ``stage_grid``
-is set, so the sweep and the final selection read it once from storage).
+The capped grid and the final chosen rows are staged by default (written to
+the shared checkpoint folder and read back): the sweep, the final selection
+and the reports then scan stored Parquet instead of recomputing the limits,
+and a lost executor only repeats work after the last stage.  Everything else
+stays lazy until an output is written (``write_outputs``) or collected.
 """
 
 from __future__ import annotations
@@ -72,7 +74,8 @@ def run_single(
     final_exp: float = 2.5,
     caps: Sequence[tuple[int, int]] = DEFAULT_CAPS,
     bands: Sequence[Band] = DEFAULT_BANDS,
-    stage_grid: bool = False,
+    stage_grid: bool = True,
+    stage_final: bool = True,
 ) -> SingleResult:
     inds = [indicator]
     g = expected(grid, inds)
@@ -81,6 +84,8 @@ def run_single(
         capped = stage(capped, "capped")
     baseline = portfolio(lead_rows(g), inds)
     final = final_selection(capped, indicator, final_exp, inds, tie="sum")
+    if stage_final:
+        final = stage(final, "final")
     change = rate_change(final, g)
     return SingleResult(
         grid=g,
@@ -103,7 +108,7 @@ def run_multi(
     exps: Sequence[float] = SWEEP_EXPONENTS,
     final_exp: float = 2.0,
     min_score: int = MIN_RISK_SCORE,
-    stage_grid: bool = False,
+    stage_grid: bool = True,
 ) -> MultiResult:
     inds = list(indicators)
     g = expected(score_filter(grid, min_score), inds)
