@@ -57,6 +57,7 @@ from rategrid.sources.tables import (
     dense_grid,
     floor_table,
     gappy_grid,
+    hot_key_grid,
     natural_grid,
     offers_table,
     product_table,
@@ -81,11 +82,14 @@ SAMPLE_KEYS = 1000
 LOT_SALE_TYPE = 1      # offers of sale type 1 (urgent priority)
 LOT_OFFER_TYPE = 1     # and offer type 1 (finished orders)
 PANDAS_EXP = 0.5
+HOT_KEY_ROWS = 1000    # hot-key floor for the skewed fixture (default: one million rows)
+HOT_KEY_TASK_ROWS = 2000  # rows per salt for the skewed fixture (default: two million)
 PREVIEW_ROWS = 100
 NATURAL_EXP = 2.5
 
 AMOUNT_DIGITS = 0
 RATIO_DIGITS = 9
+PCT_DIGITS = 6         # relative differences can reach hundreds; six decimals keep ~9 significant digits
 SCORE_DIGITS = 4
 # Sums over repeated rows of the line-item grid, one digit past the exact
 # decimals of each value (price 2, discount 2, expected amount 4, expected
@@ -149,9 +153,10 @@ def _tradeoff_rounding(df: DataFrame, indicators: Iterable[str]) -> DataFrame:
     df = _portfolio_rounding(df, inds, "")
     df = _portfolio_rounding(df, inds, "_e")
     amounts = ["dif_mto_est"] + [f"dif_{i}_est" for i in inds]
-    ratios = ["dif_prob", "dif_t_cli", "dif_t_pnd", "pct_prob", "pct_t_cli", "pct_t_pnd", "pct_mto_est"]
-    ratios += [f"pct_{i}_est" for i in inds]
-    return _longs(_round(_round(df, AMOUNT_DIGITS, amounts), RATIO_DIGITS, ratios))
+    ratios = ["dif_prob", "dif_t_cli", "dif_t_pnd"]
+    pcts = ["pct_prob", "pct_t_cli", "pct_t_pnd", "pct_mto_est"] + [f"pct_{i}_est" for i in inds]
+    df = _round(_round(df, AMOUNT_DIGITS, amounts), RATIO_DIGITS, ratios)
+    return _longs(_round(df, PCT_DIGITS, pcts))
 
 
 # ---------------------------------------------------------------------------
@@ -313,6 +318,29 @@ def q_sr_rate_sum(spark, sf):
     return _best(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "sum").select(*_SR)
 
 
+def grid_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    return expected(hot_key_grid(spark, sf), SINGLE)
+
+
+def q_best_rate_hot_key(spark, sf):
+    """Selection where one key holds a third of all rows (salted join path:
+    the hot-key floor is lowered so the test tables exercise it)."""
+    out = best_rate(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min", hot_rows=HOT_KEY_ROWS,
+                    rows_per_task=HOT_KEY_TASK_ROWS)
+    for c in out.columns:
+        d = next((v for k, v in NATURAL_DIGITS.items() if c.startswith(k)), None)
+        if d is not None:
+            out = out.withColumn(c, F.round(F.col(c), d))
+    return _longs(out)
+
+
+def q_tradeoff_hot_key(spark, sf):
+    g = grid_hot_key(spark, sf)
+    base = portfolio(lead_rows(g), SINGLE)
+    return _tradeoff_rounding(tradeoff(g, base, "van", SINGLE, hot_rows=HOT_KEY_ROWS,
+                                         rows_per_task=HOT_KEY_TASK_ROWS), SINGLE)
+
+
 def q_lead_pivots(spark, sf):
     return _longs(lead_pivots(capped_single(spark, sf), SINGLE))
 
@@ -508,6 +536,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tradeoff_single": q_tradeoff_single,
     "tradeoff_multi": q_tradeoff_multi,
     "tradeoff_natural": q_tradeoff_natural,
+    "best_rate_hot_key": q_best_rate_hot_key,
+    "tradeoff_hot_key": q_tradeoff_hot_key,
     "bucket_report_base": q_bucket_report_base,
     "bucket_report_final": q_bucket_report_final,
     "rate_change": q_rate_change,

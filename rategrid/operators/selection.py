@@ -30,6 +30,72 @@ from rategrid.schema import COLS
 
 OBJ = "obj_funct_p_1"
 
+# A key is "hot" when it holds more than this share of all rows (so fewer
+# than 1/HOT_SHARE keys can be hot, which bounds the broadcast hot-key list)
+# and more than HOT_ROWS rows; its rows are spread over one salt per
+# ROWS_PER_TASK rows.
+HOT_SHARE = 0.001
+HOT_ROWS = 1_000_000
+ROWS_PER_TASK = 2_000_000
+
+
+def hot_keys(
+    stats: DataFrame,
+    key: str = COLS.key,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Keys of ``stats`` (one row per key with its row count ``_n``) holding
+    over ``HOT_SHARE`` of all rows and over ``hot_rows`` rows, with their
+    number of salts ``ceil(rows / rows_per_task)``.  Fewer than
+    ``1/HOT_SHARE`` keys can qualify."""
+    total = stats.agg(F.sum("_n").alias("_tot"))
+    return (
+        stats.select(key, "_n").crossJoin(F.broadcast(total))
+        .where(F.col(key).isNotNull() & (F.col("_n") > F.col("_tot") * F.lit(HOT_SHARE))
+               & (F.col("_n") > F.lit(hot_rows)))
+        .select(key, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts"))
+    )
+
+
+def attach_key_stats(
+    narrow: DataFrame,
+    stats: DataFrame,
+    key: str = COLS.key,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``narrow`` left-joined with its per-key ``stats`` (which carry the row
+    count ``_n``), with hot keys salted.
+
+    The statistics (one row per key) are staged in the shared checkpoint
+    folder: the join reads them back instead of recomputing them, and the
+    hot-key list (see :func:`hot_keys`) is read from the stage by a small job.
+    The list has fewer than ``1/HOT_SHARE`` entries by construction, so it
+    enters the plan as a literal map.  Without hot keys the join is the plain
+    left join on the key.  Otherwise the rows of a hot key get a salt in
+    ``[0, salts)`` from a hash of the row and the key's statistics row is
+    repeated once per salt, so the join on (key, salt) spreads a key that
+    holds a third of all rows over many tasks; other keys keep salt 0.  Null
+    keys match nothing, as in an equi-join.
+    """
+    from rategrid.sources.io import stage
+
+    stats = stage(stats, "key-stats")
+    # bounded: each listed key holds over HOT_SHARE of the rows
+    salts = {r[key]: r["_salts"] for r in hot_keys(stats, key, hot_rows, rows_per_task).collect()}
+    stats = stats.drop("_n")
+    if not salts:
+        return narrow.join(stats, on=key, how="left")
+    lookup = F.create_map(*[x for k, v in salts.items() for x in (F.lit(k), F.lit(v))])
+    n_salts = F.coalesce(F.element_at(lookup, F.col(key)), F.lit(1))
+    rows = narrow.withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in narrow.columns]), n_salts.cast("long")).cast("int"))
+    salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - F.lit(1))))
+    return rows.join(salted_stats, on=[key, "_salt"], how="left").drop("_salt")
+
+
+
 
 @dataclass(frozen=True)
 class Scores:
@@ -133,6 +199,8 @@ def best_rate(
     rate: str = COLS.rate,
     amount: str = COLS.amount,
     prob: str = COLS.prob,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per key: lead values, the pick on the expected target (``_sr``) and the
     pick on the score (``_of_1``) for one exponent.
@@ -142,39 +210,55 @@ def best_rate(
     iter_lead, iter_sr, iter_of_1, tasa_lead, tasa_sr, tasa_of_1, mto_lead,
     mto_sr, mto_of_1`` and ``{ind}_lead, {ind}_sr, {ind}_of_1`` per indicator.
     """
-    scored, _ = score(grid, target, [exp], indicators, key, step, rate, amount, prob)
-    stats = key_stats(scored, indicators, (OBJ,), key)
-    wide = scored.join(stats, on=key, how="left")
-    sr = (f"{target}_estimado", f"m_{target}_estimado", f"s_{target}_estimado")
-    of = (OBJ, f"m_{OBJ}", f"s_{OBJ}")
-    lead = F.col(step) == F.lit(0)
+    if tie not in ("min", "sum"):
+        raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
+    est = [f"{i}_estimado" for i in indicators]
+    cols = list(dict.fromkeys([key, step, rate, amount, prob, target, COLS.expected_amount, *est]))
+    narrow = grid.select(*cols)
+    # filled copies (``fillna(0)``) computed inline, as SQL text (one JVM call per expression)
+    f = {c: _filled_sql(narrow, c) for c in cols if c != key}
+    st = f[step]
+    obj = f"coalesce(nanvl(`{target}` * pow(`{prob}`, CAST({float(exp)!r} AS DOUBLE)), 0D), 0D)"
+    t_est = f[f"{target}_estimado"]
+    stats = narrow.groupBy(key).agg(
+        F.expr(f"max({t_est}) AS _m_sr"), F.expr(f"sum({t_est}) AS _s_sr"),
+        F.expr(f"max({obj}) AS _m_of"), F.expr(f"sum({obj}) AS _s_of"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    joined = attach_key_stats(narrow, stats, key, hot_rows, rows_per_task)
+    rules = {"sr": (t_est, "_m_sr", "_s_sr"), "of": (obj, "_m_of", "_s_of")}
 
-    def lead_sum(c: str) -> Column:
-        return F.sum(F.when(lead, F.col(c)))
+    def lead(c: str, name: str) -> Column:
+        return F.expr(f"sum(CASE WHEN {st} = 0 THEN {f[c]} END) AS {name}")
 
-    def pick(c: str, rule: tuple[str, str, str], decimal: bool = True) -> Column:
-        return _pick(F.col(c), *rule, step, tie, decimal)
+    def pick(c: str, rule: str, name: str, decimal: bool = True) -> Column:
+        score, best, total = rules[rule]
+        if decimal:
+            cand = _pick_sql(f[c], score, best, total, st)
+        else:
+            cand = f"CASE WHEN {total} = 0D AND {st} = 0 THEN {f[c]} WHEN {score} = {best} THEN {f[c]} END"
+        return F.expr(f"{tie}({cand}) AS {name}")
 
     aggs = [
-        lead_sum(amount).alias("oferta"),
-        lead_sum(prob).alias("prob_lead"),
-        lead_sum(step).alias("iter_lead"),
-        pick(step, sr, decimal=False).alias("iter_sr"),
-        pick(step, of, decimal=False).alias("iter_of_1"),
-        lead_sum(rate).alias("tasa_lead"),
-        pick(rate, sr).alias("tasa_sr"),
-        pick(rate, of).alias("tasa_of_1"),
-        lead_sum(COLS.expected_amount).alias("mto_lead"),
-        pick(COLS.expected_amount, sr).alias("mto_sr"),
-        pick(COLS.expected_amount, of).alias("mto_of_1"),
+        lead(amount, "oferta"),
+        lead(prob, "prob_lead"),
+        lead(step, "iter_lead"),
+        pick(step, "sr", "iter_sr", decimal=False),
+        pick(step, "of", "iter_of_1", decimal=False),
+        lead(rate, "tasa_lead"),
+        pick(rate, "sr", "tasa_sr"),
+        pick(rate, "of", "tasa_of_1"),
+        lead(COLS.expected_amount, "mto_lead"),
+        pick(COLS.expected_amount, "sr", "mto_sr"),
+        pick(COLS.expected_amount, "of", "mto_of_1"),
     ]
     for i in indicators:
         aggs += [
-            lead_sum(f"{i}_estimado").alias(f"{i}_lead"),
-            pick(f"{i}_estimado", sr).alias(f"{i}_sr"),
-            pick(f"{i}_estimado", of).alias(f"{i}_of_1"),
+            lead(f"{i}_estimado", f"{i}_lead"),
+            pick(f"{i}_estimado", "sr", f"{i}_sr"),
+            pick(f"{i}_estimado", "of", f"{i}_of_1"),
         ]
-    return wide.groupBy(key).agg(*aggs)
+    return joined.groupBy(key).agg(*aggs)
 
 
 def lead_pivots(
@@ -251,16 +335,18 @@ def sweep_plan(
     step: str = COLS.step,
     rate: str = COLS.rate,
     prob: str = COLS.prob,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> SweepPlan:
     """Chosen rate per key for many exponents from one narrow join.
 
     The grid is reduced to the columns the selection and ``keep`` read (raw
     values; filled copies are computed inline).  Key statistics (max and sum
     of every exponent's score) are a partial aggregation; the narrow rows are
-    shuffled once to meet them (adaptive execution splits a hot key on this
-    side), and the scores are recomputed after the join instead of being
-    shuffled, so the exchange carries a handful of columns whatever the number
-    of exponents.
+    shuffled once to meet them (a hot key is salted over many tasks, see
+    :func:`attach_key_stats`), and the scores are recomputed after the join
+    instead of being shuffled, so the exchange carries a handful of columns
+    whatever the number of exponents.
     """
     exps = tuple(float(e) for e in exps)
     if tie not in ("min", "sum"):
@@ -275,8 +361,9 @@ def sweep_plan(
     stats = narrow.groupBy(key).agg(
         *[F.expr(f"max({o}) AS _m{i}") for i, o in enumerate(objs)],
         *[F.expr(f"sum({o}) AS _s{i}") for i, o in enumerate(objs)],
+        F.count(F.lit(1)).alias("_n"),
     )
-    joined = narrow.join(stats, on=key, how="left")
+    joined = attach_key_stats(narrow, stats, key, hot_rows, rows_per_task)
     picks = joined.groupBy(key).agg(
         *[F.expr(f"{tie}({_pick_sql(rt, o, f'_m{i}', f'_s{i}', st)}) AS t_{i}") for i, o in enumerate(objs)]
     )

@@ -19,6 +19,7 @@ from rategrid.catalog import (
     LOT_OFFER_TYPE,
     LOT_SALE_TYPE,
     NATURAL_EXP,
+    PCT_DIGITS,
     PANDAS_EXP,
     PREVIEW_ROWS,
     RATIO_DIGITS,
@@ -158,6 +159,36 @@ natural_grid AS (
 ),
 capped AS (SELECT *, {expected_cols(SINGLE)} FROM natural_grid)"""
 
+HOT = NATURAL.replace("CAST(l_orderkey AS VARCHAR) AS llave",
+                      "CASE WHEN l_returnflag = 'R' THEN 'R' ELSE CAST(l_orderkey AS VARCHAR) END AS llave")
+
+
+def weighted_tradeoff_sql(base_ctes, inds, target, baseline_where: str, baseline_src: str,
+                          exps=SWEEP_EXPONENTS) -> str:
+    """Trade-off with the recovery's repetition as a weight (``copies`` =
+    distinct (client, step) tuples at the chosen rate) instead of the
+    repeated rows: for fixtures where one key holds a large share of rows."""
+    sums = ", ".join(f"sum({nan0(f'{i}_estimado')}) AS s_{i}" for i in inds)
+    per = ", ".join(f"sum(s_{i} * copies) AS {i}_estimado_e" for i in inds)
+    return w(*base_ctes, exps_cte(exps), picks_ctes("capped", inds, target, "ex.exp", "min", True, False)) + f""",
+grp AS (
+  SELECT llave, tasa_propuesta, count(DISTINCT (codclavecic, iter)) AS copies,
+         sum(prob_adj_ef) AS s_prob, count(prob_adj_ef) AS n_prob, sum(tasa_propuesta) AS s_rate,
+         count(tasa_propuesta) AS n_rate, sum(tasa_propuesta * mtofinalofertadosol) AS s_ra,
+         sum(mtofinalofertadosol) AS s_a, sum(mto_estimado) AS s_mto, {sums}
+  FROM capped WHERE llave IS NOT NULL AND tasa_propuesta IS NOT NULL GROUP BY llave, tasa_propuesta),
+hit AS (SELECT pk.exp, grp.* FROM pk JOIN grp ON pk.llave = grp.llave AND pk.tasa_of_1 = grp.tasa_propuesta),
+es AS (
+  SELECT exp, {div('sum(s_prob * copies)', 'sum(n_prob * copies)')} AS prob_e,
+         {div('sum(s_rate * copies)', 'sum(n_rate * copies)')} AS tasa_cli_e,
+         {div('sum(s_ra * copies)', 'sum(s_a * copies)')} AS tasa_pnd_e,
+         sum(s_mto * copies) AS mto_estimado_e, {per}
+  FROM hit GROUP BY exp),
+b AS (SELECT {portfolio_raw(inds)} FROM {baseline_src} WHERE {baseline_where}),
+e2 AS (SELECT ex.exp, es.* EXCLUDE (exp) FROM ex LEFT JOIN es ON ex.exp = es.exp)
+SELECT {tradeoff_select(inds)} FROM b CROSS JOIN e2 e"""
+
+
 GAPPY = f"""
 gappy AS (
   SELECT g.llave, g.iter, g.seg_wtp_cef, g.codclavecic, g.mtofinalofertadosol,
@@ -230,7 +261,7 @@ def tradeoff_select(inds) -> str:
     for base, sc, short, d in metrics:
         parts.append(f"{rnd(f'e.{sc} - b.{base}', d)} AS dif_{short}")
     for base, sc, short, _ in metrics:
-        parts.append(f"{rnd(div(f'e.{sc} - b.{base}', f'b.{base}'), RATIO_DIGITS)} AS pct_{short}")
+        parts.append(f"{rnd(div(f'e.{sc} - b.{base}', f'b.{base}'), PCT_DIGITS)} AS pct_{short}")
     return ", ".join(parts)
 
 
@@ -518,6 +549,9 @@ FROM ge GROUP BY iter, van IS NULL"""
     s["tradeoff_multi"] = tradeoff_sql(MULTI_CAPPED, MULTI, MULTI_TARGET,
                                        f"iter = 0 AND tasa_propuesta <= {D(LEAD_RATE_CEILING)}", "capped")
     s["tradeoff_natural"] = tradeoff_sql((NATURAL,), SINGLE, "van", "iter = 0", "capped")
+    s["best_rate_hot_key"] = best_rate_sql((HOT,), SINGLE, "van", NATURAL_EXP, "min",
+                                           best_cols(SINGLE, NATURAL_DIGITS))
+    s["tradeoff_hot_key"] = weighted_tradeoff_sql((HOT,), SINGLE, "van", "iter = 0", "capped")
     s["bucket_report_base"] = w(DENSE, G_SINGLE) + (
         f"\nSELECT {bucket_expr('mtofinalofertadosol')} AS rng_mto_v2, {bucket_select(SINGLE, '')} "
         f"FROM g_single WHERE iter = 0 AND tasa_propuesta <= {D(LEAD_RATE_CEILING)} GROUP BY 1")

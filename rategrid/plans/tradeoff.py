@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import ratio
-from rategrid.operators.selection import best_rate, chosen_rows, rate_groups, sweep_plan, unpivot_picks
+from rategrid.operators.selection import (
+    HOT_ROWS,
+    ROWS_PER_TASK,
+    best_rate,
+    chosen_rows,
+    rate_groups,
+    sweep_plan,
+    unpivot_picks,
+)
 from rategrid.operators.summary import compare, portfolio
 from rategrid.rules import SWEEP_EXPONENTS
 from rategrid.schema import COLS
@@ -28,6 +36,8 @@ def sweep_summaries(
     tie: str = "min",
     key: str = COLS.key,
     distinct_on: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per exponent, the summary of the chosen portfolio (``exp`` + ``_e`` columns).
 
@@ -42,7 +52,8 @@ def sweep_summaries(
     exps = tuple(float(e) for e in exps)
     keep = [COLS.client, COLS.amount, COLS.expected_amount] + [f"{i}_estimado" for i in indicators]
     keep += [c for c in (distinct_on or ()) if c not in keep]
-    plan = sweep_plan(grid, target, exps, tie, keep=keep, key=key)
+    plan = sweep_plan(grid, target, exps, tie, keep=keep, key=key, hot_rows=hot_rows,
+                      rows_per_task=rows_per_task)
     picks = unpivot_picks(plan.picks, plan.exps, key)
     groups = rate_groups(plan.joined, indicators, key=key, distinct_on=distinct_on).withColumnRenamed(
         COLS.rate, "tasa_of_1")
@@ -73,11 +84,14 @@ def tradeoff(
     indicators: Sequence[str],
     exps: Sequence[float] = SWEEP_EXPONENTS,
     tie: str = "min",
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Trade-off table: the lead ``baseline`` beside the chosen portfolio of
     each exponent, with absolute and relative differences (one row per
     exponent)."""
-    return compare(sweep_summaries(grid, target, indicators, exps, tie), baseline, indicators)
+    summ = sweep_summaries(grid, target, indicators, exps, tie, hot_rows=hot_rows, rows_per_task=rows_per_task)
+    return compare(summ, baseline, indicators)
 
 
 def final_selection(

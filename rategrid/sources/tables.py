@@ -113,6 +113,22 @@ def natural_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_key_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line-item grid with every returned item (flag 'R', a third of all
+    rows) under one offer key 'R': a single key holding a third of the data."""
+    flag = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(1, 7))
+    return flag.select(
+        F.lit(1).alias("seg_wtp_cef"),
+        F.col("l_orderkey").alias("codclavecic"),
+        F.when(F.col("l_returnflag") == "R", F.lit("R")).otherwise(F.col("l_orderkey").cast("string")).alias("llave"),
+        F.col("l_extendedprice").alias("mtofinalofertadosol"),
+        (F.col("l_linenumber") - F.lit(4)).cast("int").alias("iter"),
+        F.col("l_discount").alias("tasa_propuesta"),
+        (F.lit(0.9) - F.lit(5.0) * F.col("l_discount")).alias("prob_adj_ef"),
+        (F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.02))).alias("van"),
+    )
+
+
 def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product attributes per order: subsegment = customer market segment.
     Orders of priority '5-LOW' have no product row."""
