@@ -364,8 +364,14 @@ def sweep_plan(
         F.count(F.lit(1)).alias("_n"),
     )
     joined = attach_key_stats(narrow, stats, key, hot_rows, rows_per_task)
-    picks = joined.groupBy(key).agg(
-        *[F.expr(f"{tie}({_pick_sql(rt, o, f'_m{i}', f'_s{i}', st)}) AS t_{i}") for i, o in enumerate(objs)]
+    # each score once per row (a projection under the aggregate), then the picks
+    scored = joined.select(
+        key, F.expr(st).alias("_st"), F.expr(rt).alias("_rt"),
+        *[F.col(f"_m{i}") for i in range(len(exps))], *[F.col(f"_s{i}") for i in range(len(exps))],
+        *[F.expr(o).alias(f"_o{i}") for i, o in enumerate(objs)],
+    )
+    picks = scored.groupBy(key).agg(
+        *[F.expr(f"{tie}({_pick_sql('_rt', f'_o{i}', f'_m{i}', f'_s{i}', '_st')}) AS t_{i}") for i in range(len(exps))]
     )
     return SweepPlan(picks, joined, exps)
 
