@@ -53,6 +53,7 @@ from rategrid.operators.summary import (
 from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single
 from rategrid.plans.tradeoff import final_selection, scenario_summary, tradeoff
 from rategrid.rules import Band
+from rategrid.sources.io import stage
 from rategrid.sources.tables import (
     dense_grid,
     floor_table,
@@ -435,7 +436,10 @@ def q_rate_change(spark, sf):
 
 
 def q_rate_change_histogram(spark, sf):
-    change = rate_change(_final_single(spark, sf), grid_single(spark, sf))
+    """The histogram reads the chosen rows twice (range, then bins), so the
+    rows are staged first, as the single-indicator pipeline does; they are
+    one row per chosen scenario, a small table."""
+    change = rate_change(stage(_final_single(spark, sf), "final"), grid_single(spark, sf))
     return _longs(histogram(change, "dif_tasa", weight="copies"))
 
 

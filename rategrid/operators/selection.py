@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rategrid.functions.columns import dec_equal, fill_zero
+from rategrid.functions.columns import fill_zero
 from rategrid.schema import COLS
 
 OBJ = "obj_funct_p_1"
@@ -173,21 +173,6 @@ def key_stats(
     return scored.groupBy(key).agg(*aggs)
 
 
-def _pick(value: Column, score_col: str | Column, best: str | Column, total: str | Column, step: str | Column,
-          tie: str, decimal: bool) -> Column:
-    def c(x):
-        return F.col(x) if isinstance(x, str) else x
-
-    lead_rule = (c(total) == F.lit(0)) & (c(step) == F.lit(0))
-    is_best = dec_equal(c(score_col), c(best)) if decimal else (c(score_col) == c(best))
-    cand = F.when(lead_rule, value).otherwise(F.when(is_best, value))
-    if tie == "min":
-        return F.min(cand)
-    if tie == "sum":
-        return F.sum(cand)
-    raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
-
-
 def best_rate(
     grid: DataFrame,
     target: str,

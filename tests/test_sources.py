@@ -41,3 +41,26 @@ def test_dynamic_partition_overwrite(spark, tmp_path):
     write_stage(b, path, ["codmes", "campana"])
     got = sorted(tuple(r) for r in spark.read.parquet(path).select("codmes", "v").collect())
     assert got == [(202401, 1), (202402, 3)]
+
+
+def test_export_csv_and_pipeline_outputs(spark, tmp_path):
+    from rategrid.catalog import TEST_BANDS
+    from rategrid.plans.pipelines import run_single, write_outputs
+    from rategrid.sources.io import export_csv
+    from rategrid.sources.tables import dense_grid, product_table
+
+    sf = "/root/testdata/sf0.001"
+    r = run_single(dense_grid(spark, sf), product_table(spark, sf), bands=TEST_BANDS, exps=[0.5, 2.5])
+    assert r.tradeoff.count() == 2
+    # the final rows are staged once and feed three reports
+    n_final = r.final.count()
+    assert r.rate_change.count() == n_final
+    assert r.bucket_final.agg(F.sum("clientes")).first()[0] == r.final.agg(F.sum("copies")).first()[0]
+    assert r.histogram.agg(F.sum("n")).first()[0] == r.final.agg(F.sum("copies")).first()[0]
+    out = str(tmp_path / "out")
+    write_outputs(r, out, partition_by=["codmes"])
+    back = spark.read.parquet(f"{out}/final")
+    assert back.count() == n_final and "codmes" in back.columns
+    csv = str(tmp_path / "tradeoff_csv")
+    export_csv(r.tradeoff, csv)
+    assert spark.read.option("header", True).csv(csv).count() == 2

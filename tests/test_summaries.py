@@ -85,3 +85,11 @@ def test_nearest_rate_keeps_all_ties(spark):
     t = spark.createDataFrame([("a", 0.15)], "llave string, tasa_objetivo double")
     got = sorted(r.tasa_propuesta for r in nearest_rate(g, t).collect())
     assert got == [0.10, 0.20]
+
+
+def test_dec_equal_near_ties(spark):
+    from rategrid.functions.columns import dec_equal
+
+    df = spark.createDataFrame([(5.00000000000001, 5.00000000000001), (5.0, 5.00000000000001), (5.0001, 5.0002)],
+                               "v double, m double")
+    assert [r.e for r in df.select(dec_equal("v", "m").alias("e")).collect()] == [True, True, False]
