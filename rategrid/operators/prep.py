@@ -95,13 +95,17 @@ def nearest_rate(
 
     Distance ``dif_abs = abs(rate - target)`` is compared as
     ``decimal(32,10)``; all rows at the minimum distance are returned.  The
-    minimum is a partial aggregation joined back on (key, distance).
+    minimum is a partial aggregation per key, attached to the rows by the
+    salted key join of the selection (a key holding a third of the rows is
+    spread over many tasks), then rows at the minimum are kept.
     """
+    from rategrid.operators.selection import attach_key_stats
+
     with_dist = grid.join(targets.select(key, target), on=key, how="inner").withColumn(
         "dif_abs", dec(F.abs(F.col(rate) - F.col(target)))
     )
-    best = with_dist.groupBy(key).agg(F.min("dif_abs").alias("dif_abs"))
-    return with_dist.join(best, on=[key, "dif_abs"], how="inner")
+    best = with_dist.groupBy(key).agg(F.min("dif_abs").alias("_best"), F.count(F.lit(1)).alias("_n"))
+    return attach_key_stats(with_dist, best, key).where(F.col("dif_abs") == F.col("_best")).drop("_best")
 
 
 def key_sample(grid: DataFrame, n: int, key: str = COLS.key) -> DataFrame:
