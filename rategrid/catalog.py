@@ -342,6 +342,14 @@ def q_tradeoff_hot_key(spark, sf):
                                          rows_per_task=HOT_KEY_TASK_ROWS), SINGLE)
 
 
+def q_chosen_rows_hot_key(spark, sf):
+    """Recovery of the chosen rows where one key holds a third of all rows."""
+    rows = final_selection(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min", hot_rows=HOT_KEY_ROWS,
+                           rows_per_task=HOT_KEY_TASK_ROWS)
+    return _longs(rows.select("llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol",
+                              "van_estimado", "copies"))
+
+
 def q_lead_pivots(spark, sf):
     return _longs(lead_pivots(capped_single(spark, sf), SINGLE))
 
@@ -542,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tradeoff_natural": q_tradeoff_natural,
     "best_rate_hot_key": q_best_rate_hot_key,
     "tradeoff_hot_key": q_tradeoff_hot_key,
+    "chosen_rows_hot_key": q_chosen_rows_hot_key,
     "bucket_report_base": q_bucket_report_base,
     "bucket_report_final": q_bucket_report_final,
     "rate_change": q_rate_change,

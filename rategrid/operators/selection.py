@@ -393,20 +393,32 @@ def chosen_rows(
     step: str = COLS.step,
     pick_col: str = "tasa_of_1",
     distinct_on: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Grid rows at the chosen rate of their key, each once, plus ``copies``.
 
     ``copies`` is the number of distinct ``distinct_on`` tuples (default
-    ``(client, step)``) among the key's rows at that rate: the multiplicity with which the original job's
-    distinct-then-join recovery repeats each row.  Weighted summaries use it to
-    reproduce that job's totals without materialising the repeated rows.
-    Comparison is raw double equality; null rates never match.
+    ``(client, step)``) among the key's rows at that rate: the multiplicity with
+    which the original job's distinct-then-join recovery repeats each row.
+    Weighted summaries use it to reproduce that job's totals without
+    materialising the repeated rows.  Comparison is raw double equality; null
+    rates never match.
+
+    Both steps are key joins through :func:`attach_key_stats` (a hot key is
+    salted over many tasks): the pick is attached to every row of its key and
+    rows at other rates are dropped; since each key then keeps a single rate,
+    ``copies`` is a per-key partial aggregation attached the same way.
     """
-    chosen = picks.select(key, F.col(pick_col).alias(rate)).where(F.col(rate).isNotNull())
-    matched = grid.join(chosen, on=[key, rate], how="inner")
     on = list(distinct_on) if distinct_on is not None else [client, step]
-    copies = matched.groupBy(key, rate).agg(F.count_distinct(F.struct(*on)).alias("copies"))
-    return matched.join(copies, on=[key, rate], how="inner")
+    counts = grid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    chosen = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull()).join(
+        counts, on=key, how="inner")
+    matched = attach_key_stats(grid, chosen, key, hot_rows, rows_per_task).where(
+        F.col(rate) == F.col("_pick")).drop("_pick")
+    copies = matched.groupBy(key).agg(
+        F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"), F.count(F.lit(1)).alias("_n"))
+    return attach_key_stats(matched, copies, key, hot_rows, rows_per_task)
 
 
 def rate_groups(

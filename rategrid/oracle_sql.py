@@ -551,6 +551,7 @@ FROM ge GROUP BY iter, van IS NULL"""
     s["tradeoff_natural"] = tradeoff_sql((NATURAL,), SINGLE, "van", "iter = 0", "capped")
     s["best_rate_hot_key"] = best_rate_sql((HOT,), SINGLE, "van", NATURAL_EXP, "min",
                                            best_cols(SINGLE, NATURAL_DIGITS))
+    s["chosen_rows_hot_key"] = chosen_unique_sql((HOT,), SINGLE, "van", NATURAL_EXP, "min", "codclavecic, iter")
     s["tradeoff_hot_key"] = weighted_tradeoff_sql((HOT,), SINGLE, "van", "iter = 0", "capped")
     s["bucket_report_base"] = w(DENSE, G_SINGLE) + (
         f"\nSELECT {bucket_expr('mtofinalofertadosol')} AS rng_mto_v2, {bucket_select(SINGLE, '')} "

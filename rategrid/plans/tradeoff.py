@@ -101,10 +101,12 @@ def final_selection(
     indicators: Sequence[str],
     tie: str = "sum",
     distinct_on: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Grid rows at the rate chosen for one exponent (plus ``copies``).
 
     With ``tie="sum"`` several best rates of a key are added, and the key
     keeps only rows at that sum (often none)."""
-    picks = best_rate(grid, target, exp, indicators, tie)
-    return chosen_rows(grid, picks, distinct_on=distinct_on)
+    picks = best_rate(grid, target, exp, indicators, tie, hot_rows=hot_rows, rows_per_task=rows_per_task)
+    return chosen_rows(grid, picks, distinct_on=distinct_on, hot_rows=hot_rows, rows_per_task=rows_per_task)
