@@ -17,6 +17,18 @@ SQL_CONF = {
 }
 
 
+# Suggested settings for a large cluster (applied by the deployment, not by
+# the library): wide initial shuffles that adaptive execution coalesces to
+# ~256 MB partitions, input splits of the same size, and a shared
+# checkpoint folder for the stages (spark.checkpoint.dir, set per cluster).
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply :data:`SQL_CONF` to an existing session and make sure a
     checkpoint folder is set (only when none is configured)."""
