@@ -74,3 +74,36 @@ def test_nan_and_null_scores_are_zero(spark):
     got = {r.llave: r.tasa_of_1 for r in best_rate(g, "van", 2.0, ["van"]).collect()}
     # NaN score becomes 0 and beats the negative ones
     assert got == {"a": 0.2, "b": 0.3}
+
+
+def test_missing_values_edges(spark):
+    """Null key, null rate, missing lead row with all-zero scores, all-null indicator."""
+    rows = [
+        (None, 0, 0.30, 5.0),          # null key: never picked
+        ("nullrate", -1, None, 9.0),   # best score at a null rate: the pick is 0 (filled), no row recovered
+        ("nullrate", 0, 0.30, 1.0),
+        ("nolead", -1, 0.20, 0.0),     # no lead row and all-zero scores: every row is a candidate
+        ("nolead", 1, 0.40, 0.0),
+        ("nullind", 0, 0.30, None),    # indicator null everywhere: scores 0, the lead rule applies
+        ("nullind", 1, 0.40, None),
+    ]
+    g = spark.createDataFrame(rows, "llave string, iter int, tasa_propuesta double, van double").withColumns({
+        "prob_adj_ef": F.lit(1.0), "codclavecic": F.lit(1).cast("long"), "mtofinalofertadosol": F.lit(100.0)})
+    g = g.withColumns({"van_estimado": F.col("van") * F.col("prob_adj_ef"),
+                       "mto_estimado": F.col("mtofinalofertadosol") * F.col("prob_adj_ef")})
+    picks = {r.llave: r for r in best_rate(g, "van", 2.0, ["van"], tie="min").collect()}
+    assert picks[None].tasa_of_1 is None
+    assert picks["nullrate"].tasa_of_1 == 0.0 and picks["nullrate"].iter_of_1 == -1
+    assert picks["nolead"].tasa_of_1 == 0.20 and picks["nolead"].oferta is None
+    assert picks["nullind"].tasa_of_1 == 0.30 and picks["nullind"].van_lead == 0.0
+    chosen = {r.llave for r in final_selection(g, "van", 2.0, ["van"], tie="min").collect()}
+    assert chosen == {"nolead", "nullind"}
+
+
+def test_zero_amount_portfolio(spark):
+    from rategrid.operators.summary import portfolio
+
+    g = spark.createDataFrame([(0.2, 0.0, 0.5, 0.0, 1.0)], "tasa_propuesta double, mtofinalofertadosol double, "
+                              "prob_adj_ef double, mto_estimado double, van_estimado double")
+    r = portfolio(g, ["van"]).first()
+    assert r.tasa_pnd is None and r.oferta == 0.0 and r.tasa_cli == 0.2
