@@ -41,21 +41,20 @@ def sweep_summaries(
 ) -> DataFrame:
     """Per exponent, the summary of the chosen portfolio (``exp`` + ``_e`` columns).
 
-    One narrow join of the grid with its key statistics (see
-    :func:`rategrid.operators.selection.sweep_plan`) feeds both the picks
-    (a ``groupBy`` on the key) and the per-(key, rate) partial sums (a
-    ``groupBy`` on key and rate); both inherit the join's key partitioning.
-    The picks, unpivoted to (key, exp, rate), meet the groups in a join that
-    is co-partitioned on the key, and the final ``groupBy(exp)`` has at most
-    ``len(exps)`` groups.  Each recovered row counts ``copies`` times.
+    One narrow join of the grid with its key statistics (salted for hot keys,
+    see :func:`rategrid.operators.selection.sweep_plan`) feeds the picks (a
+    ``groupBy`` on the key); the per-(key, rate) partial sums are a partial
+    aggregation of the grid itself.  The picks, unpivoted to (key, exp, rate),
+    meet the groups (both aggregated tables), and the final ``groupBy(exp)``
+    has at most ``len(exps)`` groups.  Each recovered row counts ``copies``
+    times.
     """
     exps = tuple(float(e) for e in exps)
-    keep = [COLS.client, COLS.amount, COLS.expected_amount] + [f"{i}_estimado" for i in indicators]
-    keep += [c for c in (distinct_on or ()) if c not in keep]
-    plan = sweep_plan(grid, target, exps, tie, keep=keep, key=key, hot_rows=hot_rows,
-                      rows_per_task=rows_per_task)
+    plan = sweep_plan(grid, target, exps, tie, key=key, hot_rows=hot_rows, rows_per_task=rows_per_task)
     picks = unpivot_picks(plan.picks, plan.exps, key)
-    groups = rate_groups(plan.joined, indicators, key=key, distinct_on=distinct_on).withColumnRenamed(
+    # the groups need no key statistics: aggregate the grid directly (a
+    # partial aggregation on (key, rate), so a hot key collapses map-side)
+    groups = rate_groups(grid, indicators, key=key, distinct_on=distinct_on).withColumnRenamed(
         COLS.rate, "tasa_of_1")
     hit = picks.join(groups, on=[key, "tasa_of_1"], how="inner")
     w = F.col("copies")
