@@ -22,9 +22,11 @@ from rategrid.operators.prep import (  # noqa: F401
     top_offer,
 )
 from rategrid.operators.selection import (  # noqa: F401
+    attach_key_stats,
     best_rate,
     chosen_rows,
     fill_numeric,
+    hot_keys,
     key_stats,
     lead_pivots,
     objective,
@@ -32,6 +34,8 @@ from rategrid.operators.selection import (  # noqa: F401
     pick_rates,
     rate_groups,
     score,
+    sweep_plan,
+    unpivot_picks,
 )
 from rategrid.operators.summary import (  # noqa: F401
     bucket_report,
