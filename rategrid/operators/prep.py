@@ -108,14 +108,21 @@ def nearest_rate(
     return attach_key_stats(with_dist, best, key).where(F.col("dif_abs") == F.col("_best")).drop("_best")
 
 
+# Largest key list sent to every task as a broadcast; longer samples are
+# joined by a shuffle instead.
+BROADCAST_KEYS_MAX = 1_000_000
+
+
 def key_sample(grid: DataFrame, n: int, key: str = COLS.key) -> DataFrame:
     """All rows of the first ``n`` keys in key order (keys keep all their steps).
 
-    The key list is a top-``n`` (bounded by ``n``) and is broadcast for a
-    semi-join, so the grid is not shuffled.
-    """
+    The key list is a top-``n`` (each task keeps its first ``n`` keys, so the
+    list is bounded by ``n``).  Up to ``BROADCAST_KEYS_MAX`` keys it is
+    broadcast for the semi-join, so the grid is not shuffled; a longer list is
+    joined by a shuffle."""
     keys = grid.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
-    return grid.join(F.broadcast(keys), on=key, how="left_semi")
+    side = F.broadcast(keys) if n <= BROADCAST_KEYS_MAX else keys
+    return grid.join(side, on=key, how="left_semi")
 
 
 def preview(grid: DataFrame, n: int, order: Sequence[str] = (COLS.key, COLS.step)) -> DataFrame:
