@@ -58,6 +58,32 @@ def hot_keys(
     )
 
 
+def key_salts(
+    stats: DataFrame,
+    key: str = COLS.key,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> dict:
+    """Hot keys of ``stats`` and their number of salts, collected by a small
+    job; fewer than ``1/HOT_SHARE`` entries by construction."""
+    return {r[key]: r["_salts"] for r in hot_keys(stats, key, hot_rows, rows_per_task).collect()}
+
+
+def salted_join(narrow: DataFrame, stats: DataFrame, salts: dict, key: str = COLS.key) -> DataFrame:
+    """``narrow`` left-joined with per-key ``stats``, the keys in ``salts``
+    spread over that many salts (a hash of the row picks the salt; the key's
+    statistics row is repeated once per salt).  Without hot keys this is the
+    plain left join on the key."""
+    if not salts:
+        return narrow.join(stats, on=key, how="left")
+    lookup = F.create_map(*[x for k, v in salts.items() for x in (F.lit(k), F.lit(v))])
+    n_salts = F.coalesce(F.element_at(lookup, F.col(key)), F.lit(1))
+    rows = narrow.withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in narrow.columns]), n_salts.cast("long")).cast("int"))
+    salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - F.lit(1))))
+    return rows.join(salted_stats, on=[key, "_salt"], how="left").drop("_salt")
+
+
 def attach_key_stats(
     narrow: DataFrame,
     stats: DataFrame,
@@ -72,27 +98,29 @@ def attach_key_stats(
     folder: the join reads them back instead of recomputing them, and the
     hot-key list (see :func:`hot_keys`) is read from the stage by a small job.
     The list has fewer than ``1/HOT_SHARE`` entries by construction, so it
-    enters the plan as a literal map.  Without hot keys the join is the plain
-    left join on the key.  Otherwise the rows of a hot key get a salt in
-    ``[0, salts)`` from a hash of the row and the key's statistics row is
+    enters the plan as a literal map (see :func:`salted_join`): the rows of a
+    hot key get a salt in ``[0, salts)`` and the key's statistics row is
     repeated once per salt, so the join on (key, salt) spreads a key that
     holds a third of all rows over many tasks; other keys keep salt 0.  Null
     keys match nothing, as in an equi-join.
     """
+    joined, _ = attach_key_stats_with_salts(narrow, stats, key, hot_rows, rows_per_task)
+    return joined
+
+
+def attach_key_stats_with_salts(
+    narrow: DataFrame,
+    stats: DataFrame,
+    key: str = COLS.key,
+    hot_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> tuple[DataFrame, dict]:
+    """:func:`attach_key_stats`, also returning the salts it used."""
     from rategrid.sources.io import stage
 
     stats = stage(stats, "key-stats")
-    # bounded: each listed key holds over HOT_SHARE of the rows
-    salts = {r[key]: r["_salts"] for r in hot_keys(stats, key, hot_rows, rows_per_task).collect()}
-    stats = stats.drop("_n")
-    if not salts:
-        return narrow.join(stats, on=key, how="left")
-    lookup = F.create_map(*[x for k, v in salts.items() for x in (F.lit(k), F.lit(v))])
-    n_salts = F.coalesce(F.element_at(lookup, F.col(key)), F.lit(1))
-    rows = narrow.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in narrow.columns]), n_salts.cast("long")).cast("int"))
-    salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - F.lit(1))))
-    return rows.join(salted_stats, on=[key, "_salt"], how="left").drop("_salt")
+    salts = key_salts(stats, key, hot_rows, rows_per_task)
+    return salted_join(narrow, stats.drop("_n"), salts, key), salts
 
 
 
@@ -405,20 +433,22 @@ def chosen_rows(
     materialising the repeated rows.  Comparison is raw double equality; null
     rates never match.
 
-    Both steps are key joins through :func:`attach_key_stats` (a hot key is
-    salted over many tasks): the pick is attached to every row of its key and
-    rows at other rates are dropped; since each key then keeps a single rate,
-    ``copies`` is a per-key partial aggregation attached the same way.
+    Both steps are salted key joins (a hot key is spread over many tasks): the
+    pick is attached to every row of its key through :func:`attach_key_stats`
+    and rows at other rates are dropped; since each key then keeps a single
+    rate, ``copies`` is a per-key partial aggregation attached with the same
+    salts (:func:`salted_join`), in the same job as the rows.
     """
     on = list(distinct_on) if distinct_on is not None else [client, step]
     counts = grid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     chosen = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull()).join(
         counts, on=key, how="inner")
-    matched = attach_key_stats(grid, chosen, key, hot_rows, rows_per_task).where(
-        F.col(rate) == F.col("_pick")).drop("_pick")
-    copies = matched.groupBy(key).agg(
-        F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"), F.count(F.lit(1)).alias("_n"))
-    return attach_key_stats(matched, copies, key, hot_rows, rows_per_task)
+    attached, salts = attach_key_stats_with_salts(grid, chosen, key, hot_rows, rows_per_task)
+    matched = attached.where(F.col(rate) == F.col("_pick")).drop("_pick")
+    copies = matched.groupBy(key).agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"))
+    # a key's matched rows are a subset of its rows, so the grid's hot keys and
+    # salts bound them: the same salts spread the second join
+    return salted_join(matched, copies, salts, key)
 
 
 def rate_groups(
