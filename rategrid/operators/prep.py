@@ -48,9 +48,11 @@ def top_offer(
     smallest ``tiebreak``.  ``nulls_first`` ranks null ``order`` values above
     all others (as a descending sort with nulls first does).
 
-    Planned as a single ``max_by`` aggregation, which combines map-side, so a
-    client with a huge number of offers never lands whole in one task (unlike
-    a row-number window).
+    Planned as a single ``max_by`` aggregation.  Its struct buffers make it
+    sort-based (a local sort per task), but it still combines map-side: each
+    task sends one row per client, so a client with a huge number of offers
+    never lands whole in one task (unlike a row-number window, which buffers
+    the client's partition).
     """
     o = F.col(order)
     rank = [o.isNull() if nulls_first else o.isNotNull(), o]
