@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import simhash
+from rategrid.llm import langid, mixing, pii, simhash
 from rategrid.sources.io import stage
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the language models reject go."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (3-word shingles, 2 bits)."""
     return simhash.keep_one(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and with as many words, as the source mix takes them."""
+    return mixing.apply_mix(docs)
+
+
 STAGES = [
+    ("known_language", known_language),
     ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
 ]
 
 # The language model, the fingerprints (XXH64) and the segmentation have no

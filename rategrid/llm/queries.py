@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import simhash
+from rategrid.llm import langid, mixing, pii, simhash
 from rategrid.llm.common import table
 
 
@@ -13,8 +13,29 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from models learnt on its training folds."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix of all sources takes of every document."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_langid": op6_langid,
+    "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": mixing.TAKEN_SQL,
+}
