@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import langid, mixing, pii, simhash
+from rategrid.llm import langid, mixing, pieces, pii, simhash
 from rategrid.sources.io import stage
 
 
@@ -28,11 +28,17 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece counts, N-best scores and the id digest of every mixed document."""
+    return pieces.segment(docs)
+
+
 STAGES = [
     ("known_language", known_language),
     ("near_dedup", near_dedup),
     ("personal_data", personal_data),
     ("source_mix", source_mix),
+    ("segmentation", segmentation),
 ]
 
 # The language model, the fingerprints (XXH64) and the segmentation have no

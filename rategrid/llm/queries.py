@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import langid, mixing, pii, simhash
+from rategrid.llm import langid, mixing, pieces, pii, simhash, tokencount
 from rategrid.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document (byte-level BPE)."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from models learnt on its training folds."""
     docs = table(spark, sf_dir, "documents")
@@ -29,11 +34,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-best segmentation of every document and its decoding."""
+    return pieces.segment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_tokens": op3_tokens,
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
+    "op10_pieces": op10_pieces,
 }
 
 SQL: dict[str, str] = {
