@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import langid, mixing, pieces, pii, simhash, tokencount
+from rategrid.llm import cleaning, langid, mixing, pieces, pii, simhash, tokencount, warc
 from rategrid.llm.common import table
 
 
@@ -18,6 +18,16 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and the line-first verdict of every document."""
+    return cleaning.measures(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back in chunks."""
+    return warc.roundtrip(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from models learnt on its training folds."""
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +52,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_tokens": op3_tokens,
+    "op4_cleaning": op4_cleaning,
+    "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
