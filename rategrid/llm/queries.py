@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import cleaning, langid, mixing, pieces, pii, simhash, tokencount, warc
+from rategrid.llm import cleaning, langid, mixing, pieces, pii, resample, simhash, tokencount, topk, warc
 from rategrid.llm.common import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, 2 bits)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,12 +49,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and Gumbel top-k verdict of every document."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N-best segmentation of every document and its decoding."""
     return pieces.segment(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op3_tokens": op3_tokens,
     "op4_cleaning": op4_cleaning,
@@ -57,9 +68,11 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
+    "op9_resample": op9_resample,
     "op10_pieces": op10_pieces,
 }
 
 SQL: dict[str, str] = {
+    "op1_topk": topk.SQL,
     "op7_mixing": mixing.TAKEN_SQL,
 }
