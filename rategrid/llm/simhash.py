@@ -43,6 +43,7 @@ SHINGLE = 3
 _CHUNK = 1 << 15                 # shingle hashes counted at a time
 _BUFFER = 1 << 19                # replicated rows compared at a time
 _SMALL_CELL = 48                 # cells up to this size are compared by shifts
+_FLIP_CELL = 30_000              # cells above this size look flipped words up
 _PAIRS = 1 << 22                 # distances computed at a time in larger cells
 
 
@@ -180,7 +181,7 @@ def _cell(fp: np.ndarray, home: np.ndarray, t: int) -> tuple[np.ndarray, np.ndar
         nonlocal a, b
         a, b = _stars(np.concatenate((a, x)), np.concatenate((b, y)))
 
-    if len(fp) > 30_000:
+    if len(fp) > _FLIP_CELL:
         ordered = np.sort(fp)
         for f in _flips(t):
             want = own ^ f
