@@ -5,14 +5,13 @@ A scenario grid holds, per offer key (``llave``), one row per rate step
 acceptance probability and value indicators.  The library scores the grid,
 removes scenarios outside business limits, picks the best rate per key, and
 compares the chosen portfolio with the lead portfolio over a range of
-exponents.  Every public function maps DataFrames to DataFrames; the only
-thing collected to the driver is the hot-key list that plans the salted key
-join, which has fewer than 1,000 entries by construction.
+exponents.  Every public function maps DataFrames to DataFrames and collects
+nothing to the driver.  Functions that stage intermediate tables run jobs while
+they build their result; their docstrings say "Eager".
 """
 
 from rategrid.rules import (  # noqa: F401
     AMOUNT_BUCKETS,
-    DEFAULT_BANDS,
     DEFAULT_CAPS,
     SWEEP_EXPONENTS,
     Band,
@@ -21,7 +20,6 @@ from rategrid.schema import GridColumns  # noqa: F401
 
 __all__ = [
     "AMOUNT_BUCKETS",
-    "DEFAULT_BANDS",
     "DEFAULT_CAPS",
     "SWEEP_EXPONENTS",
     "Band",

@@ -11,6 +11,7 @@ the last bits between engines).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from rategrid.functions.columns import fill_zero, nansum, nansum_or_zero, weighted_mean
 from rategrid.operators.limits import (
+    bands_need_flag,
     cap_iterations,
     enrich,
     expected,
@@ -29,7 +31,16 @@ from rategrid.operators.limits import (
     scenario,
     score_filter,
 )
-from rategrid.operators.prep import conform, key_sample, nearest_rate, offer_lot, preview, top_offer
+from rategrid.operators.prep import (
+    conform,
+    key_sample,
+    nearest_rate,
+    normalise_names,
+    offer_lot,
+    preview,
+    sort_scenarios,
+    top_offer,
+)
 from rategrid.operators.selection import (
     OBJ,
     best_rate,
@@ -49,15 +60,18 @@ from rategrid.operators.summary import (
     portfolio,
     profile,
     rate_change,
+    rate_change_groups,
 )
-from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single
+from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single, write_outputs
 from rategrid.plans.tradeoff import final_selection, scenario_summary, tradeoff
 from rategrid.rules import Band
-from rategrid.sources.io import stage
+from rategrid.schema import FLOOR_SCHEMA
+from rategrid.sources.io import checkpoint_dir, export_csv, read_csv_table, stage, write_stage
 from rategrid.sources.tables import (
     dense_grid,
     floor_table,
     gappy_grid,
+    gappy_lead_grid,
     hot_key_grid,
     natural_grid,
     offers_table,
@@ -83,7 +97,6 @@ SAMPLE_KEYS = 1000
 LOT_SALE_TYPE = 1      # offers of sale type 1 (urgent priority)
 LOT_OFFER_TYPE = 1     # and offer type 1 (finished orders)
 PANDAS_EXP = 0.5
-HOT_KEY_ROWS = 1000    # hot-key floor for the skewed fixture (default: one million rows)
 HOT_KEY_TASK_ROWS = 2000  # rows per salt for the skewed fixture (default: two million)
 PREVIEW_ROWS = 100
 NATURAL_EXP = 2.5
@@ -92,6 +105,7 @@ AMOUNT_DIGITS = 0
 RATIO_DIGITS = 9
 PCT_DIGITS = 6         # relative differences can reach hundreds; six decimals keep ~9 significant digits
 SCORE_DIGITS = 4
+VAN_SUM_DIGITS = 8     # the exact decimals of an expected value: no sum lies on a rounding tie
 # Sums over repeated rows of the line-item grid, one digit past the exact
 # decimals of each value (price 2, discount 2, expected amount 4, expected
 # value 6), so the rounding never meets a tie and absorbs summation order.
@@ -110,7 +124,8 @@ def grid_single(spark: SparkSession, sf: str) -> DataFrame:
 def capped_single(spark: SparkSession, sf: str, unmatched: str = "drop") -> DataFrame:
     """Caps, subsegment enrichment and rate bands (the single-indicator limits)."""
     g = cap_iterations(grid_single(spark, sf))
-    return rate_band(enrich(g, product_table(spark, sf)), TEST_BANDS, unmatched=unmatched)
+    how = "inner" if unmatched == "drop" and bands_need_flag(TEST_BANDS) else "left"
+    return rate_band(enrich(g, product_table(spark, sf), how=how), TEST_BANDS, unmatched=unmatched)
 
 
 def grid_multi(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,8 +222,6 @@ def q_conform_types(spark, sf):
             "tasa_propuesta", "prob_adj_ef", "van"]
     untyped = g.select(*[F.col(c).cast("string").alias(c.upper()) for c in cols])
     schema = T.StructType([T.StructField(c, g.schema[c].dataType) for c in cols])
-    from rategrid.operators.prep import normalise_names
-
     return _longs(conform(normalise_names(untyped), schema))
 
 
@@ -265,9 +278,11 @@ def q_objective_fill_variants(spark, sf):
 
 
 def _key_stats(grid: DataFrame, target: str, exp: float, inds) -> DataFrame:
-    scored, _ = score(grid, target, [exp], inds)
+    scored, s = score(grid, target, [exp], inds)
+    scored = scored.withColumnRenamed(s.names[0], OBJ)
     out = key_stats(scored, inds)
-    return _round(out, SCORE_DIGITS, [c for c in out.columns if OBJ in c])
+    out = _round(out, VAN_SUM_DIGITS, [c for c in out.columns if c == "s_van_estimado"])
+    return _round(out, SCORE_DIGITS, [c for c in out.columns if OBJ in c or c[:2] == "s_" and c != "s_van_estimado"])
 
 
 def q_key_stats(spark, sf):
@@ -324,9 +339,9 @@ def grid_hot_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_best_rate_hot_key(spark, sf):
-    """Selection where one key holds a third of all rows (salted join path:
-    the hot-key floor is lowered so the test tables exercise it)."""
-    out = best_rate(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min", hot_rows=HOT_KEY_ROWS,
+    """Selection where one key holds a third of all rows (the rows per task are
+    lowered so that the test tables need several salts)."""
+    out = best_rate(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min",
                     rows_per_task=HOT_KEY_TASK_ROWS)
     for c in out.columns:
         d = next((v for k, v in NATURAL_DIGITS.items() if c.startswith(k)), None)
@@ -338,13 +353,12 @@ def q_best_rate_hot_key(spark, sf):
 def q_tradeoff_hot_key(spark, sf):
     g = grid_hot_key(spark, sf)
     base = portfolio(lead_rows(g), SINGLE)
-    return _tradeoff_rounding(tradeoff(g, base, "van", SINGLE, hot_rows=HOT_KEY_ROWS,
-                                         rows_per_task=HOT_KEY_TASK_ROWS), SINGLE)
+    return _tradeoff_rounding(tradeoff(g, base, "van", SINGLE, rows_per_task=HOT_KEY_TASK_ROWS), SINGLE)
 
 
 def q_chosen_rows_hot_key(spark, sf):
     """Recovery of the chosen rows where one key holds a third of all rows."""
-    rows = final_selection(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min", hot_rows=HOT_KEY_ROWS,
+    rows = final_selection(grid_hot_key(spark, sf), "van", NATURAL_EXP, SINGLE, tie="min",
                            rows_per_task=HOT_KEY_TASK_ROWS)
     return _longs(rows.select("llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol",
                               "van_estimado", "copies"))
@@ -444,13 +458,22 @@ def q_rate_change(spark, sf):
 
 
 def q_rate_change_histogram(spark, sf):
-    """The histogram reads the chosen rows twice (range, then bins), so the
-    rows are staged first, as the single-indicator pipeline does; they are
-    one row per chosen scenario, a small table."""
-    change = rate_change(stage(_final_single(spark, sf), "final"), grid_single(spark, sf))
+    """The histogram reads its rows twice (range, then bins), so the groups (one
+    row per distinct chosen and lead rate of a key) are staged first."""
+    change = stage(rate_change_groups(_final_single(spark, sf), grid_single(spark, sf)), "change")
     return _longs(histogram(change, "dif_tasa", weight="copies"))
 
 
+def q_rate_change_hot_key(spark, sf):
+    """Rate change where one key holds a third of all rows: chosen rows x
+    distinct lead rates of the key, not all pairs."""
+    g = stage(grid_hot_key(spark, sf), "hot-grid")
+    rows = final_selection(g, "van", NATURAL_EXP, SINGLE, tie="min", rows_per_task=HOT_KEY_TASK_ROWS, stage_rows=False)
+    out = rate_change(rows, g)
+    return _longs(out.select("llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol", "tasa_base",
+                             "dif_tasa", "copies"))
+
+
 # ---------------------------------------------------------------------------
 # Data preparation
 # ---------------------------------------------------------------------------
@@ -477,29 +500,174 @@ def q_indicator_max(spark, sf):
 
 
 def q_lead_summary_pandas(spark, sf):
-    """Portfolio of one step of the grid with missing values, null and NaN
-    indicators counted as 0 (the pandas rule)."""
-    rows = scenario(expected(gappy_grid(spark, sf), SINGLE), 6)
+    """Portfolio of the lead rows of the grid with missing values (null and NaN
+    in probability, rate and indicator), under the pandas rules."""
+    rows = lead_rows(expected(gappy_lead_grid(spark, sf), SINGLE))
     return _longs(_portfolio_rounding(lead_summary_pandas(rows, SINGLE), SINGLE, ""))
 
 
+def hot_targets(spark, sf) -> DataFrame:
+    """Per key of the skewed grid a target rate, a floor and a flag."""
+    keys = hot_key_grid(spark, sf).select("llave").distinct()
+    n = F.length("llave")
+    return keys.select("llave", (F.lit(0.01) * n).alias("tasa_objetivo"), (F.lit(0.005) * n).alias("tasapropuestamin"),
+                       F.concat(F.lit("F"), n.cast("string")).alias("flg_subsegmento_consumo"))
+
+
+_HOT = ["llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol"]
+
+
+def q_nearest_rate_hot_key(spark, sf):
+    out = nearest_rate(hot_key_grid(spark, sf), hot_targets(spark, sf).select("llave", "tasa_objetivo"),
+                       rows_per_task=HOT_KEY_TASK_ROWS)
+    return _longs(out.select(*_HOT, F.col("dif_abs").cast("double").alias("dif_abs")))
+
+
+def q_rate_floor_hot_key(spark, sf):
+    out = rate_floor(hot_key_grid(spark, sf), hot_targets(spark, sf), rows_per_task=HOT_KEY_TASK_ROWS)
+    return _longs(out.select(*_HOT, "tasapropuestamin"))
+
+
+def q_enrich_hot_key(spark, sf):
+    out = enrich(hot_key_grid(spark, sf), hot_targets(spark, sf), rows_per_task=HOT_KEY_TASK_ROWS)
+    return _longs(out.select(*_HOT, "flg_subsegmento_consumo"))
+
+
+def _run_single(spark, sf):
+    return run_single(dense_grid(spark, sf), product_table(spark, sf), TEST_BANDS)
+
+
+def _run_multi(spark, sf):
+    return run_multi(dense_grid(spark, sf), floor_table(spark, sf))
+
+
 def q_pipeline_single(spark, sf):
-    """End-to-end single-indicator pipeline (capped grid staged); its trade-off table."""
-    r = run_single(dense_grid(spark, sf), product_table(spark, sf), bands=TEST_BANDS, stage_grid=True)
-    return _tradeoff_rounding(r.tradeoff, SINGLE)
+    """End-to-end single-indicator pipeline; its trade-off table."""
+    return _tradeoff_rounding(_run_single(spark, sf).tradeoff, SINGLE)
+
+
+def q_pipeline_single_baseline(spark, sf):
+    return _longs(_portfolio_rounding(_run_single(spark, sf).baseline, SINGLE, ""))
+
+
+_FINAL = ["llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol"]
+
+
+def q_pipeline_single_final(spark, sf):
+    return _longs(_run_single(spark, sf).final.select(*_FINAL, "van_estimado", "copies"))
+
+
+def q_pipeline_single_capped(spark, sf):
+    return _longs(_run_single(spark, sf).capped.select("llave", "iter", "tasa_propuesta", "flg_subsegmento_consumo"))
+
+
+def q_pipeline_single_bucket_base(spark, sf):
+    return _bucket_rounding(_run_single(spark, sf).bucket_base, "")
+
+
+def q_pipeline_single_bucket_final(spark, sf):
+    return _bucket_rounding(_run_single(spark, sf).bucket_final, "_e")
+
+
+def q_pipeline_single_rate_change(spark, sf):
+    return _longs(_run_single(spark, sf).rate_change.select(
+        "llave", "iter", "tasa_propuesta", "tasa_base", "dif_tasa", "copies"))
+
+
+def q_pipeline_single_histogram(spark, sf):
+    return _longs(_run_single(spark, sf).histogram)
 
 
 def q_pipeline_multi(spark, sf):
-    """End-to-end multi-indicator pipeline (floored grid staged); its trade-off table."""
-    r = run_multi(dense_grid(spark, sf), floor_table(spark, sf), stage_grid=True)
-    return _tradeoff_rounding(r.tradeoff, MULTI)
+    """End-to-end multi-indicator pipeline; its trade-off table."""
+    return _tradeoff_rounding(_run_multi(spark, sf).tradeoff, MULTI)
+
+
+def q_pipeline_multi_baseline(spark, sf):
+    return _longs(_portfolio_rounding(_run_multi(spark, sf).baseline, MULTI, ""))
+
+
+def q_pipeline_multi_final(spark, sf):
+    return _longs(_run_multi(spark, sf).final.select(*_FINAL, *[f"{i}_estimado" for i in MULTI], "copies"))
+
+
+def _run_pandas(spark, sf):
+    return run_pandas_rules(gappy_lead_grid(spark, sf), product_table(spark, sf), TEST_BANDS, exp=PANDAS_EXP)
 
 
 def q_pipeline_pandas_rules(spark, sf):
     """Two-valued rules on the grid with missing values: per-key max and sum of
     the score whose probability term alone is filled."""
-    r = run_pandas_rules(gappy_grid(spark, sf), product_table(spark, sf), exp=PANDAS_EXP, bands=TEST_BANDS)
-    return _round(r.key_stats, SCORE_DIGITS, ["m_obj_funct_p_1", "s_obj_funct_p_1"])
+    return _round(_run_pandas(spark, sf).key_stats, SCORE_DIGITS, ["m_obj_funct_p_1", "s_obj_funct_p_1"])
+
+
+def q_pipeline_pandas_capped(spark, sf):
+    return _longs(_run_pandas(spark, sf).capped.select("llave", "iter", "tasa_propuesta", "flg_subsegmento_consumo"))
+
+
+def q_pipeline_pandas_baseline(spark, sf):
+    return _longs(_portfolio_rounding(_run_pandas(spark, sf).baseline, SINGLE, ""))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_floor_table(spark, sf):
+    """The floor table exported as CSV among other columns in another order, read
+    back by header name with types."""
+    path = _folder(spark, "csv")
+    f = floor_table(spark, sf)
+    export_csv(f.select(F.lit("x").alias("campana"), F.col("tasapropuestamin").alias("TasaPropuestaMin"),
+                        F.length("llave").alias("n"), F.col("llave").alias("LLAVE")), path)
+    return read_csv_table(spark, path, FLOOR_SCHEMA)
+
+
+def q_partitioned_output(spark, sf):
+    """Two campaigns written one after the other to the same partitioned table,
+    the second again with other rows; read back: each campaign's last rows."""
+    path = _folder(spark, "out")
+    g = lead_rows(grid_single(spark, sf)).select("codmes", "llave", "tasa_propuesta")
+    for name, rows in (("A", g), ("B", g), ("B", g.where(F.col("tasa_propuesta") > 0.3))):
+        write_stage(rows.withColumn("campana", F.lit(name)), path, ["campana"])
+    return _longs(spark.read.parquet(path).select("codmes", "llave", "tasa_propuesta", "campana"))
+
+
+def q_pipeline_outputs(spark, sf):
+    """Every table of the multi-indicator pipeline written by month and campaign
+    for two runs; rows per table and month read back."""
+    path = _folder(spark, "runs")
+    tables = ("baseline", "tradeoff", "final")
+    for month in (202401, 202402):
+        g = dense_grid(spark, sf).drop("codmes").withColumn("codmes", F.lit(month))
+        r = run_multi(g, floor_table(spark, sf), exps=(0.5, 2.0), run={"codmes": month, "campana": "A"})
+        write_outputs(r, path, ["codmes", "campana"])
+    out = None
+    for t in tables:
+        n = spark.read.parquet(f"{path}/{t}").groupBy("codmes", "campana").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(t).alias("name"), "codmes", "campana", "n")
+        out = n if out is None else out.unionByName(n)
+    return _longs(out)
+
+
+def q_sort_scenarios(spark, sf):
+    """Total order by key and step, with each row's place in it."""
+    rows = sort_scenarios(grid_single(spark, sf).select("llave", "iter"))
+    placed = rows.rdd.zipWithIndex().map(lambda x: (x[0]["llave"], x[0]["iter"], x[1]))
+    return _longs(spark.createDataFrame(placed, "llave string, iter int, place long"))
+
+
+PROFILE_RSD = 0.01
+
+
+def q_column_profile_approximate(spark, sf):
+    """Sketched profile of all columns: exact counts, and whether each distinct
+    count is within five relative deviations of the exact one."""
+    g = gappy_grid(spark, sf).select("llave", "iter", "seg_wtp_cef", "tasa_propuesta", "van", "prob_adj_ef")
+    exact = profile(g, g.columns).select(F.col("column").alias("_c"), F.col("distinct").alias("_d"))
+    out = profile(g, rsd=PROFILE_RSD).join(exact, F.col("column") == F.col("_c"))
+    return _longs(out.select("column", "non_null", "rows", (
+        F.abs(F.col("distinct") - F.col("_d")) <= F.lit(5 * PROFILE_RSD) * F.col("_d")).alias("close")))
 
 
 def q_key_sample(spark, sf):
@@ -555,14 +723,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bucket_report_final": q_bucket_report_final,
     "rate_change": q_rate_change,
     "rate_change_histogram": q_rate_change_histogram,
+    "rate_change_hot_key": q_rate_change_hot_key,
+    "nearest_rate_hot_key": q_nearest_rate_hot_key,
+    "rate_floor_hot_key": q_rate_floor_hot_key,
+    "enrich_hot_key": q_enrich_hot_key,
     "top_offer": q_top_offer,
     "nearest_rate": q_nearest_rate,
     "top_offer_lot": q_top_offer_lot,
     "indicator_max": q_indicator_max,
     "lead_summary_pandas": q_lead_summary_pandas,
     "pipeline_single": q_pipeline_single,
+    "pipeline_single_baseline": q_pipeline_single_baseline,
+    "pipeline_single_capped": q_pipeline_single_capped,
+    "pipeline_single_final": q_pipeline_single_final,
+    "pipeline_single_bucket_base": q_pipeline_single_bucket_base,
+    "pipeline_single_bucket_final": q_pipeline_single_bucket_final,
+    "pipeline_single_rate_change": q_pipeline_single_rate_change,
+    "pipeline_single_histogram": q_pipeline_single_histogram,
     "pipeline_multi": q_pipeline_multi,
+    "pipeline_multi_baseline": q_pipeline_multi_baseline,
+    "pipeline_multi_final": q_pipeline_multi_final,
     "pipeline_pandas_rules": q_pipeline_pandas_rules,
+    "pipeline_pandas_capped": q_pipeline_pandas_capped,
+    "pipeline_pandas_baseline": q_pipeline_pandas_baseline,
+    "pipeline_outputs": q_pipeline_outputs,
+    "csv_floor_table": q_csv_floor_table,
+    "partitioned_output": q_partitioned_output,
+    "sort_scenarios": q_sort_scenarios,
+    "column_profile_approximate": q_column_profile_approximate,
     "key_sample": q_key_sample,
     "preview": q_preview,
 }

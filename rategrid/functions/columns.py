@@ -24,6 +24,12 @@ def nan_to_zero(col: str | Column) -> Column:
     return F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
 
 
+def nan_to_null(col: str | Column) -> Column:
+    """NaN becomes null, so aggregates skip it (the pandas rule)."""
+    c = _c(col)
+    return F.when(~F.isnan(c), c)
+
+
 def fill_zero(col: str | Column) -> Column:
     """Null and NaN become 0 (what ``DataFrame.fillna(0)`` does to a double)."""
     return F.coalesce(F.nanvl(_c(col), F.lit(0.0)), F.lit(0.0))

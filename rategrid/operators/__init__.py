@@ -26,7 +26,6 @@ from rategrid.operators.selection import (  # noqa: F401
     best_rate,
     chosen_rows,
     fill_numeric,
-    hot_keys,
     key_stats,
     lead_pivots,
     objective,
@@ -34,9 +33,10 @@ from rategrid.operators.selection import (  # noqa: F401
     pick_rates,
     rate_groups,
     score,
-    sweep_plan,
+    sweep_picks,
     unpivot_picks,
 )
+from rategrid.operators.skew import key_join, row_salts, salt_table  # noqa: F401
 from rategrid.operators.summary import (  # noqa: F401
     bucket_report,
     compare,
@@ -45,4 +45,5 @@ from rategrid.operators.summary import (  # noqa: F401
     portfolio,
     profile,
     rate_change,
+    rate_change_groups,
 )

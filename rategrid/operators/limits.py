@@ -1,7 +1,8 @@
 """Scenario weighting and business limits on the grid (row-wise operators).
 
 None of these shuffle except the key-wise joins (``enrich``, ``rate_floor``),
-which join on the offer key and let adaptive execution split skewed keys.
+which join on the offer key with hot keys spread over salts
+(:mod:`rategrid.operators.skew`).
 Predicates are plain column expressions, so they reach the Parquet scan when
 the grid is read from files.
 """
@@ -13,7 +14,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.rules import DEFAULT_BANDS, DEFAULT_CAPS, LEAD_RATE_CEILING, MIN_RISK_SCORE, Band
+from rategrid.operators.skew import ROWS_PER_TASK, key_join
+from rategrid.rules import DEFAULT_CAPS, LEAD_RATE_CEILING, MIN_RISK_SCORE, Band
 from rategrid.schema import COLS
 
 
@@ -60,7 +62,7 @@ def cap_iterations(
 
 
 def band_violation(
-    bands: Sequence[Band] = DEFAULT_BANDS,
+    bands: Sequence[Band],
     rate: str = COLS.rate,
     subsegment: str = COLS.subsegment,
 ) -> list[Column]:
@@ -76,9 +78,18 @@ def band_violation(
     return terms
 
 
+def bands_need_flag(bands: Sequence[Band]) -> bool:
+    """Whether every rate lies outside some band, so that under three-valued
+    logic a row without a subsegment is removed whatever its rate (and the
+    product join may be an inner one)."""
+    lows = [b.lo for b in bands if b.lo is not None]
+    highs = [b.hi for b in bands if b.hi is not None]
+    return bool(lows) and bool(highs) and max(lows) > min(highs)
+
+
 def rate_band(
     grid: DataFrame,
-    bands: Sequence[Band] = DEFAULT_BANDS,
+    bands: Sequence[Band],
     unmatched: str = "drop",
     rate: str = COLS.rate,
     subsegment: str = COLS.subsegment,
@@ -86,14 +97,15 @@ def rate_band(
     """Remove scenarios whose rate lies outside the band of their subsegment.
 
     ``unmatched="drop"`` keeps SQL three-valued logic: a row whose subsegment
-    is null (no product match) is always removed, and so is a listed
-    subsegment with a null rate; an unlisted non-null subsegment is kept.
+    is null (no product match) is removed if its rate lies outside any band (see
+    :func:`bands_need_flag`) or is null, and so is a listed subsegment with a
+    null rate; an unlisted non-null subsegment is kept.
     ``unmatched="keep"`` treats each unknown comparison as false (the pandas
     rule), so rows without a subsegment and rows with a null rate are kept.
     """
     terms = band_violation(bands, rate, subsegment)
     if not terms:
-        return grid
+        raise ValueError("no bands given")
     if unmatched == "drop":
         outside = terms[0]
         for t in terms[1:]:
@@ -112,19 +124,21 @@ def enrich(
     product: DataFrame,
     columns: Sequence[str] = (COLS.subsegment,),
     key: str = COLS.key,
-    dedupe: bool = False,
+    dedupe: Sequence[str] | None = None,
     how: str = "left",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Attach per-offer attributes (equi-join on the key).
+    """Attach per-offer attributes (salted equi-join on the key).
 
     The product table grows with the number of offers, so it is not broadcast;
-    duplicate keys fan out unless ``dedupe`` keeps one row per key (an
-    arbitrary one).
-    """
-    side = product.select(key, *columns)
-    if dedupe:
-        side = side.dropDuplicates([key])
-    return grid.join(side, on=key, how=how)
+    duplicate keys fan out unless ``dedupe`` names the columns whose smallest
+    values pick one row per key."""
+    side = product.select(*dict.fromkeys([key, *columns, *(dedupe or ())]))
+    if dedupe is not None:
+        rest = [c for c in side.columns if c != key]
+        order = F.struct(*[F.col(c) for c in dict.fromkeys([*dedupe, *rest])])
+        side = side.groupBy(key).agg(F.min(order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
+    return key_join(grid, side, None, key, how=how, rows_per_task=rows_per_task)
 
 
 def rate_floor(
@@ -133,12 +147,13 @@ def rate_floor(
     key: str = COLS.key,
     rate: str = COLS.rate,
     floor: str = "tasapropuestamin",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Keep scenarios whose rate is at least the key's floor; keys without a
     floor (or with a null floor or rate) are removed.  Duplicate floor rows
-    fan out, as an equi-join does."""
+    fan out, as an equi-join does; hot keys are spread over salts."""
     side = floors.select(key, F.col(floor).cast("double").alias(floor))
-    return grid.join(side, on=key, how="inner").where(F.col(rate) >= F.col(floor))
+    return key_join(grid, side, None, key, rows_per_task=rows_per_task).where(F.col(rate) >= F.col(floor))
 
 
 def score_filter(grid: DataFrame, min_score: int = MIN_RISK_SCORE, score: str = COLS.score) -> DataFrame:

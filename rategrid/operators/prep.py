@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.functions.columns import dec
+from rategrid.operators.skew import ROWS_PER_TASK, key_join, row_salts
 from rategrid.schema import COLS
+from rategrid.sources.io import stage
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -17,12 +19,19 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-def conform(df: DataFrame, schema: T.StructType, strict: bool = True, keep_extra: bool = False) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, strict: bool = True, keep_extra: bool = False,
+            missing: str = "error") -> DataFrame:
     """Cast the columns named in ``schema`` (matched case-insensitively) to its
     types, in its order.  ``strict`` uses ``cast`` (malformed text raises under
     ANSI mode); otherwise ``try_cast`` turns it into null.  Columns of
-    ``schema`` missing from ``df`` are added as typed nulls."""
+    ``schema`` missing from ``df`` are an error; ``missing="null"`` adds them as
+    typed nulls."""
+    if missing not in ("error", "null"):
+        raise ValueError(f"missing must be 'error' or 'null', got {missing!r}")
     by_lower = {c.lower(): c for c in df.columns}
+    absent = [f.name for f in schema.fields if f.name.lower() not in by_lower]
+    if absent and missing == "error":
+        raise ValueError(f"columns missing: {', '.join(absent)}")
     out = []
     for f in schema.fields:
         src = by_lower.get(f.name.lower())
@@ -92,39 +101,42 @@ def nearest_rate(
     target: str = "tasa_objetivo",
     key: str = COLS.key,
     rate: str = COLS.rate,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Grid rows whose rate is nearest to the key's target rate.
 
     Distance ``dif_abs = abs(rate - target)`` is compared as
-    ``decimal(32,10)``; all rows at the minimum distance are returned.  The
-    minimum is a partial aggregation per key, attached to the rows by the
-    salted key join of the selection (a key holding a third of the rows is
-    spread over many tasks), then rows at the minimum are kept.
-    """
-    from rategrid.operators.selection import attach_key_stats
-
-    with_dist = grid.join(targets.select(key, target), on=key, how="inner").withColumn(
-        "dif_abs", dec(F.abs(F.col(rate) - F.col(target)))
-    )
-    best = with_dist.groupBy(key).agg(F.min("dif_abs").alias("_best"), F.count(F.lit(1)).alias("_n"))
-    return attach_key_stats(with_dist, best, key).where(F.col("dif_abs") == F.col("_best")).drop("_best")
-
-
-# Largest key list sent to every task as a broadcast; longer samples are
-# joined by a shuffle instead.
-BROADCAST_KEYS_MAX = 1_000_000
+    ``decimal(32,10)``; all rows at the minimum distance are returned.
+
+    Eager: a first pass over (key, rate) counts each distinct pair, so the best
+    distance per target comes from pre-aggregated pairs and is staged, one row per
+    key and target; the full-width rows then meet target and best distance in one
+    salted join."""
+    pairs = grid.select(key, rate).groupBy(key, rate).agg(F.count(F.lit(1)).alias("_n"))
+    salts = row_salts(grid, key, rows_per_task)
+    dist = dec(F.abs(F.col(rate) - F.col(target)))
+    side = targets.select(key, target)
+    best = stage(
+        key_join(pairs, side, None, key, by=[key, rate], rows_per_task=rows_per_task)
+        .groupBy(key, target).agg(F.min(dist).alias("_d")), "nearest")
+    # a key may have several target rows: the minimum is over all of them
+    least = best.groupBy(key).agg(F.min("_d").alias("_best"))
+    copies = side.groupBy(key, target).agg(F.count(F.lit(1)).alias("_copies"))
+    wanted = (best.join(least, key).where(F.col("_d") == F.col("_best")).join(copies, [key, target])
+              .select(key, target, "_best", "_copies"))
+    near = key_join(grid, wanted, salts, key).withColumn("dif_abs", dist).where(F.col("dif_abs") == F.col("_best"))
+    once = near.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return once.drop("_best", "_copies")
 
 
 def key_sample(grid: DataFrame, n: int, key: str = COLS.key) -> DataFrame:
     """All rows of the first ``n`` keys in key order (keys keep all their steps).
 
     The key list is a top-``n`` (each task keeps its first ``n`` keys, so the
-    list is bounded by ``n``).  Up to ``BROADCAST_KEYS_MAX`` keys it is
-    broadcast for the semi-join, so the grid is not shuffled; a longer list is
-    joined by a shuffle."""
+    list is bounded by ``n``).  How the semi-join runs is left to adaptive
+    execution, which knows the list's measured size."""
     keys = grid.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
-    side = F.broadcast(keys) if n <= BROADCAST_KEYS_MAX else keys
-    return grid.join(side, on=key, how="left_semi")
+    return grid.join(keys, on=key, how="left_semi")
 
 
 def preview(grid: DataFrame, n: int, order: Sequence[str] = (COLS.key, COLS.step)) -> DataFrame:

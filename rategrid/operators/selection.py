@@ -11,9 +11,9 @@ Rules (for one exponent ``e``, per key, ``o = fill0(target * prob**e)``,
   independently, ``tie="sum"`` adds the candidates' values.
 
 Plan shape: one partial (map-side combined) aggregation for the key stats,
-one join back on the key and one aggregation on the same key, which needs no
-further exchange.  No window over the key is used, so a hot key never has to
-fit one task's sort buffer; the join relies on adaptive skew splitting.
+staged; one salted join back on the key (:mod:`rategrid.operators.skew`) and one
+partial aggregation on the key.  No window over the key is used, so a hot key
+never has to fit one task's sort buffer.
 """
 
 from __future__ import annotations
@@ -25,104 +25,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rategrid.functions.columns import fill_zero
+from rategrid.functions.columns import nan_to_zero
+from rategrid.operators.skew import ROWS_PER_TASK, key_join, row_salts, salt_table
 from rategrid.schema import COLS
+from rategrid.sources.io import stage
 
 OBJ = "obj_funct_p_1"
 
-# A key is "hot" when it holds more than this share of all rows (so fewer
-# than 1/HOT_SHARE keys can be hot, which bounds the broadcast hot-key list)
-# and more than HOT_ROWS rows; its rows are spread over one salt per
-# ROWS_PER_TASK rows.
-HOT_SHARE = 0.001
-HOT_ROWS = 1_000_000
-ROWS_PER_TASK = 2_000_000
-
-
-def hot_keys(
-    stats: DataFrame,
-    key: str = COLS.key,
-    hot_rows: int = HOT_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Keys of ``stats`` (one row per key with its row count ``_n``) holding
-    over ``HOT_SHARE`` of all rows and over ``hot_rows`` rows, with their
-    number of salts ``ceil(rows / rows_per_task)``.  Fewer than
-    ``1/HOT_SHARE`` keys can qualify."""
-    total = stats.agg(F.sum("_n").alias("_tot"))
-    return (
-        stats.select(key, "_n").crossJoin(F.broadcast(total))
-        .where(F.col(key).isNotNull() & (F.col("_n") > F.col("_tot") * F.lit(HOT_SHARE))
-               & (F.col("_n") > F.lit(hot_rows)))
-        .select(key, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts"))
-    )
-
-
-def key_salts(
-    stats: DataFrame,
-    key: str = COLS.key,
-    hot_rows: int = HOT_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> dict:
-    """Hot keys of ``stats`` and their number of salts, collected by a small
-    job; fewer than ``1/HOT_SHARE`` entries by construction."""
-    return {r[key]: r["_salts"] for r in hot_keys(stats, key, hot_rows, rows_per_task).collect()}
-
-
-def salted_join(narrow: DataFrame, stats: DataFrame, salts: dict, key: str = COLS.key) -> DataFrame:
-    """``narrow`` left-joined with per-key ``stats``, the keys in ``salts``
-    spread over that many salts (a hash of the row picks the salt; the key's
-    statistics row is repeated once per salt).  Without hot keys this is the
-    plain left join on the key."""
-    if not salts:
-        return narrow.join(stats, on=key, how="left")
-    lookup = F.create_map(*[x for k, v in salts.items() for x in (F.lit(k), F.lit(v))])
-    n_salts = F.coalesce(F.element_at(lookup, F.col(key)), F.lit(1))
-    rows = narrow.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in narrow.columns]), n_salts.cast("long")).cast("int"))
-    salted_stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - F.lit(1))))
-    return rows.join(salted_stats, on=[key, "_salt"], how="left").drop("_salt")
-
 
 def attach_key_stats(
     narrow: DataFrame,
     stats: DataFrame,
     key: str = COLS.key,
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``narrow`` left-joined with its per-key ``stats`` (which carry the row
-    count ``_n``), with hot keys salted.
-
-    The statistics (one row per key) are staged in the shared checkpoint
-    folder: the join reads them back instead of recomputing them, and the
-    hot-key list (see :func:`hot_keys`) is read from the stage by a small job.
-    The list has fewer than ``1/HOT_SHARE`` entries by construction, so it
-    enters the plan as a literal map (see :func:`salted_join`): the rows of a
-    hot key get a salt in ``[0, salts)`` and the key's statistics row is
-    repeated once per salt, so the join on (key, salt) spreads a key that
-    holds a third of all rows over many tasks; other keys keep salt 0.  Null
-    keys match nothing, as in an equi-join.
-    """
-    joined, _ = attach_key_stats_with_salts(narrow, stats, key, hot_rows, rows_per_task)
-    return joined
-
-
-def attach_key_stats_with_salts(
-    narrow: DataFrame,
-    stats: DataFrame,
-    key: str = COLS.key,
-    hot_rows: int = HOT_ROWS,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> tuple[DataFrame, dict]:
-    """:func:`attach_key_stats`, also returning the salts it used."""
-    from rategrid.sources.io import stage
+    count ``_n``), hot keys spread over salts (see
+    :mod:`rategrid.operators.skew`).
 
+    Eager: the statistics (one row per key) are staged in the shared checkpoint
+    folder, so the salt table and the join read them instead of recomputing
+    them.  Null keys match nothing, as in an equi-join."""
     stats = stage(stats, "key-stats")
-    salts = key_salts(stats, key, hot_rows, rows_per_task)
-    return salted_join(narrow, stats.drop("_n"), salts, key), salts
-
-
+    salts = salt_table(stats, key, rows_per_task)
+    return key_join(narrow, stats.drop("_n"), salts, key, how="left")
 
 
 @dataclass(frozen=True)
@@ -175,7 +101,7 @@ def score(
     (see :func:`rategrid.operators.limits.expected`).
     """
     exps = tuple(float(e) for e in exps)
-    names = (OBJ,) if len(exps) == 1 else tuple(f"obj_{i}" for i in range(len(exps)))
+    names = tuple(f"obj_{i}" for i in range(len(exps)))
     cols = [key, step, rate, amount, prob, COLS.expected_amount]
     cols += [f"{i}_estimado" for i in indicators]
     cols += [c for c in extra if c not in cols]
@@ -212,7 +138,6 @@ def best_rate(
     rate: str = COLS.rate,
     amount: str = COLS.amount,
     prob: str = COLS.prob,
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per key: lead values, the pick on the expected target (``_sr``) and the
@@ -238,7 +163,7 @@ def best_rate(
         F.expr(f"max({obj}) AS _m_of"), F.expr(f"sum({obj}) AS _s_of"),
         F.count(F.lit(1)).alias("_n"),
     )
-    joined = attach_key_stats(narrow, stats, key, hot_rows, rows_per_task)
+    joined = attach_key_stats(narrow, stats, key, rows_per_task)
     rules = {"sr": (t_est, "_m_sr", "_s_sr"), "of": (obj, "_m_of", "_s_of")}
 
     def lead(c: str, name: str) -> Column:
@@ -323,60 +248,44 @@ def _pick_sql(value: str, score: str, best: str, total: str, step: str) -> str:
             f"try_cast({best} AS DECIMAL(32,10)) THEN {value} END")
 
 
-@dataclass(frozen=True)
-class SweepPlan:
-    """The two per-key aggregates one sweep needs, built over one narrow join.
-
-    ``picks``: one row per key with the chosen rate ``t_{i}`` of exponent i.
-    ``joined``: the narrow grid rows with their key statistics (partitioned by
-    key), from which per-(key, rate) groups are aggregated without a new
-    shuffle.
-    """
-
-    picks: DataFrame
-    joined: DataFrame
-    exps: tuple[float, ...]
-
-
-def sweep_plan(
+def sweep_picks(
     grid: DataFrame,
     target: str,
     exps: Sequence[float],
     tie: str = "min",
-    keep: Sequence[str] = (),
     key: str = COLS.key,
     step: str = COLS.step,
     rate: str = COLS.rate,
     prob: str = COLS.prob,
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
-) -> SweepPlan:
-    """Chosen rate per key for many exponents from one narrow join.
-
-    The grid is reduced to the columns the selection and ``keep`` read (raw
-    values; filled copies are computed inline).  Key statistics (max and sum
-    of every exponent's score) are a partial aggregation; the narrow rows are
-    shuffled once to meet them (a hot key is salted over many tasks, see
-    :func:`attach_key_stats`), and the scores are recomputed after the join
-    instead of being shuffled, so the exchange carries a handful of columns
-    whatever the number of exponents.
+) -> tuple[DataFrame, DataFrame]:
+    """Chosen rate ``t_{i}`` per key and exponent from one narrow join, and the
+    salt table of the keys.
+
+    The grid is reduced to the columns the selection reads (raw values; filled
+    copies are computed inline).  Key statistics (max and sum of every exponent's
+    score) are a partial aggregation, staged; the narrow rows are shuffled once to
+    meet them and the scores are recomputed after the join instead of being
+    shuffled, so the exchange carries five columns whatever the number of
+    exponents.
     """
     exps = tuple(float(e) for e in exps)
     if tie not in ("min", "sum"):
         raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
-    cols = list(dict.fromkeys([key, step, rate, target, prob, *keep]))
+    cols = list(dict.fromkeys([key, step, rate, target, prob]))
     narrow = grid.select(*cols)
     # The per-exponent expressions are written as SQL text: one JVM call
     # each instead of one per operator, which keeps planning time flat as the
     # number of exponents grows.
     st, rt = _filled_sql(narrow, step), _filled_sql(narrow, rate)
     objs = [f"coalesce(nanvl(`{target}` * pow(`{prob}`, CAST({e!r} AS DOUBLE)), 0D), 0D)" for e in exps]
-    stats = narrow.groupBy(key).agg(
+    stats = stage(narrow.groupBy(key).agg(
         *[F.expr(f"max({o}) AS _m{i}") for i, o in enumerate(objs)],
         *[F.expr(f"sum({o}) AS _s{i}") for i, o in enumerate(objs)],
         F.count(F.lit(1)).alias("_n"),
-    )
-    joined = attach_key_stats(narrow, stats, key, hot_rows, rows_per_task)
+    ), "key-stats")
+    salts = salt_table(stats, key, rows_per_task)
+    joined = key_join(narrow, stats.drop("_n"), salts, key, how="left")
     # each score once per row (a projection under the aggregate), then the picks
     scored = joined.select(
         key, F.expr(st).alias("_st"), F.expr(rt).alias("_rt"),
@@ -386,7 +295,7 @@ def sweep_plan(
     picks = scored.groupBy(key).agg(
         *[F.expr(f"{tie}({_pick_sql('_rt', f'_o{i}', f'_m{i}', f'_s{i}', '_st')}) AS t_{i}") for i in range(len(exps))]
     )
-    return SweepPlan(picks, joined, exps)
+    return picks, salts
 
 
 def pick_rates(
@@ -400,9 +309,9 @@ def pick_rates(
     prob: str = COLS.prob,
 ) -> DataFrame:
     """Chosen rate per key for many exponents at once: ``(llave, exp, tasa_of_1)``
-    (null picks dropped); see :func:`sweep_plan`."""
-    plan = sweep_plan(grid, target, exps, tie, key=key, step=step, rate=rate, prob=prob)
-    return unpivot_picks(plan.picks, plan.exps, key)
+    (null picks dropped); see :func:`sweep_picks`."""
+    picks, _ = sweep_picks(grid, target, exps, tie, key=key, step=step, rate=rate, prob=prob)
+    return unpivot_picks(picks, exps, key)
 
 
 def unpivot_picks(picks: DataFrame, exps: Sequence[float], key: str = COLS.key) -> DataFrame:
@@ -421,7 +330,7 @@ def chosen_rows(
     step: str = COLS.step,
     pick_col: str = "tasa_of_1",
     distinct_on: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    salts: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Grid rows at the chosen rate of their key, each once, plus ``copies``.
@@ -433,27 +342,25 @@ def chosen_rows(
     materialising the repeated rows.  Comparison is raw double equality; null
     rates never match.
 
-    Both steps are salted key joins (a hot key is spread over many tasks): the
-    pick is attached to every row of its key through :func:`attach_key_stats`
-    and rows at other rates are dropped; since each key then keeps a single
-    rate, ``copies`` is a per-key partial aggregation attached with the same
-    salts (:func:`salted_join`), in the same job as the rows.
+    ``copies`` comes from the narrow columns (key, rate and ``distinct_on``) joined
+    with the picks; the staged result, one row per chosen key, then meets the
+    full-width rows once.  Both joins are salted (``salts`` defaults to those of
+    the grid's rows).
     """
     on = list(distinct_on) if distinct_on is not None else [client, step]
-    counts = grid.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull()).join(
-        counts, on=key, how="inner")
-    attached, salts = attach_key_stats_with_salts(grid, chosen, key, hot_rows, rows_per_task)
-    matched = attached.where(F.col(rate) == F.col("_pick")).drop("_pick")
-    copies = matched.groupBy(key).agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"))
-    # a key's matched rows are a subset of its rows, so the grid's hot keys and
-    # salts bound them: the same salts spread the second join
-    return salted_join(matched, copies, salts, key)
+    s = row_salts(grid, key, rows_per_task) if salts is None else salts
+    pick = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull())
+    narrow = grid.select(*dict.fromkeys([key, rate, *on]))
+    hit = key_join(narrow, pick, s, key).where(F.col(rate) == F.col("_pick"))
+    chosen = stage(hit.groupBy(key, "_pick").agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies")),
+                   "chosen-keys")
+    return key_join(grid, chosen, s, key, by=narrow.columns).where(F.col(rate) == F.col("_pick")).drop("_pick")
 
 
 def rate_groups(
     grid: DataFrame,
     indicators: Sequence[str],
+    wanted: DataFrame | None = None,
     key: str = COLS.key,
     rate: str = COLS.rate,
     amount: str = COLS.amount,
@@ -461,17 +368,24 @@ def rate_groups(
     client: str = COLS.client,
     step: str = COLS.step,
     distinct_on: Sequence[str] | None = None,
+    salts: DataFrame | None = None,
 ) -> DataFrame:
-    """Per (key, rate): ``copies`` and the partial sums a portfolio summary
-    needs.  Pre-aggregates the grid before it meets the picks; on input
-    already partitioned by the key (the sweep's join) it adds no exchange.
+    """Per (key, rate): ``copies`` and the partial sums a portfolio summary needs.
+
+    ``wanted`` (``key``, ``_pick``, further columns) keeps only the rows at a wanted
+    rate of their key before anything is grouped, and its further columns are
+    kept: the distinct count then sees the chosen rows, not the whole grid.
 
     ``copies`` counts the distinct ``distinct_on`` tuples (default
     ``(client, step)``) at the rate: the number of times the original job's
     distinct-then-join recovery repeats each row."""
-    from rategrid.functions.columns import nan_to_zero
-
     on = list(distinct_on) if distinct_on is not None else [client, step]
+    cols = list(dict.fromkeys([key, rate, amount, prob, *on, COLS.expected_amount, *[f"{i}_estimado" for i in indicators]]))
+    rows = grid.select(*cols).where(F.col(key).isNotNull() & F.col(rate).isNotNull())
+    extra: list[str] = []
+    if wanted is not None:
+        extra = [c for c in wanted.columns if c not in (key, "_pick")]
+        rows = key_join(rows, wanted, salts, key).where(F.col(rate) == F.col("_pick")).drop("_pick")
     r, a = F.col(rate), F.col(amount)
     aggs = [
         F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"),
@@ -484,4 +398,4 @@ def rate_groups(
         F.sum(a).alias("s_amount"),
         F.sum(COLS.expected_amount).alias("s_mto_estimado"),
     ] + [F.sum(nan_to_zero(f"{i}_estimado")).alias(f"s_{i}_estimado") for i in indicators]
-    return grid.where(F.col(key).isNotNull() & r.isNotNull()).groupBy(key, rate).agg(*aggs)
+    return rows.groupBy(key, rate, *extra).agg(*aggs)

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.functions.columns import bucket_label, nan_to_zero, ratio
+from rategrid.functions.columns import bucket_label, nan_to_null, nan_to_zero, ratio
+from rategrid.operators.skew import key_join
 from rategrid.rules import AMOUNT_BUCKETS, HISTOGRAM_BINS
 from rategrid.schema import COLS
 
@@ -75,13 +76,13 @@ def portfolio(
 
 
 def lead_summary_pandas(rows: DataFrame, indicators: Sequence[str]) -> DataFrame:
-    """Lead summary with the pandas rule for indicators: null and NaN count as
-    0 and an all-null column sums to 0."""
-    from rategrid.functions.columns import nansum_or_zero
-
-    aggs = portfolio_aggs(indicators)[: -len(indicators)] if indicators else portfolio_aggs(indicators)
-    aggs += [nansum_or_zero(f"{i}_estimado").alias(f"{i}_estimado") for i in indicators]
-    return rows.agg(*aggs)
+    """Lead summary with the pandas rules: means skip null and NaN, sums count
+    them as 0 and an all-null column sums to 0."""
+    cols = [COLS.rate, COLS.amount, COLS.prob, COLS.expected_amount, *[f"{i}_estimado" for i in indicators]]
+    clean = rows.withColumns({c: nan_to_null(c) for c in cols})
+    one = clean.agg(*portfolio_aggs(indicators))
+    zero = ["oferta", COLS.expected_amount, *[f"{i}_estimado" for i in indicators]]
+    return one.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in zero})
 
 
 def _metric_names(indicators: Sequence[str]) -> list[tuple[str, str, str]]:
@@ -120,12 +121,33 @@ def bucket_report(
     return labelled.groupBy(label).agg(*aggs).orderBy(label)
 
 
+def lead_rates(grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate, step: str = COLS.step) -> DataFrame:
+    """Per key and distinct lead rate (``tasa_base``) the number of lead rows."""
+    return grid.where(F.col(step) == F.lit(0)).groupBy(key, F.col(rate).alias("tasa_base")).agg(
+        F.count(F.lit(1)).alias("_leads"))
+
+
 def rate_change(final_rows: DataFrame, grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate,
-                step: str = COLS.step) -> DataFrame:
+                step: str = COLS.step, weight: str = "copies") -> DataFrame:
     """Chosen rows with the key's lead rate (``tasa_base``) and the change
-    ``dif_tasa``.  Inner join; a key with several lead rows fans out."""
-    base = grid.where(F.col(step) == F.lit(0)).select(key, F.col(rate).alias("tasa_base"))
-    return final_rows.join(base, on=key, how="inner").withColumn("dif_tasa", F.col(rate) - F.col("tasa_base"))
+    ``dif_tasa``: one row per chosen row and distinct lead rate of its key, its
+    ``weight`` times the number of lead rows at that rate.
+
+    Lead rows are counted per distinct rate before the join, so a key with many
+    chosen and many lead rows gives chosen rows x distinct lead rates, never all
+    pairs; hot keys are spread over salts."""
+    leads = lead_rates(grid, key, rate, step)
+    return (key_join(final_rows, leads, None, key)
+            .withColumn(weight, F.col(weight) * F.col("_leads")).drop("_leads")
+            .withColumn("dif_tasa", F.col(rate) - F.col("tasa_base")))
+
+
+def rate_change_groups(final_rows: DataFrame, grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate,
+                       step: str = COLS.step, weight: str = "copies") -> DataFrame:
+    """:func:`rate_change` reduced to distinct (key, rate, lead rate) with summed
+    weights before the join: the input of exact histograms and totals."""
+    chosen = final_rows.groupBy(key, rate).agg(F.sum(weight).alias(weight))
+    return rate_change(chosen, grid, key, rate, step, weight)
 
 
 def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str | None = None) -> DataFrame:
@@ -133,18 +155,18 @@ def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str
 
     Returns ``bin`` (1..bins), ``lo``, ``hi`` and ``n`` for non-empty bins; the
     maximum falls in the last bin (closed on the right).  When min equals max
-    every value is in bin 1.  Null values are ignored.  The range is a
+    every value is in bin 1.  Null and NaN values are ignored.  The range is a
     one-row global aggregate broadcast to the rows; the counts are a partial
     aggregation with at most ``bins`` groups.
     """
+    rows = rows.withColumn(col, nan_to_null(col)).where(F.col(col).isNotNull())
     rng = rows.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     x, mn, mx = F.col(col), F.col("_mn"), F.col("_mx")
     width = mx - mn
     raw = F.floor(F.lit(float(bins)) * (x - mn) / width).cast("long") + F.lit(1)
     b = F.when(width == F.lit(0.0), F.lit(1).cast("long")).otherwise(F.least(raw, F.lit(bins).cast("long")))
     counted = (
-        rows.where(x.isNotNull())
-        .crossJoin(F.broadcast(rng))
+        rows.crossJoin(F.broadcast(rng))
         .select(b.alias("bin"), (F.col(weight) if weight else F.lit(1)).alias("_w"), "_mn", "_mx")
         .groupBy("bin", "_mn", "_mx")
         .agg(F.sum("_w").cast("long").alias("n"))
@@ -158,21 +180,28 @@ def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str
     )
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False,
+def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool | None = None,
             rsd: float = 0.01) -> DataFrame:
     """Per column: non-null count and distinct non-null count.
 
-    One aggregation over the table; ``approximate=True`` uses HyperLogLog
-    sketches (mergeable, bounded memory) instead of exact distinct counts.
+    Named ``columns`` are counted exactly by default, one distinct count per
+    column over that column alone (its values are combined map-side; no row is
+    repeated per column).  Without names all columns are sketched in one pass
+    (HyperLogLog, mergeable, bounded memory, relative error ``rsd``).
     Output: ``column, non_null, distinct, rows``.
     """
+    approx = columns is None if approximate is None else approximate
     cols = list(columns) if columns is not None else df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(c)).alias(f"_nn{i}"))
-        d = F.approx_count_distinct(F.col(c), rsd) if approximate else F.count_distinct(F.col(c))
-        aggs.append(d.alias(f"_nd{i}"))
-    one = df.agg(*aggs)
+    if not approx:
+        parts = [df.select(F.col(c).alias("c")).agg(
+            F.lit(c).alias("column"), F.count("c").alias("non_null"), F.count_distinct("c").alias("distinct"),
+            F.count(F.lit(1)).alias("rows")) for c in cols]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(cols)],
+                 *[F.approx_count_distinct(F.col(c), rsd).alias(f"_nd{i}") for i, c in enumerate(cols)])
     entries = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"_nn{i}").alias("non_null"), F.col(f"_nd{i}").alias("distinct"))
         for i, c in enumerate(cols)

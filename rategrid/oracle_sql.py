@@ -9,27 +9,44 @@ join with its real fan-out).  Double literals are written as
 
 from __future__ import annotations
 
-from rategrid.catalog import (
-    AMOUNT_DIGITS,
-    EXP_MULTI,
-    EXP_SINGLE,
-    MULTI,
-    MULTI_TARGET,
-    NATURAL_DIGITS,
-    LOT_OFFER_TYPE,
-    LOT_SALE_TYPE,
-    NATURAL_EXP,
-    PCT_DIGITS,
-    PANDAS_EXP,
-    PREVIEW_ROWS,
-    RATIO_DIGITS,
-    SAMPLE_KEYS,
-    SCORE_DIGITS,
-    SINGLE,
-    TEST_BANDS,
-)
-from rategrid.rules import AMOUNT_BUCKETS, DEFAULT_CAPS, HISTOGRAM_BINS, LEAD_RATE_CEILING, MIN_RISK_SCORE, SWEEP_EXPONENTS
-from rategrid.sources.tables import STEPS
+# The rules' values are written out here, not imported, so a wrong value in the
+# library shows up as a difference.  Fixed values of the original job:
+CAP_STEPS = ((1, 8), (2, 7), (3, 6), (4, 5), (5, 4), (6, 3), (7, 2))
+EXPONENTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5,
+             5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0, 8.5, 9.0, 9.5)
+BUCKETS = ((5000.0, '1.[-;5k>'),
+           (8000.0, '2.[5k;8k>'),
+           (12000.0, '3.[8k;12k>'),
+           (18000.0, '4.[12k;18k>'),
+           (30000.0, '5.[18k;30k>'),
+           (50000.0, '6.[30k;50k>'),
+           (80000.0, '7.[50k;80k>'),
+           (120000.0, '8.[80k;120k>'),
+           (None, '9.[120k;+>'))
+RATE_CEILING = 0.959
+MIN_SCORE = 360
+BINS = 60
+# Parameters of the registered queries:
+BANDS = (("AUTOMOBILE", 0.145, 0.959), ("BUILDING", 0.235, 0.959), ("FURNITURE", 0.135, 0.429),
+         ("HOUSEHOLD", 0.125, 0.199))
+SINGLE = ("van",)
+MULTI = ("roa", "avg_balance", "roa_saldo")
+MULTI_TARGET = "roa_saldo"
+EXP_SINGLE = 2.5
+EXP_MULTI = 2.0
+NATURAL_EXP = 2.5
+PANDAS_EXP = 0.5
+SAMPLE_KEYS = 1000
+PREVIEW_ROWS = 100
+LOT_SALE_TYPE = 1
+LOT_OFFER_TYPE = 1
+STEPS = 8
+# Rounding of aggregated doubles, as the queries round:
+AMOUNT_DIGITS = 0
+RATIO_DIGITS = 9
+PCT_DIGITS = 6
+SCORE_DIGITS = 4
+NATURAL_DIGITS = {"oferta": 3, "prob_": 3, "tasa_": 3, "mto_": 5, "van_": 7}
 
 
 def D(x) -> str:
@@ -110,16 +127,14 @@ floors AS (
   FROM orders WHERE o_orderpriority <> '1-URGENT'
 )"""
 
-CAPS = " OR ".join(f"(seg_wtp_cef = {k} AND iter >= {-c} AND iter <= {c})" for k, c in DEFAULT_CAPS)
+CAPS = " OR ".join(f"(seg_wtp_cef = {k} AND iter >= {-c} AND iter <= {c})" for k, c in CAP_STEPS)
 
 
 def band_terms() -> list[str]:
     out = []
-    for b in TEST_BANDS:
-        if b.lo is not None:
-            out.append(f"(tasa_propuesta < {D(b.lo)} AND flg_subsegmento_consumo = '{b.subsegment}')")
-        if b.hi is not None:
-            out.append(f"(tasa_propuesta > {D(b.hi)} AND flg_subsegmento_consumo = '{b.subsegment}')")
+    for flag, lo, hi in BANDS:
+        out.append(f"(tasa_propuesta < {D(lo)} AND flg_subsegmento_consumo = '{flag}')")
+        out.append(f"(tasa_propuesta > {D(hi)} AND flg_subsegmento_consumo = '{flag}')")
     return out
 
 
@@ -141,7 +156,7 @@ capped AS (
 
 
 G_MULTI = f"""
-g_multi AS (SELECT *, {expected_cols(MULTI)} FROM grid WHERE numscoreriesgo >= {MIN_RISK_SCORE})"""
+g_multi AS (SELECT *, {expected_cols(MULTI)} FROM grid WHERE numscoreriesgo >= {MIN_SCORE})"""
 
 CAPPED_MULTI = """
 capped AS (
@@ -155,7 +170,7 @@ natural_grid AS (
          l_extendedprice AS mtofinalofertadosol, CAST(l_linenumber - 4 AS INTEGER) AS iter,
          l_discount AS tasa_propuesta, {D(0.9)} - {D(5.0)} * l_discount AS prob_adj_ef,
          l_extendedprice * (l_discount - {D(0.02)}) AS van
-  FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7
+  FROM lineitem
 ),
 capped AS (SELECT *, {expected_cols(SINGLE)} FROM natural_grid)"""
 
@@ -164,7 +179,7 @@ HOT = NATURAL.replace("CAST(l_orderkey AS VARCHAR) AS llave",
 
 
 def weighted_tradeoff_sql(base_ctes, inds, target, baseline_where: str, baseline_src: str,
-                          exps=SWEEP_EXPONENTS) -> str:
+                          exps=EXPONENTS) -> str:
     """Trade-off with the recovery's repetition as a weight (``copies`` =
     distinct (client, step) tuples at the chosen rate) instead of the
     repeated rows: for fixtures where one key holds a large share of rows."""
@@ -200,6 +215,31 @@ gappy AS (
 )"""
 
 
+# the gappy grid with missing cells in lead rows and all-null keys
+GAPPY_LEAD = """
+gappy_lead AS (
+  SELECT g.llave, g.iter, g.seg_wtp_cef, g.codclavecic, g.mtofinalofertadosol,
+         CASE WHEN g.iter = 0 AND o.o_orderpriority = '1-URGENT' THEN NULL ELSE g.tasa_propuesta END AS tasa_propuesta,
+         CASE WHEN g.iter = 0 AND o.o_orderpriority = '2-HIGH' THEN CAST('NaN' AS DOUBLE) ELSE g.prob_adj_ef END AS prob_adj_ef,
+         CASE WHEN o.o_orderkey % 5 = 0 OR (g.iter = 0 AND o.o_orderpriority = '3-MEDIUM') THEN NULL
+              WHEN (g.iter = 0 AND o.o_orderpriority = '4-NOT SPECIFIED') OR (o.o_orderkey % 7 = 0 AND g.iter = 1)
+              THEN CAST('NaN' AS DOUBLE) ELSE g.van END AS van
+  FROM gappy g JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR)
+)"""
+
+
+def skip(x: str) -> str:
+    """NaN -> null, so aggregates skip it."""
+    return f"(CASE WHEN isnan({x}) THEN NULL ELSE {x} END)"
+
+
+HOT_TARGETS = f"""
+targets AS (
+  SELECT llave, {D(0.01)} * length(llave) AS tasa_objetivo, {D(0.005)} * length(llave) AS tasapropuestamin,
+         'F' || CAST(length(llave) AS VARCHAR) AS flg_subsegmento_consumo
+  FROM (SELECT DISTINCT llave FROM natural_grid))"""
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
 
@@ -362,7 +402,7 @@ def best_rate_sql(base_ctes, inds, target, exp, tie, cols: str = "*") -> str:
     return w(*base_ctes, picks_ctes("capped", inds, target, D(exp), tie, False, True)) + f"\nSELECT {cols} FROM pk"
 
 
-def tradeoff_sql(base_ctes, inds, target, baseline_where: str, baseline_src: str, exps=SWEEP_EXPONENTS) -> str:
+def tradeoff_sql(base_ctes, inds, target, baseline_where: str, baseline_src: str, exps=EXPONENTS) -> str:
     return w(*base_ctes, exps_cte(exps), picks_ctes("capped", inds, target, "ex.exp", "min", True, False),
              recovery_ctes(True, DISTINCT_SWEEP)) + f""",
 b AS (SELECT {portfolio_raw(inds)} FROM {baseline_src} WHERE {baseline_where}),
@@ -372,7 +412,7 @@ SELECT {tradeoff_select(inds)} FROM b CROSS JOIN e2 e"""
 
 
 def bucket_expr(col: str) -> str:
-    *bounded, (_, last) = AMOUNT_BUCKETS
+    *bounded, (_, last) = BUCKETS
     whens = " ".join(f"WHEN {col} < {D(u)} THEN '{lab}'" for u, lab in bounded)
     return f"CASE {whens} ELSE '{last}' END"
 
@@ -400,7 +440,7 @@ rc AS (SELECT e.*, base.tasa_base, e.tasa_propuesta - base.tasa_base AS dif_tasa
 
 
 def histogram_sql() -> str:
-    n = HISTOGRAM_BINS
+    n = BINS
     return rate_change_ctes() + f""",
 rng AS (SELECT min(dif_tasa) AS mn, max(dif_tasa) AS mx FROM rc),
 bins AS (
@@ -419,20 +459,30 @@ def rate_change_sql() -> str:
 hit AS (SELECT c.* FROM capped c JOIN pk ON c.llave = pk.llave AND c.tasa_propuesta = pk.tasa_of_1),
 cp AS (SELECT llave, tasa_propuesta, CAST(count(DISTINCT (codclavecic, iter)) AS BIGINT) AS copies
        FROM hit GROUP BY llave, tasa_propuesta),
-base AS (SELECT llave, tasa_propuesta AS tasa_base FROM g_single WHERE iter = 0)
+base AS (SELECT llave, tasa_propuesta AS tasa_base, count(*) AS leads FROM g_single WHERE iter = 0 GROUP BY 1, 2)
 SELECT h.llave, CAST(h.iter AS BIGINT) AS iter, h.tasa_propuesta, base.tasa_base,
-       h.tasa_propuesta - base.tasa_base AS dif_tasa, cp.copies
+       h.tasa_propuesta - base.tasa_base AS dif_tasa, CAST(cp.copies * base.leads AS BIGINT) AS copies
+FROM hit h JOIN cp ON h.llave = cp.llave AND h.tasa_propuesta = cp.tasa_propuesta
+JOIN base ON h.llave = base.llave"""
+
+
+def rate_change_hot_sql() -> str:
+    return w(HOT, picks_ctes("capped", SINGLE, "van", D(NATURAL_EXP), "min", False, False)) + """,
+hit AS (SELECT c.* FROM capped c JOIN pk ON c.llave = pk.llave AND c.tasa_propuesta = pk.tasa_of_1),
+cp AS (SELECT llave, tasa_propuesta, CAST(count(DISTINCT (codclavecic, iter)) AS BIGINT) AS copies
+       FROM hit GROUP BY llave, tasa_propuesta),
+base AS (SELECT llave, tasa_propuesta AS tasa_base, count(*) AS leads FROM capped WHERE iter = 0 GROUP BY 1, 2)
+SELECT h.llave, h.codclavecic, CAST(h.iter AS BIGINT) AS iter, h.tasa_propuesta, h.mtofinalofertadosol, base.tasa_base,
+       h.tasa_propuesta - base.tasa_base AS dif_tasa, CAST(cp.copies * base.leads AS BIGINT) AS copies
 FROM hit h JOIN cp ON h.llave = cp.llave AND h.tasa_propuesta = cp.tasa_propuesta
 JOIN base ON h.llave = base.llave"""
 
 
 def key_stats_sql(base_ctes, inds, target, exp) -> str:
-    # per-key sums added in step order (the order of a key's rows in Spark's
-    # partition), so both engines round the same way
     cols = [f"max({i}_estimado) AS m_{i}_estimado" for i in inds]
-    cols += [f"sum({i}_estimado ORDER BY iter) AS s_{i}_estimado" for i in inds]
+    cols += [f"{rnd(f'sum({i}_estimado)', 8 if i == 'van' else SCORE_DIGITS)} AS s_{i}_estimado" for i in inds]
     cols += [f"{rnd('max(obj)', SCORE_DIGITS)} AS m_obj_funct_p_1",
-             f"{rnd('sum(obj ORDER BY iter)', SCORE_DIGITS)} AS s_obj_funct_p_1"]
+             f"{rnd('sum(obj)', SCORE_DIGITS)} AS s_obj_funct_p_1"]
     inner = w(*base_ctes, picks_ctes("capped", inds, target, D(exp), "min", False, False))
     return inner + f"\nSELECT llave, {', '.join(cols)} FROM sc GROUP BY llave"
 
@@ -487,7 +537,7 @@ def _sql() -> dict[str, str]:
         "FROM grid g JOIN floors f ON g.llave = f.llave WHERE g.tasa_propuesta >= f.tasapropuestamin")
     s["score_filter"] = w(DENSE) + (
         f"\nSELECT llave, CAST(iter AS BIGINT) AS iter, CAST(numscoreriesgo AS BIGINT) AS numscoreriesgo "
-        f"FROM grid WHERE numscoreriesgo >= {MIN_RISK_SCORE}")
+        f"FROM grid WHERE numscoreriesgo >= {MIN_SCORE}")
     s["scenario_slice"] = w(DENSE, G_SINGLE) + (
         "\nSELECT llave, CAST(iter AS BIGINT) AS iter, tasa_propuesta, van_estimado FROM g_single WHERE iter = -8")
     s["conform_types"] = w(DENSE) + (
@@ -496,7 +546,7 @@ def _sql() -> dict[str, str]:
         "FROM grid")
     s["lead_summary"] = w(DENSE, G_SINGLE) + f"\nSELECT {portfolio_select(SINGLE)} FROM g_single WHERE iter = 0"
     s["lead_summary_ceiling"] = w(DENSE, G_MULTI, FLOOR, CAPPED_MULTI) + (
-        f"\nSELECT {portfolio_select(MULTI)} FROM capped WHERE iter = 0 AND tasa_propuesta <= {D(LEAD_RATE_CEILING)}")
+        f"\nSELECT {portfolio_select(MULTI)} FROM capped WHERE iter = 0 AND tasa_propuesta <= {D(RATE_CEILING)}")
     s["weighted_mean"] = w(DENSE) + (
         f"\nSELECT CAST(seg_wtp_cef AS BIGINT) AS seg_wtp_cef, "
         f"{rnd(div('sum(tasa_propuesta * mtofinalofertadosol)', 'sum(mtofinalofertadosol)'), RATIO_DIGITS)} "
@@ -547,7 +597,7 @@ FROM ge GROUP BY iter, van IS NULL"""
     s["compare_one"] = compare_one_sql()
     s["tradeoff_single"] = tradeoff_sql(SINGLE_CAPPED, SINGLE, "van", "iter = 0", "g_single")
     s["tradeoff_multi"] = tradeoff_sql(MULTI_CAPPED, MULTI, MULTI_TARGET,
-                                       f"iter = 0 AND tasa_propuesta <= {D(LEAD_RATE_CEILING)}", "capped")
+                                       f"iter = 0 AND tasa_propuesta <= {D(RATE_CEILING)}", "capped")
     s["tradeoff_natural"] = tradeoff_sql((NATURAL,), SINGLE, "van", "iter = 0", "capped")
     s["best_rate_hot_key"] = best_rate_sql((HOT,), SINGLE, "van", NATURAL_EXP, "min",
                                            best_cols(SINGLE, NATURAL_DIGITS))
@@ -555,7 +605,7 @@ FROM ge GROUP BY iter, van IS NULL"""
     s["tradeoff_hot_key"] = weighted_tradeoff_sql((HOT,), SINGLE, "van", "iter = 0", "capped")
     s["bucket_report_base"] = w(DENSE, G_SINGLE) + (
         f"\nSELECT {bucket_expr('mtofinalofertadosol')} AS rng_mto_v2, {bucket_select(SINGLE, '')} "
-        f"FROM g_single WHERE iter = 0 AND tasa_propuesta <= {D(LEAD_RATE_CEILING)} GROUP BY 1")
+        f"FROM g_single WHERE iter = 0 AND tasa_propuesta <= {D(RATE_CEILING)} GROUP BY 1")
     s["bucket_report_final"] = w(*FINAL_SINGLE) + (
         f"\nSELECT {bucket_expr('mtofinalofertadosol')} AS rng_mto_v2, {bucket_select(SINGLE, '_e')} "
         "FROM e GROUP BY 1")
@@ -582,25 +632,67 @@ WHERE ord = 1"""
         "\nSELECT CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes, "
         "max(g.van_estimado) AS max_van_estimado "
         "FROM g_single g JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR) GROUP BY 1")
-    s["lead_summary_pandas"] = w(DENSE, GAPPY) + f""",
-ge AS (SELECT *, van * prob_adj_ef AS van_estimado, mtofinalofertadosol * prob_adj_ef AS mto_estimado
-       FROM gappy WHERE iter = 6)
-SELECT CAST(count(*) AS BIGINT) AS clientes, {rnd('sum(mtofinalofertadosol)', AMOUNT_DIGITS)} AS oferta,
-       {rnd('avg(prob_adj_ef)', RATIO_DIGITS)} AS prob, {rnd('avg(tasa_propuesta)', RATIO_DIGITS)} AS tasa_cli,
+    pandas_lead = f"""
+SELECT CAST(count(*) AS BIGINT) AS clientes,
+       {rnd(f"coalesce(sum({skip('mtofinalofertadosol')}), 0)", AMOUNT_DIGITS)} AS oferta,
+       {rnd(f"avg({skip('prob_adj_ef')})", RATIO_DIGITS)} AS prob,
+       {rnd(f"avg({skip('tasa_propuesta')})", RATIO_DIGITS)} AS tasa_cli,
        {rnd(div('sum(tasa_propuesta * mtofinalofertadosol)', 'sum(mtofinalofertadosol)'), RATIO_DIGITS)} AS tasa_pnd,
-       {rnd('sum(mto_estimado)', AMOUNT_DIGITS)} AS mto_estimado,
-       {rnd(f"coalesce(sum({fill('van_estimado')}), 0)", AMOUNT_DIGITS)} AS van_estimado
-FROM ge"""
+       {rnd(f"coalesce(sum({skip('mtofinalofertadosol * prob_adj_ef')}), 0)", AMOUNT_DIGITS)} AS mto_estimado,
+       {rnd(f"coalesce(sum({skip('van * prob_adj_ef')}), 0)", AMOUNT_DIGITS)} AS van_estimado
+FROM gappy_lead WHERE iter = 0"""
+    s["lead_summary_pandas"] = w(DENSE, GAPPY, GAPPY_LEAD) + pandas_lead
+    final_cols = {"single": s["final_selection_single"], "multi": s["final_selection_multi"]}
     s["pipeline_single"] = s["tradeoff_single"]
     s["pipeline_multi"] = s["tradeoff_multi"]
+    s["pipeline_single_baseline"] = s["lead_summary"]
+    s["pipeline_single_capped"] = s["rate_band_drop"]
+    s["pipeline_single_final"] = final_cols["single"]
+    s["pipeline_single_bucket_base"] = s["bucket_report_base"]
+    s["pipeline_single_bucket_final"] = s["bucket_report_final"]
+    s["pipeline_single_rate_change"] = s["rate_change"]
+    s["pipeline_single_histogram"] = s["rate_change_histogram"]
+    s["pipeline_multi_baseline"] = s["lead_summary_ceiling"]
+    s["pipeline_multi_final"] = final_cols["multi"]
     pw = f"pow(prob_adj_ef, {D(PANDAS_EXP)})"
-    s["pipeline_pandas_rules"] = w(DENSE, GAPPY, PRODUCT) + f""",
+    s["pipeline_pandas_rules"] = w(DENSE, GAPPY, GAPPY_LEAD, PRODUCT) + f""",
 pc AS (
-  SELECT g.llave, g.iter, g.van * coalesce(CASE WHEN isnan({pw}) THEN NULL ELSE {pw} END, {D(0)}) AS obj
-  FROM (SELECT * FROM gappy WHERE {CAPS}) g LEFT JOIN product p ON g.llave = p.llave)
-SELECT llave, {rnd('max(obj)', SCORE_DIGITS)} AS m_obj_funct_p_1,
-       {rnd('sum(obj ORDER BY iter)', SCORE_DIGITS)} AS s_obj_funct_p_1
+  SELECT g.llave, g.iter, g.van * coalesce({skip(pw)}, {D(0)}) AS obj
+  FROM (SELECT * FROM gappy_lead WHERE {CAPS}) g LEFT JOIN product p ON g.llave = p.llave)
+SELECT llave, {rnd(f"max({skip('obj')})", SCORE_DIGITS)} AS m_obj_funct_p_1,
+       {rnd(f"coalesce(sum({skip('obj')}), 0)", SCORE_DIGITS)} AS s_obj_funct_p_1
 FROM pc GROUP BY llave"""
+    s["pipeline_pandas_baseline"] = w(DENSE, GAPPY, GAPPY_LEAD) + pandas_lead
+    s["pipeline_pandas_capped"] = w(DENSE, GAPPY, GAPPY_LEAD, PRODUCT) + f"""
+SELECT g.llave, CAST(g.iter AS BIGINT) AS iter, g.tasa_propuesta, p.flg_subsegmento_consumo
+FROM (SELECT * FROM gappy_lead WHERE {CAPS}) g LEFT JOIN product p ON g.llave = p.llave
+WHERE {BAND_KEEP}"""
+    s["pipeline_outputs"] = w(*MULTI_CAPPED) + f""",
+n AS (SELECT 'baseline' AS name, 1 AS n UNION ALL SELECT 'tradeoff', 2 UNION ALL
+      SELECT 'final', (SELECT count(*) FROM ({final_cols["multi"]})))
+SELECT n.name, CAST(m.codmes AS BIGINT) AS codmes, 'A' AS campana, CAST(n.n AS BIGINT) AS n
+FROM n CROSS JOIN (VALUES (202401), (202402)) m(codmes)"""
+    s["csv_floor_table"] = w(FLOOR) + "\nSELECT llave, tasapropuestamin FROM floors"
+    s["partitioned_output"] = w(DENSE) + """,
+g AS (SELECT CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes, d.llave, d.tasa_propuesta
+      FROM dense d JOIN orders o ON d.llave = CAST(o.o_orderkey AS VARCHAR) WHERE d.iter = 0)
+SELECT *, 'A' AS campana FROM g UNION ALL SELECT *, 'B' AS campana FROM g WHERE tasa_propuesta > CAST('0.3' AS DOUBLE)"""
+    s["sort_scenarios"] = w(DENSE) + """
+SELECT llave, CAST(iter AS BIGINT) AS iter, CAST(row_number() OVER (ORDER BY llave, iter) - 1 AS BIGINT) AS place FROM grid"""
+    s["column_profile_approximate"] = (
+        f"SELECT \"column\", non_null, \"rows\", true AS close FROM ({s['column_profile']})")
+    hot_cols = "g.llave, g.codclavecic, CAST(g.iter AS BIGINT) AS iter, g.tasa_propuesta, g.mtofinalofertadosol"
+    s["rate_change_hot_key"] = rate_change_hot_sql()
+    s["rate_floor_hot_key"] = w(HOT, HOT_TARGETS) + f"""
+SELECT {hot_cols}, t.tasapropuestamin FROM natural_grid g JOIN targets t ON g.llave = t.llave
+WHERE g.tasa_propuesta >= t.tasapropuestamin"""
+    s["enrich_hot_key"] = w(HOT, HOT_TARGETS) + f"""
+SELECT {hot_cols}, t.flg_subsegmento_consumo FROM natural_grid g LEFT JOIN targets t ON g.llave = t.llave"""
+    s["nearest_rate_hot_key"] = w(HOT, HOT_TARGETS) + f""",
+wd AS (SELECT g.*, {dec('abs(g.tasa_propuesta - t.tasa_objetivo)')} AS dif_abs
+       FROM natural_grid g JOIN targets t ON g.llave = t.llave),
+mn AS (SELECT llave, min(dif_abs) AS least FROM wd GROUP BY llave)
+SELECT {hot_cols}, CAST(g.dif_abs AS DOUBLE) AS dif_abs FROM wd g JOIN mn ON g.llave = mn.llave AND g.dif_abs = mn.least"""
     s["nearest_rate"] = w(*SINGLE_CAPPED) + f""",
 wd AS (SELECT c.llave, CAST(c.iter AS BIGINT) AS iter, c.tasa_propuesta, p.tasa_objetivo,
               {dec('abs(c.tasa_propuesta - p.tasa_objetivo)')} AS dif_abs

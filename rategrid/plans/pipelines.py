@@ -1,25 +1,31 @@
-"""End-to-end pipelines, each a set of lazy DataFrames.
+"""End-to-end pipelines.
 
 ``run_single``: one indicator, iteration caps and rate bands.
 ``run_multi``: several indicators, risk-score filter and per-key rate floors.
 ``run_pandas_rules``: the single-indicator flow with two-valued band logic
 and pandas-style filling.
 
-The capped grid and the final chosen rows are staged by default (written to
-the shared checkpoint folder and read back): the sweep, the final selection
-and the reports then scan stored Parquet instead of recomputing the limits,
-and a lost executor only repeats work after the last stage.  Everything else
-stays lazy until an output is written (``write_outputs``) or collected.
+Eager: the capped grid, the final chosen rows and the selection's statistics are
+staged while a result is built (written to the shared checkpoint folder and read
+back), so sweep, final selection and reports scan stored Parquet and a lost
+executor repeats work after the last stage only.  ``result.stages`` names these
+stages; :func:`write_outputs` deletes them once every table is written.
+
+``run`` (for example ``{"codmes": 202401, "campana": "A"}``) adds literal columns to
+every result table that lacks them, so all of them can be partitioned by run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rategrid.functions.columns import nan_to_null
 from rategrid.operators.limits import (
+    bands_need_flag,
     cap_iterations,
     enrich,
     expected,
@@ -29,12 +35,19 @@ from rategrid.operators.limits import (
     rate_floor,
     score_filter,
 )
-from rategrid.operators.selection import fill_numeric, key_stats, objective_pandas_fill
-from rategrid.operators.summary import bucket_report, histogram, lead_summary_pandas, portfolio, rate_change
+from rategrid.operators.selection import OBJ, objective_pandas_fill
+from rategrid.operators.summary import (
+    bucket_report,
+    histogram,
+    lead_summary_pandas,
+    portfolio,
+    rate_change,
+    rate_change_groups,
+)
 from rategrid.plans.tradeoff import final_selection, tradeoff
-from rategrid.rules import DEFAULT_BANDS, DEFAULT_CAPS, MIN_RISK_SCORE, SWEEP_EXPONENTS, Band
+from rategrid.rules import DEFAULT_CAPS, MIN_RISK_SCORE, SWEEP_EXPONENTS, Band
 from rategrid.schema import COLS
-from rategrid.sources.io import stage, write_stage
+from rategrid.sources.io import drop_stages, stage, stage_scope, write_stage
 
 
 @dataclass
@@ -48,6 +61,7 @@ class SingleResult:
     bucket_final: DataFrame  # chosen rows per amount bucket
     rate_change: DataFrame   # chosen rows with base rate and change
     histogram: DataFrame     # rate-change histogram
+    stages: list[str] = field(default_factory=list)  # paths of the run's stages
 
 
 @dataclass
@@ -57,6 +71,7 @@ class MultiResult:
     baseline: DataFrame
     tradeoff: DataFrame
     final: DataFrame
+    stages: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -64,40 +79,52 @@ class PandasRulesResult:
     capped: DataFrame        # caps, then bands with unknown comparisons as false
     baseline: DataFrame      # lead summary, null indicators counted as 0
     key_stats: DataFrame     # per-key max/sum of the score (score filled, target not)
+    stages: list[str] = field(default_factory=list)
+
+
+def _with_run(result, run: Mapping | None):
+    """Every table of a result with the run's literal columns it lacks."""
+    for f in fields(result):
+        df = getattr(result, f.name)
+        if isinstance(df, DataFrame) and run:
+            setattr(result, f.name, df.withColumns({k: F.lit(v) for k, v in run.items() if k not in df.columns}))
+    return result
 
 
 def run_single(
     grid: DataFrame,
     product: DataFrame,
+    bands: Sequence[Band],
     indicator: str = "van",
     exps: Sequence[float] = SWEEP_EXPONENTS,
     final_exp: float = 2.5,
     caps: Sequence[tuple[int, int]] = DEFAULT_CAPS,
-    bands: Sequence[Band] = DEFAULT_BANDS,
-    stage_grid: bool = True,
-    stage_final: bool = True,
+    run: Mapping | None = None,
 ) -> SingleResult:
+    """Caps, product attributes and bands, trade-off sweep, final selection and
+    its reports.  Where the bands remove every row without a product row, the
+    product join is an inner one."""
     inds = [indicator]
+    how = "inner" if bands_need_flag(bands) else "left"
     g = expected(grid, inds)
-    capped = rate_band(enrich(cap_iterations(g, caps), product), bands, unmatched="drop")
-    if stage_grid:
-        capped = stage(capped, "capped")
-    baseline = portfolio(lead_rows(g), inds)
-    final = final_selection(capped, indicator, final_exp, inds, tie="sum")
-    if stage_final:
-        final = stage(final, "final")
-    change = rate_change(final, g)
-    return SingleResult(
+    with stage_scope() as stages:
+        capped = stage(rate_band(enrich(cap_iterations(g, caps), product, how=how), bands, unmatched="drop"),
+                       "capped")
+        baseline = portfolio(lead_rows(g), inds)
+        final = stage(final_selection(capped, indicator, final_exp, inds, tie="sum", stage_rows=False), "final")
+        trade = tradeoff(capped, baseline, indicator, inds, exps, tie="min", stage_rows=False)
+    return _with_run(SingleResult(
         grid=g,
         capped=capped,
         baseline=baseline,
-        tradeoff=tradeoff(capped, baseline, indicator, inds, exps, tie="min"),
+        tradeoff=trade,
         final=final,
         bucket_base=bucket_report(lead_rows_under_ceiling(g), inds),
         bucket_final=bucket_report(final, inds, suffix="_e", weight="copies"),
-        rate_change=change,
-        histogram=histogram(change, "dif_tasa", weight="copies"),
-    )
+        rate_change=rate_change(final, g),
+        histogram=histogram(rate_change_groups(final, g), "dif_tasa", weight="copies"),
+        stages=stages,
+    ), run)
 
 
 def run_multi(
@@ -108,48 +135,58 @@ def run_multi(
     exps: Sequence[float] = SWEEP_EXPONENTS,
     final_exp: float = 2.0,
     min_score: int = MIN_RISK_SCORE,
-    stage_grid: bool = True,
+    run: Mapping | None = None,
 ) -> MultiResult:
+    """Score filter, rate floors, trade-off sweep and final selection."""
     inds = list(indicators)
     g = expected(score_filter(grid, min_score), inds)
-    capped = rate_floor(g, floors)
-    if stage_grid:
-        capped = stage(capped, "capped-multi")
-    baseline = portfolio(lead_rows_under_ceiling(capped), inds)
-    return MultiResult(
-        grid=g,
-        capped=capped,
-        baseline=baseline,
-        tradeoff=tradeoff(capped, baseline, target, inds, exps, tie="min"),
-        final=final_selection(capped, target, final_exp, inds, tie="sum", distinct_on=(COLS.client,)),
-    )
+    with stage_scope() as stages:
+        capped = stage(rate_floor(g, floors), "capped-multi")
+        baseline = portfolio(lead_rows_under_ceiling(capped), inds)
+        trade = tradeoff(capped, baseline, target, inds, exps, tie="min", stage_rows=False)
+        final = final_selection(capped, target, final_exp, inds, tie="sum", distinct_on=(COLS.client,),
+                                stage_rows=False)
+    return _with_run(MultiResult(grid=g, capped=capped, baseline=baseline, tradeoff=trade, final=final,
+                                 stages=stages), run)
 
 
 def run_pandas_rules(
     grid: DataFrame,
     product: DataFrame,
+    bands: Sequence[Band],
     indicator: str = "van",
     exp: float = 0.5,
     caps: Sequence[tuple[int, int]] = DEFAULT_CAPS,
-    bands: Sequence[Band] = DEFAULT_BANDS,
+    run: Mapping | None = None,
 ) -> PandasRulesResult:
+    """Caps and bands with unknown comparisons as false; means, maxima and sums
+    skip null and NaN, and a sum of nothing is 0."""
     inds = [indicator]
     g = expected(grid, inds)
     enriched = enrich(cap_iterations(g, caps), product)
-    scored = objective_pandas_fill(enriched, indicator, exp)
-    return PandasRulesResult(
+    score = nan_to_null(OBJ)
+    stats = objective_pandas_fill(enriched, indicator, exp).groupBy(COLS.key).agg(
+        F.max(score).alias(f"m_{OBJ}"), F.coalesce(F.sum(score), F.lit(0.0)).alias(f"s_{OBJ}"))
+    return _with_run(PandasRulesResult(
         capped=rate_band(enriched, bands, unmatched="keep"),
         baseline=lead_summary_pandas(lead_rows(g), inds),
-        key_stats=key_stats(scored.select(COLS.key, "obj_funct_p_1"), [], ("obj_funct_p_1",)),
-    )
-
-
-def write_outputs(result, out_dir: str, partition_by: Sequence[str] = ()) -> None:
-    """Write every DataFrame of a pipeline result under ``out_dir/<name>``."""
-    for f in fields(result):
-        df = getattr(result, f.name)
-        parts = [c for c in partition_by if c in df.columns]
-        write_stage(df, f"{out_dir.rstrip('/')}/{f.name}", parts)
-
-
-__all__ = ["run_single", "run_multi", "run_pandas_rules", "write_outputs", "fill_numeric"]
+        key_stats=stats,
+    ), run)
+
+
+def write_outputs(result, out_dir: str, partition_by: Sequence[str] = (), keep_stages: bool = False) -> None:
+    """Write every DataFrame of a pipeline result under ``out_dir/<name>``, then
+    delete the run's stages.  A table that lacks a partition column is an error
+    (pass ``run`` to the pipeline): nothing is written then."""
+    tables = {f.name: getattr(result, f.name) for f in fields(result) if isinstance(getattr(result, f.name), DataFrame)}
+    for name, df in tables.items():
+        absent = [c for c in partition_by if c not in df.columns]
+        if absent:
+            raise ValueError(f"{name} lacks partition columns: {', '.join(absent)}")
+    for name, df in tables.items():
+        write_stage(df, f"{out_dir.rstrip('/')}/{name}", partition_by)
+    if not keep_stages and tables:
+        drop_stages(next(iter(tables.values())).sparkSession, result.stages)
+
+
+__all__ = ["run_single", "run_multi", "run_pandas_rules", "write_outputs"]

@@ -8,18 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import ratio
-from rategrid.operators.selection import (
-    HOT_ROWS,
-    ROWS_PER_TASK,
-    best_rate,
-    chosen_rows,
-    rate_groups,
-    sweep_plan,
-    unpivot_picks,
-)
+from rategrid.operators.selection import chosen_rows, rate_groups, sweep_picks, unpivot_picks
+from rategrid.operators.skew import ROWS_PER_TASK
 from rategrid.operators.summary import compare, portfolio
 from rategrid.rules import SWEEP_EXPONENTS
 from rategrid.schema import COLS
+from rategrid.sources.io import stage
 
 
 def scenario_summary(chosen: DataFrame, indicators: Sequence[str], weighted: bool = True) -> DataFrame:
@@ -36,27 +30,34 @@ def sweep_summaries(
     tie: str = "min",
     key: str = COLS.key,
     distinct_on: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """Per exponent, the summary of the chosen portfolio (``exp`` + ``_e`` columns).
 
-    One narrow join of the grid with its key statistics (salted for hot keys,
-    see :func:`rategrid.operators.selection.sweep_plan`) feeds the picks (a
-    ``groupBy`` on the key); the per-(key, rate) partial sums are a partial
-    aggregation of the grid itself.  The picks, unpivoted to (key, exp, rate),
-    meet the groups (both aggregated tables), and the final ``groupBy(exp)``
-    has at most ``len(exps)`` groups.  Each recovered row counts ``copies``
-    times.
+    Eager: the columns the sweep reads are staged once (``stage_rows``; pass False
+    if ``grid`` is itself a stage), so the grid is computed a single time.  One
+    narrow salted join with the key statistics gives the picks
+    (:func:`rategrid.operators.selection.sweep_picks`); the picks are reduced to
+    distinct (key, rate) with the list of their exponents; only rows at such a
+    rate are aggregated, and the exponents are expanded last, so the final
+    ``groupBy(exp)`` has at most ``len(exps)`` groups.  Each recovered row counts
+    ``copies`` times.  Repeated exponents are an error.
     """
     exps = tuple(float(e) for e in exps)
-    plan = sweep_plan(grid, target, exps, tie, key=key, hot_rows=hot_rows, rows_per_task=rows_per_task)
-    picks = unpivot_picks(plan.picks, plan.exps, key)
-    # the groups need no key statistics: aggregate the grid directly (a
-    # partial aggregation on (key, rate), so a hot key collapses map-side)
-    groups = rate_groups(grid, indicators, key=key, distinct_on=distinct_on).withColumnRenamed(
-        COLS.rate, "tasa_of_1")
-    hit = picks.join(groups, on=[key, "tasa_of_1"], how="inner")
+    if len(set(exps)) != len(exps):
+        raise ValueError(f"exponents repeat: {exps}")
+    on = list(distinct_on) if distinct_on is not None else [COLS.client, COLS.step]
+    cols = dict.fromkeys([key, COLS.step, COLS.rate, COLS.amount, COLS.prob, target, *on, COLS.expected_amount,
+                          *[f"{i}_estimado" for i in indicators]])
+    rows = grid.select(*cols)
+    if stage_rows:
+        rows = stage(rows, "sweep-rows")
+    picks, salts = sweep_picks(rows, target, exps, tie, key=key, rows_per_task=rows_per_task)
+    wanted = unpivot_picks(picks, exps, key).groupBy(key, F.col("tasa_of_1").alias("_pick")).agg(
+        F.sort_array(F.collect_list("exp")).alias("_exps"))
+    groups = rate_groups(rows, indicators, wanted, key=key, distinct_on=on, salts=salts)
+    hit = groups.withColumn("exp", F.explode("_exps"))
     w = F.col("copies")
 
     def wsum(c: str):
@@ -70,10 +71,10 @@ def sweep_summaries(
         *[wsum(f"s_{i}_estimado").alias(f"{i}_estimado_e") for i in indicators],
     )
     exps_df = grid.sparkSession.createDataFrame([(e,) for e in exps], "exp double")
-    cols = ["prob_e", "tasa_cli_e", "tasa_pnd_e", "mto_estimado_e"] + [f"{i}_estimado_e" for i in indicators]
+    out = ["prob_e", "tasa_cli_e", "tasa_pnd_e", "mto_estimado_e"] + [f"{i}_estimado_e" for i in indicators]
     # every exponent keeps a row, with null summaries when nothing was chosen;
     # both sides hold at most len(exps) rows
-    return exps_df.join(F.broadcast(per_exp), on="exp", how="left").select(*cols, "exp")
+    return exps_df.join(F.broadcast(per_exp), on="exp", how="left").select(*out, "exp")
 
 
 def tradeoff(
@@ -83,13 +84,14 @@ def tradeoff(
     indicators: Sequence[str],
     exps: Sequence[float] = SWEEP_EXPONENTS,
     tie: str = "min",
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """Trade-off table: the lead ``baseline`` beside the chosen portfolio of
     each exponent, with absolute and relative differences (one row per
     exponent)."""
-    summ = sweep_summaries(grid, target, indicators, exps, tie, hot_rows=hot_rows, rows_per_task=rows_per_task)
+    summ = sweep_summaries(grid, target, indicators, exps, tie, rows_per_task=rows_per_task,
+                           stage_rows=stage_rows)
     return compare(summ, baseline, indicators)
 
 
@@ -100,12 +102,17 @@ def final_selection(
     indicators: Sequence[str],
     tie: str = "sum",
     distinct_on: Sequence[str] | None = None,
-    hot_rows: int = HOT_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """Grid rows at the rate chosen for one exponent (plus ``copies``).
 
     With ``tie="sum"`` several best rates of a key are added, and the key
-    keeps only rows at that sum (often none)."""
-    picks = best_rate(grid, target, exp, indicators, tie, hot_rows=hot_rows, rows_per_task=rows_per_task)
-    return chosen_rows(grid, picks, distinct_on=distinct_on, hot_rows=hot_rows, rows_per_task=rows_per_task)
+    keeps only rows at that sum (often none).
+
+    Eager: the grid is staged once (``stage_rows``; pass False if it is a stage
+    already).  Statistics, picks and copies then read a few of its columns, and
+    the full-width rows are shuffled once, to meet the chosen rates."""
+    rows = stage(grid, "grid") if stage_rows else grid
+    picks, salts = sweep_picks(rows, target, [exp], tie, rows_per_task=rows_per_task)
+    return chosen_rows(rows, picks, pick_col="t_0", distinct_on=distinct_on, salts=salts)

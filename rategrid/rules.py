@@ -38,16 +38,6 @@ DEFAULT_CAPS: tuple[tuple[int, int], ...] = (
     (7, 2),
 )
 
-# Rate bands per subsegment (lower bound, upper bound), placeholder names S1..S6.
-DEFAULT_BANDS: tuple[Band, ...] = (
-    Band("S1", 0.145, 0.959),
-    Band("S2", 0.145, 0.959),
-    Band("S3", 0.195, 0.959),
-    Band("S4", 0.235, 0.959),
-    Band("S5", 0.135, 0.429),
-    Band("S6", 0.125, 0.199),
-)
-
 # Global rate ceiling applied to lead rows in portfolio summaries.
 LEAD_RATE_CEILING = 0.959
 

@@ -30,6 +30,7 @@ COLS = GridColumns()
 GRID_SCHEMA = T.StructType(
     [
         T.StructField("codmes", T.IntegerType()),
+        T.StructField("campana", T.StringType()),
         T.StructField("seg_wtp_cef", T.IntegerType()),
         T.StructField("numscoreriesgo", T.IntegerType()),
         T.StructField("codsubsegmento", T.StringType()),
@@ -52,6 +53,11 @@ GRID_SCHEMA = T.StructType(
     ]
 )
 
+# Grid of the multi-indicator pipeline.
+MULTI_GRID_SCHEMA = T.StructType(
+    GRID_SCHEMA.fields + [T.StructField(c, T.DoubleType()) for c in ("roa", "avg_balance", "roa_saldo")]
+)
+
 # Product attributes per offer (CSV with header).
 PRODUCT_SCHEMA = T.StructType(
     [

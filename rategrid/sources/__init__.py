@@ -2,9 +2,11 @@
 
 from rategrid.sources.io import (  # noqa: F401
     checkpoint_dir,
+    drop_stages,
     export_csv,
     read_csv_table,
     read_grid,
     stage,
+    stage_scope,
     write_stage,
 )

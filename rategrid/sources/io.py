@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from rategrid.operators.prep import normalise_names
+_scope: ContextVar[list | None] = ContextVar("stages", default=None)
 
 
 def read_grid(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -16,18 +18,22 @@ def read_grid(spark: SparkSession, path: str, schema: T.StructType | None = None
 
     With ``schema`` the declared columns are read (the rest pruned by the
     scan); filters applied later are pushed into the Parquet reader."""
+    from rategrid.operators.prep import conform, normalise_names
+
     df = normalise_names(spark.read.parquet(path))
-    if schema is not None:
-        from rategrid.operators.prep import conform
+    return df if schema is None else conform(df, schema)
 
-        df = conform(df, schema)
-    return df
 
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
+                   strict: bool = True, missing: str = "error") -> DataFrame:
+    """CSV with header: the columns of ``schema``, found by header name in any
+    case and order (others are ignored) and cast to its types.  A missing column
+    raises at once, malformed text when it is read; ``strict=False`` and
+    ``missing="null"`` ask for nulls instead."""
+    from rategrid.operators.prep import conform, normalise_names
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Typed CSV read with header (no schema inference).  Header names are
-    matched to ``schema`` by position, as Spark's CSV reader does."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    text = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    return conform(normalise_names(text), schema, strict=strict, missing=missing)
 
 
 def write_stage(
@@ -38,7 +44,11 @@ def write_stage(
 ) -> None:
     """Overwrite a Parquet stage.  With ``partition_by`` and ``dynamic`` only
     the partitions present in ``df`` are replaced, so runs for other months or
-    campaigns survive."""
+    campaigns survive.  A partition column ``df`` lacks is an error: writing
+    without it would replace the other runs."""
+    absent = [c for c in partition_by if c not in df.columns]
+    if absent:
+        raise ValueError(f"partition columns missing: {', '.join(absent)}")
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -53,22 +63,12 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared lineage-cut folder named by ``spark.checkpoint.dir``.
-
-    When the setting is missing, a local session (tests, single machine) gets
-    a fresh folder under /tmp; a cluster session must name a shared folder,
-    because a machine-local one does not survive the loss of that machine."""
+    """The shared lineage-cut folder named by ``spark.checkpoint.dir`` (see
+    :func:`rategrid.session.configure` for sessions that set none)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    if spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        d = tempfile.mkdtemp(prefix="rategrid-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-        return d
-    raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+    if not d:
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+    return d
 
 
 def stage(df: DataFrame, name: str | None = None) -> DataFrame:
@@ -78,8 +78,31 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     Every call writes a new folder (the name gets a unique suffix), so a
     stage is never overwritten while an earlier plan still reads it.  The
     stage lives in shared storage and survives executor loss, unlike a local
-    checkpoint; later scans of it prune columns and push filters."""
+    checkpoint; later scans of it prune columns and push filters.  Inside a
+    :func:`stage_scope` its path is noted there."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name or 'df'}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def stage_scope() -> Iterator[list[str]]:
+    """Collects the paths of the stages written inside, for :func:`drop_stages`."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+
+
+def drop_stages(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stages by path (only paths a :func:`stage_scope` noted)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(conf).delete(p, True)

@@ -7,7 +7,7 @@ scale factor.  Everything is a lazy DataFrame over the Parquet files.
 * ``dense_grid``: every order x steps -8..8 (a complete grid, unique steps).
 * ``gappy_grid``: the dense grid with nulls and NaN derived from order
   attributes (missing value, probability and rate cells).
-* ``natural_grid``: line items 1..7 as steps of their order; keys may lack a
+* ``natural_grid``: line items as steps of their order; keys may lack a
   lead row, repeat a step and share rates (ties).
 * ``product_table`` / ``floor_table``: per-order side tables; some orders have
   no row (so left joins leave unmatched keys).
@@ -92,8 +92,27 @@ def gappy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("o_orderstatus", "o_orderpriority")
 
 
+def gappy_lead_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gappy grid with missing cells in lead rows too: at step 0 ``prob_adj_ef``
+    is NaN for priority '2-HIGH', ``van`` is null for priority '3-MEDIUM' and NaN for
+    '4-NOT SPECIFIED', ``tasa_propuesta`` is null for '1-URGENT'; orders whose key is a
+    multiple of 5 have no ``van`` at any step (all-null keys), of 7 a NaN at step 1."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_k"),
+                                              F.col("o_orderkey").cast("string").alias("llave"), "o_orderpriority")
+    g = gappy_grid(spark, sf_dir).join(o, on="llave", how="inner")
+    nan, none, p, lead = F.lit(float("nan")), F.lit(None).cast("double"), F.col("o_orderpriority"), F.col("iter") == 0
+    van = (F.when((F.col("_k") % 5 == 0) | (lead & (p == "3-MEDIUM")), none)
+           .when((lead & (p == "4-NOT SPECIFIED")) | ((F.col("_k") % 7 == 0) & (F.col("iter") == 1)), nan)
+           .otherwise(F.col("van")))
+    return g.withColumns({
+        "van": van,
+        "prob_adj_ef": F.when(lead & (p == "2-HIGH"), nan).otherwise(F.col("prob_adj_ef")),
+        "tasa_propuesta": F.when(lead & (p == "1-URGENT"), none).otherwise(F.col("tasa_propuesta")),
+    }).drop("_k", "o_orderpriority")
+
+
 def natural_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items 1..7 as the steps -3..3 of their order.
+    """Line items as the steps ``linenumber - 4`` of their order.
 
     ``llave = orderkey``, ``codclavecic = orderkey``, ``tasa = discount``,
     ``mto = extendedprice``, ``prob = 0.9 - 5*discount``,
@@ -101,7 +120,7 @@ def natural_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     d = F.col("l_discount")
-    return li.where(F.col("l_linenumber").between(1, 7)).select(
+    return li.select(
         F.lit(1).alias("seg_wtp_cef"),
         F.col("l_orderkey").alias("codclavecic"),
         F.col("l_orderkey").cast("string").alias("llave"),
@@ -116,7 +135,7 @@ def natural_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hot_key_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line-item grid with every returned item (flag 'R', a third of all
     rows) under one offer key 'R': a single key holding a third of the data."""
-    flag = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber").between(1, 7))
+    flag = table(spark, sf_dir, "lineitem")
     return flag.select(
         F.lit(1).alias("seg_wtp_cef"),
         F.col("l_orderkey").alias("codclavecic"),

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rategrid.operators.limits import cap_iterations, rate_band, rate_floor, score_filter
-from rategrid.rules import DEFAULT_BANDS
+from rategrid.rules import Band
+
+BANDS = (Band("S1", 0.145, 0.959), Band("S4", 0.235, 0.959), Band("S6", 0.125, 0.199))
 
 RATES = [0.01, 0.15, 0.21, 0.30, 0.97, None]
 
@@ -23,7 +25,7 @@ def kept(df):
 
 
 def test_band_drop_three_valued(banded):
-    got = kept(rate_band(banded, DEFAULT_BANDS, unmatched="drop"))
+    got = kept(rate_band(banded, BANDS, unmatched="drop"))
     # no product match: always dropped; unlisted flag: always kept (also with a null rate)
     assert not any(f is None for f, _ in got)
     assert {r for f, r in got if f == "UNLISTED"} == set(RATES)
@@ -32,15 +34,38 @@ def test_band_drop_three_valued(banded):
 
 
 def test_band_keep_two_valued(banded):
-    got = kept(rate_band(banded, DEFAULT_BANDS, unmatched="keep"))
+    got = kept(rate_band(banded, BANDS, unmatched="keep"))
     assert {r for f, r in got if f is None} == set(RATES)
     assert {r for f, r in got if f == "UNLISTED"} == set(RATES)
     assert {r for f, r in got if f == "S1"} == {0.15, 0.21, 0.30, None}
 
 
+def test_bands_are_required(banded):
+    with pytest.raises(ValueError):
+        rate_band(banded, ())
+
+
+def test_when_rows_without_flag_always_fail(banded):
+    from rategrid.operators.limits import bands_need_flag
+
+    assert bands_need_flag(BANDS)
+    loose = (Band("S1", 0.1, 0.9), Band("S2", 0.2, None))
+    assert not bands_need_flag(loose)
+    assert (None, 0.30) in kept(rate_band(banded, loose))
+
+
+def test_enrich_dedupe_is_deterministic(spark):
+    from rategrid.operators.limits import enrich
+
+    g = spark.createDataFrame([("a", 1), ("b", 2)], "llave string, x int")
+    side = spark.createDataFrame([("a", "z", 2), ("a", "y", 1), ("a", "x", 3)], "llave string, flg_subsegmento_consumo string, o int")
+    rows = {r.llave: r.flg_subsegmento_consumo for r in enrich(g, side, dedupe=["o"]).collect()}
+    assert rows == {"a": "y", "b": None}
+
+
 def test_band_is_idempotent(banded):
-    once = rate_band(banded, DEFAULT_BANDS)
-    assert kept(rate_band(once, DEFAULT_BANDS)) == kept(once)
+    once = rate_band(banded, BANDS)
+    assert kept(rate_band(once, BANDS)) == kept(once)
 
 
 def test_caps(spark):

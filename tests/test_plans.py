@@ -19,21 +19,67 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def scans(df, path: str) -> int:
+    return len([line for line in plan(df).splitlines() if "FileScan parquet" in line and path in line])
+
+
+class Writes:
+    """Plans of the stages written inside (each stage is one job)."""
+
+    def __init__(self, monkeypatch, module):
+        self.plans = []
+        real = module.stage
+
+        def spy(df, name=None):
+            self.plans.append((name, plan(df)))
+            return real(df, name)
+
+        monkeypatch.setattr(module, "stage", spy)
+
+
 def test_sweep_plan_shape(spark):
     capped = stage(capped_single(spark, SF_SMALL), "plan-test")
     base = portfolio(lead_rows(grid_single(spark, SF_SMALL)), ["van"])
-    p = plan(tradeoff(capped, base, "van", ["van"]))
+    out = tradeoff(capped, base, "van", ["van"], stage_rows=False)
+    p = plan(out)
     assert "Window" not in p
-    assert "SortAggregate" not in p
     assert "CartesianProduct" not in p
-    # the staged grid is read by the join and rate-group branches only (the key
-    # statistics are a stage of their own)
-    scans = [line for line in p.splitlines() if "FileScan parquet" in line]
-    assert len([line for line in scans if "stage-plan-test" in line]) <= 2
+    # the staged grid is read by the picks' join, and by the rows that meet the picks
+    assert scans(out, "stage-plan-test") <= 2
     # the one-row baseline is the only broadcast nested-loop side
     assert len(re.findall("BroadcastNestedLoopJoin", p)) == 1
 
 
+def test_sweep_groups_only_chosen_rates(spark):
+    """(key, rate) rows meet the picks before the distinct count."""
+    capped = stage(capped_single(spark, SF_SMALL), "plan-groups")
+    base = portfolio(lead_rows(grid_single(spark, SF_SMALL)), ["van"])
+    p = plan(tradeoff(capped, base, "van", ["van"], stage_rows=False))
+    joined = p.index("_pick")
+    distinct = p.index("codclavecic")
+    assert joined >= 0 and distinct >= 0
+    # the tree is printed from the top: the grouping on the client stands above the join with the picks
+    grouping = min(i for i, line in enumerate(p.splitlines()) if "HashAggregate" in line and "codclavecic" in line)
+    join = min(i for i, line in enumerate(p.splitlines()) if "Join" in line and "_pick" in line)
+    assert grouping < join
+
+
+def test_final_selection_computes_the_grid_once(spark, monkeypatch):
+    """Counting the jobs of its stages, the source tables behind the grid are
+    scanned by one stage only."""
+    from importlib import import_module
+
+    sel, tr = import_module("rategrid.operators.selection"), import_module("rategrid.plans.tradeoff")
+    a, b = Writes(monkeypatch, sel), Writes(monkeypatch, tr)
+    out = tr.final_selection(capped_single(spark, SF_SMALL), "van", 2.5, ["van"])
+    plans = [p for _, p in a.plans + b.plans] + [plan(out)]
+    source = [len([x for x in p.splitlines() if "FileScan parquet" in x and "orders.parquet" in x]) for p in plans]
+    assert sum(n > 0 for n in source) == 1
+    # the staged full-width grid: statistics, picks and copies read few columns, one scan reads all
+    wide = [x for p in plans for x in p.splitlines() if "FileScan parquet" in x and "stage-grid" in x and "roa_saldo" in x]
+    assert len(wide) == 1
+
+
 def test_cap_predicate_pushed_to_parquet(spark, tmp_path):
     path = str(tmp_path / "grid")
     grid_single(spark, SF_SMALL).write.parquet(path)
@@ -45,24 +91,70 @@ def test_cap_predicate_pushed_to_parquet(spark, tmp_path):
     assert m and set(m.group(1).split(",")) == {"llave:string", "seg_wtp_cef:int", "iter:int"}
 
 
-def test_hot_key_is_salted_over_many_tasks(spark):
+def test_gate_counts_rows_per_key_at_any_total(spark):
+    """10^12 rows: one key of 900 M rows and 2,000 keys of 500 M rows are split,
+    whatever share of the data they are; small keys are not."""
+    from rategrid.operators.skew import SALT_BUCKETS, key_bucket, salt_table
+
+    rows = [("big", 900_000_000)] + [(f"k{i}", 500_000_000) for i in range(2000)] + [(f"s{i}", 1000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "llave string, _n long")
+    salts = salt_table(df)
+    got = {r.llave: r._salts for r in df.withColumn("_bucket", key_bucket("llave")).join(salts, "_bucket", "left").collect()}
+    assert got["big"] >= 450 and all(got[f"k{i}"] >= 250 for i in range(2000))
+    assert sum(got[f"s{i}"] is not None for i in range(3000)) < 30     # only by sharing a bucket
+    assert salts.count() <= 2001 <= SALT_BUCKETS
+
+
+def test_hot_key_rows_are_salted_over_many_tasks(spark):
     from rategrid.catalog import grid_hot_key
-    from rategrid.operators.selection import attach_key_stats
-
-    g = grid_hot_key(spark, "/root/testdata/sf0.01").select("llave", "iter", "tasa_propuesta", "van")
-    stats = g.groupBy("llave").agg(F.max("van").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    j = attach_key_stats(g, stats, hot_rows=1000, rows_per_task=2000)
-    hot = j.where(F.col("llave") == "R")
-    # every row keeps its key statistics, and the hot key spans several tasks
-    assert hot.where(F.col("_m").isNull()).count() == 0
-    assert hot.count() == g.where(F.col("llave") == "R").count()
-    # tiny data would be broadcast or merged into one partition: force the shuffled join
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    from rategrid.operators.skew import key_join, row_salts, salted
+
+    g = stage(grid_hot_key(spark, "/root/testdata/sf0.01").select("llave", "iter", "tasa_propuesta", "van").repartition(8), "hot")
+    salts = row_salts(g, rows_per_task=2000)
+    per = salted(g, salts, "llave", g.columns).groupBy("llave", "_salt").count()
+    hot = [r["count"] for r in per.where("llave = 'R'").collect()]
+    n = g.where("llave = 'R'").count()
+    assert len(hot) >= 8 and max(hot) < n / 4
+    assert per.where("llave <> 'R' AND _salt > 0").groupBy("llave").count().count() < 20
+    side = g.groupBy("llave").agg(F.max("van").alias("m"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert hot.select(F.spark_partition_id()).distinct().count() > 1
+        j = key_join(g, side, salts)
+        assert j.count() == g.count() and j.where("m IS NULL").count() == 0
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # other keys are not replicated
-    assert j.count() == g.count()
+
+
+def test_equal_rows_get_different_salts(spark):
+    from rategrid.operators.skew import row_salts, salted
+
+    g = spark.range(10_000, numPartitions=32).select(F.lit("a").alias("llave"), F.lit(1.0).alias("x"))
+    s = salted(g, row_salts(g, rows_per_task=1250), "llave", ["llave", "x"])
+    per = [r["count"] for r in s.groupBy("_salt").count().collect()]
+    assert len(per) >= 6 and max(per) < 5000
+    assert s.exceptAll(salted(g, row_salts(g, rows_per_task=1250), "llave", ["llave", "x"])).count() == 0
+
+
+def test_hot_key_joins_without_broadcast(spark):
+    from rategrid.catalog import QUERIES
+
+    names = ["nearest_rate_hot_key", "rate_floor_hot_key", "enrich_hot_key", "rate_change_hot_key", "best_rate_hot_key"]
+    want = {n: QUERIES[n](spark, SF_SMALL).collect() for n in names}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in names:
+            got = QUERIES[n](spark, SF_SMALL).collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want[n])), n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rate_change_output_is_bounded_by_distinct_lead_rates(spark):
+    from rategrid.catalog import QUERIES, grid_hot_key
+
+    sf = "/root/testdata/sf0.01"
+    g = grid_hot_key(spark, sf)
+    leads = g.where("iter = 0 AND llave = 'R'").select("tasa_propuesta").distinct().count()
+    rows = QUERIES["rate_change_hot_key"](spark, sf).where("llave = 'R'")
+    chosen = QUERIES["chosen_rows_hot_key"](spark, sf).where("llave = 'R'").count()
+    assert 0 < rows.count() <= chosen * leads

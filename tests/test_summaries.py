@@ -67,10 +67,34 @@ def test_weighted_portfolio_equals_fanout(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), (None, float("nan"))], "s string, x double")
-    got = {r.column: (r.non_null, r.distinct, r.rows) for r in profile(df).collect()}
+    got = {r.column: (r.non_null, r.distinct, r.rows) for r in profile(df, df.columns).collect()}
     assert got == {"s": (2, 1, 3), "x": (2, 2, 3)}
 
 
+def test_histogram_ignores_nan(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,)], "x double")
+    assert {r.bin: (r.lo, r.n) for r in histogram(df, "x", bins=2).collect()} == {1: (0.0, 1), 2: (0.5, 1)}
+
+
+def test_pandas_rules_skip_nan(spark):
+    from rategrid.operators.summary import lead_summary_pandas
+
+    nan = float("nan")
+    df = spark.createDataFrame([(0.2, 100.0, nan, nan, nan), (0.4, 50.0, 0.5, 75.0, None), (None, 150.0, 0.5, nan, None)],
+                               "tasa_propuesta double, mtofinalofertadosol double, prob_adj_ef double, mto_estimado double, van_estimado double")
+    r = lead_summary_pandas(df, ["van"]).first()
+    assert (r.prob, r.mto_estimado, r.van_estimado, r.clientes) == (0.5, 75.0, 0.0, 3)
+    assert r.tasa_cli == pytest.approx(0.3) and r.oferta == 300.0
+
+
+def test_repeated_exponents_are_an_error(spark):
+    from rategrid.plans.tradeoff import sweep_summaries
+
+    g = spark.createDataFrame([("a", 0, 0.1)], "llave string, iter int, tasa_propuesta double")
+    with pytest.raises(ValueError):
+        sweep_summaries(g, "van", ["van"], [1.0, 1.0])
+
+
 def test_top_offer_ties(spark):
     o = spark.createDataFrame([(1, 10, 5.0), (1, 11, 7.0), (1, 9, 7.0), (2, 20, None), (2, 21, 1.0)],
                               "codclavecic long, codoferta long, mtofinalofertadosol double")
