@@ -8,7 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rategrid.sources.io import stage
+from rategrid.session import ensure_checkpoint_dir
+from rategrid.sources import io
 
 WORD = r"[^\x20\x09-\x0D]+"
 # rows of one Arrow batch sent to Python: long texts stay a few MB per batch
@@ -27,6 +28,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the session's checkpoint folder and read it back."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return io.stage(df, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rategrid.llm.common import prepare, stage
+from rategrid.session import ensure_checkpoint_dir
 from rategrid.sources.io import checkpoint_dir
 
 CHUNK_BYTES = 1 << 16
@@ -270,7 +271,7 @@ def read_chunks(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payloa
 
 def roundtrip(spark: SparkSession, pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write ``pages`` as archives, read them back: a row per record."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(ensure_checkpoint_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     chunks = read_chunks(write_archives(pages, folder), chunk_bytes, with_payload=False)
     return chunks.where("is_last").select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to",
