@@ -10,8 +10,9 @@ scores are sums of impacts.
 
 A block processes the segments of all dimensions in order of descending
 quantised impact.  After each round a vector's score is at least its
-accumulated lower bounds and at most the accumulated upper bounds plus the
-highest impact left in every dimension.  A vector whose upper bound is below the
+accumulated lower bounds and at most the accumulated upper bounds plus, for
+every dimension whose posting of it is still unread, the highest impact left
+there.  A vector whose upper bound is below the
 ``k``-th best lower bound (or the threshold proven on the seed block) cannot be a
 member; the block stops once few others remain (or all segments are read) and
 rescores them exactly in integers.  The per-block results (at most ``k`` a query) are merged by
@@ -39,86 +40,77 @@ from rategrid.llm.common import prepare, stage
 K = 10
 SCALE = 1024
 EVERY = 100                      # queries: ids divisible by this
-BLOCK = 2048                     # expected vectors of a block
+BLOCK = 8192                     # expected vectors of a block
 QUERY_BLOCK = 64                 # queries that meet a block at a time
-LEVELS = 64                      # quantised values per dimension
-ROUNDS = 12                      # times the bounds are looked at
+LEVELS = 128                     # quantised values per dimension
+ROUNDS = (0.2, 0.4, 0.5, 0.6, 0.75, 1.0)   # shares of the postings after which the bounds are looked at
+RESCORE = 4                      # rescoring a quarter of a block costs less than reading on
+
 
 
 class BlockIndex:
-    """Impact-ordered postings of one block of integer vectors."""
+    """Impact-ordered postings of one block of integer vectors: per dimension the
+    rows in order of quantised value, cut into one segment per value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.v = ids, vectors
+        self.ids, self.v, self.levels = ids, vectors, levels
         n, dims = vectors.shape
         self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
         width = np.maximum(1, -(-(self.high - self.low + 1) // levels))
-        level = (vectors - self.low) // width          # 0 .. levels - 1
-        self.levels = levels
-        self.order = np.argsort(level, axis=0, kind="stable").astype(np.int32)     # ascending level
-        self.start = np.stack([np.searchsorted(level[self.order[:, d], d], np.arange(levels + 1))
-                               for d in range(dims)], axis=1)                       # (levels + 1, dims)
-        edges = np.arange(levels + 1)[:, None] * width + self.low                   # values at level borders
-        self.lower = np.maximum(edges[:-1], self.low)
+        self.level = ((vectors - self.low) // width).astype(np.int16)               # 0 .. levels - 1
+        self.postings = np.argsort(self.level.T, axis=1, kind="stable").astype(np.int32).ravel()
+        self.size = np.stack([np.bincount(self.level[:, d], minlength=levels) for d in range(dims)], axis=1)
+        self.start = np.cumsum(self.size, axis=0) - self.size + n * np.arange(dims)  # of (level, dimension)
+        edges = np.arange(levels + 1)[:, None] * width + self.low                    # values at level borders
+        self.lower = np.minimum(np.maximum(edges[:-1], self.low), self.high)
         self.upper = np.minimum(edges[1:] - 1, self.high)
 
     def search(self, q: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """Exact ``k`` best ``(ids, scores)`` of the block for query vector ``q``
         that can reach ``threshold``, without the row ``own``; and the postings read."""
         n = len(self.ids)
+        alive = self.ids != own
         dims = np.nonzero(q)[0]
-        base = int((np.where(q > 0, self.low, self.high)[dims] * q[dims]).sum())
-        acc = np.zeros(n)                    # sum of lower bounds of seen impacts
-        slack = np.zeros(n)                  # what the quantisation of seen impacts may add
-        w = np.abs(q[dims]).astype(float)
-        up = q[dims] > 0
-        # per (level, dimension) impact bounds; level order runs from the highest impact down
-        lo = np.where(up, self.lower[:, dims] - self.low[dims], self.high[dims] - self.upper[:, dims]) * w
-        hi = np.where(up, self.upper[:, dims] - self.low[dims], self.high[dims] - self.lower[:, dims]) * w
-        top = float(hi.max()) if len(dims) else 0.0
-        done = np.where(up, self.levels, 0)  # frontier: levels processed from the high-impact end
         read = 0
-        alive = np.ones(n, bool)
-        alive[self.ids == own] = False
-        for r in range(1, ROUNDS + 1):
-            cut = top * (1 - r / ROUNDS) ** 2
-            ids, add, loose = [], [], []
-            for c, d in enumerate(dims):
-                if up[c]:
-                    to = int(np.searchsorted(hi[:, c], cut, side="left"))
-                    lev = range(to, done[c])
-                else:
-                    to = self.levels - int(np.searchsorted(hi[::-1, c], cut, side="left"))
-                    lev = range(done[c], to)
-                if len(lev) == 0:
-                    continue
-                a, b = self.start[lev[0], d], self.start[lev[-1] + 1, d]
-                if b > a:
-                    size = self.start[lev[0] + 1:lev[-1] + 2, d] - self.start[lev[0]:lev[-1] + 1, d]
-                    ids.append(self.order[a:b, d])
-                    add.append(np.repeat(lo[lev[0]:lev[-1] + 1, c], size))
-                    loose.append(np.repeat((hi - lo)[lev[0]:lev[-1] + 1, c], size))
-                done[c] = to
-            if ids:
-                at = np.concatenate(ids)
-                acc += np.bincount(at, weights=np.concatenate(add), minlength=n)
-                slack += np.bincount(at, weights=np.concatenate(loose), minlength=n)
-                read += len(at)
-            # highest impact left per dimension
-            left = np.array([hi[done[c] - 1, c] if up[c] and done[c] > 0 else
-                             hi[done[c], c] if not up[c] and done[c] < self.levels else 0.0
-                             for c in range(len(dims))])
-            lower = acc + base
-            upper = acc + slack + base + left.sum()
-            live = np.nonzero(alive)[0]
-            if not len(live):
-                break
-            bound = -np.inf if threshold is None else float(threshold)
-            if len(live) >= k:
-                bound = max(bound, np.partition(lower[live], len(live) - k)[len(live) - k])
-            alive[live] = upper[live] >= bound
-            if alive.sum() <= 4 * k or r == ROUNDS:
-                break
+        if len(dims):
+            up = q[dims] > 0
+            w = np.abs(q[dims]).astype(float)
+            base = float((np.where(up, self.low[dims], self.high[dims]) * q[dims]).sum())
+            # impact bounds of every segment (level, dimension)
+            lo = np.where(up, self.lower[:, dims] - self.low[dims], self.high[dims] - self.upper[:, dims]) * w
+            hi = np.where(up, self.upper[:, dims] - self.low[dims], self.high[dims] - self.lower[:, dims]) * w
+            loose = np.maximum((hi - lo).max(axis=0), 0)
+            order = np.argsort(-hi, axis=None, kind="stable")
+            size, start = self.size[:, dims], self.start[:, dims]
+            read_by = np.cumsum(size.ravel()[order])
+            level = self.level if len(dims) == self.level.shape[1] else self.level[:, dims]
+            acc, at = np.zeros(n), 0
+            done = np.zeros(len(dims), np.int64)          # segments read per dimension, from the high-impact end
+            for share in ROUNDS:
+                to = min(len(order), int(np.searchsorted(read_by, share * read_by[-1])) + 1)
+                lev, c = np.divmod(order[at:to], len(dims))
+                at = to
+                count = size[lev, c]
+                rows = self.postings[np.repeat(start[lev, c] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                acc += np.bincount(rows, weights=np.repeat(lo[lev, c], count), minlength=n)
+                read += len(rows)
+                done += np.bincount(c, minlength=len(dims))
+                # highest impact left per dimension; rows whose posting of a dimension is read
+                nxt = np.where(up, self.levels - 1 - done, done)
+                more = done < self.levels
+                left = np.where(more, hi[np.clip(nxt, 0, self.levels - 1), np.arange(len(dims))], 0.0)
+                seen = (level >= np.where(up, self.levels - done, done)) ^ ~up
+                lower = base + acc
+                upper = lower + left.sum() + seen.astype(float) @ (loose - left)
+                live = np.nonzero(alive)[0]
+                if not len(live):
+                    break
+                bound = -np.inf if threshold is None else float(threshold)
+                if len(live) >= k:
+                    bound = max(bound, np.partition(lower[live], len(live) - k)[len(live) - k])
+                alive[live] = upper[live] >= bound
+                if alive.sum() <= max(4 * k, n // RESCORE):
+                    break
         live = np.nonzero(alive)[0]
         exact = self.v[live] @ q
         if threshold is not None:
@@ -161,34 +153,43 @@ def pack(rows: DataFrame, block: str, width: int) -> DataFrame:
         run, "block int, ids binary, m binary")
 
 
-def search(pairs: DataFrame, width: int, k: int) -> DataFrame:
-    """Top ``k`` of every (query block, vector block) pair; pairs of a vector
-    block arrive together, so its index is built once."""
+def search(blocks: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """Top ``k`` of every (vector block, query block) pair.
+
+    ``asked`` names the vector block a query block is sent to.  A block moves once
+    and the (small) query blocks follow it in the same partition, so its index is
+    built once and no task holds more than one index and one batch of queries."""
+    rows = blocks.select("block", F.lit(0).alias("kind"), "ids", "m", F.lit(None).cast("binary").alias("limits")).unionByName(
+        asked.select("block", F.lit(1).alias("kind"), F.col("q_ids").alias("ids"), F.col("q").alias("m"), "limits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None
         for b in batches:
             for i in range(b.num_rows):
                 block = b.column(0)[i].as_py()
+                ids = np.frombuffer(b.column(2)[i].as_py(), np.int64)
+                m = np.frombuffer(b.column(3)[i].as_py(), np.int64).reshape(len(ids), width)
+                if b.column(1)[i].as_py() == 0:
+                    held, index = block, (ids, m)
+                    continue
                 if block != held:
-                    ids = np.frombuffer(b.column(1)[i].as_py(), np.int64)
-                    index = BlockIndex(ids, np.frombuffer(b.column(2)[i].as_py(), np.int64).reshape(len(ids), width))
-                    held = block
-                q_ids = np.frombuffer(b.column(3)[i].as_py(), np.int64)
-                q = np.frombuffer(b.column(4)[i].as_py(), np.int64).reshape(len(q_ids), width)
-                limit = b.column(5)[i].as_py()
+                    continue                                  # a block without vectors
+                if isinstance(index, tuple):
+                    index = BlockIndex(*index)
+                limit = b.column(4)[i].as_py()
                 limit = np.frombuffer(limit, np.int64) if limit is not None else None
                 out_q, out_v, out_s = [], [], []
-                for j, own in enumerate(q_ids.tolist()):
+                for j, own in enumerate(ids.tolist()):
                     t = None if limit is None or limit[j] == np.iinfo(np.int64).min else int(limit[j])
-                    v, s, _ = index.search(q[j], own, k, t)
+                    v, s, _ = index.search(m[j], own, k, t)
                     out_q.append(np.full(len(v), own))
                     out_v.append(v)
                     out_s.append(s)
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)],
                                       names=["query_id", "vec_id", "score"])
 
-    ordered = pairs.select("block", "ids", "m", "q_ids", "q", "limits").sortWithinPartitions("block")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return ordered.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -223,9 +224,9 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding", k: i
     first = blocks.agg(F.min("block")).first()[0]
 
     # seed block: its k-th best score is a proven threshold for the other blocks
-    seed_pairs = asked.withColumn("block", F.lit(first)).withColumn("limits", F.lit(None).cast("binary")).join(
-        blocks, "block")
-    seed = stage(search(seed_pairs, max(1, width), k), "seed-hits")
+    seed = stage(search(blocks.where(F.col("block") == first),
+                        asked.withColumn("block", F.lit(first)).withColumn("limits", F.lit(None).cast("binary")),
+                        max(1, width), k), "seed-hits")
     kth = seed.groupBy("query_id").agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("c"))
     limits = kth.where(F.col("c") == k).select("query_id", "t")
 
@@ -241,10 +242,9 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding", k: i
     with_limits = stage(asked.join(limits.withColumn("q_block", slot), "q_block", "left").groupBy("q_block").applyInArrow(
         pack_limits, "q_block int, q_ids binary, q binary, limits binary"), "query-limits")
     targets = blocks.where(F.col("block") != first)
-    # every query block meets every vector block: one row per pair of blocks, spread over tasks by vector block
-    pairs = with_limits.withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).where(F.col("block") != first).join(targets, "block")
-    rest = search(pairs, max(1, width), k)
+    # every query block meets every vector block; the query blocks, a small part of the data, are repeated
+    sent = with_limits.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).where(F.col("block") != first)
+    rest = search(targets, sent, max(1, width), k)
     return _ranked(seed.unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
