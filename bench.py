@@ -33,6 +33,10 @@ HEADLINE = [
     "rate_change_histogram",
     "lead_summary",
     "top_offer",
+    "nearest_rate",           # pre-aggregated distances, one salted join
+    "tradeoff_hot_key",       # sweep where one key holds a third of all rows
+    "pipeline_single",        # end-to-end pipeline, its trade-off table
+    "pipeline_multi",
 ]
 
 
