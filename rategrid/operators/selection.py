@@ -139,12 +139,14 @@ def best_rate(
     amount: str = COLS.amount,
     prob: str = COLS.prob,
     rows_per_task: int = ROWS_PER_TASK,
+    stage_rows: bool = True,
 ) -> DataFrame:
     """Per key: lead values, the pick on the expected target (``_sr``) and the
     pick on the score (``_of_1``) for one exponent.
 
     ``target`` is the raw indicator scored (``van``); ``{target}_estimado``
-    drives the ``_sr`` picks.  Output columns: ``llave, oferta, prob_lead,
+    drives the ``_sr`` picks.  Eager: the columns read are staged once
+    (``stage_rows``; pass False if ``grid`` is a stage).  Output columns: ``llave, oferta, prob_lead,
     iter_lead, iter_sr, iter_of_1, tasa_lead, tasa_sr, tasa_of_1, mto_lead,
     mto_sr, mto_of_1`` and ``{ind}_lead, {ind}_sr, {ind}_of_1`` per indicator.
     """
@@ -152,7 +154,7 @@ def best_rate(
         raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
     est = [f"{i}_estimado" for i in indicators]
     cols = list(dict.fromkeys([key, step, rate, amount, prob, target, COLS.expected_amount, *est]))
-    narrow = grid.select(*cols)
+    narrow = stage(grid.select(*cols), "rows") if stage_rows else grid.select(*cols)
     # filled copies (``fillna(0)``) computed inline, as SQL text (one JVM call per expression)
     f = {c: _filled_sql(narrow, c) for c in cols if c != key}
     st = f[step]

@@ -63,9 +63,11 @@ def key_join(rows: DataFrame, side: DataFrame, salts: DataFrame | None = None, k
              how: str = "inner", by: Sequence[str] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``rows`` joined with ``side`` on ``key`` (``how``: inner, left, left_semi),
     hot keys spread over salts.  ``salts`` defaults to those of ``rows``; ``by`` are
-    the columns hashed into the salt (default: all)."""
+    the columns hashed into the salt (default: those of key, step, rate and client
+    that ``rows`` has, or all)."""
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how must be inner, left or left_semi, got {how!r}")
     s = row_salts(rows, key, rows_per_task) if salts is None else salts
-    cols = list(by) if by is not None else rows.columns
+    own = [c for c in (key, COLS.step, COLS.rate, COLS.client) if c in rows.columns]
+    cols = list(by) if by is not None else own if len(own) > 1 else rows.columns
     return salted(rows, s, key, cols).join(repeated(side, s, key), on=[key, "_salt"], how=how).drop("_salt")
