@@ -317,7 +317,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
                     .select("_keep", "_keep_fp", F.col("_rep").isNotNull().alias("_again")), "keepers")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), key.alias("_key"))
     once = rows.join(keepers.where("NOT _again"), F.col("_key") == F.col("_keep"), "left_semi").select("_row")
-    some = rows.join(keepers.where("_again").select("_keep").distinct(), F.col("_key") == F.col("_keep"), "left_semi")
+    if keepers.where("_again").isEmpty():
+        return once.select("_row.*")
+    some = stage(rows.join(keepers.where("_again").select("_keep").distinct(), F.col("_key") == F.col("_keep"),
+                           "left_semi"), "repeated-ids")
     more = (with_fingerprint(some, f"_row.{text}", "_fp", shingle)
             .join(keepers.where("_again"), (F.col("_key") == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")),
                   "left_semi")
