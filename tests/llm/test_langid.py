@@ -111,3 +111,36 @@ def test_keep_known_passes_columns_through(spark):
     kept = langid.keep_known(df, langid.train(df))
     assert kept.columns == df.columns
     assert {d[0] for d in documents()[:60]} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_a_model_beyond_the_broadcast_bound_is_whole(spark):
+    # same figures from tables as from the broadcast: nothing is cut above max_grams
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    small, large = langid.train(docs), langid.train(docs, max_grams=1000)
+    assert isinstance(small, langid.Model) and isinstance(large, langid.TableModel)
+    assert 0 < len(large.hot_hash) <= 1000
+    a, b = ({r["doc_id"]: r for r in langid.predict(docs, m).collect()} for m in (small, large))
+    assert len(a) == len(b) > 0
+    for i in a:
+        assert a[i][:3] == b[i][:3] and a[i]["n_symbols"] == b[i]["n_symbols"] and a[i]["rejected"] == b[i]["rejected"]
+        assert math.isclose(a[i]["cross_entropy"], b[i]["cross_entropy"], abs_tol=1e-4)
+    for l, (limit, sigma) in small.limits.items():
+        assert np.allclose(large.limits[l], (limit, sigma), atol=1e-3)
+    df = frame(spark, extra=True)
+    kept = langid.keep_known(df, large)
+    assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(
+        map(repr, langid.keep_known(df, small).collect()))
+
+
+def test_a_rare_language_beside_a_hot_one_keeps_its_label(spark):
+    import random
+
+    r = random.Random(3)
+    hot = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(hot) for _ in range(200)), "hot", None, None) for i in range(60)]
+    rows += [(1000 + i, "qxv wzk yun " + "vkw " * (i % 2), "rare", None, None) for i in range(6)]
+    df = frame(spark, rows)
+    model = langid.train(df, max_grams=1)
+    got = {p["doc_id"]: p for p in langid.predict(df, model).collect()}
+    assert model.langs == ["hot", "rare"] and set(model.limits) == {"hot", "rare"}
+    assert all(got[i]["lang_pred"] == l and not got[i]["rejected"] for i, _, l, *_ in rows)
