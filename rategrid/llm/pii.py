@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans (leftmost, non-overlapping per kind; failing matches dropped): email,
-ip, card (Luhn), phone.  They are the seeds.  Every identifier-like word (one
-with a digit or ``@``) is an instance with lexical patterns: the two words
-before it, and the word on either side.  Spark scores the pattern-instance
-graph in rounds: a pattern's confidence is the mean score of its distinct
-instances, an instance's score the best confidence of its trusted patterns
-(seeds: 1).  A pattern is trusted from ``MIN_SUPPORT`` distinct seeds and
-confidence ``MIN_CONFIDENCE`` on.  Identifier-like words in a trusted pattern that
-touch no base span are added as kind ``id``.
+ip, card (Luhn), phone.  Each whole span, with spaces or not, is a seed instance;
+each identifier-like word (one with a digit or ``@``) that touches no span is an
+instance too.  An instance has lexical patterns: the two words before it, and
+the word on either side, where the neighbouring identifier counts as one
+placeholder word and the ends of the text as markers (a pattern has at least one
+word or placeholder).  Spark scores the pattern-instance graph in rounds: a
+pattern's confidence is the mean score of its distinct instances, an instance's
+score the best confidence of its trusted patterns (seeds: 1).  A pattern is
+trusted from ``MIN_SUPPORT`` distinct seeds or identifiers found in the round
+before, and confidence ``MIN_CONFIDENCE`` on.  Identifier-like words in a trusted
+pattern that touch no base span are added as kind ``id``.
 
 Offsets are code points, end exclusive; they come from the lengths of the
 pieces between matches, so no text is searched twice for a position.  All
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.llm.common import stage
+from rategrid.operators.skew import key_join
 
 # (?:(?<!x)|\G) starts only at the start of a run of x, or right after the
 # previous match: the leftmost match is the same and a run is scanned once.
@@ -45,6 +49,9 @@ MIN_CONFIDENCE = 0.7
 ROUNDS = 3
 MAX_PATTERNS = 1000              # trusted patterns of the final model (a literal list)
 _CONTEXT = 64                    # code points of context looked at on either side
+_BLANK = " \t\n\x0b\x0c\r"
+_START, _END, _NEIGHBOUR = "<s>", "</s>", "<id>"
+_SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
 def let(value: Column, body) -> Column:
@@ -98,54 +105,90 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """Valid spans of one kind, ``array<struct<s, e>>``."""
+    """Valid spans of one kind with their text, ``array<struct<s, e, m>>``."""
     spans = F.transform(F.filter(located(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"])),
-                        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    none = F.expr("CAST(array() AS array<struct<s:int,e:int>>)")
+                        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    none = F.expr(f"CAST(array() AS {_SPANS})")
     need = _NEEDS[kind]
     if need is not None:
         return F.when(F.contains(text, F.lit(need)), spans).otherwise(none)
     return F.when(text.rlike("[0-9]"), spans).otherwise(none)
 
 
-def _instances(text: Column) -> Column:
-    """Identifier-like words with their two patterns, ``array<struct<s, e,
-    token, patterns>>``; the patterns are null without a full context."""
-    def last_words(before: Column) -> Column:
-        return F.lower(F.regexp_extract(F.right(before, F.lit(_CONTEXT)),
-                                        r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0))
-
-    def describe(x: Column) -> Column:
-        two = F.trim(F.regexp_replace(last_words(x["before"]), r"[\x20\x09-\x0D]+", " "))
-        nxt = F.lower(F.regexp_extract(F.left(x["after"], F.lit(_CONTEXT)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-        one = F.element_at(F.split(two, " "), -1)
-        lead = F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9]*", 0))
-        token = F.regexp_extract(x["m"], r"^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$", 1)
-        return F.struct(
-            (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(token)).alias("e"), token.alias("token"),
-            F.array(F.when(two != "", F.concat(F.lit("LL "), two)),
-                    F.when((two != "") & (nxt != ""), F.concat(F.lit("LR "), one, F.lit(" _ "), nxt))).alias("patterns"))
-
-    none = F.expr("CAST(array() AS array<struct<s:int,e:int,token:string,patterns:array<string>>>)")
-    return F.when(text.rlike("[0-9@]"), F.transform(located(text, WORDLIKE), describe)).otherwise(none)
-
-
 def _touches(spans: Column, s: Column, e: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < e) & (s < b["e"]))
 
 
+def _items(words: Column, spaced: Column) -> Column:
+    """Identifier-like words, those that one of the ``spaced`` spans joins as one:
+    ``array<struct<s, e, m, before, after>>``."""
+    def joined(i: Column) -> Column:
+        left, right = F.get(words, i - 1), F.get(words, i)
+        return F.exists(spaced, lambda b: (b["s"] < left["e"]) & (right["s"] < b["e"]))
+
+    first = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | ~joined(i))
+    many = let(first, lambda f: F.transform(f, lambda i, j: let(
+        F.coalesce(F.get(f, j + 1), F.size(words)) - 1, lambda last: F.struct(
+            F.get(words, i)["s"].alias("s"), F.get(words, last)["e"].alias("e"), F.get(words, i)["m"].alias("m"),
+            F.get(words, i)["before"].alias("before"), F.get(words, last)["after"].alias("after")))))
+    return F.when((F.size(words) > 1) & (F.size(spaced) > 0), many).otherwise(words)
+
+
+def _instances(text: Column, base: Column, spaced: Column) -> Column:
+    """Whole base spans and the other identifier-like words with their two
+    patterns, ``array<struct<s, e, token, patterns, seed>>``.  ``base`` are all
+    spans, ``spaced`` those that may hold a space."""
+    def words_before(before: Column) -> Column:
+        return let(F.rtrim(before, F.lit(_BLANK)), lambda x: F.struct(
+            F.slice(F.reverse(F.filter(F.split(F.lower(F.right(x, F.lit(_CONTEXT))), r"[\x20\x09-\x0D]+"),
+                                       lambda w: w != "")), 1, 2).alias("w"),
+            (F.length(x) > _CONTEXT).alias("more")))
+
+    def describe(items: Column, near: Column):
+        def edge(i: Column) -> Column:
+            return F.when(i > 0, F.lit(_NEIGHBOUR)).otherwise(F.lit(_START))
+
+        def run(x: Column, i: Column) -> Column:
+            own = F.get(near, i)
+            one = F.coalesce(F.get(own["w"], 0), edge(i))
+            two = (F.when(F.size(own["w"]) == 2, F.get(own["w"], 1))
+                   .when(F.size(own["w"]) == 1, F.when(~own["more"], edge(i)))
+                   .when(i > 0, F.coalesce(F.get(F.get(near, i - 1)["w"], 0), edge(i - 1))))
+            nxt = F.lower(F.regexp_extract(F.left(F.ltrim(x["after"], F.lit(_BLANK)), F.lit(_CONTEXT)),
+                                           r"^[^\x20\x09-\x0D]+", 0))
+            nxt = F.when(nxt != "", nxt).when(i < F.size(items) - 1, F.lit(_NEIGHBOUR)).otherwise(F.lit(_END))
+            patterns = let(F.struct(one.alias("one"), two.alias("two"), nxt.alias("nxt")), lambda c: F.array(
+                F.when(c["one"] != _START, F.concat(F.lit("LL "), c["two"], F.lit(" "), c["one"])),
+                F.when((c["one"] != _START) | (c["nxt"] != _END),
+                       F.concat(F.lit("LR "), c["one"], F.lit(" _ "), c["nxt"]))))
+            lead = F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9]*", 0))
+            token = F.regexp_extract(x["m"], r"^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$", 1)
+            inside = F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            return let(F.struct(inside.alias("b"), patterns.alias("p")), lambda y: F.when(
+                F.size(y["b"]) > 0, F.transform(y["b"], lambda b: F.struct(
+                    b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("token"), y["p"].alias("patterns"),
+                    F.lit(True).alias("seed"))))
+                .otherwise(F.array(F.struct(
+                    (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(token)).alias("e"), token.alias("token"),
+                    y["p"].alias("patterns"), F.lit(False).alias("seed")))))
+
+        return F.flatten(F.transform(items, run))
+
+    none = F.expr("CAST(array() AS array<struct<s:int,e:int,token:string,patterns:array<string>,seed:boolean>>)")
+    every = let(located(text, WORDLIKE), lambda words: let(_items(words, spaced), lambda items: let(
+        F.transform(items, lambda x: words_before(x["before"])), lambda near: describe(items, near))))
+    return F.when(text.rlike("[0-9@]"), every).otherwise(none)
+
+
 def extraction(text: Column) -> Column:
     """``struct<email, ip, card, phone, words>``: base spans per kind and the
-    identifier-like words, each marked ``seed`` if it touches a base span."""
+    instances, each marked ``seed`` if it is a base span."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    found = F.struct(*[base_spans(t, k).alias(k) for k in KINDS], _instances(t).alias("words"))
+    found = F.struct(*[base_spans(t, k).alias(k) for k in KINDS])
 
     def mark(x: Column) -> Column:
-        return let(F.concat(*[x[k] for k in KINDS]), lambda base: F.struct(
-            *[x[k].alias(k) for k in KINDS],
-            F.transform(x["words"], lambda w: F.struct(
-                w["s"].alias("s"), w["e"].alias("e"), w["token"].alias("token"), w["patterns"].alias("patterns"),
-                _touches(base, w["s"], w["e"]).alias("seed"))).alias("words")))
+        return F.struct(*[x[k].alias(k) for k in KINDS], _instances(
+            t, F.concat(*[x[k] for k in KINDS]), F.concat(x["card"], x["phone"])).alias("words"))
 
     return let(found, mark)
 
@@ -160,18 +203,22 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_support: int =
         words.select(F.explode("w.patterns").alias("pattern"), F.lower("w.token").alias("instance"), "w.seed")
         .where(F.col("pattern").isNotNull() & (F.length("instance") >= 5))
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    # a pattern without enough distinct seeds is never trusted and says nothing about its instances
-    support = edges.groupBy("pattern").agg(F.count_if("seed").alias("support")).where(F.col("support") >= min_support)
-    graph = stage(edges.join(support, "pattern"), "pii-graph")
+    # a pattern with fewer distinct instances is never trusted and says nothing about them
+    enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+    graph = stage(key_join(edges, enough.select("pattern"), key="pattern", how="left_semi", by=["instance"]), "pii-graph")
     scored = graph.withColumn("score", F.col("seed").cast("double"))
+    counts = (F.col("score") > 0) & (F.col("seed") | (F.length(_digits(F.col("instance"))) >= 3))
     for r in range(rounds):
-        conf = (scored.groupBy("pattern", "support").agg(F.avg("score").alias("confidence"))
-                .where(F.col("confidence") >= min_confidence))
+        conf = (scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(counts).alias("support"))
+                .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)))
         if r == rounds - 1:
             break
-        best = (graph.where(~F.col("seed")).join(conf.select("pattern", "confidence"), "pattern")
+        conf = stage(conf, "pii-conf")
+        if conf.isEmpty():
+            break
+        best = (key_join(graph.where(~F.col("seed")), conf.select("pattern", "confidence"), key="pattern", by=["instance"])
                 .groupBy("instance").agg(F.max("confidence").alias("best")))
-        scored = stage(graph.join(best, "instance", "left").withColumn(
+        scored = stage(key_join(graph, best, key="instance", how="left", by=["pattern"]).withColumn(
             "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best"), "pii-round")
     rows = conf.orderBy(F.desc("confidence"), F.desc("support"), "pattern").limit(max_patterns).collect()
     return [x["pattern"] for x in rows]

@@ -105,3 +105,32 @@ def test_luhn_column(spark):
     digits = ["".join(r.choice("0123456789") for _ in range(r.randint(1, 19))) for _ in range(300)]
     got = spark.createDataFrame([(d,) for d in digits], "d string").select("d", pii.luhn(F.col("d")).alias("ok")).collect()
     assert all(x["ok"] == luhn(x["d"]) for x in got)
+
+
+def added(spark, texts):
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, rows)).collect()}
+    return [[t[int(x.split(":")[1]):int(x.split(":")[2])] for x in spans[i].split(",") if x.startswith("id:")]
+            for i, t in enumerate(texts)]
+
+
+def test_spans_with_spaces_are_whole_seeds(spark):
+    phones = [f"reach agent desk +1 (017) 555-77{i} tonight" for i in range(10, 14)]
+    cards = [f"charge the card {c} please" for c in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 0000 6")
+             if luhn(re.sub(" ", "", c))] + ["charge the card 4012 8888 8888 1881 please", "charge the card 4222 2222 2222 2220 please"]
+    got = added(spark, [*phones, *cards, "reach agent desk EXT-90210 tonight", "charge the card TOK-55512 please"])
+    assert got[-2:] == [["EXT-90210"], ["TOK-55512"]] and not any(got[:-2])
+
+
+def test_neighbouring_identifiers_and_text_ends_are_context(spark):
+    seen = [f"call +1 (017) 555-77{i} u{i}@x.org" for i in range(10, 14)] + [f"mail: v{i}@y.org" for i in range(4)]
+    got = added(spark, [*seen, "call +1 (017) 555-8800 ZX-48213", "mail: QQ-77777"])
+    assert got[-2:] == [["ZX-48213"], ["QQ-77777"]]
+
+
+def test_found_identifiers_support_patterns_of_the_next_round(spark):
+    seeds = [f"first user id a{i}@x.org today" for i in range(9)]
+    found = [f"first user id ZX-4821{i} today" for i in range(3)]
+    again = [f"second badge code ZX-4821{i} now" for i in range(3)]
+    got = added(spark, [*seeds, *found, *again, "second badge code YY-30303 now"])
+    assert got[-1] == ["YY-30303"]
