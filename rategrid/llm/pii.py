@@ -47,7 +47,6 @@ WORDLIKE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.7
 ROUNDS = 3
-MAX_PATTERNS = 1000              # trusted patterns of the final model (a literal list)
 _CONTEXT = 64                    # code points of context looked at on either side
 _BLANK = " \t\n\x0b\x0c\r"
 _START, _END, _NEIGHBOUR = "<s>", "</s>", "<id>"
@@ -115,10 +114,6 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike("[0-9]"), spans).otherwise(none)
 
 
-def _touches(spans: Column, s: Column, e: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < e) & (s < b["e"]))
-
-
 def _items(words: Column, spaced: Column) -> Column:
     """Identifier-like words, those that one of the ``spaced`` spans joins as one:
     ``array<struct<s, e, m, before, after>>``."""
@@ -194,10 +189,10 @@ def extraction(text: Column) -> Column:
 
 
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
-                     min_confidence: float = MIN_CONFIDENCE, max_patterns: int = MAX_PATTERNS) -> list[str]:
-    """Patterns the pattern-instance graph trusts, from rows with a ``words``
-    array.  Edges are distinct (pattern, instance) pairs, combined before they
-    are shuffled; the at most ``max_patterns`` best trusted patterns are collected."""
+                     min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """All patterns (column ``pattern``) the pattern-instance graph trusts, from
+    rows with a ``words`` array.  Edges are distinct (pattern, instance) pairs,
+    combined before they are shuffled; nothing is collected."""
     words = found.select(F.explode("words").alias("w"))
     edges = stage(
         words.select(F.explode("w.patterns").alias("pattern"), F.lower("w.token").alias("instance"), "w.seed")
@@ -220,18 +215,27 @@ def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_support: int =
                 .groupBy("instance").agg(F.max("confidence").alias("best")))
         scored = stage(key_join(graph, best, key="instance", how="left", by=["pattern"]).withColumn(
             "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).drop("best"), "pii-round")
-    rows = conf.orderBy(F.desc("confidence"), F.desc("support"), "pattern").limit(max_patterns).collect()
-    return [x["pattern"] for x in rows]
+    return stage(conf.select("pattern"), "pii-trusted")
+
 
+def added_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(_at, added)``: the identifier-like words in a trusted pattern that touch
+    no base span, of the rows ``(_at, words)`` that have one; ``added`` is
+    ``array<struct<s, e>>`` in text order."""
+    words = (found.select("_at", F.explode(F.filter("words", lambda w: ~w["seed"])).alias("w"))
+             .where((F.length("w.token") >= 5) & (F.length(_digits(F.col("w.token"))) >= 3))
+             .select("_at", "w.s", "w.e", F.explode("w.patterns").alias("pattern")).where(F.col("pattern").isNotNull()))
+    hit = key_join(words, patterns, key="pattern", how="left_semi", by=["_at", "s"]).select("_at", "s", "e").distinct()
+    return hit.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("added"))
 
-def added_spans(found: Column, patterns: list[str]) -> Column:
-    """Identifier-like words in a trusted pattern that touch no base span."""
-    if not patterns:
-        return F.expr("CAST(array() AS array<struct<s:int,e:int>>)")
-    hit = F.filter(found["words"], lambda w: (~w["seed"]) & (F.length(w["token"]) >= 5)
-                   & (F.length(_digits(w["token"])) >= 3)
-                   & F.exists(w["patterns"], lambda p: F.coalesce(p.isin(patterns), F.lit(False))))
-    return F.transform(hit, lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e")))
+
+def _with_added(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``rows`` (staged, with ``_at`` and ``words``) with their ``added`` spans."""
+    none = F.expr("CAST(array() AS array<struct<s:int,e:int>>)")
+    if patterns.isEmpty():
+        return rows.withColumn("added", none)
+    return (rows.join(added_spans(rows.select("_at", "words"), patterns), "_at", "left")
+            .withColumn("added", F.coalesce("added", none)))
 
 
 def _listing(kinds: dict[str, Column]) -> Column:
@@ -244,30 +248,19 @@ def _listing(kinds: dict[str, Column]) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), extraction(F.col(text)).alias("x"))
-    found = stage(rows.select("doc_id", "x.*"), "pii")
-    patterns = trusted_patterns(found)
-    x = F.struct(*[F.col(k) for k in (*KINDS, "words")])
+    rows = stage(rows.select("doc_id", "x.*", F.monotonically_increasing_id().alias("_at")), "pii")
+    found = _with_added(rows, trusted_patterns(rows.select("words").where(F.size("words") > 0)))
     base = {k: F.col(k) for k in KINDS}
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_listing(base), 256).alias("base_sha256"),
-        _listing({**base, "id": added_spans(x, patterns)}).alias("spans"))
-
+        _listing({**base, "id": F.col("added")}).alias("spans"))
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span of :func:`find` replaced by ``[KIND]`` (spans that
-    overlap are replaced once, by the kind that starts first)."""
-    found = docs.select(extraction(F.col(text)).alias("x")).select("x.words").where(F.size("words") > 0)
-    patterns = trusted_patterns(found)
-    t = F.col(text).cast("string")
 
+def _replaced(t: Column, kinds: dict[str, Column]) -> Column:
     def marked(kind: str):
         return lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k"))
 
-    def spans(x: Column) -> Column:
-        kinds = {**{k: x[k] for k in KINDS}, "id": added_spans(x, patterns)}
-        return F.sort_array(F.concat(*[F.transform(v, marked(k)) for k, v in kinds.items()]))
-
     def rebuild(all_spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
         step = F.aggregate(
@@ -278,5 +271,23 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda a: F.concat(F.array_join(a["out"], ""), t.substr(a["at"] + 1, F.length(t) - a["at"])))
         return F.when(F.size(all_spans) == 0, t).otherwise(step)
 
-    clean = F.when(t.rlike("[0-9@]"), let(extraction(F.col(text)), lambda x: let(spans(x), rebuild))).otherwise(t)
-    return docs.select(*[(clean if c == text else F.col(c)).alias(c) for c in docs.columns])
+    return let(F.sort_array(F.concat(*[F.transform(v, marked(k)) for k, v in kinds.items()])), rebuild)
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every span of :func:`find` replaced by ``[KIND]`` (spans that
+    overlap are replaced once, by the kind that starts first).  Without a trusted
+    pattern no row is staged or moved."""
+    x = extraction(F.col(text))
+    patterns = trusted_patterns(docs.select(x.alias("x")).select("x.words").where(F.size("words") > 0))
+    if patterns.isEmpty():
+        t = F.col(text).cast("string")
+        base = F.struct(*[base_spans(t, k).alias(k) for k in KINDS])
+        clean = F.when(t.rlike("[0-9@]"), let(base, lambda b: _replaced(t, {k: b[k] for k in KINDS}))).otherwise(t)
+        return docs.select(*[(clean if c == text else F.col(c)).alias(c) for c in docs.columns])
+    # the columns of docs stay in one struct: they may be named like those used here
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), x.alias("x"),
+                       F.monotonically_increasing_id().alias("_at"))
+    found = _with_added(stage(rows.select("d", "x.*", "_at"), "pii"), patterns)
+    clean = _replaced(F.col("d")[text].cast("string"), {**{k: F.col(k) for k in KINDS}, "id": F.col("added")})
+    return found.select(*[(clean if c == text else F.col("d")[c]).alias(c) for c in docs.columns])

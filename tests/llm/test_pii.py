@@ -134,3 +134,10 @@ def test_found_identifiers_support_patterns_of_the_next_round(spark):
     again = [f"second badge code ZX-4821{i} now" for i in range(3)]
     got = added(spark, [*seeds, *found, *again, "second badge code YY-30303 now"])
     assert got[-1] == ["YY-30303"]
+
+
+def test_more_than_a_thousand_trusted_contexts(spark):
+    names = ["".join(chr(97 + int(c)) for c in str(10000 + i)) for i in range(1100)]
+    rows = [f"left{w} word{w} {w}{k}@x.org right{w}" for w in names for k in range(3)]
+    got = added(spark, [*rows, *[f"left{w} word{w} ZX-{10000 + i} right{w}" for i, w in enumerate(names)]])
+    assert got[len(rows):] == [[f"ZX-{10000 + i}"] for i in range(len(names))]
