@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rategrid.llm import cleaning, langid, mixing, pieces, pii, resample, simhash, tokencount, topk, warc
+from rategrid.llm import (
+    cleaning,
+    codes,
+    langid,
+    mixing,
+    packing,
+    pieces,
+    pii,
+    resample,
+    simhash,
+    tokencount,
+    topk,
+    warc,
+    whitening,
+)
 from rategrid.llm.common import table
 
 
@@ -59,6 +73,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segment(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tokenised document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector after two Lloyd rounds."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
@@ -70,9 +99,13 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_resample": op9_resample,
     "op10_pieces": op10_pieces,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_codes": op13_codes,
 }
 
 SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
     "op7_mixing": mixing.TAKEN_SQL,
+    "op13_codes": codes.SQL,
 }
