@@ -86,13 +86,13 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut_special = regex.compile("(" + "|".join(
             map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.unsettled = regex.compile(_unsettled_class()).search
+        self.settled = settled_characters()
         self.sync = regex.compile(r"(?<=\S)\s")
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.cuts(text):
-            if self.fast is None or has_long_word(part) or not part.isascii() and self.unsettled(part):
+            if self.fast is None or has_long_word(part) or not (part.isascii() or self.settled.issuperset(part)):
                 out += self.library.encode(part, add_special_tokens=False).ids
             elif self.cut_special is not None and any(s in part for s in self.special):
                 for x in self.cut_special(part):
@@ -121,9 +121,9 @@ def has_long_word(text: str) -> bool:
     return len(text) > LONG_WORD and max(map(len, text.split()), default=0) > LONG_WORD
 
 
-def _unsettled_class() -> str:
-    """Character class of code points that not every Unicode version since 3.2
-    puts in the same class (letter, number, white space, other)."""
+def settled_characters() -> frozenset[str]:
+    """Characters that every Unicode version since 3.2 puts in the same class
+    (letter, number, white space, other)."""
     import unicodedata
 
     old = unicodedata.ucd_3_2_0
@@ -132,16 +132,9 @@ def _unsettled_class() -> str:
         cat = db.category(c)
         return cat if cat == "Cn" else cat[0] if cat[0] in "LNZ" else "x"
 
-    bad = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000
-           and (kind(old, chr(c)) == "Cn" or kind(old, chr(c)) != kind(unicodedata, chr(c)))]
-    runs: list[list[int]] = []
-    for c in bad:
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    # U+180E and U+0085 count as white space in some versions and engines only
-    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) + "\\x1c-\\x1f\\x85\\u180e\\U00030000-\\U0010FFFF]"
+    # U+0085 and U+180E count as white space in some versions and engines only
+    return frozenset(c for c in map(chr, range(0x30000)) if c not in "\x85\u180e" and not 0xD800 <= ord(c) < 0xE000
+                     and kind(old, c) != "Cn" and kind(old, c) == kind(unicodedata, c))
 
 
 @lru_cache(maxsize=2)
