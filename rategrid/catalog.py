@@ -62,6 +62,7 @@ from rategrid.operators.summary import (
     rate_change,
     rate_change_groups,
 )
+from rategrid.operators.skew import HotKeys, hot_keys, keyed_stage
 from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single, write_outputs
 from rategrid.plans.tradeoff import final_selection, scenario_summary, tradeoff
 from rategrid.rules import Band
@@ -121,20 +122,31 @@ def grid_single(spark: SparkSession, sf: str) -> DataFrame:
     return expected(dense_grid(spark, sf), SINGLE)
 
 
-def capped_single(spark: SparkSession, sf: str, unmatched: str = "drop") -> DataFrame:
+def dense_hot(spark: SparkSession, sf: str) -> HotKeys:
+    """Hot keys of the dense grid, which serve every filter and key join of it."""
+    return hot_keys(dense_grid(spark, sf))
+
+
+def capped_single(spark: SparkSession, sf: str, unmatched: str = "drop", hot: HotKeys | None = None) -> DataFrame:
     """Caps, subsegment enrichment and rate bands (the single-indicator limits)."""
     g = cap_iterations(grid_single(spark, sf))
     how = "inner" if unmatched == "drop" and bands_need_flag(TEST_BANDS) else "left"
-    return rate_band(enrich(g, product_table(spark, sf), how=how), TEST_BANDS, unmatched=unmatched)
+    return rate_band(enrich(g, product_table(spark, sf), how=how, hot=hot), TEST_BANDS, unmatched=unmatched)
 
 
 def grid_multi(spark: SparkSession, sf: str) -> DataFrame:
     return expected(score_filter(dense_grid(spark, sf)), MULTI)
 
 
-def capped_multi(spark: SparkSession, sf: str) -> DataFrame:
+def capped_multi(spark: SparkSession, sf: str, hot: HotKeys | None = None) -> DataFrame:
     """Risk-score filter, expected values and per-key rate floors."""
-    return rate_floor(grid_multi(spark, sf), floor_table(spark, sf))
+    return rate_floor(grid_multi(spark, sf), floor_table(spark, sf), hot=hot)
+
+
+def _limited(make: Callable, spark: SparkSession, sf: str) -> tuple[DataFrame, HotKeys]:
+    """A limited dense grid and its hot keys, found once."""
+    hot = dense_hot(spark, sf)
+    return make(spark, sf, hot=hot), hot
 
 
 def grid_natural(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,8 +305,9 @@ def q_key_stats_multi(spark, sf):
     return _key_stats(capped_multi(spark, sf), MULTI_TARGET, EXP_MULTI, MULTI)
 
 
-def _best(grid: DataFrame, target: str, exp: float, inds, tie: str, digits: dict | None = None) -> DataFrame:
-    out = best_rate(grid, target, exp, inds, tie=tie)
+def _best(grid, target: str, exp: float, inds, tie: str, digits: dict | None = None) -> DataFrame:
+    grid, hot = grid if isinstance(grid, tuple) else (grid, None)
+    out = best_rate(grid, target, exp, inds, tie=tie, hot=hot)
     if digits:
         for c in out.columns:
             d = next((v for k, v in digits.items() if c.startswith(k)), None)
@@ -304,15 +317,15 @@ def _best(grid: DataFrame, target: str, exp: float, inds, tie: str, digits: dict
 
 
 def q_best_rate_min(spark, sf):
-    return _best(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "min")
+    return _best(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "min")
 
 
 def q_best_rate_sum(spark, sf):
-    return _best(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "sum")
+    return _best(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "sum")
 
 
 def q_best_rate_multi(spark, sf):
-    return _best(capped_multi(spark, sf), MULTI_TARGET, EXP_MULTI, MULTI, "min")
+    return _best(_limited(capped_multi, spark, sf), MULTI_TARGET, EXP_MULTI, MULTI, "min")
 
 
 def q_best_rate_natural_min(spark, sf):
@@ -327,11 +340,11 @@ _SR = ["llave", "iter_sr", "tasa_sr", "mto_sr", "van_sr"]
 
 
 def q_sr_rate_min(spark, sf):
-    return _best(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "min").select(*_SR)
+    return _best(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "min").select(*_SR)
 
 
 def q_sr_rate_sum(spark, sf):
-    return _best(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "sum").select(*_SR)
+    return _best(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "sum").select(*_SR)
 
 
 def grid_hot_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,15 +381,16 @@ def q_lead_pivots(spark, sf):
     return _longs(lead_pivots(capped_single(spark, sf), SINGLE))
 
 
-def _chosen(grid: DataFrame, target: str, exp: float, inds, tie: str, distinct_on=None) -> DataFrame:
-    rows = final_selection(grid, target, exp, inds, tie=tie, distinct_on=distinct_on)
+def _chosen(grid, target: str, exp: float, inds, tie: str, distinct_on=None) -> DataFrame:
+    grid, hot = grid if isinstance(grid, tuple) else (grid, None)
+    rows = final_selection(grid, target, exp, inds, tie=tie, distinct_on=distinct_on, hot=hot)
     vals = [f"{i}_estimado" for i in inds]
     return _longs(rows.select("llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol", *vals,
                               "copies"))
 
 
 def q_chosen_rows_unique(spark, sf):
-    return _chosen(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "min")
+    return _chosen(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "min")
 
 
 def q_chosen_rows_natural_min(spark, sf):
@@ -388,20 +402,21 @@ def q_chosen_rows_natural_sum(spark, sf):
 
 
 def q_final_selection_single(spark, sf):
-    return _chosen(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "sum")
+    return _chosen(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "sum")
 
 
 def q_final_selection_multi(spark, sf):
-    return _chosen(capped_multi(spark, sf), MULTI_TARGET, EXP_MULTI, MULTI, "sum", distinct_on=("codclavecic",))
+    return _chosen(_limited(capped_multi, spark, sf), MULTI_TARGET, EXP_MULTI, MULTI, "sum", distinct_on=("codclavecic",))
 
 
-def _scenario_summary(grid: DataFrame, target: str, exp: float, inds, tie: str) -> DataFrame:
-    rows = final_selection(grid, target, exp, inds, tie=tie)
+def _scenario_summary(grid, target: str, exp: float, inds, tie: str) -> DataFrame:
+    grid, hot = grid if isinstance(grid, tuple) else (grid, None)
+    rows = final_selection(grid, target, exp, inds, tie=tie, hot=hot)
     return _longs(_portfolio_rounding(scenario_summary(rows, inds), inds, "_e"))
 
 
 def q_scenario_summary(spark, sf):
-    return _scenario_summary(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, "min")
+    return _scenario_summary(_limited(capped_single, spark, sf), "van", EXP_SINGLE, SINGLE, "min")
 
 
 def q_scenario_summary_natural(spark, sf):
@@ -409,7 +424,8 @@ def q_scenario_summary_natural(spark, sf):
 
 
 def q_compare_one(spark, sf):
-    rows = final_selection(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, tie="min")
+    capped, hot = _limited(capped_single, spark, sf)
+    rows = final_selection(capped, "van", EXP_SINGLE, SINGLE, tie="min", hot=hot)
     summ = scenario_summary(rows, SINGLE).withColumn("exp", F.lit(EXP_SINGLE))
     base = portfolio(lead_rows(grid_single(spark, sf)), SINGLE)
     return _tradeoff_rounding(compare(summ, base, SINGLE), SINGLE)
@@ -421,13 +437,15 @@ def q_compare_one(spark, sf):
 
 def q_tradeoff_single(spark, sf):
     base = portfolio(lead_rows(grid_single(spark, sf)), SINGLE)
-    return _tradeoff_rounding(tradeoff(capped_single(spark, sf), base, "van", SINGLE), SINGLE)
+    capped, hot = _limited(capped_single, spark, sf)
+    return _tradeoff_rounding(tradeoff(capped, base, "van", SINGLE, hot=hot), SINGLE)
 
 
 def q_tradeoff_multi(spark, sf):
-    capped = capped_multi(spark, sf)
-    base = portfolio(lead_rows_under_ceiling(capped), MULTI)
-    return _tradeoff_rounding(tradeoff(capped, base, MULTI_TARGET, MULTI), MULTI)
+    capped, hot = _limited(capped_multi, spark, sf)
+    keyed = keyed_stage(capped, name="capped-multi", hot=hot)
+    base = portfolio(lead_rows_under_ceiling(keyed.rows), MULTI)
+    return _tradeoff_rounding(tradeoff(keyed, base, MULTI_TARGET, MULTI), MULTI)
 
 
 def q_tradeoff_natural(spark, sf):
@@ -436,8 +454,9 @@ def q_tradeoff_natural(spark, sf):
     return _tradeoff_rounding(tradeoff(g, base, "van", SINGLE), SINGLE)
 
 
-def _final_single(spark, sf) -> DataFrame:
-    return final_selection(capped_single(spark, sf), "van", EXP_SINGLE, SINGLE, tie="sum")
+def _final_single(spark, sf) -> tuple[DataFrame, HotKeys]:
+    capped, hot = _limited(capped_single, spark, sf)
+    return final_selection(capped, "van", EXP_SINGLE, SINGLE, tie="sum", hot=hot), hot
 
 
 def _bucket_rounding(df: DataFrame, suffix: str) -> DataFrame:
@@ -449,27 +468,29 @@ def q_bucket_report_base(spark, sf):
 
 
 def q_bucket_report_final(spark, sf):
-    return _bucket_rounding(bucket_report(_final_single(spark, sf), SINGLE, suffix="_e", weight="copies"), "_e")
+    return _bucket_rounding(bucket_report(_final_single(spark, sf)[0], SINGLE, suffix="_e", weight="copies"), "_e")
 
 
 def q_rate_change(spark, sf):
-    out = rate_change(_final_single(spark, sf), grid_single(spark, sf))
+    final, hot = _final_single(spark, sf)
+    out = rate_change(final, grid_single(spark, sf), hot=hot)
     return _longs(out.select("llave", "iter", "tasa_propuesta", "tasa_base", "dif_tasa", "copies"))
 
 
 def q_rate_change_histogram(spark, sf):
     """The histogram reads its rows twice (range, then bins), so the groups (one
     row per distinct chosen and lead rate of a key) are staged first."""
-    change = stage(rate_change_groups(_final_single(spark, sf), grid_single(spark, sf)), "change")
+    final, hot = _final_single(spark, sf)
+    change = stage(rate_change_groups(final, grid_single(spark, sf), hot=hot), "change")
     return _longs(histogram(change, "dif_tasa", weight="copies"))
 
 
 def q_rate_change_hot_key(spark, sf):
     """Rate change where one key holds a third of all rows: chosen rows x
     distinct lead rates of the key, not all pairs."""
-    g = stage(grid_hot_key(spark, sf), "hot-grid")
-    rows = final_selection(g, "van", NATURAL_EXP, SINGLE, tie="min", rows_per_task=HOT_KEY_TASK_ROWS, stage_rows=False)
-    out = rate_change(rows, g)
+    g = keyed_stage(grid_hot_key(spark, sf), name="hot-grid", rows_per_task=HOT_KEY_TASK_ROWS)
+    rows = final_selection(g, "van", NATURAL_EXP, SINGLE, tie="min")
+    out = rate_change(rows, g.rows.drop("_salt"), hot=g.hot)
     return _longs(out.select("llave", "codclavecic", "iter", "tasa_propuesta", "mtofinalofertadosol", "tasa_base",
                              "dif_tasa", "copies"))
 
@@ -483,7 +504,8 @@ def q_top_offer(spark, sf):
 
 
 def q_nearest_rate(spark, sf):
-    out = nearest_rate(capped_single(spark, sf), product_table(spark, sf))
+    capped, hot = _limited(capped_single, spark, sf)
+    out = nearest_rate(capped, product_table(spark, sf), hot=hot)
     return _longs(out.select("llave", "iter", "tasa_propuesta", "tasa_objetivo",
                              F.col("dif_abs").cast("double").alias("dif_abs")))
 

@@ -22,7 +22,6 @@ from rategrid.operators.prep import (  # noqa: F401
     top_offer,
 )
 from rategrid.operators.selection import (  # noqa: F401
-    attach_key_stats,
     best_rate,
     chosen_rows,
     fill_numeric,
@@ -35,8 +34,9 @@ from rategrid.operators.selection import (  # noqa: F401
     score,
     sweep_picks,
     unpivot_picks,
+    upper_envelope,
 )
-from rategrid.operators.skew import key_join, row_salts, salt_table  # noqa: F401
+from rategrid.operators.skew import HotKeys, Keyed, hot_keys, key_join, keyed_stage  # noqa: F401
 from rategrid.operators.summary import (  # noqa: F401
     bucket_report,
     compare,

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rategrid.operators.skew import ROWS_PER_TASK, key_join
+from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, key_join
 from rategrid.rules import DEFAULT_CAPS, LEAD_RATE_CEILING, MIN_RISK_SCORE, Band
 from rategrid.schema import COLS
 
@@ -127,10 +127,12 @@ def enrich(
     dedupe: Sequence[str] | None = None,
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Attach per-offer attributes (salted equi-join on the key).
+    """Attach per-offer attributes (equi-join on the key, hot keys salted).
 
-    The product table grows with the number of offers, so it is not broadcast;
+    Eager unless ``hot`` gives the grid's hot keys: they are found by a pass over
+    its key column.  The product table grows with the number of offers, so it is not broadcast;
     duplicate keys fan out unless ``dedupe`` names the columns whose smallest
     values pick one row per key."""
     side = product.select(*dict.fromkeys([key, *columns, *(dedupe or ())]))
@@ -138,7 +140,7 @@ def enrich(
         rest = [c for c in side.columns if c != key]
         order = F.struct(*[F.col(c) for c in dict.fromkeys([*dedupe, *rest])])
         side = side.groupBy(key).agg(F.min(order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
-    return key_join(grid, side, None, key, how=how, rows_per_task=rows_per_task)
+    return key_join(grid, side, hot, key, how=how, rows_per_task=rows_per_task)
 
 
 def rate_floor(
@@ -148,12 +150,14 @@ def rate_floor(
     rate: str = COLS.rate,
     floor: str = "tasapropuestamin",
     rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Keep scenarios whose rate is at least the key's floor; keys without a
     floor (or with a null floor or rate) are removed.  Duplicate floor rows
-    fan out, as an equi-join does; hot keys are spread over salts."""
+    fan out, as an equi-join does; hot keys are spread over salts (eager unless
+    ``hot`` gives them)."""
     side = floors.select(key, F.col(floor).cast("double").alias(floor))
-    return key_join(grid, side, None, key, rows_per_task=rows_per_task).where(F.col(rate) >= F.col(floor))
+    return key_join(grid, side, hot, key, rows_per_task=rows_per_task).where(F.col(rate) >= F.col(floor))
 
 
 def score_filter(grid: DataFrame, min_score: int = MIN_RISK_SCORE, score: str = COLS.score) -> DataFrame:

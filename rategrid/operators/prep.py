@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.functions.columns import dec
-from rategrid.operators.skew import ROWS_PER_TASK, key_join, row_salts
+from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, keyed_stage
 from rategrid.schema import COLS
-from rategrid.sources.io import stage
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -102,31 +101,27 @@ def nearest_rate(
     key: str = COLS.key,
     rate: str = COLS.rate,
     rows_per_task: int = ROWS_PER_TASK,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Grid rows whose rate is nearest to the key's target rate.
 
     Distance ``dif_abs = abs(rate - target)`` is compared as
     ``decimal(32,10)``; all rows at the minimum distance are returned.
 
-    Eager: a first pass over (key, rate) counts each distinct pair, so the best
-    distance per target comes from pre-aggregated pairs and is staged, one row per
-    key and target; the full-width rows then meet target and best distance in one
-    salted join."""
-    pairs = grid.select(key, rate).groupBy(key, rate).agg(F.count(F.lit(1)).alias("_n"))
-    salts = row_salts(grid, key, rows_per_task)
+    Eager: the grid is staged by key, the one full exchange of its rows.  Each
+    key's distinct rates meet its distinct targets for the best distance, and
+    the full-width rows meet target and best distance, both where the rows are
+    staged.  ``hot`` are the hot keys of the grid, if known."""
+    keyed = keyed_stage(grid, key, "nearest", hot, rows_per_task)
     dist = dec(F.abs(F.col(rate) - F.col(target)))
-    side = targets.select(key, target)
-    best = stage(
-        key_join(pairs, side, None, key, by=[key, rate], rows_per_task=rows_per_task)
-        .groupBy(key, target).agg(F.min(dist).alias("_d")), "nearest")
+    side = targets.select(key, target).groupBy(key, target).agg(F.count(F.lit(1)).alias("_copies"))
+    pairs = keyed.columns(rate).distinct()
     # a key may have several target rows: the minimum is over all of them
-    least = best.groupBy(key).agg(F.min("_d").alias("_best"))
-    copies = side.groupBy(key, target).agg(F.count(F.lit(1)).alias("_copies"))
-    wanted = (best.join(least, key).where(F.col("_d") == F.col("_best")).join(copies, [key, target])
-              .select(key, target, "_best", "_copies"))
-    near = key_join(grid, wanted, salts, key).withColumn("dif_abs", dist).where(F.col("dif_abs") == F.col("_best"))
+    best = keyed.join(pairs, side.select(key, target)).groupBy(key).agg(F.min(dist).alias("_best"))
+    near = keyed.join(keyed.rows, side.join(best, key)).withColumn("dif_abs", dist).where(
+        F.col("dif_abs") == F.col("_best"))
     once = near.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return once.drop("_best", "_copies")
+    return once.drop("_best", "_copies", "_salt")
 
 
 def key_sample(grid: DataFrame, n: int, key: str = COLS.key) -> DataFrame:

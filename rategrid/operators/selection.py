@@ -10,10 +10,17 @@ Rules (for one exponent ``e``, per key, ``o = fill0(target * prob**e)``,
 * ``tie="min"`` takes the smallest candidate value of each output column
   independently, ``tie="sum"`` adds the candidates' values.
 
-Plan shape: one partial (map-side combined) aggregation for the key stats,
-staged; one salted join back on the key (:mod:`rategrid.operators.skew`) and one
-partial aggregation on the key.  No window over the key is used, so a hot key
-never has to fit one task's sort buffer.
+Plan shape: the rows are staged by key once
+(:func:`rategrid.operators.skew.keyed_stage`); key statistics, picks, copies and the
+recovery of the chosen rows then group and join them where they are, without a
+further exchange.  Rows of a hot key are staged by (key, salt); their statistics
+are partial aggregates combined over the salts, and no window is laid over them.
+
+The sweep over many exponents first keeps the upper envelope of every key: the
+logarithm of a score, ``log(value) + e * log(prob)``, is a line in the exponent, so
+of the rows of a key only those whose line comes up to the highest one at some
+exponent (within the tie tolerance) can be picked.  Scores are computed for
+these rows and exponents only.
 """
 
 from __future__ import annotations
@@ -21,34 +28,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.functions.columns import nan_to_zero
-from rategrid.operators.skew import ROWS_PER_TASK, key_join, row_salts, salt_table
+from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, Keyed, keyed_stage
 from rategrid.schema import COLS
-from rategrid.sources.io import stage
 
 OBJ = "obj_funct_p_1"
 
 
-def attach_key_stats(
-    narrow: DataFrame,
-    stats: DataFrame,
-    key: str = COLS.key,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """``narrow`` left-joined with its per-key ``stats`` (which carry the row
-    count ``_n``), hot keys spread over salts (see
-    :mod:`rategrid.operators.skew`).
-
-    Eager: the statistics (one row per key) are staged in the shared checkpoint
-    folder, so the salt table and the join read them instead of recomputing
-    them.  Null keys match nothing, as in an equi-join."""
-    stats = stage(stats, "key-stats")
-    salts = salt_table(stats, key, rows_per_task)
-    return key_join(narrow, stats.drop("_n"), salts, key, how="left")
+# A key whose best score at some exponent is below e^LOW keeps all its rows: scores that small can
+# be equal as decimal(32,10) although their logarithms differ.  Above it, equal decimals differ by
+# less than 1e-10 / e^LOW, so lines further apart than LINE_TOLERANCE cannot tie.
+LOW = -6.0
+HIGH = 700.0                     # above, a score may overflow to infinity
+LINE_TOLERANCE = 2e-6
 
 
 @dataclass(frozen=True)
@@ -139,14 +135,14 @@ def best_rate(
     amount: str = COLS.amount,
     prob: str = COLS.prob,
     rows_per_task: int = ROWS_PER_TASK,
-    stage_rows: bool = True,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Per key: lead values, the pick on the expected target (``_sr``) and the
     pick on the score (``_of_1``) for one exponent.
 
     ``target`` is the raw indicator scored (``van``); ``{target}_estimado``
-    drives the ``_sr`` picks.  Eager: the columns read are staged once
-    (``stage_rows``; pass False if ``grid`` is a stage).  Output columns: ``llave, oferta, prob_lead,
+    drives the ``_sr`` picks.  Eager: the columns read are staged by key once;
+    statistics and picks need no further exchange.  Output columns: ``llave, oferta, prob_lead,
     iter_lead, iter_sr, iter_of_1, tasa_lead, tasa_sr, tasa_of_1, mto_lead,
     mto_sr, mto_of_1`` and ``{ind}_lead, {ind}_sr, {ind}_of_1`` per indicator.
     """
@@ -154,7 +150,8 @@ def best_rate(
         raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
     est = [f"{i}_estimado" for i in indicators]
     cols = list(dict.fromkeys([key, step, rate, amount, prob, target, COLS.expected_amount, *est]))
-    narrow = stage(grid.select(*cols), "rows") if stage_rows else grid.select(*cols)
+    keyed = keyed_stage(grid.select(*cols), key, "rows", hot, rows_per_task)
+    narrow = keyed.rows
     # filled copies (``fillna(0)``) computed inline, as SQL text (one JVM call per expression)
     f = {c: _filled_sql(narrow, c) for c in cols if c != key}
     st = f[step]
@@ -163,9 +160,8 @@ def best_rate(
     stats = narrow.groupBy(key).agg(
         F.expr(f"max({t_est}) AS _m_sr"), F.expr(f"sum({t_est}) AS _s_sr"),
         F.expr(f"max({obj}) AS _m_of"), F.expr(f"sum({obj}) AS _s_of"),
-        F.count(F.lit(1)).alias("_n"),
     )
-    joined = attach_key_stats(narrow, stats, key, rows_per_task)
+    joined = keyed.join(narrow, stats, how="left")
     rules = {"sr": (t_est, "_m_sr", "_s_sr"), "of": (obj, "_m_of", "_s_of")}
 
     def lead(c: str, name: str) -> Column:
@@ -250,54 +246,74 @@ def _pick_sql(value: str, score: str, best: str, total: str, step: str) -> str:
             f"try_cast({best} AS DECIMAL(32,10)) THEN {value} END")
 
 
+def upper_envelope(rows: DataFrame, by: Sequence[str], exps: Sequence[float], target: str, prob: str) -> DataFrame:
+    """Rows of each group ``by`` that can have the group's best score at some exponent,
+    with ``_near{i}``: whether at exponent ``i``.
+
+    A group keeps all its rows, near everywhere, if a value or probability is
+    negative, and at an exponent where no line is positive, or where the best
+    line is so low or high that decimals or overflow decide ties.  Null and NaN
+    scores are 0 and never best otherwise.  A window over ``by`` (groups of bounded
+    size); no exchange where the rows are staged by ``by``."""
+    exps = [float(e) for e in exps]
+    tolerance = LINE_TOLERANCE * max(1.0, max(abs(e) for e in exps) / 100)
+    odd = f"coalesce(`{target}` < 0, false) OR coalesce(`{prob}` < 0, false)" if min(exps) > 0 else "true"
+    lines = rows.withColumns({
+        "_a": F.expr(f"ln(CASE WHEN NOT isnan(`{prob}`) THEN `{prob}` END)"),
+        "_b": F.expr(f"ln(CASE WHEN NOT isnan(`{target}`) THEN `{target}` END)"),
+        "_odd": F.expr(odd),
+    })
+    w = Window.partitionBy(*by)
+    best = lines.select("*", F.max("_odd").over(w).alias("_whole"),
+                        *[F.max(F.expr(f"_b + {e!r}D * _a")).over(w).alias(f"_M{i}") for i, e in enumerate(exps)])
+    near = {f"_near{i}": F.expr(f"_whole OR coalesce(_M{i} < {LOW!r}D OR _M{i} > {HIGH!r}D, true) OR "
+                                f"coalesce(_b + {e!r}D * _a >= _M{i} - {tolerance!r}D, false)") for i, e in enumerate(exps)}
+    kept = best.withColumns(near).where(" OR ".join(near))
+    return kept.select(*rows.columns, *near)
+
+
 def sweep_picks(
-    grid: DataFrame,
+    keyed: Keyed,
     target: str,
     exps: Sequence[float],
     tie: str = "min",
-    key: str = COLS.key,
     step: str = COLS.step,
     rate: str = COLS.rate,
     prob: str = COLS.prob,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> tuple[DataFrame, DataFrame]:
-    """Chosen rate ``t_{i}`` per key and exponent from one narrow join, and the
-    salt table of the keys.
-
-    The grid is reduced to the columns the selection reads (raw values; filled
-    copies are computed inline).  Key statistics (max and sum of every exponent's
-    score) are a partial aggregation, staged; the narrow rows are shuffled once to
-    meet them and the scores are recomputed after the join instead of being
-    shuffled, so the exchange carries five columns whatever the number of
-    exponents.
-    """
+) -> DataFrame:
+    """Chosen rate ``t_{i}`` per key and exponent of rows staged by key.
+
+    Ordinary keys: the upper envelope's rows get their scores, and best score and
+    sum are windows over the same sorted groups, so the whole step runs where the
+    rows are staged.  Hot keys: best scores and sums are partial aggregates over
+    the salts, joined back to the salted rows."""
     exps = tuple(float(e) for e in exps)
     if tie not in ("min", "sum"):
         raise ValueError(f"tie must be 'min' or 'sum', got {tie!r}")
-    cols = list(dict.fromkeys([key, step, rate, target, prob]))
-    narrow = grid.select(*cols)
+    key, by = keyed.key, keyed.by
+    rows = keyed.columns(step, rate, target, prob).where(F.col(key).isNotNull())
+    n = range(len(exps))
     # The per-exponent expressions are written as SQL text: one JVM call
     # each instead of one per operator, which keeps planning time flat as the
     # number of exponents grows.
-    st, rt = _filled_sql(narrow, step), _filled_sql(narrow, rate)
+    st, rt = f"{_filled_sql(rows, step)} AS _st", f"{_filled_sql(rows, rate)} AS _rt"
     objs = [f"coalesce(nanvl(`{target}` * pow(`{prob}`, CAST({e!r} AS DOUBLE)), 0D), 0D)" for e in exps]
-    stats = stage(narrow.groupBy(key).agg(
-        *[F.expr(f"max({o}) AS _m{i}") for i, o in enumerate(objs)],
-        *[F.expr(f"sum({o}) AS _s{i}") for i, o in enumerate(objs)],
-        F.count(F.lit(1)).alias("_n"),
-    ), "key-stats")
-    salts = salt_table(stats, key, rows_per_task)
-    joined = key_join(narrow, stats.drop("_n"), salts, key, how="left")
-    # each score once per row (a projection under the aggregate), then the picks
-    scored = joined.select(
-        key, F.expr(st).alias("_st"), F.expr(rt).alias("_rt"),
-        *[F.col(f"_m{i}") for i in range(len(exps))], *[F.col(f"_s{i}") for i in range(len(exps))],
-        *[F.expr(o).alias(f"_o{i}") for i, o in enumerate(objs)],
-    )
-    picks = scored.groupBy(key).agg(
-        *[F.expr(f"{tie}({_pick_sql('_rt', f'_o{i}', f'_m{i}', f'_s{i}', '_st')}) AS t_{i}") for i in range(len(exps))]
-    )
-    return picks, salts
+    picks = [F.expr(f"{tie}({_pick_sql('_rt', f'_o{i}', f'_m{i}', f'_s{i}', '_st')}) AS t_{i}") for i in n]
+
+    ordinary = rows if keyed.hot.table is None else rows.where(F.col("_salt") == 0)
+    scored = upper_envelope(ordinary, by, exps, target, prob).selectExpr(
+        *[f"`{c}`" for c in by], st, rt, *[f"CASE WHEN _near{i} THEN {objs[i]} END AS _o{i}" for i in n])
+    w = Window.partitionBy(*by)
+    stats = [F.max(f"_o{i}").over(w).alias(f"_m{i}") for i in n] + [F.sum(f"_o{i}").over(w).alias(f"_s{i}") for i in n]
+    out = scored.select("*", *stats).groupBy(*by).agg(*picks)
+    if keyed.hot.table is None:
+        return out
+    scored = rows.where(F.col("_salt") > 0).selectExpr(*[f"`{c}`" for c in by], st, rt,
+                                                       *[f"{o} AS _o{i}" for i, o in enumerate(objs)])
+    stats = scored.groupBy(key).agg(*[F.max(f"_o{i}").alias(f"_m{i}") for i in n],
+                                    *[F.sum(f"_o{i}").alias(f"_s{i}") for i in n])
+    hot = keyed.join(scored, stats).groupBy(key).agg(*picks)
+    return out.drop("_salt").unionByName(hot)
 
 
 def pick_rates(
@@ -311,9 +327,10 @@ def pick_rates(
     prob: str = COLS.prob,
 ) -> DataFrame:
     """Chosen rate per key for many exponents at once: ``(llave, exp, tasa_of_1)``
-    (null picks dropped); see :func:`sweep_picks`."""
-    picks, _ = sweep_picks(grid, target, exps, tie, key=key, step=step, rate=rate, prob=prob)
-    return unpivot_picks(picks, exps, key)
+    (null picks dropped); see :func:`sweep_picks`.  Eager: the columns read are
+    staged by key."""
+    keyed = keyed_stage(grid.select(*dict.fromkeys([key, step, rate, target, prob])), key, "picks")
+    return unpivot_picks(sweep_picks(keyed, target, exps, tie, step=step, rate=rate, prob=prob), exps, key)
 
 
 def unpivot_picks(picks: DataFrame, exps: Sequence[float], key: str = COLS.key) -> DataFrame:
@@ -324,7 +341,7 @@ def unpivot_picks(picks: DataFrame, exps: Sequence[float], key: str = COLS.key)
 
 
 def chosen_rows(
-    grid: DataFrame,
+    grid: DataFrame | Keyed,
     picks: DataFrame,
     key: str = COLS.key,
     rate: str = COLS.rate,
@@ -332,7 +349,7 @@ def chosen_rows(
     step: str = COLS.step,
     pick_col: str = "tasa_of_1",
     distinct_on: Sequence[str] | None = None,
-    salts: DataFrame | None = None,
+    hot: HotKeys | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Grid rows at the chosen rate of their key, each once, plus ``copies``.
@@ -345,22 +362,21 @@ def chosen_rows(
     rates never match.
 
     ``copies`` comes from the narrow columns (key, rate and ``distinct_on``) joined
-    with the picks; the staged result, one row per chosen key, then meets the
-    full-width rows once.  Both joins are salted (``salts`` defaults to those of
-    the grid's rows).
-    """
+    with the picks; the result, one row per chosen key, then meets the full-width
+    rows.  Eager unless ``grid`` is staged by key: both joins read the rows where
+    they are staged."""
     on = list(distinct_on) if distinct_on is not None else [client, step]
-    s = row_salts(grid, key, rows_per_task) if salts is None else salts
+    keyed = grid if isinstance(grid, Keyed) else keyed_stage(grid, key, "grid", hot, rows_per_task)
+    key = keyed.key
     pick = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull())
-    narrow = grid.select(*dict.fromkeys([key, rate, *on]))
-    hit = key_join(narrow, pick, s, key).where(F.col(rate) == F.col("_pick"))
-    chosen = stage(hit.groupBy(key, "_pick").agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies")),
-                   "chosen-keys")
-    return key_join(grid, chosen, s, key, by=narrow.columns).where(F.col(rate) == F.col("_pick")).drop("_pick")
+    hit = keyed.join(keyed.columns(rate, *on), pick).where(F.col(rate) == F.col("_pick"))
+    chosen = hit.groupBy(key, "_pick").agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"))
+    out = keyed.join(keyed.rows, chosen).where(F.col(rate) == F.col("_pick"))
+    return out.select(*[c for c in keyed.rows.columns if c != "_salt"], "copies")
 
 
 def rate_groups(
-    grid: DataFrame,
+    grid: DataFrame | Keyed,
     indicators: Sequence[str],
     wanted: DataFrame | None = None,
     key: str = COLS.key,
@@ -370,11 +386,10 @@ def rate_groups(
     client: str = COLS.client,
     step: str = COLS.step,
     distinct_on: Sequence[str] | None = None,
-    salts: DataFrame | None = None,
 ) -> DataFrame:
     """Per (key, rate): ``copies`` and the partial sums a portfolio summary needs.
 
-    ``wanted`` (``key``, ``_pick``, further columns) keeps only the rows at a wanted
+    ``wanted`` (``key``, ``_pick``, further columns; needs a grid staged by key) keeps only the rows at a wanted
     rate of their key before anything is grouped, and its further columns are
     kept: the distinct count then sees the chosen rows, not the whole grid.
 
@@ -383,11 +398,12 @@ def rate_groups(
     distinct-then-join recovery repeats each row."""
     on = list(distinct_on) if distinct_on is not None else [client, step]
     cols = list(dict.fromkeys([key, rate, amount, prob, *on, COLS.expected_amount, *[f"{i}_estimado" for i in indicators]]))
-    rows = grid.select(*cols).where(F.col(key).isNotNull() & F.col(rate).isNotNull())
+    rows = grid.columns(*cols) if isinstance(grid, Keyed) else grid.select(*cols)
+    rows = rows.where(F.col(key).isNotNull() & F.col(rate).isNotNull())
     extra: list[str] = []
     if wanted is not None:
         extra = [c for c in wanted.columns if c not in (key, "_pick")]
-        rows = key_join(rows, wanted, salts, key).where(F.col(rate) == F.col("_pick")).drop("_pick")
+        rows = grid.join(rows, wanted).where(F.col(rate) == F.col("_pick")).drop("_pick")
     r, a = F.col(rate), F.col(amount)
     aggs = [
         F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import bucket_label, nan_to_null, nan_to_zero, ratio
-from rategrid.operators.skew import key_join
+from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, key_join
 from rategrid.rules import AMOUNT_BUCKETS, HISTOGRAM_BINS
 from rategrid.schema import COLS
 
@@ -128,26 +128,27 @@ def lead_rates(grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate, step
 
 
 def rate_change(final_rows: DataFrame, grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate,
-                step: str = COLS.step, weight: str = "copies") -> DataFrame:
+                step: str = COLS.step, weight: str = "copies", hot: HotKeys | None = None,
+                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Chosen rows with the key's lead rate (``tasa_base``) and the change
     ``dif_tasa``: one row per chosen row and distinct lead rate of its key, its
     ``weight`` times the number of lead rows at that rate.
 
     Lead rows are counted per distinct rate before the join, so a key with many
     chosen and many lead rows gives chosen rows x distinct lead rates, never all
-    pairs; hot keys are spread over salts."""
+    pairs; hot keys are spread over salts (eager unless ``hot`` gives them)."""
     leads = lead_rates(grid, key, rate, step)
-    return (key_join(final_rows, leads, None, key)
+    return (key_join(final_rows, leads, hot, key, rows_per_task=rows_per_task)
             .withColumn(weight, F.col(weight) * F.col("_leads")).drop("_leads")
             .withColumn("dif_tasa", F.col(rate) - F.col("tasa_base")))
 
 
 def rate_change_groups(final_rows: DataFrame, grid: DataFrame, key: str = COLS.key, rate: str = COLS.rate,
-                       step: str = COLS.step, weight: str = "copies") -> DataFrame:
+                       step: str = COLS.step, weight: str = "copies", hot: HotKeys | None = None) -> DataFrame:
     """:func:`rate_change` reduced to distinct (key, rate, lead rate) with summed
     weights before the join: the input of exact histograms and totals."""
     chosen = final_rows.groupBy(key, rate).agg(F.sum(weight).alias(weight))
-    return rate_change(chosen, grid, key, rate, step, weight)
+    return rate_change(chosen, grid, key, rate, step, weight, hot)
 
 
 def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str | None = None) -> DataFrame:

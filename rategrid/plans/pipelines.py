@@ -44,6 +44,7 @@ from rategrid.operators.summary import (
     rate_change,
     rate_change_groups,
 )
+from rategrid.operators.skew import hot_keys, keyed_stage
 from rategrid.plans.tradeoff import final_selection, tradeoff
 from rategrid.rules import DEFAULT_CAPS, MIN_RISK_SCORE, SWEEP_EXPONENTS, Band
 from rategrid.schema import COLS
@@ -108,21 +109,24 @@ def run_single(
     how = "inner" if bands_need_flag(bands) else "left"
     g = expected(grid, inds)
     with stage_scope() as stages:
-        capped = stage(rate_band(enrich(cap_iterations(g, caps), product, how=how), bands, unmatched="drop"),
-                       "capped")
+        hot = hot_keys(grid)
+        capped = keyed_stage(rate_band(enrich(cap_iterations(g, caps), product, how=how, hot=hot), bands,
+                                       unmatched="drop"), name="capped", hot=hot)
         baseline = portfolio(lead_rows(g), inds)
-        final = stage(final_selection(capped, indicator, final_exp, inds, tie="sum", stage_rows=False), "final")
-        trade = tradeoff(capped, baseline, indicator, inds, exps, tie="min", stage_rows=False)
+        final = stage(final_selection(capped, indicator, final_exp, inds, tie="sum"), "final")
+        trade = tradeoff(capped, baseline, indicator, inds, exps, tie="min")
+        change = rate_change(final, g, hot=hot)
+        groups = rate_change_groups(final, g, hot=hot)
     return _with_run(SingleResult(
         grid=g,
-        capped=capped,
+        capped=capped.rows.drop("_salt"),
         baseline=baseline,
         tradeoff=trade,
         final=final,
         bucket_base=bucket_report(lead_rows_under_ceiling(g), inds),
         bucket_final=bucket_report(final, inds, suffix="_e", weight="copies"),
-        rate_change=rate_change(final, g),
-        histogram=histogram(rate_change_groups(final, g), "dif_tasa", weight="copies"),
+        rate_change=change,
+        histogram=histogram(groups, "dif_tasa", weight="copies"),
         stages=stages,
     ), run)
 
@@ -141,11 +145,12 @@ def run_multi(
     inds = list(indicators)
     g = expected(score_filter(grid, min_score), inds)
     with stage_scope() as stages:
-        capped = stage(rate_floor(g, floors), "capped-multi")
+        hot = hot_keys(grid)
+        keyed = keyed_stage(rate_floor(g, floors, hot=hot), name="capped-multi", hot=hot)
+        capped = keyed.rows.drop("_salt")
         baseline = portfolio(lead_rows_under_ceiling(capped), inds)
-        trade = tradeoff(capped, baseline, target, inds, exps, tie="min", stage_rows=False)
-        final = final_selection(capped, target, final_exp, inds, tie="sum", distinct_on=(COLS.client,),
-                                stage_rows=False)
+        trade = tradeoff(keyed, baseline, target, inds, exps, tie="min")
+        final = final_selection(keyed, target, final_exp, inds, tie="sum", distinct_on=(COLS.client,))
     return _with_run(MultiResult(grid=g, capped=capped, baseline=baseline, tradeoff=trade, final=final,
                                  stages=stages), run)
 

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from rategrid.functions.columns import ratio
 from rategrid.operators.selection import chosen_rows, rate_groups, sweep_picks, unpivot_picks
-from rategrid.operators.skew import ROWS_PER_TASK
+from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, Keyed, keyed_stage
 from rategrid.operators.summary import compare, portfolio
 from rategrid.rules import SWEEP_EXPONENTS
 from rategrid.schema import COLS
-from rategrid.sources.io import stage
 
 
 def scenario_summary(chosen: DataFrame, indicators: Sequence[str], weighted: bool = True) -> DataFrame:
@@ -23,7 +22,7 @@ def scenario_summary(chosen: DataFrame, indicators: Sequence[str], weighted: boo
 
 
 def sweep_summaries(
-    grid: DataFrame,
+    grid: DataFrame | Keyed,
     target: str,
     indicators: Sequence[str],
     exps: Sequence[float] = SWEEP_EXPONENTS,
@@ -31,16 +30,15 @@ def sweep_summaries(
     key: str = COLS.key,
     distinct_on: Sequence[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
-    stage_rows: bool = True,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Per exponent, the summary of the chosen portfolio (``exp`` + ``_e`` columns).
 
-    Eager: the columns the sweep reads are staged once (``stage_rows``; pass False
-    if ``grid`` is itself a stage), so the grid is computed a single time.  One
-    narrow salted join with the key statistics gives the picks
-    (:func:`rategrid.operators.selection.sweep_picks`); the picks are reduced to
-    distinct (key, rate) with the list of their exponents; only rows at such a
-    rate are aggregated, and the exponents are expanded last, so the final
+    Eager: the columns the sweep reads are staged by key (unless ``grid`` is such a
+    stage), the one full exchange of the rows; ``hot`` are the hot keys of the grid,
+    if known.  Picks (:func:`rategrid.operators.selection.sweep_picks`) are reduced
+    to distinct (key, rate) with the list of their exponents; only rows at such
+    a rate are aggregated, and the exponents are expanded last, so the final
     ``groupBy(exp)`` has at most ``len(exps)`` groups.  Each recovered row counts
     ``copies`` times.  Repeated exponents are an error.
     """
@@ -50,13 +48,11 @@ def sweep_summaries(
     on = list(distinct_on) if distinct_on is not None else [COLS.client, COLS.step]
     cols = dict.fromkeys([key, COLS.step, COLS.rate, COLS.amount, COLS.prob, target, *on, COLS.expected_amount,
                           *[f"{i}_estimado" for i in indicators]])
-    rows = grid.select(*cols)
-    if stage_rows:
-        rows = stage(rows, "sweep-rows")
-    picks, salts = sweep_picks(rows, target, exps, tie, key=key, rows_per_task=rows_per_task)
+    keyed = grid if isinstance(grid, Keyed) else keyed_stage(grid.select(*cols), key, "sweep-rows", hot, rows_per_task)
+    picks = sweep_picks(keyed, target, exps, tie)
     wanted = unpivot_picks(picks, exps, key).groupBy(key, F.col("tasa_of_1").alias("_pick")).agg(
         F.sort_array(F.collect_list("exp")).alias("_exps"))
-    groups = rate_groups(rows, indicators, wanted, key=key, distinct_on=on, salts=salts)
+    groups = rate_groups(keyed, indicators, wanted, key=key, distinct_on=on)
     hit = groups.withColumn("exp", F.explode("_exps"))
     w = F.col("copies")
 
@@ -70,7 +66,7 @@ def sweep_summaries(
         wsum("s_mto_estimado").alias("mto_estimado_e"),
         *[wsum(f"s_{i}_estimado").alias(f"{i}_estimado_e") for i in indicators],
     )
-    exps_df = grid.sparkSession.createDataFrame([(e,) for e in exps], "exp double")
+    exps_df = keyed.rows.sparkSession.createDataFrame([(e,) for e in exps], "exp double")
     out = ["prob_e", "tasa_cli_e", "tasa_pnd_e", "mto_estimado_e"] + [f"{i}_estimado_e" for i in indicators]
     # every exponent keeps a row, with null summaries when nothing was chosen;
     # both sides hold at most len(exps) rows
@@ -78,41 +74,40 @@ def sweep_summaries(
 
 
 def tradeoff(
-    grid: DataFrame,
+    grid: DataFrame | Keyed,
     baseline: DataFrame,
     target: str,
     indicators: Sequence[str],
     exps: Sequence[float] = SWEEP_EXPONENTS,
     tie: str = "min",
     rows_per_task: int = ROWS_PER_TASK,
-    stage_rows: bool = True,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Trade-off table: the lead ``baseline`` beside the chosen portfolio of
     each exponent, with absolute and relative differences (one row per
     exponent)."""
-    summ = sweep_summaries(grid, target, indicators, exps, tie, rows_per_task=rows_per_task,
-                           stage_rows=stage_rows)
+    summ = sweep_summaries(grid, target, indicators, exps, tie, rows_per_task=rows_per_task, hot=hot)
     return compare(summ, baseline, indicators)
 
 
 def final_selection(
-    grid: DataFrame,
+    grid: DataFrame | Keyed,
     target: str,
     exp: float,
     indicators: Sequence[str],
     tie: str = "sum",
     distinct_on: Sequence[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
-    stage_rows: bool = True,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Grid rows at the rate chosen for one exponent (plus ``copies``).
 
     With ``tie="sum"`` several best rates of a key are added, and the key
     keeps only rows at that sum (often none).
 
-    Eager: the grid is staged once (``stage_rows``; pass False if it is a stage
-    already).  Statistics, picks and copies then read a few of its columns, and
-    the full-width rows are shuffled once, to meet the chosen rates."""
-    rows = stage(grid, "grid") if stage_rows else grid
-    picks, salts = sweep_picks(rows, target, [exp], tie, rows_per_task=rows_per_task)
-    return chosen_rows(rows, picks, pick_col="t_0", distinct_on=distinct_on, salts=salts)
+    Eager: the grid is staged by key (unless it is such a stage), the one full
+    exchange of its rows; statistics, picks, copies and the recovery read that
+    stage in place.  ``hot`` are the hot keys of the grid, if known."""
+    keyed = grid if isinstance(grid, Keyed) else keyed_stage(grid, COLS.key, "grid", hot, rows_per_task)
+    picks = sweep_picks(keyed, target, [exp], tie)
+    return chosen_rows(keyed, picks, pick_col="t_0", distinct_on=distinct_on)

@@ -81,12 +81,39 @@ def stage(df: DataFrame, name: str | None = None) -> DataFrame:
     checkpoint; later scans of it prune columns and push filters.  Inside a
     :func:`stage_scope` its path is noted there."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name or 'df'}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _new_path(spark: SparkSession, name: str | None) -> str:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{name or 'df'}-{uuid.uuid4().hex}"
     paths = _scope.get()
     if paths is not None:
         paths.append(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def _table_name(path: str) -> str:
+    return "stage_" + path.rsplit("-", 1)[-1]
+
+
+MAX_BUCKETS = 100_000
+
+
+def stage_by(df: DataFrame, by: Sequence[str], name: str | None = None) -> DataFrame:
+    """:func:`stage` bucketed and sorted by ``by``: rows are exchanged once, here, and
+    plans that group by or join on these columns read them where they are.
+
+    As many buckets as the session has shuffle partitions (one file each).  The
+    stage is an external table of the session's catalog over a new folder in the
+    checkpoint folder; :func:`drop_stages` removes both."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    (df.repartition(n, *by).write.mode("errorifexists").format("parquet").bucketBy(n, *by).sortBy(*by)
+     .option("path", path).saveAsTable(_table_name(path)))
+    return spark.table(_table_name(path))
 
 
 @contextmanager
@@ -104,5 +131,7 @@ def drop_stages(spark: SparkSession, paths: list[str]) -> None:
     """Delete stages by path (only paths a :func:`stage_scope` noted)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while paths:
-        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path = paths.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
