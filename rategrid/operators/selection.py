@@ -266,10 +266,12 @@ def upper_envelope(rows: DataFrame, by: Sequence[str], exps: Sequence[float], ta
     w = Window.partitionBy(*by)
     best = lines.select("*", F.max("_odd").over(w).alias("_whole"),
                         *[F.max(F.expr(f"_b + {e!r}D * _a")).over(w).alias(f"_M{i}") for i, e in enumerate(exps)])
-    near = {f"_near{i}": F.expr(f"_whole OR coalesce(_M{i} < {LOW!r}D OR _M{i} > {HIGH!r}D, true) OR "
-                                f"coalesce(_b + {e!r}D * _a >= _M{i} - {tolerance!r}D, false)") for i, e in enumerate(exps)}
-    kept = best.withColumns(near).where(" OR ".join(near))
-    return kept.select(*rows.columns, *near)
+    # what a line must reach; everything does where the best line decides nothing (a missing one included)
+    reach = [F.expr(f"CASE WHEN NOT _whole AND _M{i} >= {LOW!r}D AND _M{i} <= {HIGH!r}D THEN _M{i} - {tolerance!r}D "
+                    f"ELSE -1.0E308D END AS _M{i}") for i in range(len(exps))]
+    bounded = best.select(*rows.columns, "_a", "_b", *reach)
+    near = {f"_near{i}": F.expr(f"coalesce(_b + {e!r}D * _a, -1.0E308D) >= _M{i}") for i, e in enumerate(exps)}
+    return bounded.withColumns(near).where(" OR ".join(near)).select(*rows.columns, *near)
 
 
 def sweep_picks(
