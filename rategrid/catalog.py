@@ -36,6 +36,7 @@ from rategrid.operators.prep import (
     key_sample,
     nearest_rate,
     normalise_names,
+    numbered,
     offer_lot,
     preview,
     sort_scenarios,
@@ -57,10 +58,13 @@ from rategrid.operators.summary import (
     compare,
     histogram,
     lead_summary_pandas,
+    merge_profiles,
     portfolio,
     profile,
+    profile_sketch,
     rate_change,
     rate_change_groups,
+    read_profile,
 )
 from rategrid.operators.skew import HotKeys, hot_keys, keyed_stage
 from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single, write_outputs
@@ -268,8 +272,23 @@ def q_nansum_variants(spark, sf):
 
 
 def q_column_profile(spark, sf):
-    cols = ["llave", "iter", "seg_wtp_cef", "tasa_propuesta", "van", "prob_adj_ef"]
-    return _longs(profile(gappy_grid(spark, sf), cols))
+    g = gappy_grid(spark, sf)
+    return _longs(profile(g, g.columns))
+
+
+def q_column_profile_merged(spark, sf):
+    """Profiles sketched per order month and merged: exact counts and extremes, and
+    whether each distinct count is within five standard errors of the exact one."""
+    g = stage(gappy_grid(spark, sf), "profile")
+    parts = None
+    for half in (0, 1):
+        part = profile_sketch(g.where(F.col("codmes") % 2 == half))
+        parts = part if parts is None else parts.unionByName(part)
+    merged = read_profile(merge_profiles(stage(parts, "sketches")))
+    exact = profile(g, g.columns).select(F.col("column").alias("_c"), F.col("distinct").alias("_d"))
+    out = merged.join(exact, F.col("column") == F.col("_c"))
+    return _longs(out.select("column", "type", "non_null", "rows", (
+        F.abs(F.col("distinct") - F.col("_d")) <= F.lit(0.04) * F.col("_d")).alias("close")))
 
 
 # ---------------------------------------------------------------------------
@@ -656,27 +675,29 @@ def q_partitioned_output(spark, sf):
 
 
 def q_pipeline_outputs(spark, sf):
-    """Every table of the multi-indicator pipeline written by month and campaign
-    for two runs; rows per table and month read back."""
+    """Every table of the multi-indicator pipeline (all its exponents) written by
+    month and campaign for two runs; two values of every row read back."""
     path = _folder(spark, "runs")
-    tables = ("baseline", "tradeoff", "final")
     for month in (202401, 202402):
         g = dense_grid(spark, sf).drop("codmes").withColumn("codmes", F.lit(month))
-        r = run_multi(g, floor_table(spark, sf), exps=(0.5, 2.0), run={"codmes": month, "campana": "A"})
+        r = run_multi(g, floor_table(spark, sf), run={"codmes": month, "campana": "A"})
         write_outputs(r, path, ["codmes", "campana"])
-    out = None
-    for t in tables:
-        n = spark.read.parquet(f"{path}/{t}").groupBy("codmes", "campana").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(t).alias("name"), "codmes", "campana", "n")
-        out = n if out is None else out.unionByName(n)
+
+    def rows(name: str, shape, item, a: str, b: str) -> DataFrame:
+        t = shape(spark.read.parquet(f"{path}/{name}"))
+        return t.select(F.lit(name).alias("name"), "codmes", "campana", item.alias("item"), F.col(a).alias("a"), F.col(b).alias("b"))
+
+    out = rows("baseline", lambda t: _portfolio_rounding(t, MULTI, ""), F.lit(""), "roa_saldo_estimado", "tasa_pnd")
+    out = out.unionByName(rows("tradeoff", lambda t: _tradeoff_rounding(t, MULTI), F.col("exp").cast("string"),
+                               "roa_saldo_estimado_e", "tasa_pnd_e"))
+    out = out.unionByName(rows("final", lambda t: t, F.concat_ws(":", "llave", F.col("iter").cast("string")),
+                               "mtofinalofertadosol", "tasa_propuesta"))
     return _longs(out)
 
 
 def q_sort_scenarios(spark, sf):
     """Total order by key and step, with each row's place in it."""
-    rows = sort_scenarios(grid_single(spark, sf).select("llave", "iter"))
-    placed = rows.rdd.zipWithIndex().map(lambda x: (x[0]["llave"], x[0]["iter"], x[1]))
-    return _longs(spark.createDataFrame(placed, "llave string, iter int, place long"))
+    return _longs(sort_scenarios(numbered(grid_single(spark, sf).select("llave", "iter"))))
 
 
 PROFILE_RSD = 0.01
@@ -685,10 +706,10 @@ PROFILE_RSD = 0.01
 def q_column_profile_approximate(spark, sf):
     """Sketched profile of all columns: exact counts, and whether each distinct
     count is within five relative deviations of the exact one."""
-    g = gappy_grid(spark, sf).select("llave", "iter", "seg_wtp_cef", "tasa_propuesta", "van", "prob_adj_ef")
+    g = stage(gappy_grid(spark, sf), "profile")
     exact = profile(g, g.columns).select(F.col("column").alias("_c"), F.col("distinct").alias("_d"))
     out = profile(g, rsd=PROFILE_RSD).join(exact, F.col("column") == F.col("_c"))
-    return _longs(out.select("column", "non_null", "rows", (
+    return _longs(out.select("column", "type", "non_null", "rows", (
         F.abs(F.col("distinct") - F.col("_d")) <= F.lit(5 * PROFILE_RSD) * F.col("_d")).alias("close")))
 
 
@@ -715,6 +736,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_mean": q_weighted_mean,
     "nansum_variants": q_nansum_variants,
     "column_profile": q_column_profile,
+    "column_profile_merged": q_column_profile_merged,
     "objective_values": q_objective_values,
     "objective_fill_variants": q_objective_fill_variants,
     "key_stats": q_key_stats,

@@ -16,6 +16,7 @@ from rategrid.operators.prep import (  # noqa: F401
     key_sample,
     nearest_rate,
     normalise_names,
+    numbered,
     offer_lot,
     preview,
     sort_scenarios,
@@ -42,8 +43,11 @@ from rategrid.operators.summary import (  # noqa: F401
     compare,
     histogram,
     lead_summary_pandas,
+    merge_profiles,
     portfolio,
     profile,
+    profile_sketch,
     rate_change,
     rate_change_groups,
+    read_profile,
 )

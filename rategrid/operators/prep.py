@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rategrid.functions.columns import dec
 from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, keyed_stage
 from rategrid.schema import COLS
+from rategrid.sources.io import stage
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -142,3 +143,21 @@ def preview(grid: DataFrame, n: int, order: Sequence[str] = (COLS.key, COLS.step
 def sort_scenarios(grid: DataFrame, order: Sequence[str] = (COLS.key, COLS.step)) -> DataFrame:
     """Total order by key and step (range-partitioned sort)."""
     return grid.orderBy(*order)
+
+
+def numbered(grid: DataFrame, order: Sequence[str] = (COLS.key, COLS.step), name: str = "place") -> DataFrame:
+    """Rows with their number (from 0) in the order of ``order`` (equal rows in any order).
+
+    Eager: the rows are range-partitioned, sorted and staged; the rows before each
+    range (one count per range) are added to the place within it.  No row passes
+    Python, and no range holds more than its share unless rows are equal in
+    ``order``."""
+    ranges = grid.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    staged = stage(ranges.withColumns({"_range": F.spark_partition_id(), "_inside": inside}), "numbered")
+    sizes = staged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # one row per range, so at most as many as there are shuffle partitions
+    return (staged.join(F.broadcast(starts), "_range")
+            .select(*grid.columns, (F.col("_start") + F.col("_inside")).cast("long").alias(name)))

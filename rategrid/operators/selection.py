@@ -335,6 +335,13 @@ def pick_rates(
     return unpivot_picks(sweep_picks(keyed, target, exps, tie, step=step, rate=rate, prob=prob), exps, key)
 
 
+def at_pick(rate: str) -> Column:
+    """``rate = _pick``, written as two bounds so that the join stays one on the key,
+    by which the rows are staged (as an equality it would become a second join key,
+    and the rows would be exchanged again).  Null and NaN rates never match."""
+    return (F.col(rate) <= F.col("_pick")) & (F.col(rate) >= F.col("_pick"))
+
+
 def unpivot_picks(picks: DataFrame, exps: Sequence[float], key: str = COLS.key) -> DataFrame:
     """Wide picks (``t_{i}``) to rows ``(key, exp, tasa_of_1)``, null picks dropped."""
     pairs = F.array(*[F.struct(F.lit(float(e)).alias("exp"), F.col(f"t_{i}").alias("tasa_of_1"))
@@ -371,9 +378,9 @@ def chosen_rows(
     keyed = grid if isinstance(grid, Keyed) else keyed_stage(grid, key, "grid", hot, rows_per_task)
     key = keyed.key
     pick = picks.select(key, F.col(pick_col).alias("_pick")).where(F.col("_pick").isNotNull())
-    hit = keyed.join(keyed.columns(rate, *on), pick).where(F.col(rate) == F.col("_pick"))
+    hit = keyed.join(keyed.columns(rate, *on), pick).where(at_pick(rate))
     chosen = hit.groupBy(key, "_pick").agg(F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"))
-    out = keyed.join(keyed.rows, chosen).where(F.col(rate) == F.col("_pick"))
+    out = keyed.join(keyed.rows, chosen).where(at_pick(rate))
     return out.select(*[c for c in keyed.rows.columns if c != "_salt"], "copies")
 
 
@@ -405,7 +412,7 @@ def rate_groups(
     extra: list[str] = []
     if wanted is not None:
         extra = [c for c in wanted.columns if c not in (key, "_pick")]
-        rows = grid.join(rows, wanted).where(F.col(rate) == F.col("_pick")).drop("_pick")
+        rows = grid.join(rows, wanted).where(at_pick(rate)).drop("_pick")
     r, a = F.col(rate), F.col(amount)
     aggs = [
         F.count_distinct(F.struct(*[F.col(c) for c in on])).alias("copies"),

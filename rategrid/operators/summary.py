@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rategrid.functions.columns import bucket_label, nan_to_null, nan_to_zero, ratio
 from rategrid.operators.skew import ROWS_PER_TASK, HotKeys, key_join
@@ -183,28 +184,72 @@ def histogram(rows: DataFrame, col: str, bins: int = HISTOGRAM_BINS, weight: str
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool | None = None,
             rsd: float = 0.01) -> DataFrame:
-    """Per column: non-null count and distinct non-null count.
+    """Per column: type, non-null count and distinct non-null count.
 
-    Named ``columns`` are counted exactly by default, one distinct count per
-    column over that column alone (its values are combined map-side; no row is
-    repeated per column).  Without names all columns are sketched in one pass
-    (HyperLogLog, mergeable, bounded memory, relative error ``rsd``).
-    Output: ``column, non_null, distinct, rows``.
+    Named ``columns`` are counted exactly by default: one scan, whose rows are
+    expanded to (column, value) and combined map-side before they move.  Without
+    names all columns are sketched in one pass (HyperLogLog, mergeable, bounded
+    memory, relative error ``rsd``).  Output: ``column, type, non_null, distinct, rows``.
     """
     approx = columns is None if approximate is None else approximate
     cols = list(columns) if columns is not None else df.columns
-    if not approx:
-        parts = [df.select(F.col(c).alias("c")).agg(
-            F.lit(c).alias("column"), F.count("c").alias("non_null"), F.count_distinct("c").alias("distinct"),
-            F.count(F.lit(1)).alias("rows")) for c in cols]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+    distinct = [(F.approx_count_distinct(F.col(c), rsd) if approx else F.count_distinct(F.col(c))).alias(f"_nd{i}")
+                for i, c in enumerate(cols)]
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(cols)],
-                 *[F.approx_count_distinct(F.col(c), rsd).alias(f"_nd{i}") for i, c in enumerate(cols)])
+                 *distinct)
     entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_nn{i}").alias("non_null"), F.col(f"_nd{i}").alias("distinct"))
+        F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+                 F.col(f"_nn{i}").alias("non_null"), F.col(f"_nd{i}").alias("distinct"))
         for i, c in enumerate(cols)
     ])
     return one.select(F.inline(entries), F.col("_rows").alias("rows"))
+
+
+SKETCH_LG = 14                   # HyperLogLog sketches of 2^14 registers: relative error about 0.8 %
+
+
+def profile_sketch(df: DataFrame, columns: Sequence[str] | None = None, lg: int = SKETCH_LG) -> DataFrame:
+    """Mergeable profile, one row per column: ``column, type, rows, non_null, least,
+    greatest, sketch`` (extremes as text, NaN the greatest number).  Kept per partition
+    or month, it is merged by :func:`merge_profiles` instead of reading old rows again."""
+    cols = list(columns) if columns is not None else df.columns
+    aggs = []
+    for i, c in enumerate(cols):
+        # the sketch takes integers, text and binary: other values go in as text, -0.0 as 0.0
+        dt = df.schema[c].dataType
+        v = F.col(c)
+        if not isinstance(dt, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)):
+            v = (v + F.lit(0).cast(dt) if isinstance(dt, (T.DoubleType, T.FloatType)) else v).cast("string")
+        aggs += [F.count(F.col(c)).alias(f"_nn{i}"), F.min(c).cast("string").alias(f"_lo{i}"),
+                 F.max(c).cast("string").alias(f"_hi{i}"), F.hll_sketch_agg(v, F.lit(lg)).alias(f"_sk{i}")]
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+                 F.col("_rows").alias("rows"), F.col(f"_nn{i}").alias("non_null"), F.col(f"_lo{i}").alias("least"),
+                 F.col(f"_hi{i}").alias("greatest"), F.col(f"_sk{i}").alias("sketch"))
+        for i, c in enumerate(cols)])
+    return one.select(F.inline(entries))
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """Rows of :func:`profile_sketch` of several parts (unioned) as one profile per
+    column, itself mergeable.  Extremes of numbers are compared as numbers."""
+    number = F.col("type").isin(*_NUMBERS) | F.col("type").startswith("decimal")
+
+    def extreme(f, c: str) -> Column:
+        exact = F.struct(F.when(number, F.col(c).try_cast("double")), F.when(number, F.col(c).try_cast("decimal(38,10)")),
+                         F.col(c).alias("v"))
+        return f(F.when(F.col(c).isNotNull(), exact)).getField("v").alias(c)
+
+    return parts.groupBy("column", "type").agg(
+        F.sum("rows").alias("rows"), F.sum("non_null").alias("non_null"), extreme(F.min, "least"),
+        extreme(F.max, "greatest"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def read_profile(sketches: DataFrame) -> DataFrame:
+    """``column, type, rows, non_null, least, greatest, distinct`` (estimate) of a mergeable profile."""
+    return sketches.select("column", "type", "rows", "non_null", "least", "greatest",
+                           F.hll_sketch_estimate("sketch").alias("distinct"))

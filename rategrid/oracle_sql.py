@@ -513,12 +513,23 @@ e1 AS (SELECT {portfolio_raw(SINGLE, "_e", counts=False)}, {D(EXP_SINGLE)} AS ex
 SELECT {tradeoff_select(SINGLE)} FROM b CROSS JOIN e1 e"""
 
 
+PROFILE_TYPES = {
+    "codmes": "int", "seg_wtp_cef": "int", "numscoreriesgo": "int", "codclavecic": "bigint", "llave": "string",
+    "mtofinalofertadosol": "double", "iter": "int", "tasa_propuesta": "double", "prob_adj_ef": "double",
+    "van": "double", "roa": "double", "avg_balance": "double", "roa_saldo": "double",
+}
+
+
 def profile_sql() -> str:
-    cols = ["llave", "iter", "seg_wtp_cef", "tasa_propuesta", "van", "prob_adj_ef"]
-    parts = [f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS non_null, "
-             f"CAST(count(DISTINCT {c}) AS BIGINT) AS \"distinct\", CAST(count(*) AS BIGINT) AS \"rows\" FROM gappy"
-             for c in cols]
-    return w(DENSE, GAPPY) + "\n" + "\nUNION ALL\n".join(parts)
+    whole = """
+whole AS (
+  SELECT g.* EXCLUDE (van, prob_adj_ef, tasa_propuesta), p.van, p.prob_adj_ef, p.tasa_propuesta,
+         CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS INTEGER) AS codmes
+  FROM grid g JOIN gappy p ON g.llave = p.llave AND g.iter = p.iter JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR))"""
+    parts = [f"SELECT '{c}' AS \"column\", '{t}' AS \"type\", CAST(count({c}) AS BIGINT) AS non_null, "
+             f"CAST(count(DISTINCT {c}) AS BIGINT) AS \"distinct\", CAST(count(*) AS BIGINT) AS \"rows\" FROM whole"
+             for c, t in PROFILE_TYPES.items()]
+    return w(DENSE, GAPPY, whole) + "\n" + "\nUNION ALL\n".join(parts)
 
 
 def _sql() -> dict[str, str]:
@@ -667,11 +678,13 @@ FROM pc GROUP BY llave"""
 SELECT g.llave, CAST(g.iter AS BIGINT) AS iter, g.tasa_propuesta, p.flg_subsegmento_consumo
 FROM (SELECT * FROM gappy_lead WHERE {CAPS}) g LEFT JOIN product p ON g.llave = p.llave
 WHERE {BAND_KEEP}"""
-    s["pipeline_outputs"] = w(*MULTI_CAPPED) + f""",
-n AS (SELECT 'baseline' AS name, 1 AS n UNION ALL SELECT 'tradeoff', 2 UNION ALL
-      SELECT 'final', (SELECT count(*) FROM ({final_cols["multi"]})))
-SELECT n.name, CAST(m.codmes AS BIGINT) AS codmes, 'A' AS campana, CAST(n.n AS BIGINT) AS n
-FROM n CROSS JOIN (VALUES (202401), (202402)) m(codmes)"""
+    s["pipeline_outputs"] = f"""
+SELECT n.name, CAST(m.codmes AS BIGINT) AS codmes, 'A' AS campana, n.item, n.a, n.b
+FROM (SELECT 'baseline' AS name, '' AS item, roa_saldo_estimado AS a, tasa_pnd AS b
+      FROM (SELECT DISTINCT roa_saldo_estimado, tasa_pnd FROM ({s["tradeoff_multi"]}))
+      UNION ALL SELECT 'tradeoff', CAST(exp AS VARCHAR), roa_saldo_estimado_e, tasa_pnd_e FROM ({s["tradeoff_multi"]})
+      UNION ALL SELECT 'final', llave || ':' || CAST(iter AS VARCHAR), mtofinalofertadosol, tasa_propuesta
+      FROM ({final_cols["multi"]})) n CROSS JOIN (VALUES (202401), (202402)) m(codmes)"""
     s["csv_floor_table"] = w(FLOOR) + "\nSELECT llave, tasapropuestamin FROM floors"
     s["partitioned_output"] = w(DENSE) + """,
 g AS (SELECT CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes, d.llave, d.tasa_propuesta
@@ -680,7 +693,8 @@ SELECT *, 'A' AS campana FROM g UNION ALL SELECT *, 'B' AS campana FROM g WHERE
     s["sort_scenarios"] = w(DENSE) + """
 SELECT llave, CAST(iter AS BIGINT) AS iter, CAST(row_number() OVER (ORDER BY llave, iter) - 1 AS BIGINT) AS place FROM grid"""
     s["column_profile_approximate"] = (
-        f"SELECT \"column\", non_null, \"rows\", true AS close FROM ({s['column_profile']})")
+        f"SELECT \"column\", \"type\", non_null, \"rows\", true AS close FROM ({s['column_profile']})")
+    s["column_profile_merged"] = s["column_profile_approximate"]
     hot_cols = "g.llave, g.codclavecic, CAST(g.iter AS BIGINT) AS iter, g.tasa_propuesta, g.mtofinalofertadosol"
     s["rate_change_hot_key"] = rate_change_hot_sql()
     s["rate_floor_hot_key"] = w(HOT, HOT_TARGETS) + f"""

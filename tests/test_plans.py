@@ -9,7 +9,8 @@ from rategrid.catalog import capped_single, grid_single
 from rategrid.operators.limits import cap_iterations
 from rategrid.operators.summary import portfolio
 from rategrid.operators.limits import lead_rows
-from rategrid.plans.tradeoff import tradeoff
+from rategrid.operators.skew import keyed_stage
+from rategrid.plans.tradeoff import final_selection, tradeoff
 from rategrid.sources.io import read_grid, stage
 
 from .conftest import SF_SMALL
@@ -19,67 +20,67 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def scans(df, path: str) -> int:
-    return len([line for line in plan(df).splitlines() if "FileScan parquet" in line and path in line])
+def exchanges(text: str) -> list[str]:
+    return [x for x in text.splitlines() if re.search(r"\bExchange (hash|range|Round|Single)", x)]
 
 
-class Writes:
-    """Plans of the stages written inside (each stage is one job)."""
+def keyed_capped(spark, sf=SF_SMALL, **kw):
+    return keyed_stage(capped_single(spark, sf), name="plan-test", **kw)
 
-    def __init__(self, monkeypatch, module):
-        self.plans = []
-        real = module.stage
 
-        def spy(df, name=None):
-            self.plans.append((name, plan(df)))
-            return real(df, name)
-
-        monkeypatch.setattr(module, "stage", spy)
-
-
-def test_sweep_plan_shape(spark):
-    capped = stage(capped_single(spark, SF_SMALL), "plan-test")
+def test_sweep_moves_no_grid_row_after_its_stage(spark):
+    """Statistics, picks and the rows at the chosen rates read the stage in place:
+    the only exchanges hold at most one row per exponent (or one row)."""
+    keyed = keyed_capped(spark)
     base = portfolio(lead_rows(grid_single(spark, SF_SMALL)), ["van"])
-    out = tradeoff(capped, base, "van", ["van"], stage_rows=False)
-    p = plan(out)
-    assert "Window" not in p
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(tradeoff(keyed, base, "van", ["van"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in p
-    # the staged grid is read by the picks' join, and by the rows that meet the picks
-    assert scans(out, "stage-plan-test") <= 2
-    # the one-row baseline is the only broadcast nested-loop side
-    assert len(re.findall("BroadcastNestedLoopJoin", p)) == 1
+    assert len(re.findall("BroadcastNestedLoopJoin", p)) == 1          # the one-row baseline
+    moved = exchanges(p)
+    assert all("hashpartitioning(exp#" in x or "SinglePartition" in x for x in moved), moved
+    assert len([x for x in p.splitlines() if "FileScan parquet" in x and "Bucketed: true" in x]) == 2
 
 
-def test_sweep_groups_only_chosen_rates(spark):
-    """(key, rate) rows meet the picks before the distinct count."""
-    capped = stage(capped_single(spark, SF_SMALL), "plan-groups")
-    base = portfolio(lead_rows(grid_single(spark, SF_SMALL)), ["van"])
-    p = plan(tradeoff(capped, base, "van", ["van"], stage_rows=False))
-    joined = p.index("_pick")
-    distinct = p.index("codclavecic")
-    assert joined >= 0 and distinct >= 0
-    # the tree is printed from the top: the grouping on the client stands above the join with the picks
-    grouping = min(i for i, line in enumerate(p.splitlines()) if "HashAggregate" in line and "codclavecic" in line)
-    join = min(i for i, line in enumerate(p.splitlines()) if "Join" in line and "_pick" in line)
-    assert grouping < join
-
-
-def test_final_selection_computes_the_grid_once(spark, monkeypatch):
-    """Counting the jobs of its stages, the source tables behind the grid are
-    scanned by one stage only."""
+def test_final_selection_has_one_full_exchange(spark, monkeypatch):
+    """The stage's write holds the only exchange of grid rows, and computes the grid once."""
     from importlib import import_module
 
-    sel, tr = import_module("rategrid.operators.selection"), import_module("rategrid.plans.tradeoff")
-    a, b = Writes(monkeypatch, sel), Writes(monkeypatch, tr)
-    out = tr.final_selection(capped_single(spark, SF_SMALL), "van", 2.5, ["van"])
-    plans = [p for _, p in a.plans + b.plans] + [plan(out)]
-    source = [len([x for x in p.splitlines() if "FileScan parquet" in x and "orders.parquet" in x]) for p in plans]
-    assert sum(n > 0 for n in source) == 1
-    # the staged full-width grid: statistics, picks and copies read few columns, one scan reads all
-    wide = [x for p in plans for x in p.splitlines() if "FileScan parquet" in x and "stage-grid" in x and "roa_saldo" in x]
+    skew, written = import_module("rategrid.operators.skew"), []
+    real = skew.stage_by
+
+    def spy(df, by, name=None):
+        written.append(plan(df.repartition(8, *by)))
+        return real(df, by, name)
+
+    monkeypatch.setattr(skew, "stage_by", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(final_selection(grid_single(spark, SF_SMALL), "van", 2.5, ["van"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(written) == 1 and len(exchanges(written[0])) == 1
+    assert exchanges(p) == [] and "orders.parquet" not in p
+    # statistics and picks read a few columns of the stage, one scan reads all
+    wide = [x for x in p.splitlines() if "FileScan parquet" in x and "roa_saldo" in x]
     assert len(wide) == 1
 
 
+def test_envelope_bounds_the_rows_per_key(spark):
+    """Keys of 400 positive rows: a handful lie on the upper envelope, whatever the number of rows."""
+    from rategrid.operators.selection import upper_envelope
+    from rategrid.rules import SWEEP_EXPONENTS
+
+    g = spark.range(20 * 400).select(
+        (F.col("id") % 20).cast("string").alias("llave"), F.expr("0.02 + 0.9 * (1 - (id div 20) / 400)").alias("p"),
+        F.expr("100 + 1000 * sqrt((id div 20) / 400) + (id % 20)").alias("v"))
+    kept = upper_envelope(g, ["llave"], SWEEP_EXPONENTS, "v", "p").groupBy("llave").count().collect()
+    assert len(kept) == 20 and max(r["count"] for r in kept) <= 2 * len(SWEEP_EXPONENTS)
+
+
 def test_cap_predicate_pushed_to_parquet(spark, tmp_path):
     path = str(tmp_path / "grid")
     grid_single(spark, SF_SMALL).write.parquet(path)
@@ -91,48 +92,58 @@ def test_cap_predicate_pushed_to_parquet(spark, tmp_path):
     assert m and set(m.group(1).split(",")) == {"llave:string", "seg_wtp_cef:int", "iter:int"}
 
 
-def test_gate_counts_rows_per_key_at_any_total(spark):
-    """10^12 rows: one key of 900 M rows and 2,000 keys of 500 M rows are split,
-    whatever share of the data they are; small keys are not."""
-    from rategrid.operators.skew import SALT_BUCKETS, key_bucket, salt_table
+def test_hot_keys_are_exact_at_any_total(spark):
+    """10^12 rows, some buckets large by many small keys: only keys over the budget are hot."""
+    from rategrid.operators.skew import hot_keys
 
     rows = [("big", 900_000_000)] + [(f"k{i}", 500_000_000) for i in range(2000)] + [(f"s{i}", 1000) for i in range(3000)]
+    rows += [(f"m{i}", 1_900_000) for i in range(3000)] + [(None, 5_000_000)]
     df = spark.createDataFrame(rows, "llave string, _n long")
-    salts = salt_table(df)
-    got = {r.llave: r._salts for r in df.withColumn("_bucket", key_bucket("llave")).join(salts, "_bucket", "left").collect()}
-    assert got["big"] >= 450 and all(got[f"k{i}"] >= 250 for i in range(2000))
-    assert sum(got[f"s{i}"] is not None for i in range(3000)) < 30     # only by sharing a bucket
-    assert salts.count() <= 2001 <= SALT_BUCKETS
+    got = {r._hot: r._salts for r in hot_keys(df, n="_n").table.collect()}
+    assert got["big"] == 450 and got[None] == 3 and all(got[f"k{i}"] == 250 for i in range(2000))
+    assert len(got) == 2002
+    assert hot_keys(df.where("_n < 2000000"), n="_n").table is None
 
 
 def test_hot_key_rows_are_salted_over_many_tasks(spark):
     from rategrid.catalog import grid_hot_key
-    from rategrid.operators.skew import key_join, row_salts, salted
+    from rategrid.operators.skew import hot_keys, key_join, salted
 
     g = stage(grid_hot_key(spark, "/root/testdata/sf0.01").select("llave", "iter", "tasa_propuesta", "van").repartition(8), "hot")
-    salts = row_salts(g, rows_per_task=2000)
-    per = salted(g, salts, "llave", g.columns).groupBy("llave", "_salt").count()
-    hot = [r["count"] for r in per.where("llave = 'R'").collect()]
+    hot = hot_keys(g, rows_per_task=2000)
+    per = salted(g, hot, "llave", g.columns).groupBy("llave", "_salt").count()
+    sizes = [r["count"] for r in per.where("llave = 'R'").collect()]
     n = g.where("llave = 'R'").count()
-    assert len(hot) >= 8 and max(hot) < n / 4
-    assert per.where("llave <> 'R' AND _salt > 0").groupBy("llave").count().count() < 20
+    assert len(sizes) >= 8 and max(sizes) < n / 4
+    assert per.where("llave <> 'R' AND _salt > 0").count() == 0
     side = g.groupBy("llave").agg(F.max("van").alias("m"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        j = key_join(g, side, salts)
+        j = key_join(g, side, hot)
         assert j.count() == g.count() and j.where("m IS NULL").count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_equal_rows_get_different_salts(spark):
-    from rategrid.operators.skew import row_salts, salted
+    from rategrid.operators.skew import hot_keys, salted
 
     g = spark.range(10_000, numPartitions=32).select(F.lit("a").alias("llave"), F.lit(1.0).alias("x"))
-    s = salted(g, row_salts(g, rows_per_task=1250), "llave", ["llave", "x"])
+    hot = hot_keys(g, rows_per_task=1250)
+    s = salted(g, hot, "llave", ["llave", "x"])
     per = [r["count"] for r in s.groupBy("_salt").count().collect()]
     assert len(per) >= 6 and max(per) < 5000
-    assert s.exceptAll(salted(g, row_salts(g, rows_per_task=1250), "llave", ["llave", "x"])).count() == 0
+    assert s.exceptAll(salted(g, hot, "llave", ["llave", "x"])).count() == 0
+
+
+def test_null_and_hot_keys_survive_a_left_join(spark):
+    from rategrid.operators.skew import key_join
+
+    g = spark.createDataFrame([("a", i) for i in range(40)] + [(None, i) for i in range(30)] + [("b", 0)], "llave string, v int")
+    side = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "llave string, w int")
+    out = key_join(g, side, how="left", rows_per_task=10, by=["v"])
+    got = {(r.llave, r.w): r["count"] for r in out.groupBy("llave", "w").count().collect()}
+    assert got == {("a", 1): 40, (None, None): 30, ("b", 2): 1}
 
 
 def test_hot_key_joins_without_broadcast(spark):

@@ -107,3 +107,59 @@ def test_zero_amount_portfolio(spark):
                               "prob_adj_ef double, mto_estimado double, van_estimado double")
     r = portfolio(g, ["van"]).first()
     assert r.tasa_pnd is None and r.oferta == 0.0 and r.tasa_cli == 0.2
+
+
+def brute_picks(rows, exps, tie):
+    """Every key's pick by the rules, from all of its rows."""
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def score(v, p, e):
+        if v is None or p is None or math.isnan(v) or math.isnan(p) or (p < 0 and e != int(e)):
+            return 0.0
+        o = v * math.pow(p, e)
+        return 0.0 if math.isnan(o) else o
+
+    def dec(x):
+        return Decimal(repr(x)).quantize(Decimal("1e-10"), ROUND_HALF_UP)
+
+    out, keys = {}, {}
+    for k, it, r, v, p in rows:
+        keys.setdefault(k, []).append((it, 0.0 if r is None or math.isnan(r) else r, v, p))
+    for k, rs in keys.items():
+        for e in exps:
+            o = [score(v, p, e) for _, _, v, p in rs]
+            best, total = max(o), sum(o)
+            cand = [r for (it, r, _, _), x in zip(rs, o) if dec(x) == dec(best) or (total == 0 and it == 0)]
+            if cand:
+                out[k, e] = min(cand) if tie == "min" else sum(cand)
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task", [2_000_000, 20])
+@pytest.mark.parametrize("tie", ["min", "sum"])
+def test_envelope_picks_equal_brute_force(spark, tie, rows_per_task):
+    """Random keys with ties, zeros, negatives, null and NaN cells, tiny scores and cancelling sums."""
+    import random
+
+    from rategrid.operators.selection import sweep_picks, unpivot_picks
+    from rategrid.operators.skew import keyed_stage
+
+    r, exps = random.Random(11), [0.5, 1.0, 2.5, 6.0, 9.5]
+    nan, rows = float("nan"), []
+    for k in range(120):
+        kind = k % 6
+        for it in range(-r.randint(1, 6), r.randint(1, 30)):
+            v = r.choice([0.0, 1.0, 250.0, 4000.0, r.uniform(0, 5000)]) if kind else r.choice([-3.0, 3.0, 0.0, 1.0])
+            v = -v if kind == 2 and r.random() < .5 else v * 1e-9 if kind == 3 else v
+            p = r.choice([1.0, 0.5, 0.25, r.random()])
+            if kind >= 4:
+                v, p = r.choice([v, v, v, None, nan]), r.choice([p, p, p, None, nan, 0.0])
+            rows.append((f"k{k}", it, r.choice([0.1, 0.2, 0.25, None]) if kind == 5 else it / 8, v, p))
+    g = spark.createDataFrame(rows, "llave string, iter int, tasa_propuesta double, van double, prob_adj_ef double")
+    keyed = keyed_stage(g, name="brute", rows_per_task=rows_per_task)
+    assert (keyed.hot.table is None) == (rows_per_task > 20)
+    got = {(x.llave, x.exp): x.tasa_of_1 for x in unpivot_picks(sweep_picks(keyed, "van", exps, tie), exps).collect()}
+    want = brute_picks(rows, exps, tie)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

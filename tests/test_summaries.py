@@ -67,8 +67,37 @@ def test_weighted_portfolio_equals_fanout(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), (None, float("nan"))], "s string, x double")
-    got = {r.column: (r.non_null, r.distinct, r.rows) for r in profile(df, df.columns).collect()}
-    assert got == {"s": (2, 1, 3), "x": (2, 2, 3)}
+    got = {r.column: (r.type, r.non_null, r.distinct, r.rows) for r in profile(df, df.columns).collect()}
+    assert got == {"s": ("string", 2, 1, 3), "x": ("double", 2, 2, 3)}
+
+
+def test_merged_profiles_equal_one_over_all_rows(spark):
+    from rategrid.operators.summary import merge_profiles, profile_sketch, read_profile
+
+    rows = [(str(i % 70), float(i % 300) - 5, i, None if i % 3 else i * 1.5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "s string, x double, i int, m double")
+    a, b, c = (profile_sketch(df.where(f"i % 3 = {k}")) for k in range(3))
+    merged = read_profile(merge_profiles(merge_profiles(a.unionByName(b)).unionByName(c)))
+    whole = read_profile(profile_sketch(df))
+    cols = ["column", "type", "rows", "non_null", "least", "greatest"]
+    assert sorted(merged.select(cols).collect()) == sorted(whole.select(cols).collect())
+    got = {r.column: r for r in merged.collect()}
+    assert (got["x"].least, got["x"].greatest, got["i"].greatest) == ("-5.0", "294.0", "1999")
+    for col, n in (("s", 70), ("x", 300), ("i", 2000)):
+        assert abs(got[col].distinct - n) <= 0.04 * n
+    assert got["m"].non_null == sum(r[3] is not None for r in rows)
+
+
+def test_numbered_rows(spark):
+    from rategrid.operators.prep import numbered
+
+    df = spark.createDataFrame([("R", i % 7) for i in range(500)] + [(f"k{i}", 0) for i in range(300)] + [(None, 1)],
+                               "llave string, iter int").repartition(5)
+    got = sorted((r.place, r.llave, r.iter) for r in numbered(df).collect())
+    assert [p for p, _, _ in got] == list(range(801))
+    keys = [(k is not None, k or "", i) for _, k, i in got]
+    assert keys == sorted(keys)
+    assert numbered(df.limit(0)).count() == 0
 
 
 def test_histogram_ignores_nan(spark):
