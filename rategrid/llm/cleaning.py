@@ -3,9 +3,8 @@
 Every line of a text is judged on its own: punctuation (a longer line needs an
 end mark somewhere or few symbol characters), navigation (short entries between
 separators, or link-list words) and boilerplate (phrases of notices and
-banners).  Failing lines are removed; a text that loses more than
-``MAX_LOST`` of its word characters is rejected, as is one whose remaining text
-is too short.
+banners).  Failing lines are removed, whatever their length; a text that loses
+more than ``MAX_LOST`` of its word characters is rejected.
 
 Base measures per text: words, word characters, symbol characters, repeated
 lines and words inside repeated 3-word windows.  Windows are compared by a
@@ -31,9 +30,10 @@ MAX_LOST = 0.5                   # share of word characters that removed lines m
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\f\r"
 _BLANK = r"[\x20\x09-\x0D]"
-# a line of navigation: at least three short entries between separators
-_NAVIGATION = (r"^(?:[^|»·•>\n]{0,40}+[|»·•>]){3,}+[^|»·•>\n]{0,40}$"
-               r"|^(?i:home|menu|login|log in|sign in|sign up|search|next|previous|back to top|read more|share)\W*$")
+# a line of navigation: at least three short entries between separators, or a lone link word
+_SEPARATORS = "|»·•>"
+_LINK_BAR = r"^(?:[^|»·•>\n]{0,40}+[|»·•>]){3,}+[^|»·•>\n]{0,40}$"
+_LINK_WORD = r"^(?i:home|menu|login|log in|sign in|sign up|search|next|previous|back to top|read more|share)\W*$"
 _BOILERPLATE = (r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|enable javascript"
                 r"|javascript is (?:disabled|required)|subscribe to our newsletter|lorem ipsum|click here to"
                 r"|copyright ©|\(c\) [0-9]{4}")
@@ -86,7 +86,7 @@ def line_fails(line: Column) -> Column:
     symbols = code_points(line, SYMBOLS)
     no_mark = ~line.rlike(r"[.!?…:;。！？]")
     punctuation = (symbols * 10 > chars) | (no_mark & (F.regexp_count(line, F.lit(WORD)) > 25))
-    navigation = (F.contains(line, F.lit("|")) | (chars <= 160)) & line.rlike(_NAVIGATION)
+    navigation = ((code_points(line, _SEPARATORS) >= 3) & line.rlike(_LINK_BAR)) | line.rlike(_LINK_WORD)
     return (chars > 0) & (punctuation | navigation | line.rlike(_BOILERPLATE))
 
 

@@ -22,8 +22,10 @@ Cases: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; rows repeating an id count once (the smallest
 vector); vectors of unequal length are padded with zeros; ties go to the
 smaller id; fewer than ``k`` candidates give fewer rows; an empty table gives an
-empty result; extra columns are ignored.  Components whose products could pass
-63 bits are refused with an error rather than wrapped.
+empty result; extra columns are ignored.  Vectors with components too large for
+exact floating-point bounds are kept out of the index and scored by themselves in
+Python integers, as every vector is for such a query; integers beyond 64 bits, and
+scores beyond them, saturate.
 """
 
 from __future__ import annotations
@@ -47,6 +49,44 @@ ROUNDS = (0.2, 0.4, 0.5, 0.6, 0.75, 1.0)   # shares of the postings after which
 RESCORE = 4                      # rescoring a quarter of a block costs less than reading on
 
 
+def largest_indexed(width: int) -> int:
+    """Largest component for which sums of ``width`` impacts are exact in doubles."""
+    return int((2.0**51 / max(1, width)) ** 0.5)
+
+
+def exact_scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in Python integers, saturated at 64 bits."""
+    low, high = -2**63, 2**63 - 1
+    return np.array([min(high, max(low, int(s))) for s in rows.astype(object) @ q.astype(object)], np.int64)
+
+
+class Block:
+    """A block's vectors: those with ordinary components indexed, the others apart."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        # compared as numbers, not by abs(): the least 64-bit integer has none
+        self.limit = largest_indexed(vectors.shape[1])
+        wide = ((vectors > self.limit) | (vectors < -self.limit)).any(axis=1)
+        self.ids, self.v = ids, vectors
+        self.index = BlockIndex(ids[~wide], vectors[~wide]) if not wide.all() else None
+        self.wide_ids, self.wide = ids[wide], vectors[wide]
+
+    def search(self, q: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if ((q > self.limit) | (q < -self.limit)).any():
+            ids, scores = self.ids, exact_scores(self.v, q)
+        elif len(self.wide_ids):
+            found = self.index.search(q, own, k, threshold)[:2] if self.index is not None else (self.ids[:0], self.ids[:0])
+            ids = np.concatenate([found[0], self.wide_ids])
+            scores = np.concatenate([found[1], exact_scores(self.wide, q)])
+        else:
+            return self.index.search(q, own, k, threshold)[:2]
+        keep = ids != own
+        if threshold is not None:
+            keep &= scores >= threshold
+        ids, scores = ids[keep], scores[keep]
+        best = np.lexsort((ids, [-int(s) for s in scores] if len(scores) and scores.min() == -2**63 else -scores))[:k]
+        return ids[best], scores[best]
+
 
 class BlockIndex:
     """Impact-ordered postings of one block of integer vectors: per dimension the
@@ -175,24 +215,45 @@ def search(blocks: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame
                 if block != held:
                     continue                                  # a block without vectors
                 if isinstance(index, tuple):
-                    index = BlockIndex(*index)
+                    index = Block(*index)
                 limit = b.column(4)[i].as_py()
                 limit = np.frombuffer(limit, np.int64) if limit is not None else None
-                out_q, out_v, out_s = [], [], []
-                for j, own in enumerate(ids.tolist()):
-                    t = None if limit is None or limit[j] == np.iinfo(np.int64).min else int(limit[j])
-                    v, s, _ = index.search(m[j], own, k, t)
-                    out_q.append(np.full(len(v), own))
-                    out_v.append(v)
-                    out_s.append(s)
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)],
-                                      names=["query_id", "vec_id", "score"])
+                yield hits(index, ids, m, limit, k)
 
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return ordered.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def hits(block: Block, ids: np.ndarray, queries: np.ndarray, limit: np.ndarray | None, k: int) -> pa.RecordBatch:
+    """Top ``k`` of a block for a batch of queries, as (query_id, vec_id, score)."""
+    out_q, out_v, out_s = [], [], []
+    for j, own in enumerate(ids.tolist()):
+        t = None if limit is None or limit[j] == np.iinfo(np.int64).min else int(limit[j])
+        v, s = block.search(queries[j], own, k, t)
+        out_q.append(np.full(len(v), own, np.int64))
+        out_v.append(v)
+        out_s.append(s)
+    return pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in (out_q, out_v, out_s)],
+                           names=["query_id", "vec_id", "score"])
+
+
+def search_seed(block: tuple[bytes, bytes], asked: DataFrame, width: int, k: int) -> DataFrame:
+    """Top ``k`` of one block (its ids and matrix) for all queries: the block, bounded
+    in size, goes to the query blocks, wherever they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.frombuffer(block[0], np.int64)
+        index = Block(ids, np.frombuffer(block[1], np.int64).reshape(len(ids), width))
+        for b in batches:
+            for i in range(b.num_rows):
+                own = np.frombuffer(b.column(0)[i].as_py(), np.int64)
+                yield hits(index, own, np.frombuffer(b.column(1)[i].as_py(), np.int64).reshape(len(own), width), None, k)
+
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.select("q_ids", "q").repartition(parts).mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -203,13 +264,10 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding", k: i
     """``query_id, rank, vec_id, score``: the ``k`` best rows for every query."""
     spark = prepare(table.sparkSession)
     v = stage(vectors(table, id_col, vec, scale), "vectors")
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    s = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w"), F.max(top).alias("top")).first()
-    n, width, largest = s["n"], s["w"] or 0, s["top"] or 0
+    s = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
+    n, width = s["n"], s["w"] or 0
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if 4 * max(1, width) * largest * largest >= 2**53:
-        raise OverflowError("inner products of these components cannot be kept exact")
     n_blocks = -(-n // block_rows)
     blocks = stage(pack(v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")), "block",
                         max(1, width)), "vector-blocks")
@@ -221,12 +279,10 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec: str = "embedding", k: i
     q = stage(pack(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)).cast("int")),
                    "block", max(1, width)), "query-blocks")
     asked = q.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q"))
-    first = blocks.agg(F.min("block")).first()[0]
+    first, *seed_block = blocks.orderBy("block").limit(1).first()
 
     # seed block: its k-th best score is a proven threshold for the other blocks
-    seed = stage(search(blocks.where(F.col("block") == first),
-                        asked.withColumn("block", F.lit(first)).withColumn("limits", F.lit(None).cast("binary")),
-                        max(1, width), k), "seed-hits")
+    seed = stage(search_seed((bytes(seed_block[0]), bytes(seed_block[1])), asked, max(1, width), k), "seed-hits")
     kth = seed.groupBy("query_id").agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("c"))
     limits = kth.where(F.col("c") == k).select("query_id", "t")
 

@@ -65,3 +65,11 @@ def test_no_python_in_the_plan(spark):
 def test_empty_table(spark):
     assert cleaning.measures(frame(spark, [])).count() == 0
     assert cleaning.clean(frame(spark, [])).count() == 0
+
+
+def test_link_bars_of_any_length_and_separator_go(spark):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    bars = [f" {sep} ".join(f"Entry {i}." for i in range(n)) for sep in "|»·•>" for n in (10, 60)]
+    rows = [(i, prose + "\n" + bar, "en", "s", 0) for i, bar in enumerate(bars)] + [(99, prose + "\n" + " . ".join(["a b"] * 60), "en", "s", 0)]
+    got = {r["doc_id"]: r["n_bad_lines"] for r in cleaning.measures(frame(spark, rows)).collect()}
+    assert got == {**{i: 1 for i in range(len(bars))}, 99: 0}

@@ -62,7 +62,13 @@ def test_few_rows_and_empty(spark):
     assert topk.top_k(df.where("vec_id = 1")).count() == 0
 
 
-def test_refuses_components_that_would_wrap(spark):
-    df = spark.createDataFrame([(0, [1e9]), (1, [2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(OverflowError):
-        topk.top_k(df)
+def test_large_components_are_exact(spark):
+    r = random.Random(9)
+    rows = [(i, [r.choice([0.5, -1.0, 2.0, 1e5]) if i % 7 else 3e5 * (i % 5 - 2) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, k, v, max(-2**63, min(2**63 - 1, s))) for q, k, v, s in brute(rows)]
+    assert all(-2**63 < s < 2**63 - 1 for *_, s in want)
+    assert sorted(tuple(x) for x in topk.top_k(df, block_rows=64).collect()) == want
+    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [1.0])], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in topk.top_k(huge).orderBy("rank").collect()]
+    assert got[0] == (1, 2**63 - 1) and got[-1] == (2, -2**63)
