@@ -9,6 +9,7 @@ times.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -188,15 +189,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bo
 
     Named ``columns`` are counted exactly by default: one scan, whose rows are
     expanded to (column, value) and combined map-side before they move.  Without
-    names all columns are sketched in one pass (HyperLogLog, mergeable, bounded
-    memory, relative error ``rsd``).  Output: ``column, type, non_null, distinct, rows``.
+    names all columns are sketched in one pass (HyperLogLog sketches, mergeable,
+    bounded memory, relative error about ``rsd``; see :func:`profile_sketch`).  Output: ``column, type, non_null, distinct, rows``.
     """
-    approx = columns is None if approximate is None else approximate
     cols = list(columns) if columns is not None else df.columns
-    distinct = [(F.approx_count_distinct(F.col(c), rsd) if approx else F.count_distinct(F.col(c))).alias(f"_nd{i}")
-                for i, c in enumerate(cols)]
+    if columns is None if approximate is None else approximate:
+        lg = max(4, min(21, math.ceil(2 * math.log2(1.04 / rsd))))
+        return read_profile(profile_sketch(df, cols, lg)).select("column", "type", "non_null", "distinct", "rows")
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(cols)],
-                 *distinct)
+                 *[F.count_distinct(F.col(c)).alias(f"_nd{i}") for i, c in enumerate(cols)])
     entries = F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
                  F.col(f"_nn{i}").alias("non_null"), F.col(f"_nd{i}").alias("distinct"))
