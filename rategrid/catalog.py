@@ -66,12 +66,14 @@ from rategrid.operators.summary import (
     rate_change_groups,
     read_profile,
 )
+from rategrid.operators.rule_tables import bucket_report_table, rate_band_table
 from rategrid.operators.skew import HotKeys, hot_keys, keyed_stage
-from rategrid.plans.pipelines import run_multi, run_pandas_rules, run_single, write_outputs
+from rategrid.plans.pipelines import publish_outputs, run_multi, run_pandas_rules, run_single, write_outputs
 from rategrid.plans.tradeoff import final_selection, scenario_summary, tradeoff
 from rategrid.rules import Band
 from rategrid.schema import FLOOR_SCHEMA
 from rategrid.sources.io import checkpoint_dir, export_csv, read_csv_table, stage, write_stage
+from rategrid.sources.runs import publish_run, read_published
 from rategrid.sources.tables import (
     dense_grid,
     floor_table,
@@ -115,6 +117,9 @@ VAN_SUM_DIGITS = 8     # the exact decimals of an expected value: no sum lies on
 # decimals of each value (price 2, discount 2, expected amount 4, expected
 # value 6), so the rounding never meets a tie and absorbs summation order.
 NATURAL_DIGITS = {"oferta": 3, "prob_": 3, "tasa_": 3, "mto_": 5, "van_": 7}
+# Small groups of lead rows: past the exact decimals (2 and 5); three for the
+# expected value, whose seven decimals rarely end in a tie.
+LEAD_DIGITS = {"oferta": 3, "mto_estimado": 6, "van_estimado": 3}
 
 
 # ---------------------------------------------------------------------------
@@ -683,8 +688,13 @@ def q_pipeline_outputs(spark, sf):
         r = run_multi(g, floor_table(spark, sf), run={"codmes": month, "campana": "A"})
         write_outputs(r, path, ["codmes", "campana"])
 
+    return _output_values(lambda name: spark.read.parquet(f"{path}/{name}"))
+
+
+def _output_values(read: Callable[[str], DataFrame]) -> DataFrame:
+    """Two values of every row of the multi-indicator result tables."""
     def rows(name: str, shape, item, a: str, b: str) -> DataFrame:
-        t = shape(spark.read.parquet(f"{path}/{name}"))
+        t = shape(read(name))
         return t.select(F.lit(name).alias("name"), "codmes", "campana", item.alias("item"), F.col(a).alias("a"), F.col(b).alias("b"))
 
     out = rows("baseline", lambda t: _portfolio_rounding(t, MULTI, ""), F.lit(""), "roa_saldo_estimado", "tasa_pnd")
@@ -695,6 +705,78 @@ def q_pipeline_outputs(spark, sf):
     return _longs(out)
 
 
+def q_published_runs(spark, sf):
+    """Two months published, the second first without rows and then whole; a later run of
+    the first month stops after one table: the published values."""
+    path = _folder(spark, "published")
+
+    def read(name: str) -> DataFrame:
+        return read_published(spark, path, name)
+
+    for month in (202401, 202402):
+        run = {"codmes": month, "campana": "A"}
+        if month == 202402:
+            none = {n: read(n).where(F.lit(False)).withColumn("codmes", F.lit(month)) for n in ("baseline", "tradeoff", "final")}
+            publish_run(none, path, run)
+        g = dense_grid(spark, sf).drop("codmes").withColumn("codmes", F.lit(month))
+        publish_outputs(run_multi(g, floor_table(spark, sf), run=run), path, run)
+    lead_rows(dense_grid(spark, sf)).write.parquet(f"{path}/run-{uuid.uuid4().hex}/baseline")
+    return _output_values(read)
+
+
+def _monthly(spark, sf):
+    """Orders with month, amount and subsegment (the source of the rule tables)."""
+    p = product_table(spark, sf).select("llave", "flg_subsegmento_consumo")
+    o = lead_rows(dense_grid(spark, sf)).select("codmes", "llave", "mtofinalofertadosol")
+    return o.join(p, "llave").withColumn("_k", F.col("llave").cast("long"))
+
+
+def monthly_bands(spark, sf):
+    """A band per month and subsegment; one without lower and one without upper bound in a few,
+    MACHINERY unlisted."""
+    k = _monthly(spark, sf).where("flg_subsegmento_consumo <> 'MACHINERY'").groupBy(
+        "codmes", "flg_subsegmento_consumo").agg(F.min("_k").alias("a"), F.max("_k").alias("b"))
+    return k.select("codmes", "flg_subsegmento_consumo",
+                    F.when(F.col("a") % 9 != 0, F.lit(0.12) + F.col("a") % 8 / F.lit(100)).alias("lo"),
+                    F.when(F.col("b") % 9 != 0, F.lit(0.25) + F.col("b") % 30 / F.lit(100)).alias("hi"))
+
+
+def monthly_buckets(spark, sf):
+    """Three buckets per month between its least and greatest amount, the last one open."""
+    m = F.col("mtofinalofertadosol")
+    e = _monthly(spark, sf).groupBy("codmes").agg(F.min(m).alias("a"), F.max(m).alias("b"))
+    none, width = F.lit(None).cast("double"), F.col("b") - F.col("a")
+    edges = [none, F.col("a") + width * F.lit(0.125), F.col("a") + width * F.lit(0.5)]
+    return e.select("codmes", F.inline(F.array(*[
+        F.struct(edges[i].alias("lo"), edges[i + 1].alias("hi"), F.lit(n).alias("rng_mto_v2"))
+        for i, n in enumerate(("1.low", "2.middle"))])))
+
+
+def _rate_band_rules(spark, sf, mode):
+    g = enrich(gappy_grid(spark, sf), product_table(spark, sf), hot=dense_hot(spark, sf))
+    out = rate_band_table(g, monthly_bands(spark, sf), mode, per=("codmes",))
+    return _longs(out.select("llave", "iter", "tasa_propuesta", "flg_subsegmento_consumo"))
+
+
+def q_rate_band_rules_drop(spark, sf):
+    """Rate bands per month and subsegment from a rule table, three-valued."""
+    return _rate_band_rules(spark, sf, "drop")
+
+
+def q_rate_band_rules_keep(spark, sf):
+    """Rate bands per month and subsegment from a rule table, two-valued."""
+    return _rate_band_rules(spark, sf, "keep")
+
+
+def q_bucket_report_rules(spark, sf):
+    """Lead rows per month and bucket of a bucket table that changes per month."""
+    out = bucket_report_table(lead_rows(grid_single(spark, sf)), monthly_buckets(spark, sf), SINGLE, per=("codmes",),
+                              open_label="3.open")
+    for c, digits in LEAD_DIGITS.items():
+        out = _round(out, digits, [c])
+    return _longs(_round(out, RATIO_DIGITS, ["prob", "tasa_cli", "tasa_pnd"]))
+
+
 def q_sort_scenarios(spark, sf):
     """Total order by key and step, with each row's place in it."""
     return _longs(sort_scenarios(numbered(grid_single(spark, sf).select("llave", "iter"))))
@@ -791,6 +873,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_pandas_capped": q_pipeline_pandas_capped,
     "pipeline_pandas_baseline": q_pipeline_pandas_baseline,
     "pipeline_outputs": q_pipeline_outputs,
+    "published_runs": q_published_runs,
+    "rate_band_rules_drop": q_rate_band_rules_drop,
+    "rate_band_rules_keep": q_rate_band_rules_keep,
+    "bucket_report_rules": q_bucket_report_rules,
     "csv_floor_table": q_csv_floor_table,
     "partitioned_output": q_partitioned_output,
     "sort_scenarios": q_sort_scenarios,

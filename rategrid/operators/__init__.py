@@ -22,6 +22,12 @@ from rategrid.operators.prep import (  # noqa: F401
     sort_scenarios,
     top_offer,
 )
+from rategrid.operators.rule_tables import (  # noqa: F401
+    bucket_label_table,
+    bucket_report_table,
+    interval_join,
+    rate_band_table,
+)
 from rategrid.operators.selection import (  # noqa: F401
     best_rate,
     chosen_rows,

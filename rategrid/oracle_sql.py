@@ -685,6 +685,40 @@ FROM (SELECT 'baseline' AS name, '' AS item, roa_saldo_estimado AS a, tasa_pnd A
       UNION ALL SELECT 'tradeoff', CAST(exp AS VARCHAR), roa_saldo_estimado_e, tasa_pnd_e FROM ({s["tradeoff_multi"]})
       UNION ALL SELECT 'final', llave || ':' || CAST(iter AS VARCHAR), mtofinalofertadosol, tasa_propuesta
       FROM ({final_cols["multi"]})) n CROSS JOIN (VALUES (202401), (202402)) m(codmes)"""
+    s["published_runs"] = s["pipeline_outputs"]
+    month = "CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes"
+    bands = f"""
+bands AS (
+  SELECT codmes, seg, CASE WHEN a % 9 <> 0 THEN {D(0.12)} + (a % 8) / {D(100)} END AS lo,
+         CASE WHEN b % 9 <> 0 THEN {D(0.25)} + (b % 30) / {D(100)} END AS hi
+  FROM (SELECT {month}, p.flg_subsegmento_consumo AS seg, min(o.o_orderkey) AS a, max(o.o_orderkey) AS b
+        FROM orders o JOIN product p ON p.llave = CAST(o.o_orderkey AS VARCHAR)
+        WHERE p.flg_subsegmento_consumo <> 'MACHINERY' GROUP BY 1, 2) t),
+rows AS (
+  SELECT {month}, g.llave, g.iter, g.tasa_propuesta, p.flg_subsegmento_consumo
+  FROM gappy g JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR) LEFT JOIN product p ON g.llave = p.llave)"""
+    term = ("(b.lo IS NOT NULL AND r.tasa_propuesta < b.lo AND r.flg_subsegmento_consumo = b.seg) OR "
+            "(b.hi IS NOT NULL AND r.tasa_propuesta > b.hi AND r.flg_subsegmento_consumo = b.seg)")
+    for mode, unknown in (("drop", "true"), ("keep", "false")):
+        s[f"rate_band_rules_{mode}"] = w(DENSE, GAPPY, PRODUCT, bands) + f"""
+SELECT r.llave, CAST(r.iter AS BIGINT) AS iter, r.tasa_propuesta, r.flg_subsegmento_consumo
+FROM rows r LEFT JOIN bands b ON r.codmes = b.codmes
+GROUP BY ALL HAVING NOT coalesce(bool_or(coalesce({term}, b.codmes IS NOT NULL AND {unknown})), false)"""
+    s["bucket_report_rules"] = w(DENSE, G_SINGLE, PRODUCT) + f""",
+leads AS (SELECT {month}, g.* FROM g_single g JOIN orders o ON g.llave = CAST(o.o_orderkey AS VARCHAR) WHERE g.iter = 0),
+ends AS (
+  SELECT codmes, min(l.mtofinalofertadosol) AS a, max(l.mtofinalofertadosol) AS b
+  FROM leads l JOIN product p ON l.llave = p.llave GROUP BY codmes),
+named AS (
+  SELECT l.*, CASE WHEN mtofinalofertadosol < a + (b - a) * {D(0.125)} THEN '1.low'
+                   WHEN mtofinalofertadosol < a + (b - a) * {D(0.5)} THEN '2.middle' ELSE '3.open' END AS rng_mto_v2
+  FROM leads l LEFT JOIN ends e ON l.codmes = e.codmes)
+SELECT codmes, rng_mto_v2, CAST(count(*) AS BIGINT) AS clientes, {rnd('sum(mtofinalofertadosol)', 3)} AS oferta,
+       {rnd('avg(tasa_propuesta)', RATIO_DIGITS)} AS tasa_cli,
+       {rnd('sum(tasa_propuesta * mtofinalofertadosol) / sum(mtofinalofertadosol)', RATIO_DIGITS)} AS tasa_pnd,
+       {rnd('sum(mto_estimado)', 6)} AS mto_estimado, {rnd('sum(van_estimado)', 3)} AS van_estimado,
+       {rnd('avg(prob_adj_ef)', RATIO_DIGITS)} AS prob
+FROM named GROUP BY 1, 2"""
     s["csv_floor_table"] = w(FLOOR) + "\nSELECT llave, tasapropuestamin FROM floors"
     s["partitioned_output"] = w(DENSE) + """,
 g AS (SELECT CAST(year(o.o_orderdate) * 100 + month(o.o_orderdate) AS BIGINT) AS codmes, d.llave, d.tasa_propuesta

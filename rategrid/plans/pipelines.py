@@ -49,6 +49,7 @@ from rategrid.plans.tradeoff import final_selection, tradeoff
 from rategrid.rules import DEFAULT_CAPS, MIN_RISK_SCORE, SWEEP_EXPONENTS, Band
 from rategrid.schema import COLS
 from rategrid.sources.io import drop_stages, stage, stage_scope, write_stage
+from rategrid.sources.runs import publish_run
 
 
 @dataclass
@@ -194,4 +195,14 @@ def write_outputs(result, out_dir: str, partition_by: Sequence[str] = (), keep_s
         drop_stages(next(iter(tables.values())).sparkSession, result.stages)
 
 
-__all__ = ["run_single", "run_multi", "run_pandas_rules", "write_outputs"]
+def publish_outputs(result, out_dir: str, run: Mapping, keep_stages: bool = False) -> int:
+    """Write every DataFrame of a pipeline result and publish them together as the state
+    of ``run`` (see :mod:`rategrid.sources.runs`), then delete the run's stages."""
+    tables = {f.name: getattr(result, f.name) for f in fields(result) if isinstance(getattr(result, f.name), DataFrame)}
+    number = publish_run(tables, out_dir, run)
+    if not keep_stages:
+        drop_stages(next(iter(tables.values())).sparkSession, result.stages)
+    return number
+
+
+__all__ = ["run_single", "run_multi", "run_pandas_rules", "write_outputs", "publish_outputs"]

@@ -10,3 +10,10 @@ from rategrid.sources.io import (  # noqa: F401
     stage_scope,
     write_stage,
 )
+from rategrid.sources.runs import (  # noqa: F401
+    clean_runs,
+    clean_stages,
+    publish_run,
+    published_runs,
+    read_published,
+)
