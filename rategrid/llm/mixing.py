@@ -10,7 +10,9 @@ that repeats.  The stream is cut into blocks of ``block_words`` words.  Slot
 cumulative target shares to a source; the rank of a slot among the slots of its
 source names the block that it holds.  A block past the target is cut at it, so
 every source's words come to its target (rounded down) exactly, and a block
-that no slot reaches is appended, so nothing is lost.
+that no slot reaches is appended, so nothing is lost.  A document's first slot
+is the first one that reads a block with words of it; ``apply_mix`` can write its
+rows in the order of the slots.
 
 Running sums use buckets of the shuffled order (see
 :func:`rategrid.llm.common.running_start`), so no source is sorted in one task.
@@ -109,11 +111,12 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     the cumulative target shares, ranked per source (slots past a source's last
     block left out)."""
     spark = sources.sparkSession
-    r = sources.agg(F.sum("target").alias("t"), F.count_if(F.col("target") >= 1).alias("k")).first()
-    total = float(r["t"] or 0)
+    words = F.floor("target").cast("long")
+    r = sources.agg(F.sum(words).alias("t"), F.count_if(words >= 1).alias("k")).first()
+    total = int(r["t"] or 0)
     need = F.ceil(F.floor("target") / block_words).cast("long")
     share = running_share(sources, total).withColumn("need", need)
-    n_slots = int(total / block_words * 1.02) + 8 * int(r["k"] or 0) + 8 if total else 0
+    n_slots = total * 102 // (100 * block_words) + 8 * int(r["k"] or 0) + 8 if total else 0
     point = (F.col("slot") + 0.5) * GOLDEN
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").select(
         "slot", (point - F.floor(point)).alias("x"), F.floor(F.col("slot") / _SLOT_BUCKET).alias("chunk"),
@@ -128,14 +131,14 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return ranked.where("block < need").select("slot", "rank", "block")
 
 
-def running_share(sources: DataFrame, total: float) -> DataFrame:
+def running_share(sources: DataFrame, total: int) -> DataFrame:
     """Sources with their interval ``[lo, hi)`` of the cumulative target shares."""
     n = sources.count()
     placed = running_start(
         sources.withColumn("_all", F.lit(0)).withColumn("_pos", F.col("rank") / F.lit(float(max(1, n))))
         .withColumn("_units", F.floor("target").cast("long")),
         ["_all"], ["rank"], "_units", "_pos", "_before")
-    scale = F.lit(max(total, 1.0))
+    scale = F.lit(float(max(total, 1)))
     return placed.select("rank", "target", (F.col("_before") / scale).alias("lo"),
                          ((F.col("_before") + F.col("_units")) / scale).alias("hi"))
 
@@ -161,14 +164,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
                 block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, size, source_size, target, taken``."""
+    """Per row of ``docs``: ``doc_id, size, source_size, target, taken, first_slot``
+    (null where nothing is taken)."""
     placed, sources = plan(docs, id_col, text, source)
-    per_row = mix(placed, sources, block_words).groupBy("rank", "start").agg(F.sum("n_words").alias("taken"))
+    per_row = mix(placed, sources, block_words).groupBy("rank", "start").agg(
+        F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
     return placed.alias("d").join(
         per_row.alias("t"),
         (F.col("d.rank") == F.col("t.rank")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0), "left"
     ).select("d.doc_id", "d.size", "d.source_size", "d.target",
-             F.coalesce(F.col("t.taken"), F.lit(0)).cast("long").alias("taken"))
+             F.coalesce(F.col("t.taken"), F.lit(0)).cast("long").alias("taken"), F.col("t.first_slot"))
 
 
 TAKEN_SQL = """
@@ -190,27 +195,54 @@ lv AS (
          / (SELECT sum(w) FROM s WHERE NOT w * lam > source_size * 3), lam
   FROM lv WHERE lam <> prev AND (SELECT count(*) FROM s WHERE NOT w * lam > source_size * 3) > 0),
 t AS (SELECT source, source_size, least(w * (SELECT arg_max(lam, i) FROM lv WHERE lam IS NOT NULL), source_size * 3.0) AS target FROM s),
+r AS (SELECT source, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank,
+             floor(target)::BIGINT AS tt FROM t),
+share AS (
+  SELECT rank, tt, coalesce(sum(tt) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE
+                   / greatest(sum(tt) OVER (), 1)::DOUBLE AS lo,
+         sum(tt) OVER (ORDER BY rank)::DOUBLE / greatest(sum(tt) OVER (), 1)::DOUBLE AS hi FROM r),
+points AS (
+  SELECT i AS slot, (i::DOUBLE + 0.5::DOUBLE) * CAST('0.6180339887498949' AS DOUBLE) AS y
+  FROM (SELECT unnest(range((SELECT CASE WHEN sum(tt) > 0 THEN sum(tt)::BIGINT * 102 // 6553600
+                                              + 8 * count(*) FILTER (tt >= 1) + 8 ELSE 0 END FROM r)::BIGINT)) AS i)),
+drawn AS (
+  SELECT slot, rank, tt, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block
+  FROM points JOIN share ON y - floor(y) >= lo AND y - floor(y) < hi),
+slots AS (SELECT slot, rank, block FROM drawn WHERE block * 65536 < tt),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target::DOUBLE AS target, floor(t.target)::BIGINT AS tt,
+  SELECT d.doc_id, d.size, t.source_size, t.target::DOUBLE AS target, floor(t.target)::BIGINT AS tt, r.rank,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+passes AS (
+  SELECT rank, st, size, tt, source_size, unnest(range((tt - st - 1) // source_size + 1)) AS pass
+  FROM p WHERE size > 0 AND st < tt),
+blocks AS (
+  SELECT rank, st, unnest(range((pass * source_size + st) // 65536,
+                                (least(pass * source_size + st + size, tt) - 1) // 65536 + 1)) AS block FROM passes),
+firsts AS (
+  SELECT b.rank, b.st, min(coalesce(slot, 1099511627776 + b.block * 1048576 + b.rank))::BIGINT AS first_slot
+  FROM blocks b LEFT JOIN slots s ON b.rank = s.rank AND b.block = s.block GROUP BY 1, 2)
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE
-         size * (tt // source_size) + greatest(0, least(size, tt % source_size - st)) END::BIGINT AS taken
-FROM p
+         size * (tt // source_size) + greatest(0, least(size, tt % source_size - p.st)) END::BIGINT AS taken,
+       first_slot
+FROM p LEFT JOIN firsts f ON p.rank = f.rank AND p.st = f.st AND p.size > 0
 """
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-              block_words: int = BLOCK_WORDS) -> DataFrame:
+              block_words: int = BLOCK_WORDS, ordered: bool = False) -> DataFrame:
     """The mixed rows with the columns of ``docs``: a row once for each pass that
     takes all of it, cut after its last taken word in a pass that ends inside it.
+    ``ordered`` sorts them by slot over range partitions (one more exchange of the
+    texts): written, the files follow the schedule.
 
     A row's take is attached through its id, size and source; rows that agree in
     these are told apart by their order among such rows."""
     placed, sources = plan(docs, id_col, text, source)
-    takes = mix(placed, sources, block_words).groupBy("rank", "start", "pass").agg(F.sum("n_words").alias("n"))
-    per_row = takes.groupBy("rank", "start").agg(F.sort_array(F.collect_list("n"), asc=False).alias("takes"))
+    takes = mix(placed, sources, block_words).groupBy("rank", "start", "pass").agg(
+        F.sum("n_words").alias("n"), F.min("slot").alias("slot"))
+    per_row = takes.groupBy("rank", "start").agg(F.sort_array(F.collect_list(F.struct("n", "slot")), asc=False).alias("takes"))
     narrow = placed.alias("d").join(
         per_row.alias("t"), (F.col("d.rank") == F.col("t.rank")) & (F.col("d.start") == F.col("t.start")), "inner"
     ).where("d.size > 0").select("d.doc_id", "d.source", "d.size", "d.start", "t.takes")
@@ -230,7 +262,10 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     joined = single.unionByName(numbered).join(
         dealt, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_src").eqNullSafe(F.col("source"))
         & (F.col("_size") == F.col("size")) & (F.col("_nth") == F.col("nth")), "inner")
-    out = joined.select("_row", "_size", F.explode("takes").alias("_take"))
+    out = joined.select("_row", "_size", "start", F.explode("takes").alias("_t")).select(
+        "_row", "_size", "start", F.col("_t.n").alias("_take"), F.col("_t.slot").alias("_slot"))
+    if ordered:
+        out = out.repartitionByRange("_slot", "start").sortWithinPartitions("_slot", "start")
     body = F.col(f"_row.{text}")
     words = F.regexp_extract_all(body, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.when(F.col("_take") >= F.col("_size"), body).otherwise(

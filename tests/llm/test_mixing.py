@@ -46,13 +46,13 @@ KEY = lambda x: tuple("" if v is None else repr(v) for v in x)
 
 @pytest.mark.parametrize("block", [7, 65536])
 def test_taken_words_equal_brute_force(spark, block):
-    got = [tuple(r) for r in mixing.taken_words(frame(spark, extra=True), block_words=block).collect()]
+    got = [tuple(r)[:5] for r in mixing.taken_words(frame(spark, extra=True), block_words=block).collect()]
     assert sorted(got, key=KEY) == sorted(brute(documents()), key=KEY)
 
 
 def test_hot_source_and_cap(spark):
     rows = [(i, "w " * (1 + i % 5), None, "hot", 1) for i in range(300)] + [(1000 + i, "a b", None, f"t{i}", 1) for i in range(4)]
-    got = [tuple(r) for r in mixing.taken_words(frame(spark, rows), block_words=16).collect()]
+    got = [tuple(r)[:5] for r in mixing.taken_words(frame(spark, rows), block_words=16).collect()]
     assert sorted(got, key=KEY) == sorted(brute(rows), key=KEY)
     assert all(t <= 3 * n for _, n, _, _, t in got)
 
@@ -72,6 +72,60 @@ def test_mix_reads_sources_in_step(spark):
     assert pieces.groupBy("slot").agg(F.sum("n_words").alias("n")).where("n > 20").count() == 0
 
 
+def brute_slots(rows, block):
+    """(doc_id, first slot) by walking the golden-ratio points and the repeated streams."""
+    taken = brute(rows)
+    size = {}
+    for d, n, s, t, _ in taken:
+        size.setdefault((s, t), []).append((d, n))
+    want = sorted({r[3] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    streams = []
+    at = 0
+    for s in want:                               # brute lists the sources in this order
+        n = sum(r[3] == s for r in rows)
+        streams.append(taken[at:at + n])
+        at += n
+    units = [int(x[0][3]) for x in streams]
+    total, lo = sum(units), 0
+    ends = []
+    for u in units:
+        ends.append((lo / max(total, 1), (lo + u) / max(total, 1)))
+        lo += u
+    slot_of, used = {}, [0] * len(units)
+    for i in range(total * 102 // (100 * block) + 8 * sum(u >= 1 for u in units) + 8):
+        y = (i + 0.5) * 0.6180339887498949
+        for k, (a, b) in enumerate(ends):
+            if a <= y - int(y) < b:
+                if used[k] * block < units[k]:
+                    slot_of[k, used[k]] = i
+                used[k] += 1
+    out = []
+    for k, docs in enumerate(streams):
+        words = [j for j, (_, n, *_r) in enumerate(docs) for _ in range(n)]
+        first = {}
+        for w in range(units[k]):
+            b = w // block
+            j = words[w % len(words)]
+            first[j] = min(first.get(j, 1 << 60), slot_of.get((k, b), (1 << 40) + (b << 20) + k))
+        out += [(d[0], first.get(j)) for j, d in enumerate(docs)]
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 65536])
+def test_first_slots_equal_brute_force(spark, block):
+    df = mixing.taken_words(frame(spark), block_words=block).select("doc_id", "first_slot")
+    assert sorted((tuple(r) for r in df.collect()), key=KEY) == sorted(brute_slots(documents(), block), key=KEY)
+
+
+def test_ordered_mix_follows_the_slots(spark):
+    rows = [(i, f"{'w ' * 50}{i}", None, f"s{i % 3}", 1) for i in range(240)]
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.taken_words(frame(spark, rows), block_words=51).collect()}
+    got = [r["doc_id"] for r in mixing.apply_mix(frame(spark, rows), block_words=51, ordered=True).collect()]
+    seen = [first[d] for d in dict.fromkeys(got)]
+    assert seen == sorted(seen) and len(seen) > 100
+    assert sorted(got) == sorted(r["doc_id"] for r in mixing.apply_mix(frame(spark, rows), block_words=51).collect())
+
+
 def test_applied_mix_has_the_taken_words(spark):
     df = frame(spark, extra=True)
     out = mixing.apply_mix(df)
