@@ -42,6 +42,7 @@ from rategrid.operators.prep import (
     sort_scenarios,
     top_offer,
 )
+from rategrid.operators.factored import rate_change_histogram
 from rategrid.operators.selection import (
     OBJ,
     best_rate,
@@ -56,14 +57,12 @@ from rategrid.operators.selection import (
 from rategrid.operators.summary import (
     bucket_report,
     compare,
-    histogram,
     lead_summary_pandas,
     merge_profiles,
     portfolio,
     profile,
     profile_sketch,
     rate_change,
-    rate_change_groups,
     read_profile,
 )
 from rategrid.operators.rule_tables import bucket_report_table, rate_band_table
@@ -502,11 +501,8 @@ def q_rate_change(spark, sf):
 
 
 def q_rate_change_histogram(spark, sf):
-    """The histogram reads its rows twice (range, then bins), so the groups (one
-    row per distinct chosen and lead rate of a key) are staged first."""
-    final, hot = _final_single(spark, sf)
-    change = stage(rate_change_groups(final, grid_single(spark, sf), hot=hot), "change")
-    return _longs(histogram(change, "dif_tasa", weight="copies"))
+    """From the chosen and the lead rates of each key, without their product."""
+    return _longs(rate_change_histogram(_final_single(spark, sf)[0], grid_single(spark, sf)))
 
 
 def q_rate_change_hot_key(spark, sf):

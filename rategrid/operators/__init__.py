@@ -1,5 +1,6 @@
 """DataFrame -> DataFrame operators on the scenario grid."""
 
+from rategrid.operators.factored import rate_change_histogram  # noqa: F401
 from rategrid.operators.limits import (  # noqa: F401
     cap_iterations,
     enrich,

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rategrid.functions.columns import nan_to_null
+from rategrid.operators.factored import rate_change_histogram
 from rategrid.operators.limits import (
     bands_need_flag,
     cap_iterations,
@@ -38,11 +39,9 @@ from rategrid.operators.limits import (
 from rategrid.operators.selection import OBJ, objective_pandas_fill
 from rategrid.operators.summary import (
     bucket_report,
-    histogram,
     lead_summary_pandas,
     portfolio,
     rate_change,
-    rate_change_groups,
 )
 from rategrid.operators.skew import hot_keys, keyed_stage
 from rategrid.plans.tradeoff import final_selection, tradeoff
@@ -117,7 +116,7 @@ def run_single(
         final = stage(final_selection(capped, indicator, final_exp, inds, tie="sum"), "final")
         trade = tradeoff(capped, baseline, indicator, inds, exps, tie="min")
         change = rate_change(final, g, hot=hot)
-        groups = rate_change_groups(final, g, hot=hot)
+        changes = rate_change_histogram(final, g)
     return _with_run(SingleResult(
         grid=g,
         capped=capped.rows.drop("_salt"),
@@ -127,7 +126,7 @@ def run_single(
         bucket_base=bucket_report(lead_rows_under_ceiling(g), inds),
         bucket_final=bucket_report(final, inds, suffix="_e", weight="copies"),
         rate_change=change,
-        histogram=histogram(groups, "dif_tasa", weight="copies"),
+        histogram=changes,
         stages=stages,
     ), run)
 
