@@ -6,13 +6,28 @@ each identifier-like word (one with a digit or ``@``) that touches no span is an
 instance too.  An instance has lexical patterns: the two words before it, and
 the word on either side, where the neighbouring identifier counts as one
 placeholder word and the ends of the text as markers (a pattern has at least one
-word or placeholder).  Spark scores the pattern-instance graph in rounds: a
+word or placeholder).  Words of a seed shape (``SEED_SHAPES``: long hexadecimal
+strings, as keys and tokens have) are seeds of the graph too, but are spans only
+where their context is trusted.
+
+A context says something only if it rarely holds an ordinary word.  Patterns
+without a letter in their words are left out, and the ordinary words (no digit,
+no ``@``) in every other pattern's context are counted over all texts: at least
+``MIN_FILL`` of a context's words must be instances.  Separators and common words
+next to a few identifiers by chance fail this.
+
+Spark scores the pattern-instance graph in rounds: a
 pattern's confidence is the mean score of its distinct instances, an instance's
 score the best confidence of its trusted patterns (seeds: 1).  A pattern is
 trusted from ``MIN_SUPPORT`` distinct seeds or identifiers found in the round
 before, and confidence ``MIN_CONFIDENCE`` on.  Identifier-like words in a trusted
 pattern that touch no base span are added as kind ``id``.
 
+Limits, all module parameters: an instance has ``MIN_TOKEN`` characters or more; an
+added span and an instance that supports a later round have ``MIN_DIGITS`` digits
+or more, or a seed shape; context words are cut at ``CONTEXT`` code points from
+the instance.
+
 Offsets are code points, end exclusive; they come from the lengths of the
 pieces between matches, so no text is searched twice for a position.  All
 regular expressions use possessive quantifiers where nothing can be given
@@ -47,7 +62,12 @@ WORDLIKE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.7
 ROUNDS = 3
-_CONTEXT = 64                    # code points of context looked at on either side
+MIN_FILL = 0.2                   # share of the words in a trusted context that are instances
+MIN_TOKEN = 5
+MIN_DIGITS = 3
+SEED_SHAPES = ("[0-9a-fA-F]{32,}",)
+CONTEXT = 64                     # code points of context looked at on either side
+BROADCAST_PATTERNS = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 _START, _END, _NEIGHBOUR = "<s>", "</s>", "<id>"
 _SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -135,9 +155,9 @@ def _instances(text: Column, base: Column, spaced: Column) -> Column:
     spans, ``spaced`` those that may hold a space."""
     def words_before(before: Column) -> Column:
         return let(F.rtrim(before, F.lit(_BLANK)), lambda x: F.struct(
-            F.slice(F.reverse(F.filter(F.split(F.lower(F.right(x, F.lit(_CONTEXT))), r"[\x20\x09-\x0D]+"),
+            F.slice(F.reverse(F.filter(F.split(F.lower(F.right(x, F.lit(CONTEXT))), r"[\x20\x09-\x0D]+"),
                                        lambda w: w != "")), 1, 2).alias("w"),
-            (F.length(x) > _CONTEXT).alias("more")))
+            (F.length(x) > CONTEXT).alias("more")))
 
     def describe(items: Column, near: Column):
         def edge(i: Column) -> Column:
@@ -149,7 +169,7 @@ def _instances(text: Column, base: Column, spaced: Column) -> Column:
             two = (F.when(F.size(own["w"]) == 2, F.get(own["w"], 1))
                    .when(F.size(own["w"]) == 1, F.when(~own["more"], edge(i)))
                    .when(i > 0, F.coalesce(F.get(F.get(near, i - 1)["w"], 0), edge(i - 1))))
-            nxt = F.lower(F.regexp_extract(F.left(F.ltrim(x["after"], F.lit(_BLANK)), F.lit(_CONTEXT)),
+            nxt = F.lower(F.regexp_extract(F.left(F.ltrim(x["after"], F.lit(_BLANK)), F.lit(CONTEXT)),
                                            r"^[^\x20\x09-\x0D]+", 0))
             nxt = F.when(nxt != "", nxt).when(i < F.size(items) - 1, F.lit(_NEIGHBOUR)).otherwise(F.lit(_END))
             patterns = let(F.struct(one.alias("one"), two.alias("two"), nxt.alias("nxt")), lambda c: F.array(
@@ -188,21 +208,75 @@ def extraction(text: Column) -> Column:
     return let(found, mark)
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
-                     min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def shaped(token: Column, shapes: tuple[str, ...] = SEED_SHAPES) -> Column:
+    """Whether a whole word has one of the seed shapes."""
+    return token.rlike(f"^(?:{'|'.join(shapes)})$") if shapes else F.lit(False)
+
+
+def ordinary_contexts(texts: DataFrame) -> DataFrame:
+    """``pattern``: the two patterns of every ordinary word (no digit, no ``@``) of the
+    column ``text``.  Words with a digit or ``@`` are placeholders, text ends are
+    markers, words are cut as in :func:`extraction`."""
+    def near(text: Column) -> Column:
+        # a letter for each cut word, blank words out: the ends give the markers
+        word = F.split(F.regexp_replace(text, f"^[{_BLANK}]++|[{_BLANK}]++$", ""), f"[{_BLANK}]+")
+        return let(word, lambda w: F.concat(
+            F.array(F.lit(_START)), F.transform(w, lambda y: F.when(y.rlike("[0-9@]"), F.lit(_NEIGHBOUR)).otherwise(F.lower(y))),
+            F.array(F.lit(_END))))
+
+    def both(w: Column) -> Column:
+        def contexts(y: Column, i: Column) -> Column:
+            one, nxt = F.get(w, i - 1), F.get(w, i + 1)
+            return F.when((i > 0) & (i < F.size(w) - 1) & (y != _NEIGHBOUR), F.array(
+                F.when(one != _START, F.concat(
+                    F.lit("LL "), F.right(F.get(w, i - 2), F.lit(CONTEXT)), F.lit(" "), F.right(one, F.lit(CONTEXT)))),
+                F.concat(F.lit("LR "), F.right(one, F.lit(CONTEXT)), F.lit(" _ "), F.left(nxt, F.lit(CONTEXT)))))
+
+        return F.flatten(F.filter(F.transform(w, contexts), lambda y: y.isNotNull()))
+
+    text = F.col("text").cast("string")
+    return texts.where(text.rlike(f"[^{_BLANK}]")).select(near(text).alias("w")).select(
+        F.explode(let(F.col("w"), both)).alias("pattern")).where(F.col("pattern").isNotNull())
+
+
+def telling(edges: DataFrame, texts: DataFrame, min_support: int = MIN_SUPPORT, min_fill: float = MIN_FILL) -> DataFrame:
+    """``pattern``: the patterns with a letter, ``min_support`` distinct instances and
+    ``min_fill`` of the words in their context instances.  Ordinary words are counted
+    for these patterns only: against a broadcast table of them up to
+    ``BROADCAST_PATTERNS``, above that in a count of all contexts, combined map-side."""
+    names = F.regexp_replace(F.substring("pattern", 4, 1 << 30), "<id>|<s>|</s>", "")
+    wide = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+                 .where((F.col("n") >= min_support) & names.rlike(r"\p{L}")).select("pattern", "times"), "pii-contexts")
+    n = wide.count()
+    if not n:
+        return wide.select("pattern")
+    every = ordinary_contexts(texts)
+    if n <= BROADCAST_PATTERNS:
+        every = every.join(F.broadcast(wide.select("pattern")), "pattern", "left_semi")
+    plain = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    return stage(wide.join(plain, "pattern", "left").where(
+        F.col("times") >= F.lit(min_fill) * (F.col("times") + F.coalesce("plain", F.lit(0)))).select("pattern"), "pii-telling")
+
+
+def trusted_patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,
+                     min_confidence: float = MIN_CONFIDENCE, min_fill: float = MIN_FILL,
+                     shapes: tuple[str, ...] = SEED_SHAPES) -> DataFrame:
     """All patterns (column ``pattern``) the pattern-instance graph trusts, from
-    rows with a ``words`` array.  Edges are distinct (pattern, instance) pairs,
-    combined before they are shuffled; nothing is collected."""
+    rows with a ``words`` array; ``texts`` has all texts (column ``text``).  Edges are
+    distinct (pattern, instance) pairs, combined before they are shuffled; nothing
+    is collected."""
     words = found.select(F.explode("words").alias("w"))
+    seed = F.col("w.seed") | shaped(F.col("w.token"), shapes)
     edges = stage(
-        words.select(F.explode("w.patterns").alias("pattern"), F.lower("w.token").alias("instance"), "w.seed")
-        .where(F.col("pattern").isNotNull() & (F.length("instance") >= 5))
-        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+        words.select(F.explode("w.patterns").alias("pattern"), F.lower("w.token").alias("instance"), seed.alias("seed"))
+        .where(F.col("pattern").isNotNull() & (F.length("instance") >= MIN_TOKEN))
+        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")), "pii-edges")
     # a pattern with fewer distinct instances is never trusted and says nothing about them
-    enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+    enough = telling(edges, texts, min_support, min_fill)
+    edges = edges.drop("times")
     graph = stage(key_join(edges, enough.select("pattern"), key="pattern", how="left_semi", by=["instance"]), "pii-graph")
     scored = graph.withColumn("score", F.col("seed").cast("double"))
-    counts = (F.col("score") > 0) & (F.col("seed") | (F.length(_digits(F.col("instance"))) >= 3))
+    counts = (F.col("score") > 0) & (F.col("seed") | (F.length(_digits(F.col("instance"))) >= MIN_DIGITS))
     for r in range(rounds):
         conf = (scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count_if(counts).alias("support"))
                 .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)))
@@ -223,7 +297,8 @@ def added_spans(found: DataFrame, patterns: DataFrame) -> DataFrame:
     no base span, of the rows ``(_at, words)`` that have one; ``added`` is
     ``array<struct<s, e>>`` in text order."""
     words = (found.select("_at", F.explode(F.filter("words", lambda w: ~w["seed"])).alias("w"))
-             .where((F.length("w.token") >= 5) & (F.length(_digits(F.col("w.token"))) >= 3))
+             .where((F.length("w.token") >= MIN_TOKEN)
+                    & ((F.length(_digits(F.col("w.token"))) >= MIN_DIGITS) | shaped(F.col("w.token"))))
              .select("_at", "w.s", "w.e", F.explode("w.patterns").alias("pattern")).where(F.col("pattern").isNotNull()))
     hit = key_join(words, patterns, key="pattern", how="left_semi", by=["_at", "s"]).select("_at", "s", "e").distinct()
     return hit.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("added"))
@@ -249,7 +324,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """Per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), extraction(F.col(text)).alias("x"))
     rows = stage(rows.select("doc_id", "x.*", F.monotonically_increasing_id().alias("_at")), "pii")
-    found = _with_added(rows, trusted_patterns(rows.select("words").where(F.size("words") > 0)))
+    found = _with_added(rows, trusted_patterns(rows.select("words").where(F.size("words") > 0),
+                                               docs.select(F.col(text).alias("text"))))
     base = {k: F.col(k) for k in KINDS}
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
@@ -276,18 +352,19 @@ def _replaced(t: Column, kinds: dict[str, Column]) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of :func:`find` replaced by ``[KIND]`` (spans that
-    overlap are replaced once, by the kind that starts first).  Without a trusted
-    pattern no row is staged or moved."""
-    x = extraction(F.col(text))
-    patterns = trusted_patterns(docs.select(x.alias("x")).select("x.words").where(F.size("words") > 0))
+    overlap are replaced once, by the kind that starts first).  Rows are staged with
+    what was found, so their texts are searched once; only where no pattern is
+    trusted are the rows of ``docs`` left in place and their base spans replaced."""
+    # the columns of docs stay in one struct: they may be named like those used here
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), extraction(F.col(text)).alias("x"),
+                       F.monotonically_increasing_id().alias("_at"))
+    rows = stage(rows.select("d", "x.*", "_at"), "pii")
+    patterns = trusted_patterns(rows.select("words").where(F.size("words") > 0), rows.select(F.col("d")[text].alias("text")))
     if patterns.isEmpty():
         t = F.col(text).cast("string")
         base = F.struct(*[base_spans(t, k).alias(k) for k in KINDS])
         clean = F.when(t.rlike("[0-9@]"), let(base, lambda b: _replaced(t, {k: b[k] for k in KINDS}))).otherwise(t)
         return docs.select(*[(clean if c == text else F.col(c)).alias(c) for c in docs.columns])
-    # the columns of docs stay in one struct: they may be named like those used here
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), x.alias("x"),
-                       F.monotonically_increasing_id().alias("_at"))
-    found = _with_added(stage(rows.select("d", "x.*", "_at"), "pii"), patterns)
+    found = _with_added(rows, patterns)
     clean = _replaced(F.col("d")[text].cast("string"), {**{k: F.col(k) for k in KINDS}, "id": F.col("added")})
     return found.select(*[(clean if c == text else F.col("d")[c]).alias(c) for c in docs.columns])
