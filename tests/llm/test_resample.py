@@ -56,3 +56,26 @@ def test_sample_size_and_odd_rows(spark):
     assert {(r["doc_id"], r["n_words"], r["kept"]) for r in rows} == {(r["doc_id"], r["n_words"], r["kept"]) for r in again}
     assert resample.resample(frame(spark, []), lab).count() == 0
     assert resample.resample(frame(spark), labels(spark, [])).where("NOT kept").count() == 0
+
+
+def test_all_columns_equal_brute_force(spark):
+    """Weights, keys and the sample, from the ratio and the texts, one row at a time."""
+    import math
+
+    import xxhash
+
+    rows = [d for d in documents() if d[0] is not None]
+    lab = labels(spark, [(i, i % 2, 0) for i in range(40)])
+    ratio = resample.fit(frame(spark, rows), lab, buckets=500)
+    got = resample.resample(frame(spark, rows), lab, share=0.3, buckets=500).collect()
+    want = []
+    for d in rows:
+        n, parts = resample.buckets_of(d[1], 500)
+        grams = [g for p in parts for g in p]
+        weight = sum(ratio[g] for g in grams)
+        u = ((xxhash.xxh64_intdigest(f"gumbel:{d[0]}".encode(), 42) >> 11) + 0.5) / 2**53
+        want.append((d[0], n, weight, weight / max(1, len(grams)), weight - math.log(-math.log(u))))
+    limit = sorted((w[4] for w in want), reverse=True)[round(0.3 * len(rows)) - 1]
+    order = lambda x: (x[0], x[1], round(x[2], 6))
+    for g, w in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert g[:2] == w[:2] and np.allclose(g[2:5], w[2:5], atol=1e-7) and g[5] == (w[4] >= limit - 1e-7)
