@@ -50,6 +50,13 @@ def key_bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(SALT_BUCKETS)).cast("int")
 
 
+def in_buckets(rows: DataFrame, buckets: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key falls in ``buckets``.  There are at most ``SALT_BUCKETS`` of them,
+    whatever the data, so they are broadcast: rows exchanged by bucket would bring
+    those of a hot key, which all share one, to a single task."""
+    return rows.withColumn("_bucket", key_bucket(key)).join(F.broadcast(buckets), "_bucket", "left_semi")
+
+
 def hot_keys(rows: DataFrame, key: str = COLS.key, rows_per_task: int = ROWS_PER_TASK,
              n: str | None = None) -> HotKeys:
     """Hot keys of ``rows`` (``n``: a column of row counts, if the rows are counts).
@@ -62,8 +69,7 @@ def hot_keys(rows: DataFrame, key: str = COLS.key, rows_per_task: int = ROWS_PER
              .where(F.col("_rows") > budget).select("_bucket"))
     if large.isEmpty():
         return HotKeys()
-    exact = (narrow.withColumn("_bucket", key_bucket(key)).join(large, "_bucket", "left_semi")
-             .groupBy(key).agg(weight.alias("_rows")).where(F.col("_rows") > budget))
+    exact = in_buckets(narrow, large, key).groupBy(key).agg(weight.alias("_rows")).where(F.col("_rows") > budget)
     table = stage(exact.select(F.col(key).alias("_hot"), F.ceil(F.col("_rows") / budget).cast("int").alias("_salts")),
                   "hot-keys")
     found = table.count()

@@ -169,3 +169,21 @@ def test_rate_change_output_is_bounded_by_distinct_lead_rates(spark):
     rows = QUERIES["rate_change_hot_key"](spark, sf).where("llave = 'R'")
     chosen = QUERIES["chosen_rows_hot_key"](spark, sf).where("llave = 'R'").count()
     assert 0 < rows.count() <= chosen * leads
+
+
+def test_rows_of_large_buckets_stay_in_their_partitions(spark):
+    """The rows of a hot key share one bucket: they are not exchanged by it."""
+    from rategrid.operators.skew import in_buckets, key_bucket
+    from rategrid.session import BROADCAST_CONF
+
+    df = spark.createDataFrame([("R",)] * 5 + [("a",), (None,)], "llave string")
+    before = spark.conf.get(BROADCAST_CONF)
+    spark.conf.set(BROADCAST_CONF, "-1")
+    try:
+        large = df.groupBy(key_bucket("llave").alias("_bucket")).count().where("count > 2").select("_bucket")
+        out = in_buckets(df, large, "llave")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert [r.llave for r in out.collect()] == ["R"] * 5
+    finally:
+        spark.conf.set(BROADCAST_CONF, before)
