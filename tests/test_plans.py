@@ -187,3 +187,16 @@ def test_rows_of_large_buckets_stay_in_their_partitions(spark):
         assert [r.llave for r in out.collect()] == ["R"] * 5
     finally:
         spark.conf.set(BROADCAST_CONF, before)
+
+
+def test_gaps_are_joined_before_the_steps(spark):
+    """Orders, not their 17 steps, are exchanged for their status and priority."""
+    from rategrid.sources.tables import dense_grid, gappy_grid, gappy_lead_grid
+
+    sf = "/root/testdata/sf0.001"
+    for grid in (gappy_grid(spark, sf), gappy_lead_grid(spark, sf)):
+        lines = grid._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        generate = [i for i, x in enumerate(lines) if "Generate explode" in x]
+        joins = [i for i, x in enumerate(lines) if "Join Inner" in x]
+        assert len(generate) == 1 and joins and min(joins) > generate[0]
+        assert sorted(grid.columns) == sorted(dense_grid(spark, sf).columns) and grid.columns[0] == "llave"

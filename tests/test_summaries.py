@@ -146,3 +146,25 @@ def test_dec_equal_near_ties(spark):
     df = spark.createDataFrame([(5.00000000000001, 5.00000000000001), (5.0, 5.00000000000001), (5.0001, 5.0002)],
                                "v double, m double")
     assert [r.e for r in df.select(dec_equal("v", "m").alias("e")).collect()] == [True, True, False]
+
+
+def test_value_counts_equal_distinct_counts(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+        (1, CAST('NaN' AS DOUBLE), 'a', DATE'2020-01-01', 1.10BD, true, CAST(1 AS FLOAT)),
+        (2, 0.0D, '', DATE'2020-01-02', 1.1BD, null, CAST('NaN' AS FLOAT)),
+        (2, -0.0D, null, null, null, false, null),
+        (null, CAST('NaN' AS DOUBLE), 'A', DATE'2020-01-01', 2BD, true, CAST(1 AS FLOAT)) AS t(i, d, s, t, n, b, f)""")
+    want = df.agg(*[F.count(c).alias(f"n_{c}") for c in df.columns], *[F.count_distinct(c).alias(f"d_{c}") for c in df.columns]).first()
+    for rows, n in ((df, 4), (df.where("i > 5"), 0)):
+        got = {r.column: (r.type, r.non_null, r.distinct, r.rows) for r in profile(rows, rows.columns).collect()}
+        types = dict(rows.dtypes)
+        assert got == {c: (types[c], want[f"n_{c}"] if n else 0, want[f"d_{c}"] if n else 0, n) for c in df.columns}
+
+
+def test_exact_profile_moves_narrow_cells(spark):
+    """Columns share the slots of a cell; types without a cell form are counted by Spark."""
+    g = spark.range(10).select("id", *[(F.col("id") * i).cast("double").alias(f"d{i}") for i in range(12)])
+    plan = profile(g, g.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Generate" in plan
+    odd = spark.range(4).select(F.array("id").alias("a"), F.lit(None).cast("long").alias("z"))
+    assert {(r.column, r.non_null, r.distinct, r.rows) for r in profile(odd, odd.columns).collect()} == {("a", 4, 4, 4), ("z", 0, 0, 4)}
