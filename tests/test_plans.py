@@ -200,3 +200,19 @@ def test_gaps_are_joined_before_the_steps(spark):
         joins = [i for i, x in enumerate(lines) if "Join Inner" in x]
         assert len(generate) == 1 and joins and min(joins) > generate[0]
         assert sorted(grid.columns) == sorted(dense_grid(spark, sf).columns) and grid.columns[0] == "llave"
+
+
+def test_run_multi_stages_no_expected_values(spark):
+    """Expected values are products of staged columns: they are made again on reading."""
+    from rategrid.operators.limits import expected, rate_floor, score_filter
+    from rategrid.plans.pipelines import run_multi
+    from rategrid.sources.tables import dense_grid, floor_table
+
+    sf = "/root/testdata/sf0.001"
+    g, floors = dense_grid(spark, sf), floor_table(spark, sf)
+    r = run_multi(g, floors, exps=[2.0])
+    staged = [p for p in r.stages if "/stage-capped-multi-" in p]
+    assert staged and not [c for c in spark.read.parquet(staged[0]).columns if c.endswith("_estimado")]
+    want = rate_floor(expected(score_filter(g), ("roa", "avg_balance", "roa_saldo")), floors)
+    assert r.capped.columns == want.columns
+    assert r.capped.exceptAll(want).isEmpty() and want.exceptAll(r.capped).isEmpty()
