@@ -14,7 +14,7 @@ A context says something only if it rarely holds an ordinary word.  Patterns
 without a letter in their words are left out, and the ordinary words (no digit,
 no ``@``) in every other pattern's context are counted over all texts: at least
 ``MIN_FILL`` of a context's words must be instances.  Separators and common words
-next to a few identifiers by chance fail this.
+next to a few identifiers by chance fail this, mostly by a small part of the texts.
 
 Spark scores the pattern-instance graph in rounds: a
 pattern's confidence is the mean score of its distinct instances, an instance's
@@ -68,6 +68,7 @@ MIN_DIGITS = 3
 SEED_SHAPES = ("[0-9a-fA-F]{32,}",)
 CONTEXT = 64                     # code points of context looked at on either side
 BROADCAST_PATTERNS = 1_000_000
+PARTS = (1, 8, 64)               # ends of the parts of the texts (by hash) in which ordinary words are counted
 _BLANK = " \t\n\x0b\x0c\r"
 _START, _END, _NEIGHBOUR = "<s>", "</s>", "<id>"
 _SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -242,20 +243,29 @@ def ordinary_contexts(texts: DataFrame) -> DataFrame:
 def telling(edges: DataFrame, texts: DataFrame, min_support: int = MIN_SUPPORT, min_fill: float = MIN_FILL) -> DataFrame:
     """``pattern``: the patterns with a letter, ``min_support`` distinct instances and
     ``min_fill`` of the words in their context instances.  Ordinary words are counted
-    for these patterns only: against a broadcast table of them up to
-    ``BROADCAST_PATTERNS``, above that in a count of all contexts, combined map-side."""
+    for these patterns only, over one part of the texts after the other (``PARTS``): a
+    pattern that has too many in the parts so far has too many in all, so the frequent
+    contexts go after the first, small part and the rest meets few.  The patterns
+    are broadcast up to ``BROADCAST_PATTERNS``; above that all contexts of the part are
+    counted, combined map-side."""
     names = F.regexp_replace(F.substring("pattern", 4, 1 << 30), "<id>|<s>|</s>", "")
-    wide = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
-                 .where((F.col("n") >= min_support) & names.rlike(r"\p{L}")).select("pattern", "times"), "pii-contexts")
-    n = wide.count()
-    if not n:
-        return wide.select("pattern")
-    every = ordinary_contexts(texts)
-    if n <= BROADCAST_PATTERNS:
-        every = every.join(F.broadcast(wide.select("pattern")), "pattern", "left_semi")
-    plain = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
-    return stage(wide.join(plain, "pattern", "left").where(
-        F.col("times") >= F.lit(min_fill) * (F.col("times") + F.coalesce("plain", F.lit(0)))).select("pattern"), "pii-telling")
+    left = stage(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("times"))
+                 .where((F.col("n") >= min_support) & names.rlike(r"\p{L}"))
+                 .select("pattern", "times", F.lit(0).cast("long").alias("plain")), "pii-contexts")
+    part, start = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PARTS[-1])), 0
+    for end in PARTS:
+        n = left.count()
+        if not n:
+            break
+        every = ordinary_contexts(texts.where((part >= start) & (part < end)))
+        if n <= BROADCAST_PATTERNS:
+            every = every.join(F.broadcast(left.select("pattern")), "pattern", "left_semi")
+        found = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("found"))
+        left = stage(left.join(found, "pattern", "left")
+                     .select("pattern", "times", (F.col("plain") + F.coalesce("found", F.lit(0))).alias("plain"))
+                     .where(F.col("times") >= F.lit(min_fill) * (F.col("times") + F.col("plain"))), "pii-telling")
+        start = end
+    return left.select("pattern")
 
 
 def trusted_patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT,

@@ -158,6 +158,33 @@ def test_ordinary_contexts_equal_brute_force(spark):
     assert sorted(x[0] for x in pii.ordinary_contexts(df).collect()) == sorted(want)
 
 
+def test_frequent_contexts_are_counted_in_a_small_part_of_the_texts(spark, monkeypatch):
+    """Exact counts decide, and a context that is frequent in the first part meets no other text."""
+    r = random.Random(5)
+    texts = [f"w{'abcdefgh'[r.randrange(8)]} of the {r.choice('klmnopqrst')}{'xyz'[i % 3] * (i % 40)} end" for i in range(3000)]
+    texts += ["seen in rare"] * 4 + [f"rare{i % 7} known in rare place" for i in range(16)] + ["twice in twin place"] * 17
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    edges = spark.createDataFrame([("LL of the", f"id{i}", 1) for i in range(4)] + [("LL in rare", f"id{i}", 1) for i in range(4)]
+                                  + [("LL in twin", f"id{i}", 1) for i in range(4)] + [("LL in none", "id1", 9)],
+                                  "pattern string, instance string, times long")
+    seen, every = [], pii.ordinary_contexts
+
+    def counted(some):
+        out = every(some)
+        seen.append({x["pattern"]: x["count"] for x in out.groupBy("pattern").count().collect()})
+        return out
+
+    stages, write = [], pii.stage
+    monkeypatch.setattr(pii, "ordinary_contexts", counted)
+    monkeypatch.setattr(pii, "stage", lambda df, name: stages.append(write(df, name)) or stages[-1])
+    # 16 ordinary words beside 4 instances fill a fifth of the context, 17 do not
+    assert [x["pattern"] for x in pii.telling(edges, docs).collect()] == ["LL in rare"]
+    assert sum(x.get("LL in rare", 0) for x in seen) == 16 and sum(x.get("LL of the", 0) for x in seen) == 3000
+    left = [{x["pattern"] for x in s.collect()} for s in stages]
+    assert "LL of the" in left[0] and "LL of the" not in left[1]
+    assert seen[0]["LL of the"] < 3000 / 8
+
+
 def test_separators_and_common_words_are_not_trusted(spark):
     seeds = [f"cell | u{i}@x.org | end" for i in range(5)] + [f"one of the v{i}@y.org told" for i in range(5)]
     prose = ["out of the house and in of the garden or of the river"] * 10
