@@ -13,9 +13,9 @@ piece.  Pieces the file disables (score of -1e9 or less) are left out.
 
 No usable piece crosses a word boundary (the space symbol occurs only at the
 start of usable pieces, a line break only as a byte), so the lattice of a text is
-the chain of its words' lattices.  Distinct words of a batch get forward and
-backward Viterbi as array operations, which also give the gap between the best
-and the second-best segmentation of each word.  The N best of a whole text can
+the chain of its words' lattices.  Distinct words of a batch, of all lengths
+together, get forward and backward Viterbi as array operations, which also give
+the gap between the best and the second-best segmentation of each word.  The N best of a whole text can
 only differ from the best in the N - 1 words of the smallest gaps; A* runs on
 those, and their lists are merged exactly.
 
@@ -35,7 +35,6 @@ pipeline's last stage keeps id and digest columns).
 import hashlib
 import heapq
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +52,7 @@ ZIPF = 10
 DISABLED = -1e8
 _MUL = np.uint64(0x100000001B3)
 _LONGEST = 32                    # words up to this length take the array path
-_GROUP = 20_000                  # words of one array step
+_GROUP = 5_000                   # words of one array step
 _CACHE = 250_000                 # distinct words kept by a worker
 _BLOCK = 1 << 20                 # characters of a text handled at a time
 
@@ -107,6 +106,10 @@ class Pieces:
         keys = np.array(list(prefix), dtype=np.uint64)
         order = np.argsort(keys)
         self.keys, self.piece_at = keys[order], np.array(list(prefix.values()))[order]
+        # by code point: the piece of one character, -1 for a mere prefix, -3 for neither
+        self.single = np.full(max(ord(p[0]) for p in self.ids) + 2, -3)
+        for p in self.ids:
+            self.single[ord(p[0])] = prefix[ord(p[0]) + 1]
         self.is_byte = np.zeros(len(self.name), bool)
         self.is_byte[list(self.byte_id.values())] = True
         self.reset()
@@ -154,7 +157,7 @@ class Pieces:
     # ---- many words, arrays
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.best = np.empty(0)
         self.gap = np.empty(0)
         self.hits = np.empty(0, np.int64)
@@ -165,126 +168,139 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Add the segmentations of new distinct words to the table."""
-        by_len: dict[int, list[int]] = {}
-        best, gap, ids = np.zeros(len(units)), np.zeros(len(units)), [()] * len(units)
-        for i, u in enumerate(units):
-            by_len.setdefault(len(u), []).append(i)
-        for length, at in by_len.items():
-            if length > _LONGEST:
-                for i in at:
-                    two = self.n_best(units[i], 2)
-                    best[i], ids[i] = two[0]
-                    gap[i] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
-                continue
-            for s in range(0, len(at), _GROUP):
-                part = at[s:s + _GROUP]
-                b, g, k = self._viterbi([units[i] for i in part], length)
-                best[part], gap[part] = b, g
-                for i, x in zip(part, k):
-                    ids[i] = x
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((k for x in ids for k in x), np.int32, int(count.sum()))
-        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(count) - count))
+        best, gap, count = np.zeros(len(units)), np.zeros(len(units)), np.zeros(len(units), np.int64)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        parts = []                                         # (words, their ids one after another)
+        for i in np.nonzero(lengths > _LONGEST)[0].tolist():
+            two = self.n_best(units[i], 2)
+            best[i], ids = two[0]
+            gap[i] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
+            count[i] = len(ids)
+            parts.append((np.array([i]), np.array(ids, np.int32)))
+        short = np.nonzero(lengths <= _LONGEST)[0]
+        for s in range(0, len(short), _GROUP):
+            at = short[s:s + _GROUP]
+            best[at], gap[at], count[at], ids = self._viterbi([units[i] for i in at.tolist()], lengths[at])
+            parts.append((at, ids))
+        first = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        for at, ids in parts:
+            flat[_spans(first[at], count[at])] = ids
+        self.first = np.concatenate((self.first, len(self.flat) + first))
         self.count = np.concatenate((self.count, count))
         self.flat = np.concatenate((self.flat, flat))
-        self.hits = np.concatenate((self.hits, np.zeros(len(ids), np.int64)))
+        self.hits = np.concatenate((self.hits, np.zeros(len(units), np.int64)))
         self.best = np.concatenate((self.best, best))
         self.gap = np.concatenate((self.gap, gap))
 
-    def _viterbi(self, units: list[str], length: int):
+    def _viterbi(self, units: list[str], lengths: np.ndarray):
+        """Per word the best score, the gap to the second best and the number of
+        ids, and the ids of all best segmentations one after another.
+
+        The words lie in one array of nodes, each with a node behind its last
+        character.  Edges of one length are looked up for all words at once, then
+        taken in the order of their start and length: no word has two edges of
+        the same start and length."""
         n = len(units)
-        cp = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64)
-        every = np.arange(n)
-        edge: dict[tuple[int, int], np.ndarray] = {}   # (start, end) -> piece id or -1
-        weight: dict[tuple[int, int], np.ndarray] = {}
+        ends = np.cumsum(lengths + 1) - 1                  # last node of every word
+        starts = ends - lengths
+        word = np.repeat(np.arange(n), lengths + 1)
+        cp = np.zeros(len(word), np.uint64)
+        chars = np.ones(len(word), bool)
+        chars[ends] = False
+        cp[chars] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        # edges by length
+        node = np.nonzero(chars)[0]
+        c = cp[node]
+        piece = self.single[np.minimum(c, len(self.single) - 1).astype(np.int64)]
+        width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        width[c == ord(SPACE)] = 1
+        found = [(node, 1, np.where(piece >= 0, piece, -2),
+                  np.where(piece >= 0, self.score[piece], self.byte_score * width))]
         with np.errstate(over="ignore"):
-            for i in range(length):
-                live, h = every, np.zeros(n, np.uint64)
-                for j in range(i + 1, min(length, i + self.max_len) + 1):
-                    h = _hash_step(h, cp[live, j - 1])
-                    at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    ok = self.keys[at] == h
-                    live, h, at = live[ok], h[ok], at[ok]
-                    if not len(live) and j > i + 1:
-                        break
-                    piece = np.full(n, -1)
-                    piece[live] = self.piece_at[at]
-                    if j == i + 1:
-                        c = cp[:, i]
-                        width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-                        width = np.where(c == ord(SPACE), 1, width)
-                        w = np.where(piece >= 0, self.score[piece], self.byte_score * width)
-                        edge[i, j], weight[i, j] = np.where(piece >= 0, piece, -2), w
-                    elif (piece >= 0).any():
-                        edge[i, j], weight[i, j] = piece, np.where(piece >= 0, self.score[piece], -np.inf)
-                    if not len(live):
-                        break
-        fwd = np.full((n, length + 1), -np.inf)
-        fwd[:, 0] = 0.0
-        back = np.zeros((n, length + 1), np.int64)
-        for j in range(1, length + 1):
-            for i in range(max(0, j - self.max_len), j):
-                if (i, j) in edge:
-                    s = fwd[:, i] + weight[i, j]
-                    better = s > fwd[:, j]
-                    fwd[better, j] = s[better]
-                    back[better, j] = i
-        rev = np.full((n, length + 1), -np.inf)
-        rev[:, length] = 0.0
-        for i in range(length - 1, -1, -1):
-            for j in range(i + 1, min(length, i + self.max_len) + 1):
-                if (i, j) in edge:
-                    rev[:, i] = np.maximum(rev[:, i], weight[i, j] + rev[:, j])
-        total = fwd[:, length]
-        on_path = np.zeros((n, length + 1), np.int64)      # end -> start of the best path's edge, else -1
-        on_path[:] = -1
-        pos = np.full(n, length)
-        chosen = [[] for _ in range(n)]
-        while True:
-            go = np.nonzero(pos > 0)[0]
-            if not len(go):
-                break
-            p = pos[go]
-            b = back[go, p]
-            on_path[go, p] = b
-            pos[go] = b
+            live = node[piece != -3]
+            h = _hash_step(np.uint64(0), cp[live])
+            for k in range(2, self.max_len + 1):
+                inside = chars[live + (k - 1)] & (word[live + (k - 1)] == word[live])
+                live, h = live[inside], h[inside]
+                h = _hash_step(h, cp[live + (k - 1)])
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                ok = self.keys[at] == h
+                live, h, at = live[ok], h[ok], at[ok]
+                if not len(live):
+                    break
+                piece = self.piece_at[at]
+                use = piece >= 0
+                if use.any():
+                    found.append((live[use], k, piece[use], self.score[piece[use]]))
+        start = np.concatenate([x[0] for x in found])
+        size = np.concatenate([np.full(len(x[0]), x[1]) for x in found])
+        group = (start - starts[word[start]]) * (self.max_len + 1) + size
+        order = np.argsort(group.astype(np.uint16) if _LONGEST * (self.max_len + 2) < 1 << 16 else group, kind="stable")
+        start, size, group = start[order], size[order], group[order]
+        end = start + size
+        piece = np.concatenate([x[2] for x in found])[order]
+        weight = np.concatenate([x[3] for x in found])[order]
+        cuts = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(group)]
+        steps = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+        # forward and backward Viterbi
+        fwd = np.full(len(word), -np.inf)
+        fwd[starts] = 0.0
+        back = np.full(len(word), -1)                      # edge of the best path to a node
+        for x in steps:
+            e = end[x]
+            s = fwd[start[x]] + weight[x]
+            better = np.nonzero(s > fwd[e])[0]
+            e = e[better]
+            fwd[e] = s[better]
+            back[e] = better + x.start
+        rev = np.full(len(word), -np.inf)
+        rev[ends] = 0.0
+        for x in reversed(steps):
+            s = start[x]
+            rev[s] = np.maximum(rev[s], weight[x] + rev[end[x]])
+        # best paths, from the ends
+        used = np.zeros(len(start), bool)
+        at = ends[lengths > 0]
+        while len(at):
+            e = back[at]
+            used[e] = True
+            at = start[e]
+            at = at[back[at] >= 0]
+        total = fwd[ends]
+        off = np.nonzero(~used)[0]
+        lost = total[word[start[off]]] - (fwd[start[off]] + weight[off] + rev[end[off]])
         gap = np.full(n, np.inf)
-        for (i, j), w in weight.items():
-            off = on_path[:, j] != i
-            with np.errstate(invalid="ignore"):
-                lost = total - (fwd[:, i] + w + rev[:, j])
-            gap = np.where(off & (lost < gap), lost, gap)
-        for j in range(1, length + 1):
-            for i in range(max(0, j - self.max_len), j):
-                if (i, j) in edge:
-                    used = np.nonzero(on_path[:, j] == i)[0]
-                    for u, k in zip(used.tolist(), edge[i, j][used].tolist()):
-                        if k >= 0:
-                            chosen[u].append(k)
-                        else:
-                            raw = units[u][i].replace(SPACE, " ").encode("utf-8")
-                            chosen[u].extend(self.byte_id[x] for x in raw)
-        return total, np.maximum(gap, 0.0), [tuple(c) for c in chosen]
-
-    def learn_missing(self, lists: list[list[str]]) -> None:
-        """Learn the words of ``lists`` the table does not hold, in one step."""
-        new = {u for units in lists for u in units if u not in self.index}
-        if new:
-            if len(self.index) + len(new) > _CACHE and self.index:
-                self.shrink()
-                new = {u for units in lists for u in units if u not in self.index}
-            ordered = sorted(new)
-            start = len(self.index)
-            self.index.update(zip(ordered, range(start, start + len(ordered))))
-            self.learn(ordered)
+        np.minimum.at(gap, word[start[off]], lost)
+        # their ids, byte pieces for characters without a piece
+        path = np.nonzero(used)[0]
+        path = path[np.argsort(start[path], kind="stable")]
+        ids = np.full((len(path), 4), -1, np.int32)
+        ids[:, 0] = piece[path]
+        for r in np.nonzero(ids[:, 0] < 0)[0].tolist():
+            raw = chr(int(cp[start[path[r]]])).replace(SPACE, " ").encode("utf-8")
+            ids[r, :len(raw)] = [self.byte_id[b] for b in raw]
+        count = np.bincount(word[start[path]], weights=(ids >= 0).sum(axis=1), minlength=n).astype(np.int64)
+        return total, np.maximum(gap, 0.0), count, ids[ids >= 0]
+
+    def lookup(self, keys: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the table for lists of keys; words it does not hold are learnt
+        in one step."""
+        if len(self.index) > _CACHE:
+            self.shrink()
+        known, get = len(self.index), self.index.__getitem__
+        rows = [np.fromiter(map(get, x), np.int64, len(x)) for x in keys]
+        if len(self.index) > known:
+            self.learn([unit_of(k) for k in list(self.index)[known:]])
+        return rows
 
     def shrink(self) -> None:
         """Keep the most often used quarter of a full table."""
         keep = np.sort(np.argsort(-self.hits, kind="stable")[:_CACHE // 4])
-        words = list(self.index)
-        self.index = {words[i]: k for k, i in enumerate(keep.tolist())}
+        keys = list(self.index)
+        self.index = _Index((keys[i], k) for k, i in enumerate(keep.tolist()))
         first, count = self.first[keep], self.count[keep]
-        self.flat = self.flat[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        self.flat = self.flat[_spans(first, count)]
         self.first, self.count = np.cumsum(count) - count, count
         self.best, self.gap, self.hits = self.best[keep], self.gap[keep], self.hits[keep] // 2
 
@@ -302,7 +318,7 @@ class Pieces:
         held, size = [], 0
         for state, text in zip(states, texts):
             for block in blocks(text or ""):
-                held.append((state, block, words_of(block)))
+                held.append((state, block, keys_of(block)))
                 size += len(block)
                 if size >= _BLOCK:
                     self._take(held, n)
@@ -311,25 +327,30 @@ class Pieces:
         return [self._finish(x, n) for x in states]
 
     def _take(self, held, n: int) -> None:
-        self.learn_missing([units for _, _, units in held])
-        is_byte = self.is_byte
-        rows = [np.array([self.index[u] for u in units], dtype=np.int64) for _, _, units in held]
-        if rows:
-            self.hits += np.bincount(np.concatenate(rows), minlength=len(self.hits))
-        for (x, block, units), at in zip(held, rows):
+        if not held:
+            return
+        rows = self.lookup([keys for _, _, keys in held])
+        every = np.concatenate(rows)
+        self.hits += np.bincount(every, minlength=len(self.hits))
+        empty = self.index.get(_EMPTY, -1)
+        for (x, block, keys), at in zip(held, rows):
+            where = None
+            if empty >= 0:
+                where = np.nonzero(at != empty)[0]
+                at = at[where]
             x.total += float(self.best[at].sum())
-            first, count = self.first[at], self.count[at]
-            ids = self.flat[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            x.sha.update(ids.tobytes())
+            ids = self.flat[_spans(self.first[at], self.count[at])]
+            x.sha.update(ids)
             x.n_pieces += len(ids)
-            x.n_bytes += int(is_byte[ids].sum())
+            x.n_bytes += int(np.count_nonzero(self.is_byte[ids]))
             x.same &= b"".join(map(self.bytes.__getitem__, ids.tolist())) == block.replace(SPACE, " ").encode("utf-8")
             gaps = self.gap[at]
             k = min(n - 1, len(gaps))
             if k > 0:
-                x.near.extend((float(gaps[i]), x.words + int(i), units[i]) for i in _least(gaps, k))
+                x.near.extend((float(gaps[i]), x.words + int(i), unit_of(keys[i if where is None else where[i]]))
+                              for i in _least(gaps, k))
                 x.near = sorted(x.near, key=lambda y: y[:2])[:n - 1]
-            x.words += len(units)
+            x.words += len(at)
 
     def _finish(self, x, n: int) -> dict:
         combos = [(0.0, ())]
@@ -354,10 +375,8 @@ class Pieces:
         """Ids of the best segmentation of a whole text."""
         out: list[int] = []
         for block in blocks(text or ""):
-            units = words_of(block)
-            self.learn_missing([units])
-            for i in (self.index[u] for u in units):
-                out.extend(self.flat[self.first[i]:self.first[i] + self.count[i]].tolist())
+            at = self.lookup([keys_of(block)])[0]
+            out.extend(self.flat[_spans(self.first[at], self.count[at])].tolist())
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -381,12 +400,32 @@ def _least(x: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((at, x[at]))][:k]
 
 
-_UNITS = re.compile(f"{SPACE}[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+class _Index(dict):
+    """Rows of the word table by key; a new key gets the next row."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = row = len(self)
+        return row
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Positions ``first, first + 1, ...`` of ``count`` each, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+_BREAK, _EMPTY = "\n\n", "\n"
+
+
+def keys_of(block: str) -> list[str]:
+    """Keys of the words of a block (a space, then anything): what follows a space
+    or the space symbol, ``_BREAK`` for a line break, and a line break with what
+    follows it up to the next space or break (``_EMPTY`` if nothing does)."""
+    return block.replace(SPACE, " ").replace("\n", f" {_BREAK} \n")[1:].split(" ")
 
 
-def words_of(block: str) -> list[str]:
-    """Words of a block: the space symbol with what follows it, and line breaks."""
-    return _UNITS.findall(block.replace(" ", SPACE))
+def unit_of(key: str) -> str:
+    """The word a key stands for: with its space symbol, a line break, or neither."""
+    return "\n" if key == _BREAK else key[1:] if key[:1] == "\n" else SPACE + key
 
 
 def blocks(text: str) -> Iterator[str]:

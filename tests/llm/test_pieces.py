@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -76,3 +77,27 @@ def test_encode_then_decode_gives_the_text(spark):
     back = pieces.decode(pieces.encode(df).drop("text"))
     want = sorted((str(d[0]), d[1] or "") for d in documents())
     assert sorted((str(r["doc_id"]), r["text"]) for r in back.collect()) == want
+
+
+def test_words_of_all_lengths_take_one_array_step(model, monkeypatch):
+    r = random.Random(4)
+    units = ["▁" + "".join(r.choice("theandior éß漢𐍈.▁") for _ in range(n)).replace(" ", "") for n in list(range(31)) * 4]
+    steps, run = [], model._viterbi
+    monkeypatch.setattr(model, "_viterbi", lambda part, *a: steps.append(len(part)) or run(part, *a))
+    model.reset()
+    model.learn(units)
+    assert steps == [len(units)]
+    for i, u in enumerate(units):
+        two = model.n_best(u, 2)
+        assert abs(model.best[i] - two[0][0]) < 1e-9
+        assert model.gap[i] == pytest.approx(two[0][0] - two[1][0] if len(two) > 1 else float("inf"), abs=1e-9)
+        ids = model.flat[model.first[i]:model.first[i] + model.count[i]].tolist()
+        assert b"".join(model.bytes[k] for k in ids) == u.replace("▁", " ").encode()
+
+
+def test_keys_stand_for_the_words_of_a_block():
+    r = random.Random(6)
+    for _ in range(2000):
+        t = " " + "".join(r.choice("ab \n▁é") for _ in range(r.randint(0, 9)))
+        got = [pieces.unit_of(k) for k in pieces.keys_of(t)]
+        assert [u for u in got if u] == re.findall("▁[^▁\n]*|[^▁\n]+|\n", t.replace(" ", "▁"))
