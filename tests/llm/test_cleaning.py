@@ -73,3 +73,29 @@ def test_link_bars_of_any_length_and_separator_go(spark):
     rows = [(i, prose + "\n" + bar, "en", "s", 0) for i, bar in enumerate(bars)] + [(99, prose + "\n" + " . ".join(["a b"] * 60), "en", "s", 0)]
     got = {r["doc_id"]: r["n_bad_lines"] for r in cleaning.measures(frame(spark, rows)).collect()}
     assert got == {**{i: 1 for i in range(len(bars))}, 99: 0}
+
+
+def test_characters_are_counted_without_translate_and_only_repeats_are_sorted(spark):
+    plan = cleaning.measures(frame(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
+    assert "array_distinct" in plan and plan.index("array_distinct(lambda") < plan.index("sort_array")
+
+
+def test_symbols_and_phrases_of_any_case_and_place(spark):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    phrases = ["All rights reserved", "Cookie policy", "PRIVACY POLICY", "terms of use", "Terms Of Service", "enable JavaScript",
+               "javascript is disabled", "JAVASCRIPT is required", "subscribe to our newsletter", "Lorem ipsum", "click HERE to",
+               "Copyright ©", "(C) 1999"]
+    lines = [x for p in phrases for x in (p, f"a \t{p} b.", f"xx{p}")] + ["ab#", "#*$%&|<> word.", "\t\x0b #\x0c\r"]
+    fine = ["terms off use", "(c) 199", "copyright (c)", "a policy", "abcdefghij#", "\x0b\r\t ", "»·plain"]
+    rows = [(i, prose + "\n" + x, "en", "s", 0) for i, x in enumerate(lines + fine)]
+    got = {r["doc_id"]: r for r in cleaning.measures(frame(spark, rows)).collect()}
+    assert [i for i, r in sorted(got.items()) if r["n_bad_lines"]] == list(range(len(lines)))
+    for i, t, *_ in rows:
+        assert got[i]["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+        assert got[i]["lost_chars"] == (len(re.sub(r"[\x20\x09-\x0D]", "", lines[i])) if i < len(lines) else 0)
+
+
+def test_blanks_before_a_last_line_or_paragraph_separator(spark):
+    tails = ("  ", " \u0085", "  ", "  ", "  \n", "\n \u0085\t")
+    check(spark, [(i, "a b c " * 4 + x, None, None, None) for i, x in enumerate(tails)])
