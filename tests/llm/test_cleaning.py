@@ -97,5 +97,5 @@ def test_symbols_and_phrases_of_any_case_and_place(spark):
 
 
 def test_blanks_before_a_last_line_or_paragraph_separator(spark):
-    tails = ("  ", " \u0085", "  ", "  ", "  \n", "\n \u0085\t")
+    tails = (" ", *(a + b for a in (" ", "\n", " \t") for b in ("\x85", "\u2028", "\u2029", "\u2028 \n")))
     check(spark, [(i, "a b c " * 4 + x, None, None, None) for i, x in enumerate(tails)])
