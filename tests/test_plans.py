@@ -216,3 +216,48 @@ def test_run_multi_stages_no_expected_values(spark):
     want = rate_floor(expected(score_filter(g), ("roa", "avg_balance", "roa_saldo")), floors)
     assert r.capped.columns == want.columns
     assert r.capped.exceptAll(want).isEmpty() and want.exceptAll(r.capped).isEmpty()
+
+
+def test_run_multi_sorts_the_grid_once(spark, monkeypatch):
+    """The floors are the hash table of the join before the stage: the grid's rows are sorted for the stage only."""
+    from importlib import import_module
+
+    from rategrid.plans.pipelines import run_multi
+    from rategrid.sources.tables import dense_grid, floor_table
+
+    skew, written = import_module("rategrid.operators.skew"), []
+    real = skew.stage_by
+
+    def spy(df, by, name=None):
+        written.append(plan(df.repartition(8, *by)))
+        return real(df, by, name)
+
+    monkeypatch.setattr(skew, "stage_by", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run_multi(dense_grid(spark, SF_SMALL), floor_table(spark, SF_SMALL), exps=[2.0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(written) == 1 and "ShuffledHashJoin" in written[0]
+    assert "SortMergeJoin" not in written[0] and "Sort [" not in written[0]
+
+
+def test_hashed_floors_of_hot_and_repeated_keys(spark):
+    """Hot, repeated, missing and null keys: the same rows with the floors as hash table."""
+    from rategrid.operators.limits import rate_floor
+    from rategrid.operators.skew import hot_keys
+
+    g = spark.createDataFrame([("a", i, 0.01 * i) for i in range(40)] + [("b", 0, 0.2), ("b", 0, 0.2), ("c", 0, 0.3), (None, 0, 0.3)],
+                              "llave string, iter int, tasa_propuesta double")
+    floors = spark.createDataFrame([("a", 0.1), ("a", 0.3), ("b", 0.2), ("b", None), ("d", 0.0), (None, 0.0)],
+                                   "llave string, tasapropuestamin double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n in (10, 1000):
+            hot = hot_keys(g, rows_per_task=n)
+            assert (hot.table is not None) == (n == 10)
+            got = [sorted(map(tuple, rate_floor(g, f, hot=hot).select("llave", "iter", "tasa_propuesta", "tasapropuestamin").collect()))
+                   for f in (floors, floors.hint("shuffle_hash"))]
+            assert got[0] == got[1] and len(got[0]) == 30 + 10 + 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
